@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, near_dedup, quality
+from . import archives, language, licenses, near_dedup, quality, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,25 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenize(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op9_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.convert_pages(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +48,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_token_binary": op4_token_binary,
     "op6_license_scan": op6_license_scan,
+    "op9_warc_convert": op9_warc_convert,
     "op10_quality_rules": op10_quality_rules,
 }
 
