@@ -1,15 +1,74 @@
-"""A corpus pipeline of five stages (in work)."""
+"""A corpus pipeline: language, near-duplicates, decontamination, mixing, token files.
+
+Each stage gets what its predecessor kept, written as Parquet and read again, and
+returns the columns of ``documents``; the last returns its report on the token
+files. SQL can't express the stages, so tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from sensorloom.llm import decontaminate, language, mixing, near_dedup, tokens
+from sensorloom.llm.common import new_folder
+from sensorloom.llm.queries import tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language: those without a letter, or that no language's model codes in fewer bits than their bytes have, go."""
+    try:
+        model = language.learn(docs)
+    except ValueError:  # no labelled text: nothing to judge by
+        return docs
+    return docs.where(~language.rejected(language.predict(model)(F.col("text"))))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left_anti")
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.with_matches(docs, benchmark, column="_matches").where(F.size("_matches") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mix: the order of files and rows is the schedule's, which the next stage writes tokens in."""
+    mixed = mixing.mix(docs, position="_position", slot="_slot")
+    return mixed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the order of the rows' files; ``doc_id, start, n_tokens, ids_crc32`` of each document, read back from them."""
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        order = [F.col("_file"), F.col("_row")]
+    except AnalysisException:  # not from files: in the order of ids
+        placed, order = docs, None
+    found = tokens.tokenize(placed, tokenizer_path(), order_by=order)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
 
-STAGES: list = []
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", decontaminate_benchmark),
+    ("mix", mix_sources),
+    ("tokens", write_token_files),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result for ``documents``; each stage's rows are written to the shared folder and read from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        folder = new_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
