@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, language, licenses, near_dedup, quality, tokens
+from . import archives, decontaminate, language, licenses, line_dedup, mixing, near_dedup, pii, quality, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -32,10 +36,25 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("sensorloom.pii.key", "set sensorloom.pii.key to a secret").encode()
+    found = pii.pseudonymise(_table(spark, sf_dir, "documents"), key)
+    return found.select("doc_id", "text", "n_found", "kinds")
+
+
 def op9_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archives.convert_pages(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -46,14 +65,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_binary": op4_token_binary,
+    "op5_pfair_mix": op5_pfair_mix,
     "op6_license_scan": op6_license_scan,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_warc_convert": op9_warc_convert,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.oracle_sql(),
     "op10_quality_rules": quality.oracle_sql(),
 }
