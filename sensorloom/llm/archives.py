@@ -128,14 +128,17 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
 
 def members(data: bytes) -> Iterator[bytes]:
     """The gzip members of a file, one after the other."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        d = zlib.decompressobj(31)
-        out = d.decompress(view[at:])
-        if not d.eof:
-            raise ValueError("a gzip member is cut off")
-        at = len(data) - len(d.unused_data)
-        yield out
+    view, at, step = memoryview(data), 0, 1 << 13
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut off")
+            piece = view[at : at + step]  # what is left over of it is copied, so it is short
+            parts.append(d.decompress(piece))
+            at += len(piece)
+        at -= len(d.unused_data)
+        yield b"".join(parts)
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, bytes], bytes]]:
