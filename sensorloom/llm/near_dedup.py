@@ -137,21 +137,41 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _around_centres(stars: DataFrame, sets: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs ``x, c`` of nodes around one centre that are in different components (step 3)."""
+    """Candidate pairs ``x, c`` of nodes around one centre that are in different components (step 3).
+
+    All needs are whole numbers, times ``100 + threshold``. Nodes are in classes by their need, so that a
+    prefix is as short as the least need of the partner's class allows: a node has a prefix for
+    each class around its centre, and two nodes meet under the pair of their classes. Around a
+    centre with many nodes, elements in which an eighth of them or more differ from it come last in every prefix.
+    """
     t, whole = threshold, 100 + threshold
-    member = stars.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    open_ = member.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c")
-    member = member.join(open_, "c", "left_semi")
+    need = t * (F.col("nc") + F.col("nx")) - whole * F.col("common")
+    base = (100 - t) * F.col("nc")
+    member = stars.withColumn("need", need).withColumn("class", F.when(F.col("need") <= 0, 0).when(F.col("need") <= base, 1).when(2 * F.col("need") <= 5 * base, 2).otherwise(3))
+    edge = F.when(F.col("partner") == 0, -base).when(F.col("partner") == 1, 0).when(F.col("partner") == 2, base).otherwise((5 * base / 2).cast("long"))
+    member = member.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    open_ = member.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_set("class").alias("classes")).where("lo <> hi").select("c", "classes")
+    member = member.join(open_, "c").select("x", "c", "root", "nc", "need", "class", "classes")
     x = sets.select(F.col("nid").alias("x"), F.col("items").alias("xs"))
     c = sets.select(F.col("nid").alias("c"), F.col("items").alias("cs"))
-    need = t * (F.col("nc") + F.col("nx")) - whole * F.col("common")
-    least = F.greatest(F.lit(1), F.ceil(F.when(F.col("linked"), need + (100 - t) * F.col("nc") + 1).otherwise(need) / whole)).cast("int")
-    differ = member.join(x, "x").join(c, "c").select("x", "c", "root", F.concat(F.array_sort(F.array_except("xs", "cs")), F.array_sort(F.array_except("cs", "xs"))).alias("d"), least.alias("least"))
-    token = cut(differ.where(F.size("d") >= F.col("least")).select("x", "c", "root", F.explode(F.slice("d", F.lit(1), F.size("d") - F.col("least") + 1)).alias("token")))
-    shared = token.groupBy("c", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c", "token")
-    token = token.join(shared, ["c", "token"], "left_semi")
-    other = token.select("c", "token", F.col("x").alias("y"), F.col("root").alias("other"))
-    return token.join(other, ["c", "token"]).where("root < other").select("x", F.col("y").alias("c")).distinct()
+    differ = cut(member.join(x, "x").join(c, "c").withColumn("d", F.concat(F.array_sort(F.array_except("xs", "cs")), F.array_sort(F.array_except("cs", "xs")))).drop("xs", "cs"))
+    large = differ.groupBy("c").agg(F.count("*").alias("around")).where("around >= 16")
+    often = differ.join(large, "c", "left_semi").select("c", F.explode("d").alias("token")).groupBy("c", "token").agg(F.count("*").alias("times"))
+    usual = often.join(large, "c").where("times * 8 >= around").groupBy("c").agg(F.collect_list("token").alias("usual"))
+    last = F.coalesce("usual", F.array().cast("array<bigint>"))
+    differ = differ.join(usual, "c", "left").withColumn("d", F.concat(F.array_except("d", last), F.array_intersect("d", last)))
+    least = F.greatest(F.lit(1), F.ceil((F.col("need") + edge + base) / whole))
+    prefix = (F.size("d") - least + 1).cast("int")
+    each = differ.select("x", "c", "root", "class", "nc", "need", "d", F.explode("classes").alias("partner")).withColumn("prefix", prefix).where("prefix > 0")
+    token = each.select("x", "c", "root", "class", "nc", "need", F.size("d").alias("size"), F.least("class", "partner").alias("low"), F.greatest("class", "partner").alias("high"), F.posexplode(F.slice("d", F.lit(1), F.col("prefix"))).alias("at", "token"))
+    key = ["c", "token", "low", "high"]
+    shared = token.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*key)
+    token = token.join(shared, key, "left_semi").withColumn("left", F.col("size") - F.col("at"))
+    other = token.select(*key, F.col("x").alias("y"), F.col("root").alias("its_root"), F.col("class").alias("its_class"), F.col("need").alias("its_need"), F.col("left").alias("its_left"))
+    # the first common element of a link leaves room for all that it needs
+    room = F.least("left", "its_left") * whole >= F.col("need") + F.col("its_need") + base
+    pair = token.join(other, key).where((F.col("root") < F.col("its_root")) & (F.col("class") + F.col("its_class") == F.col("low") + F.col("high")) & room)
+    return pair.select("x", F.col("y").alias("c")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, threshold: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -188,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     checked = cut(_verify(stars, sets, threshold))
     links = checked.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b"))
-    roots = components(links)
+    roots = components(links, rounds=1)  # what it leaves apart is only compared in vain
     more = _verify(_around_centres(checked, sets, roots, threshold), sets, threshold).where("linked")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("x", "c"))
     roots = components(links)
