@@ -148,7 +148,7 @@ def resample_week(spark, d):
     return A.resample(table(spark, d, "orders"), "o_orderdate", "week", "o_totalprice", ["o_orderpriority"])
 
 
-@query("select o_orderpriority, date_trunc('month', o_orderdate)::timestamp as period, round(avg(o_totalprice), 6) as mean, count(o_totalprice) as n from orders group by 1, 2")
+@query("select o_orderpriority, date_trunc('month', o_orderdate)::timestamp as period, round(avg(o_totalprice), 7) as mean, count(o_totalprice) as n from orders group by 1, 2", 7)
 def resample_month(spark, d):
     return A.resample(table(spark, d, "orders"), "o_orderdate", "month", "o_totalprice", ["o_orderpriority"])
 
@@ -425,11 +425,11 @@ def attach_labels(spark, d):
 # --- windows --------------------------------------------------------------------------------
 
 
-def _roll(sql: str, guard: str = "row_number() over (partition by variable order by datetime) >= 24") -> str:
-    return "with " + LONG + f" select variable, datetime, round(case when {guard} then {sql} end, 6) as roll from long window w as (partition by variable order by datetime rows between 23 preceding and current row)"
+def _roll(sql: str, digits: int = 6) -> str:
+    return "with " + LONG + f" select variable, datetime, round(case when row_number() over (partition by variable order by datetime) >= 24 then {sql} end, {digits}) as roll from long window w as (partition by variable order by datetime rows between 23 preceding and current row)"
 
 
-@query(_roll("avg(value) over w"))
+@query(_roll("avg(value) over w", 8), 8)
 def roll_mean_n(spark, d):
     return W.roll_mean(driver_long(spark, d), ["variable"], "datetime", "value", 24).select("variable", "datetime", "roll")
 
