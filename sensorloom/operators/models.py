@@ -214,18 +214,20 @@ def lmm(df: DataFrame, y: str, d: Design, group: str, reml: bool = True, rounds:
 
 def icc(df: DataFrame, by: Sequence[str], entity: str, y: str) -> DataFrame:
     """Repeatability by group: variance of entities' intercepts / all variance, by REML on each entity's number, sum and squares."""
-    each = df.where(F.col(y).isNotNull()).groupBy(*by, entity).agg(F.count("*").alias("m"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("q"))
+    each = df.where(F.col(y).isNotNull()).groupBy(*by, entity).agg(F.count("*").alias("_m"), F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_q"))
     # the likelihood needs, for each size of entity: how many, sum of means and of squared means
-    size = each.groupBy(*by, "m").agg(F.count("*").alias("k"), F.sum(F.col("s") / F.col("m")).alias("a"), F.sum(F.col("s") * F.col("s") / F.col("m") / F.col("m")).alias("b"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("m")).alias("w"))
-    theta = F.explode(F.array(*[F.lit(float(t)) for t in np.concatenate([[0.0], np.logspace(-4, 4, 321)])])).alias("theta")
-    g = size.select(*by, "m", "k", "a", "b", "w", theta)
-    u = F.col("m") / (1 + F.col("m") * F.col("theta"))
-    s = g.groupBy(*by, "theta").agg(F.sum(F.col("k") * F.col("m")).alias("n"), F.sum("k").alias("n_entities"), F.sum("w").alias("w"), F.sum(u * F.col("k")).alias("u"), F.sum(u * F.col("a")).alias("ua"), F.sum(u * F.col("b")).alias("ub"), F.sum(F.col("k") * F.log1p(F.col("m") * F.col("theta"))).alias("ld"))
-    rss = F.col("w") + F.col("ub") - F.col("ua") * F.col("ua") / F.col("u")
-    s = s.withColumn("sigma2", rss / (F.col("n") - 1)).withColumn("ll", -0.5 * ((F.col("n") - 1) * F.log("sigma2") + F.col("ld") + F.log("u")))
-    top = s.where("sigma2 > 0").groupBy(*by).agg(F.max(F.struct("ll", (-F.col("theta")).alias("t"), "sigma2", "n", "n_entities")).alias("_b"))
-    t = -F.col("_b.t")
-    return top.select(*by, (t / (1 + t)).alias("icc"), (t * F.col("_b.sigma2")).alias("sigma2_u"), F.col("_b.sigma2").alias("sigma2_e"), F.col("_b.n").alias("n"), F.col("_b.n_entities").alias("n_entities"))
+    mean = F.col("_s") / F.col("_m")
+    size = each.groupBy(*by, "_m").agg(F.count("*").alias("_k"), F.sum(mean).alias("_a"), F.sum(mean * mean).alias("_b"), F.sum(F.col("_q") - F.col("_s") * mean).alias("_w"))
+    theta = F.explode(F.array(*[F.lit(float(t)) for t in np.concatenate([[0.0], np.logspace(-4, 4, 321)])])).alias("_theta")
+    g = size.select(*by, "_m", "_k", "_a", "_b", "_w", theta)
+    m, k, t = F.col("_m"), F.col("_k"), F.col("_theta")
+    u = m / (1 + m * t)
+    s = g.groupBy(*by, "_theta").agg(F.sum(k * m).alias("_n"), F.sum(k).alias("_e"), F.sum("_w").alias("_ww"), F.sum(u * k).alias("_u"), F.sum(u * F.col("_a")).alias("_ua"), F.sum(u * F.col("_b")).alias("_ub"), F.sum(k * F.log1p(m * t)).alias("_ld"))
+    rss = F.col("_ww") + F.col("_ub") - F.col("_ua") * F.col("_ua") / F.col("_u")
+    s = s.withColumn("_s2", rss / (F.col("_n") - 1)).withColumn("_ll", -0.5 * ((F.col("_n") - 1) * F.log("_s2") + F.col("_ld") + F.log("_u")))
+    top = s.where("_s2 > 0").groupBy(*by).agg(F.max(F.struct("_ll", (-t).alias("_t"), "_s2", "_n", "_e")).alias("_best"))
+    t = -F.col("_best._t")
+    return top.select(*by, (t / (1 + t)).alias("icc"), (t * F.col("_best._s2")).alias("sigma2_u"), F.col("_best._s2").alias("sigma2_e"), F.col("_best._n").alias("n"), F.col("_best._e").alias("n_entities"))
 
 
 def lrt_random(df: DataFrame, entity: str, y: str) -> dict[str, float]:
