@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .archives import _Files, write_file
-from .common import LOWER, WordHasher, cut, new_folder, pieces, utf8
+from .common import LOWER, WordHasher, bound_batches, cut, new_folder, pieces, utf8
 
 MAGIC = b"SLTOK001"
 FOOTER = 8 + 8 + 1 + 32 + 8
@@ -215,6 +215,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     one place. Files are closed at ``file_bytes``.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     dictionary = train_dictionary(docs, tokenizer, end_id, id_col, text_col, sample_docs, dictionary_bytes)
     sha = hashlib.sha256(dictionary)
     write_file(f"{folder}/dictionary-{sha.hexdigest()}.zdict", dictionary)
@@ -293,7 +294,7 @@ def read_tokens(spark: SparkSession, folder: str, dictionary: bytes) -> DataFram
 
 def _dictionary_of(spark: SparkSession, folder: str) -> bytes:
     found = spark.read.format("binaryFile").option("pathGlobFilter", "dictionary-*.zdict").load(folder).select("content").collect()
-    return bytes(found[0][0])
+    return bytes(found[0][0]) if found else b""  # Spark doesn't list an empty file
 
 
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int | None = 2, order_by: Sequence[Column] | None = None, folder: str | None = None, **options) -> DataFrame:
