@@ -49,6 +49,15 @@ def design(df: DataFrame, terms: Sequence[str], factors: Sequence[str] = ()) ->
     return Design(columns, owner, levels)
 
 
+def model_frame(measured: DataFrame, features: DataFrame, on: str, y: str, xs: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``(frame, scales)``: measurements with their features by hour, complete cases only, predictors standardised; and their means and sds."""
+    d = measured.join(features, on).dropna(subset=[y, *xs])
+    one = d.agg(*[F.avg(x).alias(f"_m_{x}") for x in xs], *[F.stddev_samp(x).alias(f"_s_{x}") for x in xs])
+    frame = d.crossJoin(F.broadcast(one)).withColumns({x: F.try_divide(F.col(x) - F.col(f"_m_{x}"), F.col(f"_s_{x}")) for x in xs}).drop(*one.columns)
+    cells = F.array(*[F.struct(F.lit(x).alias("variable"), F.col(f"_m_{x}").alias("mean"), F.col(f"_s_{x}").alias("sd")) for x in xs])
+    return frame, one.select(F.inline(cells))
+
+
 def gram(df: DataFrame, y: str, d: Design, by: Sequence[str] = ()) -> DataFrame:
     """``n, yy, xy, xx`` (arrays; xx is the upper triangle by rows) by group, over complete rows."""
     names = list(d.columns)
@@ -167,12 +176,12 @@ def ols_by(df: DataFrame, y: str, d: Design, by: Sequence[str]) -> DataFrame:
 # --- random intercepts ----------------------------------------------------------------------
 
 
-def lmm(df: DataFrame, y: str, d: Design, group: str, reml: bool = True, rounds: int = 4) -> Model:
+def lmm(df: DataFrame, y: str, d: Design, group: str, reml: bool = True, rounds: int = 8) -> Model:
     """Random-intercept model by profile likelihood of theta = variance of the intercepts / residual variance.
 
-    Cross-products and sums by entity are aggregated once; each round meets a grid of thetas with
-    the entities in one further aggregation, in which entities of equal size share their
-    weight, and narrows the grid around its best.
+    An entity's share of the cross-products depends on theta only through its number of rows, so
+    one aggregation by entity and one by number of rows leave a row for each such number: the likelihood of any
+    theta is worked out from these, over a grid that each round narrows around its best.
     """
     names, p = list(d.columns), len(d.columns)
     rows = df.select(group, F.col(y).cast("double").alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(d.columns.values())]).dropna()
@@ -203,7 +212,7 @@ def lmm(df: DataFrame, y: str, d: Design, group: str, reml: bool = True, rounds:
         return ll, beta, xx, sigma2
 
     grid = np.concatenate([[0.0], np.logspace(-6, 6, 61)])
-    for _ in range(rounds + 4):
+    for _ in range(rounds):
         best = int(np.argmax([profile(t)[0] for t in grid]))
         grid = np.linspace(grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)], 41)
     theta = float(grid[int(np.argmax([profile(t)[0] for t in grid]))])

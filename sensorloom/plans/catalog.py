@@ -948,6 +948,44 @@ def decay_phase(spark, d):
     return M.decay_phase(_metrics(spark, d), ["label"], "d0", "d1", 0.0).select("vec_id", "cv_z", "decay_phase")
 
 
+_WIDE_H = "w as (select hour, avg(case when species = 'click' then reading end) as click, avg(case when species = 'view' then reading end) as view from flux group by hour)"
+
+
+def _frame(spark, d):
+    f = flux(spark, d)
+    w = f.groupBy("hour").agg(*[F.avg(F.when(F.col("species") == s, F.col("reading"))).alias(s) for s in ("click", "view")])
+    return M.model_frame(f.select("event_id", "hour", "flux"), w, "hour", "flux", ["click", "view"])
+
+
+@query("with " + FLUX + ", " + _WIDE_H + ", j as (select event_id, flux, click, view from flux join w on flux.hour = w.hour where click is not null and view is not null) select event_id, round(flux, 6) as flux, round((click - avg(click) over ()) / stddev_samp(click) over (), 6) as click, round((view - avg(view) over ()) / stddev_samp(view) over (), 6) as view from j")
+def model_frame(spark, d):
+    return _frame(spark, d)[0].select("event_id", "flux", "click", "view")
+
+
+@query("with " + FLUX + ", " + _WIDE_H + ", j as (select click, view from flux join w on flux.hour = w.hour where click is not null and view is not null) select 'click' as variable, round(avg(click), 6) as mean, round(stddev_samp(click), 6) as sd from j union all select 'view', round(avg(view), 6), round(stddev_samp(view), 6) from j")
+def model_scales(spark, d):
+    return _frame(spark, d)[1]
+
+
+@query("with " + FLUX + ", s as (select tree, count(*) as n from flux where species = 'signup' group by 1), p as (select c_custkey as tree, case when c_custkey % 4 = 0 then null else c_acctbal end as depth from customer where c_custkey <= 100) select coalesce(s.tree, p.tree) as tree, coalesce(n, 0) as n, round(depth, 6) as depth, case when p.tree is null then 'no depth' when n is null then 'no reading' when depth is null then 'null depth' else 'ok' end as status from s full join p on s.tree = p.tree")
+def depth_diagnostics(spark, d):
+    c = table(spark, d, "customer").where("c_custkey <= 100")
+    depths = c.select(F.col("c_custkey").alias("tree"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("depth"))
+    return N.depth_diagnostics(flux(spark, d).where("species = 'signup'"), depths, "tree", "depth")
+
+
+@query("with e as (select user_id as tree, user_id % 2 as g, avg(value) filter (where day(ts) <= 15) as a, avg(value) filter (where day(ts) > 15) as b from events group by 1) select g, round(case when count(*) filter (where a is not null and b is not null) >= 5 then corr(a, b) end, 6) as r, count(*) filter (where a is not null and b is not null) as n from e group by 1")
+def period_consistency(spark, d):
+    f = flux(spark, d).withColumn("half", F.when(F.dayofmonth("ts") <= 15, "a").otherwise("b"))
+    wide = R.to_wide(f, ["tree"], "half", "value", ["a", "b"], agg=F.avg).withColumn("g", F.col("tree") % 2)
+    return K.pearson(wide, ["g"], "a", "b", p=False)
+
+
+@query()
+def prediction_extremes(spark, d):
+    return M.extremes(prediction_grid(spark, d), ["percentile", "l_returnflag"])
+
+
 _FOREST = [f"d{i}" for i in range(1, 6)]
 
 
