@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_SEPARATED, LOWER, WordHasher, cut, distinct_by_row, list_array, mix, pieces, row_sums, shingles, utf8, word_spans
+from .common import BLANK_SEPARATED, LOWER, WordHasher, bound_batches, cut, distinct_by_row, list_array, mix, pieces, row_sums, shingles, utf8, word_spans
 from .graph import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -188,6 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as they came in, with equal results. Equal ids with different texts are
     different documents of the graph. Other columns of ``docs`` are not read.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sk = cut(src.select("id", F.xxhash64("text").alias("text_hash"), _sketch(shingle_words, bands, rows)("text").alias("s")).select("id", "text_hash", "s.*"))
     grouped = sk.where("n > 0").groupBy("key").agg(F.min("id").alias("min_id"), F.first("bands").alias("bands"))
@@ -210,8 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = checked.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b"))
     roots = components(links, rounds=1)  # what it leaves apart is only compared in vain
     more = _verify(_around_centres(checked, sets, roots, threshold), sets, threshold).where("linked")
-    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("x", "c"))
-    roots = components(links)
+    roots = components(links.union(more.select("x", "c")))
 
     whole = nodes.select("nid", "key", "min_id").join(roots, nodes.nid == roots.node, "left").withColumn("root", F.coalesce("root", "nid"))
     first = whole.groupBy("root").agg(F.min("min_id").alias("component_id"))
