@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder
+from .common import bound_batches, cut, new_folder
 
 V1_FIELDS = ("url", "ip", "date", "type", "length")
 V2_FIELDS = ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "file", "length")
@@ -311,6 +311,7 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     are not read.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     arc, warc = new_folder(spark, "arc"), new_folder(spark, "warc")
     for folder in (arc, warc):  # an empty table writes no file
         system, path = fs.FileSystem.from_uri(folder)

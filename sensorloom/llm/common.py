@@ -7,6 +7,7 @@ an Arrow batch. A single longer text is its own piece.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Bound what goes to Python workers at once: texts may be long, so Spark's default of 10,000 rows a batch is too many. Smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64) of an unsigned array."""
     x = x.astype(np.uint64, copy=True)

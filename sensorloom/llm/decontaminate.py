@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHasher, pieces, utf8, word_spans
+from .common import LOWER, WordHasher, bound_batches, pieces, utf8, word_spans
 from .licenses import WORD_BYTES
 
 HALF = 64
@@ -295,6 +295,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     held; items with equal texts are all reported. Rows and other columns stay as they are, but a column of the
     new one's name is replaced.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("_text"))
     block: list[tuple[int, list[bytes]]] = []
     found = []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHasher, byte_classes, cut, list_array, pieces, utf8, word_spans
+from .common import LOWER, WordHasher, bound_batches, byte_classes, cut, list_array, pieces, utf8, word_spans
 
 #: Phrases that count as places, by label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -170,6 +170,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = [(label, sorted(set(words_of(t))), len(words_of(t))) for label, texts in templates.items() for t in texts if words_of(t)]
     vocabulary = sorted({w for _, ws, _ in sets for w in ws})

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import bound_batches, utf8
 
 ROUNDS = 10
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), 73_049  # 1900 to 2099
@@ -229,6 +229,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """
     if not key:
         raise ValueError("the key is empty")
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = src.select("_id", _swap(key[:64])("_text").alias("_s")).select("_id", "_s.text", "_s.found")
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))), ",")
