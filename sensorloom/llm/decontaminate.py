@@ -190,10 +190,11 @@ def _range_sketch(docs: DataFrame, hashes: np.ndarray, feature: np.ndarray, idf:
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), group)), *columns], ["f", "g", *(f"v{c}" for c in range(COLUMNS))])
 
     spec = "f bigint, g bigint, " + ", ".join(f"v{c} double" for c in range(COLUMNS))
-    summed = docs.mapInArrow(task, spec).groupBy("f", "g").agg(*[F.sum(f"v{c}").alias(f"v{c}") for c in range(COLUMNS)]).toPandas()
+    summed = docs.mapInArrow(task, spec).groupBy("f", "g").agg(*[F.sum(f"v{c}").alias(f"v{c}") for c in range(COLUMNS)]).toArrow()
+    f, g = summed["f"].to_numpy(), summed["g"].to_numpy()
     out = np.zeros((d, k))
-    for group, rows in summed.groupby("g"):
-        out[rows["f"].to_numpy(), int(group) * COLUMNS : (int(group) + 1) * COLUMNS] = rows.drop(columns=["f", "g"]).to_numpy()
+    for c in range(COLUMNS):
+        out[f, g * COLUMNS + c] = summed[f"v{c}"].to_numpy()
     return out
 
 

@@ -194,13 +194,18 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None, id_col
     """Dictionary of at most ``dictionary_bytes`` from whole texts of about ``sample_docs`` documents, chosen by a hash of their ids; empty if they are too few to train on."""
     n = docs.count()
     share = 1_000_000 if n <= sample_docs else max(1, 1_000_000 * sample_docs // n)
-    rows = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share).select(F.coalesce(F.col(text_col), F.lit(""))).limit(2 * sample_docs).collect()
-    encoder = Encoder(tokenizer, end_id)
-    kind = "<u2" if _width(encoder.tokenizer.get_vocab_size()) == 2 else "<u4"
-    samples = []
-    for (text,) in rows:
-        data = np.frombuffer(text.encode(), np.uint8)
-        samples.append(encoder(data, np.array([0, len(data)]))[0].astype(kind).tobytes())
+    texts = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share).select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).limit(2 * sample_docs)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer, end_id)
+        kind = "<u2" if _width(encoder.tokenizer.get_vocab_size()) == 2 else "<u4"
+        for batch in batches:
+            data, off = utf8(batch.column(0))
+            flat, counts = encoder(data, off)
+            parts = np.split(flat.astype(kind), np.cumsum(counts)[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in parts], pa.binary())], ["ids"])
+
+    samples = [bytes(r[0]) for r in texts.mapInArrow(encode, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(dictionary_bytes, samples).as_bytes()
     except zstandard.ZstdError:
