@@ -5,49 +5,74 @@ Each source is cut into blocks of ``block_docs`` documents. With weight w, block
 taking the released block with the earliest deadline in each slot meets all deadlines, so after any
 number of slots a source is less than one block from its share.
 
-Weights are whole parts of ``PARTS``, so the schedule repeats after as many slots as
-there are parts, and one period of it, worked out on the driver, places every block by
-arithmetic. When a source runs out, a new phase begins with the weights of the others. Only the
-number of documents by source reaches the driver; documents are numbered within
+Weights are whole parts of ``PARTS``. When a source runs out, a new phase begins in the next slot with the
+weights of the others. Each slot depends on those before it, so one task places
+all blocks, one after the other, from the number of documents by source; documents are numbered within
 their source in hash buckets of bounded size, so a hot source is dealt out like others.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from itertools import islice
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = 1000
 BUCKET_ROWS = 20_000
 MOST_SOURCES = 256
+BATCH_BLOCKS = 50_000
 
 
-def period_slots(parts: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period of ``sum(parts)`` slots: earliest deadline first among the released, ties by source."""
+def turns(parts: Mapping[str, int]) -> Iterator[tuple[str, int]]:
+    """Source and block (from 0) of one slot after the other, without end: earliest deadline first among the released, ties by source."""
     q = sum(parts.values())
     waiting = [(0, -(-q // a), s, 1) for s, a in sorted(parts.items()) if a > 0]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in parts}
-    for slot in range(q):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             _, deadline, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, k))
         deadline, s, k = heapq.heappop(ready)
         if slot >= deadline:
             raise AssertionError("a deadline was missed")
+        yield s, k - 1
+        heapq.heappush(waiting, (k * q // parts[s], -(-(k + 1) * q // parts[s]), s, k + 1))
+        slot += 1
+
+
+def period_slots(parts: Mapping[str, int]) -> dict[str, list[int]]:
+    """Slots of each source's blocks in one period of ``sum(parts)`` slots."""
+    out: dict[str, list[int]] = {s: [] for s in parts}
+    for slot, (s, _) in enumerate(islice(turns(parts), sum(parts.values()))):
         out[s].append(slot)
-        if k < parts[s]:
-            heapq.heappush(waiting, (k * q // parts[s], -(-(k + 1) * q // parts[s]), s, k + 1))
     return out
 
 
+def places(blocks: Mapping[str, int], parts: Mapping[str, int]) -> Iterator[tuple[int, str, int]]:
+    """Phase, source and block of each slot until all blocks are used up. A phase ends with the slot in which its first source runs out."""
+    left, phase = {s: n for s, n in blocks.items() if n}, 0
+    first = dict.fromkeys(left, 0)
+    while left:
+        for s, k in turns({s: parts[s] for s in left}):
+            yield phase, s, first[s] + k
+            left[s] -= 1
+            if not left[s]:
+                break
+        first = {s: blocks[s] - n for s, n in left.items()}
+        left = {s: n for s, n in left.items() if n}
+        phase += 1
+
+
 class Phase(NamedTuple):
-    """``periods`` repeats of a period with these parts, from block ``first[source]`` of each source and slot ``slot`` on."""
+    """``periods`` repeats of so many blocks (``parts``), from block ``first[source]`` of each source and slot ``slot`` on."""
 
     parts: dict[str, int]
     periods: int
@@ -56,18 +81,17 @@ class Phase(NamedTuple):
 
 
 def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> list[Phase]:
-    """Phases that use up all blocks. A source with less than a full share left gets what it has in one last period."""
-    left, used, slot, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while any(left.values()):
-        share = {s: parts[s] for s, n in left.items() if n}
-        periods = min(left[s] // a for s, a in share.items())
-        if not periods:
-            share, periods = {s: min(a, left[s]) for s, a in share.items()}, 1
-        out.append(Phase(share, periods, {s: used[s] for s in share}, slot))
-        for s, a in share.items():
-            left[s] -= periods * a
-            used[s] += periods * a
-        slot += periods * sum(share.values())
+    """What each phase of ``places`` uses up."""
+    used: list[Counter] = []
+    for phase, s, _ in places(blocks, parts):
+        if phase == len(used):
+            used.append(Counter())
+        used[phase][s] += 1
+    out, first, slot = [], Counter(), 0
+    for own in used:
+        out.append(Phase(dict(own), 1, {s: first[s] for s in own}, slot))
+        first += own
+        slot += own.total()
     return out
 
 
@@ -77,6 +101,23 @@ def whole_parts(weights: Mapping[str, float], total: int = PARTS) -> dict[str, i
     return {s: max(1, round(total * w / whole)) for s, w in weights.items()}
 
 
+def _schedule(counted: Mapping[str, int], parts: Mapping[str, int], block_docs: int):
+    """Batches of the slot and the first document's position of each block, worked out in a task as they are read."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        at, slot, turn = 0, 0, places({s: -(-n // block_docs) for s, n in counted.items()}, parts)
+        while some := list(islice(turn, BATCH_BLOCKS)):
+            rows = []
+            for _, s, k in some:
+                rows.append((s, k, slot, at))
+                at, slot = at + min(block_docs, counted[s] - k * block_docs), slot + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["_s", "_block", "_slot", "_at"])
+
+    return deal
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", *, exponent: float = 0.5, block_docs: int = 16, position: str = "position", slot: str = "slot") -> DataFrame:
     """``docs`` with the place of each document in the mix (``position``, from 0, without gaps) and its block's slot.
 
@@ -97,40 +138,21 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str
     given = {f"s{k}": w for k, w in (weights or {}).items() if w > 0}
     wanted = {s: given.get(s, min(given.values())) if given else n**exponent for s, n in counted.items()}
     parts = whole_parts(wanted) if wanted else {}
-    plan = phases({s: -(-n // block_docs) for s, n in counted.items()}, parts)
-    steps = [(p, s, ph.first[s], a, ph.slot, sum(ph.parts.values()), ph.first[s] + ph.periods * a) for p, ph in enumerate(plan) for s, a in ph.parts.items()]
-    places = [(p, s, i, at) for p, ph in enumerate(plan) for s, own in period_slots(ph.parts).items() for i, at in enumerate(own)]
     spark = docs.sparkSession
-    # both are bounded by the sources and the parts, not by the documents
-    steps = F.broadcast(spark.createDataFrame(steps, "_phase int, _s string, _from bigint, _a bigint, _slot0 bigint, _q bigint, _to bigint"))
-    places = F.broadcast(spark.createDataFrame(places, "_phase int, _s string, _i bigint, _at bigint"))
+    placed = spark.range(1, numPartitions=1).mapInArrow(_schedule(counted, parts, block_docs), "_s string, _block bigint, _slot bigint, _at bigint")
 
     buckets = max(counted.values(), default=0) // BUCKET_ROWS + 1
     d = docs.drop(position, slot).withColumn("_s", named).withColumn("_h", spread).withColumn("_bucket", F.shiftright(F.col("_h") * buckets, 31).cast("int"))
     keys = docs.select(named.alias("_s"), F.shiftright(spread * buckets, 31).cast("int").alias("_bucket"))
     sizes = keys.groupBy("_s", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_s", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_bucket").orderBy("_h", id_col))).join(offsets, ["_s", "_bucket"])
+    offsets = sizes.select("_s", "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # the blocks of a bucket travel as one array, so documents are not shuffled again to meet them
+    block = lambda rank: F.floor(rank / block_docs)
+    own = offsets.select("_s", "_bucket", "_before", F.explode(F.sequence(block(F.col("_before")), block(F.col("_before") + F.col("_n") - 1))).alias("_block"))
+    own = own.join(placed, ["_s", "_block"]).groupBy("_s", "_bucket").agg(F.min("_before").alias("_before"), F.sort_array(F.collect_list(F.struct("_block", "_slot", "_at"))).alias("_places"))
+    d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_bucket").orderBy("_h", id_col))).join(own, ["_s", "_bucket"])
     rank = F.col("_before") + F.col("_rank") - 1
-    d = d.withColumn("_block", F.floor(rank / block_docs)).withColumn("_in", rank % block_docs)
-    d = d.join(steps, (d["_s"] == steps["_s"]) & (F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_to"))).drop(steps["_s"])
-    d = d.withColumn("_k", F.col("_block") - F.col("_from")).withColumn("_i", F.col("_k") % F.col("_a"))
-    d = d.join(places, ["_phase", "_s", "_i"]).withColumn(slot, F.col("_slot0") + F.floor(F.col("_k") / F.col("_a")) * F.col("_q") + F.col("_at"))
-    # blocks are full but for the last of each source: those before a slot take their missing documents off its position
-    short = [(f"{s}", -(-n // block_docs) - 1, -n % block_docs) for s, n in counted.items() if n % block_docs]
-    gaps = sorted((_slot_of(plan, s, block), missing) for s, block, missing in short)
-    missing = F.lit(0)
-    for at, n in gaps:
-        missing = missing + F.when(F.col(slot) > at, n).otherwise(0)
-    d = d.withColumn(position, F.col(slot) * block_docs + F.col("_in") - missing)
+    place = F.get("_places", (block(rank) - block(F.col("_before"))).cast("int"))
+    d = d.withColumn(slot, place["_slot"]).withColumn(position, place["_at"] + rank % block_docs)
     return d.select(*[c for c in docs.columns if c not in (position, slot)], position, slot)
-
-
-def _slot_of(plan: list[Phase], source: str, block: int) -> int:
-    for ph in plan:
-        a = ph.parts.get(source, 0)
-        if a and ph.first[source] <= block < ph.first[source] + ph.periods * a:
-            k = block - ph.first[source]
-            return ph.slot + k // a * sum(ph.parts.values()) + period_slots(ph.parts)[source][k % a]
-    raise KeyError(block)

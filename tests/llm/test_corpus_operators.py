@@ -130,6 +130,32 @@ def test_phases_use_up_all_blocks():
     assert used == Counter(blocks)
 
 
+def off_target(blocks, weights, parts):
+    """The most blocks that a source is away from its weight until the first one runs out, and the slots till then."""
+    total, used, worst = sum(weights.values()), Counter(), 0
+    for slots, (_, s, k) in enumerate(mixing.places(blocks, parts), 1):
+        assert k == used[s]
+        used[s] += 1
+        worst = max(worst, max(abs(used[x] - slots * w / total) for x, w in weights.items()))
+        if used[s] == blocks[s]:
+            return worst, slots
+    raise AssertionError("no source ran out")
+
+
+def test_mix_keeps_weights_until_a_source_runs_out(spark):
+    for n, weights in (({"a": 100, "b": 1000}, {"a": 0.5, "b": 0.5}), ({"hot": 5333} | {f"s{i}": 561 for i in range(19)}, None)):
+        parts = mixing.whole_parts(weights or {s: x**0.5 for s, x in n.items()})
+        worst, slots = off_target({s: -(-x // 16) for s, x in n.items()}, parts, parts)
+        assert worst < 1 and slots > 10, (n, worst)
+    rows = [(i, "a" if i < 100 else "b") for i in range(1100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), {"a": 0.5, "b": 0.5}).collect()
+    assert sorted(r.position for r in got) == list(range(1100))
+    of = {r.slot: r.source for r in got}
+    last = max(s for s, x in of.items() if x == "a")
+    assert 12 <= last <= 13 and len(of) == 7 + 63
+    assert all(abs(sum(of[i] == "a" for i in range(n + 1)) - (n + 1) / 2) < 1 for n in range(last + 1))
+
+
 def test_decontamination_finds_copies_and_paraphrases(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
