@@ -5,7 +5,7 @@ Each source is cut into blocks of ``block_docs`` documents. With weight w, block
 taking the released block with the earliest deadline in each slot meets all deadlines, so after any
 number of slots a source is less than one block from its share.
 
-Weights are whole parts of ``PARTS``. When a source runs out, a new phase begins in the next slot with the
+Weights are exact fractions, as whole parts of their common denominator. When a source runs out, a new phase begins in the next slot with the
 weights of the others. Each slot depends on those before it, so one task places
 all blocks, one after the other, from the number of documents by source; documents are numbered within
 their source in hash buckets of bounded size, so a hot source is dealt out like others.
@@ -14,8 +14,10 @@ their source in hash buckets of bounded size, so a hot source is dealt out like
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from fractions import Fraction
 from itertools import islice
 from typing import NamedTuple
 
@@ -23,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 1000
 BUCKET_ROWS = 20_000
 MOST_SOURCES = 256
 BATCH_BLOCKS = 50_000
@@ -95,10 +96,11 @@ def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> list[Phase]:
     return out
 
 
-def whole_parts(weights: Mapping[str, float], total: int = PARTS) -> dict[str, int]:
-    """Weights as whole parts, one at least."""
-    whole = sum(weights.values())
-    return {s: max(1, round(total * w / whole)) for s, w in weights.items()}
+def whole_parts(weights: Mapping[str, float]) -> dict[str, int]:
+    """Weights as whole parts of a common denominator, without rounding."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    whole = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * whole) for s, w in exact.items()}
 
 
 def _schedule(counted: Mapping[str, int], parts: Mapping[str, int], block_docs: int):

@@ -156,6 +156,13 @@ def test_mix_keeps_weights_until_a_source_runs_out(spark):
     assert all(abs(sum(of[i] == "a" for i in range(n + 1)) - (n + 1) / 2) < 1 for n in range(last + 1))
 
 
+def test_mix_weights_are_not_rounded():
+    n = {"hot": 1_000_000} | {f"s{i}": 105_263 for i in range(19)}
+    for n, weights in ((n, {s: x**0.5 for s, x in n.items()}), ({"a": 160_000, "b": 1600}, {"a": 0.9999, "b": 0.0001})):
+        worst, slots = off_target({s: -(-x // 16) for s, x in n.items()}, weights, mixing.whole_parts(weights))
+        assert worst < 1 and slots > 10_000
+
+
 def test_decontamination_finds_copies_and_paraphrases(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
