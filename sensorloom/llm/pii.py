@@ -165,13 +165,17 @@ def _secret(key: bytes, text: str) -> str:
     return permute_symbols(key, b"secret", text, alphabet)
 
 
+def _hex(key: bytes, text: str) -> str:
+    return permute_symbols(key, b"secret", text, ("0123456789ABCDEF" if re.search("[A-F]", text) else "0123456789abcdef",))
+
+
 #: Kind, pattern and the replacement of a match (None: not valid, stays).
 KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}", _email),
     ("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", _iban),
     ("secret", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", lambda key, text: "AKIA" + _secret(key, text[4:])),
-    ("secret", r"(?<=password=)[A-Za-z0-9]{8,128}", _secret),
-    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128})(?![A-Za-z0-9])", _secret),
+    ("secret", r"(?<==)(?i:(?<=password=))[A-Za-z0-9]{8,128}", _secret),
+    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])", _hex),
     ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)", _ip),
     ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-])", _date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
@@ -182,24 +186,79 @@ KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
 _PATTERN = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p, _f) in enumerate(KINDS)))
 
 
+_PARTS = [re.compile(p) for _, p, _f in KINDS]
+_GROUPED = ("iban", "card")
+_CARD_SHAPED = re.compile(r"\d{4}([ -])(?:\d{4}\1\d{4}\1\d{1,4}|\d{6}\1\d{4,5})")
+
+
+def _fit(key: bytes, i: int, text: str) -> tuple[str, str, int] | None:
+    """Kind, replacement and length of the value that ``text``, a match of kind ``i``, is or starts with; of cards and IBANs, whose patterns go on over blanks, shorter ones end with a group."""
+    kind, _, replace = KINDS[i]
+    ends = [len(text), *(x for x in range(len(text) - 1, 0, -1) if text[x] in " -" and kind in _GROUPED)]
+    for end in ends:
+        if (new := replace(key, text[:end])) is not None:
+            return kind, new, end
+    for j in range(i + 1, len(KINDS)):  # another kind may still be in it
+        if _PARTS[j].fullmatch(text) and (new := KINDS[j][2](key, text)) is not None:
+            return KINDS[j][0], new, len(text)
+    return None
+
+
+def _regular(text: str) -> bool:
+    return text.isdigit() or _CARD_SHAPED.fullmatch(text) is not None
+
+
+def _later_card(key: bytes, i: int, text: str, m: re.Match, regular: bool) -> int | None:
+    """Where in the match, behind its first group, the first card starts; if asked, one grouped like a card or not at all."""
+    for at in (x + 1 for x in range(m.start(), m.end()) if text[x] in " -"):
+        later = _PARTS[i].match(text, at)
+        hit = _fit(key, i, later[0]) if later else None
+        if hit and hit[0] == "card" and (not regular or _regular(later[0][: hit[2]])):
+            return at
+    return None
+
+
+def _phone_before(key: bytes, i: int, text: str, start: int, limit: int) -> tuple[str, str, int] | None:
+    for j in range(i + 1, len(KINDS)):
+        if (own := _PARTS[j].match(text, start, limit)) and (new := KINDS[j][2](key, own[0])) is not None:
+            return KINDS[j][0], new, len(own[0])
+    return None
+
+
 def pseudonymise_text(key: bytes, text: str) -> tuple[str, list[dict]]:
-    """The text with its values replaced, and their kinds and places in the original (code points)."""
-    found: list[dict] = []
+    """The text with its values replaced, and their kinds and places in the original (code points).
 
-    def swap(m: re.Match) -> str:
-        kind, _, replace = KINDS[int(m.lastgroup[1:])]
-        new = replace(key, m[0])
-        if new is None:  # another kind may still be in it
-            for other, pattern, again in KINDS[int(m.lastgroup[1:]) + 1 :]:
-                if re.fullmatch(pattern, m[0]) and (new := again(key, m[0])) is not None:
-                    kind = other
-                    break
-            else:
-                return m[0]
-        found.append({"kind": kind, "first": m.start(), "last": m.end()})
-        return new
-
-    return _PATTERN.sub(swap, text), found
+    Behind the first group of a failed card or IBAN the search goes on, as another value may start there;
+    numbers grouped like a card stay whole and hold no phone number.
+    """
+    found: list[dict] = []
+    out, done, pos, whole = [], 0, 0, 0
+    while m := _PATTERN.search(text, pos):
+        i = int(m.lastgroup[1:])
+        kind = KINDS[i][0]
+        if kind == "phone" and m.end() <= whole:
+            pos = m.end()
+            continue
+        hit = _fit(key, i, m[0])
+        if kind == "card":
+            clear = None
+            if hit and hit[0] == "card" and hit[2] < len(m[0]) and not _regular(m[0][: hit[2]]):
+                clear = _later_card(key, i, text, m, True)  # a number that passes by chance doesn't hide one grouped like a card
+                hit = None if clear else hit
+            if hit is None and _CARD_SHAPED.fullmatch(m[0]):
+                whole = max(whole, m.end())
+            elif hit is None and m.end() > whole:
+                limit = clear or _later_card(key, i, text, m, True) or _later_card(key, i, text, m, False)
+                hit = _phone_before(key, i, text, m.start(), limit - 1 if limit else m.end())
+        if hit is None:
+            group = re.search("[ -]", m[0]) if kind in _GROUPED else None
+            pos = m.start() + group.start() if group else m.end()
+            continue
+        kind, new, length = hit
+        found.append({"kind": kind, "first": m.start(), "last": m.start() + length})
+        out += [text[done : m.start()], new]
+        done = pos = m.start() + length
+    return "".join([*out, text[done:]]), found
 
 
 def _swap(key: bytes):

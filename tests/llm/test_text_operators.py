@@ -155,6 +155,32 @@ def test_pseudonyms(spark, docs):
         pii.pseudonymise(docs, b"")
 
 
+def test_pseudonyms_of_values_beside_others():
+    card, iban, key = "4111 1111 1111 1111", "BE68 5390 0754 7034", b"k"
+    alone = {x: pii.pseudonymise_text(key, x)[0] for x in (card, card.replace(" ", ""), iban, "555 123 4567", "2024-02-29")}
+    assert all(new != x for x, new in alone.items())
+    for text, values in {
+        f"{card} 12/25": [card],
+        f"{card} 123": [card],
+        f"{card.replace(' ', '')} 123": [card.replace(" ", "")],
+        f"no 12 {card}": [card],
+        f"555 123 4567 {card}": ["555 123 4567", card],
+        "1234 2024-02-29 5678": ["2024-02-29"],
+        f"{iban} AND": [iban],
+        f"AB13 {iban} WITH THE": [iban],
+        f"AB13 {card} x": [card],
+    }.items():
+        want = text
+        for x in values:
+            want = want.replace(x, alone[x])
+        got, found = pii.pseudonymise_text(key, text)
+        assert got == want and [text[f["first"] : f["last"]] for f in found] == values, text
+    token = "9233A8EC" * 5
+    new, found = pii.pseudonymise_text(key, f'TOKEN = "{token}"')
+    assert re.fullmatch('TOKEN = "[0-9A-F]{40}"', new) and token not in new and found[0]["kind"] == "secret"
+    assert pii.pseudonymise_text(key, "PassWord=Hunter2hunter")[1] == [{"kind": "secret", "first": 9, "last": 22}]
+
+
 def test_permutations_are_one_to_one():
     for n in (10, 97, 366):
         assert sorted(pii.permute_below(b"k", b"t", i, n) for i in range(n)) == list(range(n))
