@@ -10,8 +10,8 @@ components of the links.
    ``bands`` hashes of its SuperMinHash signature. Equal sets become one node by
    a pre-aggregated grouping, so groups of exact copies cost one row a partition.
 2. Nodes that share a band meet in a bucket. A bucket is never expanded into
-   pairs: each member is compared with one centre, the member that meets the
-   most others, and the comparison is exact, on the full sets.
+   pairs: each member is compared with one centre, the member that stands for most
+   copies, and the comparison is exact, on the full sets.
 3. Members that are not linked with their centre may be linked with each other
    or with a member that is. For sets x and y around a centre c, with
    ``need(z) = t/(100+t) * (|c|+|z|) - |c & z|``, a link of x and y needs
@@ -19,17 +19,20 @@ components of the links.
    differences from c. That is a set-overlap join, solved exactly with prefixes
    of the differences (elements outside c first, as these are rare), and only
    between nodes that are not yet in one component. Its candidates are verified
-   on full sets as well.
+   on the whole differences, which is the same as on the full sets.
 
 Pairs at the threshold share none of the 24 bands with a probability below
-4e-6; every other step is exact.
+4e-6. Elements are 64-bit hashes and set keys have 128 bits; but for their
+collisions, every other step is exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANK_SEPARATED, LOWER, WordHasher, bound_batches, cut, distinct_by_row, list_array, mix, pieces, row_sums, shingles, utf8, word_spans
@@ -112,66 +115,92 @@ def _sketch(shingle_words: int, bands: int, rows: int):
 
 
 def _sets(shingle_words: int):
-    @F.arrow_udf("struct<key:binary,items:array<bigint>>")
+    @F.arrow_udf("array<bigint>")
     def sets(texts: pa.Array) -> pa.Array:
         hasher, out = WordHasher(), []
         data, off = utf8(texts)
         for i, j in pieces(off):
             items, counts = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], hasher, shingle_words)
-            out.append(pa.StructArray.from_arrays([_key_array(set_keys(items, counts), counts), list_array(items.astype(np.int64), counts, pa.int64())], ["key", "items"]))
-        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("key", pa.binary()), ("items", pa.list_(pa.int64()))]))
+            out.append(list_array(items.astype(np.int64), counts, pa.int64()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
 
     return sets
 
 
-def _linked(common: Column, n: Column, m: Column, threshold: int) -> Column:
-    return 100 * common >= threshold * (n + m - common)
+def _usual_tokens(share: int = 8, least: int = 16):
+    """Batches of ``c, d`` to ``c, token``: the tokens in an eighth or more of a batch's differences from one centre, of which it has 16 or more. Memory is that of a batch."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centre, of = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            around = np.bincount(of, minlength=len(centre))
+            d = batch.column(1)
+            size = np.diff(d.offsets.to_numpy())
+            of, token = np.repeat(of, size), d.flatten().to_numpy(zero_copy_only=False)
+            large = around[of] >= least
+            of, token = of[large], token[large]
+            order = np.lexsort((token, of))
+            of, token = of[order], token[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (token[1:] != token[:-1])])) if len(of) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(of)))
+            first = first[times * share >= around[of[first]]]
+            yield pa.RecordBatch.from_arrays([pa.array(centre[of[first]], pa.int64()), pa.array(token[first], pa.int64())], ["c", "token"])
 
+    return task
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """``x, c`` with set sizes, the size of the intersection and whether they are linked."""
+
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``x, c, need, nc, linked, d`` of pairs: ``need`` as in step 3, times ``100 + threshold``, and the elements ``d`` that are in one of the sets only."""
     x = sets.select(F.col("nid").alias("x"), F.col("items").alias("xs"))
     c = sets.select(F.col("nid").alias("c"), F.col("items").alias("cs"))
-    sized = pairs.join(x, "x").join(c, "c").select("x", "c", F.size("xs").cast("long").alias("nx"), F.size("cs").cast("long").alias("nc"), F.size(F.array_intersect("xs", "cs")).cast("long").alias("common"))
-    return sized.withColumn("linked", _linked(F.col("common"), F.col("nx"), F.col("nc"), threshold))
+    both = pairs.join(x, "x").join(c, "c")
+    plus, minus = F.array_except("xs", "cs"), F.array_except("cs", "xs")
+    both = both.select("x", "c", F.size("xs").cast("long").alias("nx"), F.size("cs").cast("long").alias("nc"), plus.alias("plus"), minus.alias("minus"))
+    need = threshold * (F.col("nc") + F.col("nx")) - (100 + threshold) * (F.col("nc") - F.size("minus"))
+    return both.select("x", "c", need.alias("need"), "nc", (need <= 0).alias("linked"), F.concat(F.array_sort("plus"), F.array_sort("minus")).alias("d"))
 
 
-def _around_centres(stars: DataFrame, sets: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs ``x, c`` of nodes around one centre that are in different components (step 3).
+def _around_centres(checked: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """Links ``a, b`` of nodes around one centre that are in different components (step 3).
 
-    All needs are whole numbers, times ``100 + threshold``. Nodes are in classes by their need, so that a
-    prefix is as short as the least need of the partner's class allows: a node has a prefix for
-    each class around its centre, and two nodes meet under the pair of their classes. Around a
-    centre with many nodes, elements in which an eighth of them or more differ from it come last in every prefix.
+    Nodes are in classes by their need, so that a prefix is as short as the least need of the
+    partner's class allows: a node has a prefix for each class around its centre, and two nodes
+    meet under the pair of their classes. Around a centre with many nodes, elements in
+    which an eighth of them or more differ from it come last in every prefix. The members of the
+    largest component around a centre are compared with those of others only.
     """
-    t, whole = threshold, 100 + threshold
-    need = t * (F.col("nc") + F.col("nx")) - whole * F.col("common")
-    base = (100 - t) * F.col("nc")
-    member = stars.withColumn("need", need).withColumn("class", F.when(F.col("need") <= 0, 0).when(F.col("need") <= base, 1).when(2 * F.col("need") <= 5 * base, 2).otherwise(3))
+    whole = 100 + threshold
+    need, base = F.col("need"), (100 - threshold) * F.col("nc")
+    kind = F.when(need <= 0, 0).when(need <= base, 1).when(2 * need <= 5 * base, 2).otherwise(3)
     edge = F.when(F.col("partner") == 0, -base).when(F.col("partner") == 1, 0).when(F.col("partner") == 2, base).otherwise((5 * base / 2).cast("long"))
-    member = member.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    open_ = member.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_set("class").alias("classes")).where("lo <> hi").select("c", "classes")
-    member = member.join(open_, "c").select("x", "c", "root", "nc", "need", "class", "classes")
-    x = sets.select(F.col("nid").alias("x"), F.col("items").alias("xs"))
-    c = sets.select(F.col("nid").alias("c"), F.col("items").alias("cs"))
-    differ = cut(member.join(x, "x").join(c, "c").withColumn("d", F.concat(F.array_sort(F.array_except("xs", "cs")), F.array_sort(F.array_except("cs", "xs")))).drop("xs", "cs"))
-    large = differ.groupBy("c").agg(F.count("*").alias("around")).where("around >= 16")
-    often = differ.join(large, "c", "left_semi").select("c", F.explode("d").alias("token")).groupBy("c", "token").agg(F.count("*").alias("times"))
-    usual = often.join(large, "c").where("times * 8 >= around").groupBy("c").agg(F.collect_list("token").alias("usual"))
+    member = checked.select("x", "c", kind.alias("class")).join(roots.select(F.col("node").alias("x"), "root"), "x", "left")
+    member = cut(member.select("x", "c", "class", F.coalesce("root", "x").alias("root")))
+    by_root = member.groupBy("c", "root").agg(F.count("*").alias("n"), F.collect_set("class").alias("classes"))
+    open_ = by_root.groupBy("c").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main"), F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes")).where("roots > 1")
+    member = member.join(cut(open_), "c").select("x", "c", "root", "class", "classes", (F.col("root") != F.col("main")).alias("minor"))
+    differ = cut(checked.select("x", "c", "need", "nc", "d").join(member, ["x", "c"]))
+
+    usual = differ.select("c", "d").mapInArrow(_usual_tokens(), "c bigint, token bigint").groupBy("c").agg(F.collect_set("token").alias("usual"))
     last = F.coalesce("usual", F.array().cast("array<bigint>"))
-    differ = differ.join(usual, "c", "left").withColumn("d", F.concat(F.array_except("d", last), F.array_intersect("d", last)))
-    least = F.greatest(F.lit(1), F.ceil((F.col("need") + edge + base) / whole))
-    prefix = (F.size("d") - least + 1).cast("int")
-    each = differ.select("x", "c", "root", "class", "nc", "need", "d", F.explode("classes").alias("partner")).withColumn("prefix", prefix).where("prefix > 0")
-    token = each.select("x", "c", "root", "class", "nc", "need", F.size("d").alias("size"), F.least("class", "partner").alias("low"), F.greatest("class", "partner").alias("high"), F.posexplode(F.slice("d", F.lit(1), F.col("prefix"))).alias("at", "token"))
+    ordered = differ.join(cut(usual), "c", "left").withColumn("d", F.concat(F.array_except("d", last), F.array_intersect("d", last)))
+    least = F.greatest(F.lit(1), F.ceil((need + edge + base) / whole))
+    each = ordered.withColumn("partner", F.explode("classes")).withColumn("prefix", (F.size("d") - least + 1).cast("int")).where("prefix > 0")
+    own = ["x", "c", "root", "minor", "class", "need", "nc"]
+    token = each.select(*own, F.size("d").alias("size"), F.least("class", "partner").alias("low"), F.greatest("class", "partner").alias("high"), F.posexplode(F.slice("d", F.lit(1), F.col("prefix"))).alias("at", "token"))
+    token = cut(token.select(*own, "low", "high", "token", (F.col("size") - F.col("at")).alias("left")))
     key = ["c", "token", "low", "high"]
     shared = token.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*key)
-    token = token.join(shared, key, "left_semi").withColumn("left", F.col("size") - F.col("at"))
-    other = token.select(*key, F.col("x").alias("y"), F.col("root").alias("its_root"), F.col("class").alias("its_class"), F.col("need").alias("its_need"), F.col("left").alias("its_left"))
+    token = token.join(shared, key, "left_semi")
+    other = token.select(*key, *[F.col(x).alias(f"its_{x}") for x in ("x", "root", "minor", "class", "need", "left")])
     # the first common element of a link leaves room for all that it needs
-    room = F.least("left", "its_left") * whole >= F.col("need") + F.col("its_need") + base
-    pair = token.join(other, key).where((F.col("root") < F.col("its_root")) & (F.col("class") + F.col("its_class") == F.col("low") + F.col("high")) & room)
-    return pair.select("x", F.col("y").alias("c")).distinct()
+    wanted = need + F.col("its_need") + base
+    room = F.least("left", "its_left") * whole >= wanted
+    once = ~F.col("its_minor") | (F.col("x") < F.col("its_x"))
+    pair = token.where("minor").join(other, key).where((F.col("root") != F.col("its_root")) & once & (F.col("class") + F.col("its_class") == F.col("low") + F.col("high")) & room)
+    pair = cut(pair.groupBy("x", F.col("its_x").alias("y")).agg(F.min("c").alias("c")))
+    y = differ.select(F.col("x").alias("y"), "c", F.col("need").alias("its_need"), F.col("d").alias("its_d"))
+    found = pair.join(differ.select("x", "c", "need", "nc", "d"), ["x", "c"]).join(y, ["y", "c"])
+    return found.where(F.size(F.array_intersect("d", "its_d")) * whole >= wanted).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, threshold: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -191,31 +220,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sk = cut(src.select("id", F.xxhash64("text").alias("text_hash"), _sketch(shingle_words, bands, rows)("text").alias("s")).select("id", "text_hash", "s.*"))
-    grouped = sk.where("n > 0").groupBy("key").agg(F.min("id").alias("min_id"), F.first("bands").alias("bands"))
-    nodes = cut(grouped.withColumn("nid", F.monotonically_increasing_id()))
-
-    entries = nodes.select("nid", F.explode("bands").alias("h"))
-    crowded = entries.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    met = cut(entries.join(crowded, "h"))
-    weight = met.groupBy("nid").agg(F.sum("size").alias("weight"))
-    weighed = met.join(weight, "nid").select("h", "nid", "weight")
-    centre = weighed.groupBy("h").agg(F.max(F.struct("weight", "nid")).alias("top")).select("h", F.col("top.nid").alias("c"))
-    stars = cut(weighed.select("h", F.col("nid").alias("x")).join(centre, "h").where("x <> c").select("x", "c").distinct())
-
-    wanted = stars.select(F.col("x").alias("nid")).union(stars.select("c")).distinct().join(nodes, "nid").select("nid", "key", "min_id")
-    text = src.join(wanted.select("min_id").distinct(), F.col("id").eqNullSafe(F.col("min_id")), "left_semi")
-    found = text.select(_sets(shingle_words)("text").alias("s")).select("s.*").join(wanted.select("nid", "key"), "key")
-    sets = cut(found.groupBy("nid").agg(F.first("items").alias("items")))
-
-    checked = cut(_verify(stars, sets, threshold))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    nodes = sk.where("n > 0").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("nid"), "key", F.col("first.id").alias("min_id"), F.col("first.text_hash").alias("text_hash"), "copies", "bands"))
+
+    # the centre of a bucket is its most copied member, ties by a hash, so that buckets of like members choose alike
+    rank = F.shiftleft(F.least("copies", F.lit((1 << 20) - 1)), 43) + F.shiftrightunsigned(F.xxhash64("key"), 21)
+    entries = nodes.select("nid", rank.alias("rank"), F.explode("bands").alias("h"))
+    buckets = cut(entries.groupBy("h").agg(F.count("*").alias("size"), F.max_by("nid", "rank").alias("c")).where("size > 1").select("h", "c"))
+    stars = cut(entries.select(F.col("nid").alias("x"), "h").join(buckets, "h").where("x <> c").select("x", "c").distinct())
+
+    wanted = stars.select(F.explode(F.array("x", "c")).alias("nid")).distinct().join(nodes.select("nid", "min_id", "text_hash"), "nid")
+    text = src.join(wanted, F.col("id").eqNullSafe(F.col("min_id")) & (F.xxhash64("text") == F.col("text_hash")))
+    sets = text.select("nid", _sets(shingle_words)("text").alias("items")).groupBy("nid").agg(F.first("items").alias("items"))
+
+    checked = cut(_compared(stars, sets, threshold))
     links = checked.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b"))
     roots = components(links, rounds=1)  # what it leaves apart is only compared in vain
-    more = _verify(_around_centres(checked, sets, roots, threshold), sets, threshold).where("linked")
-    roots = components(links.union(more.select("x", "c")))
+    roots = components(links.union(_around_centres(checked, roots, threshold)))
 
-    whole = nodes.select("nid", "key", "min_id").join(roots, nodes.nid == roots.node, "left").withColumn("root", F.coalesce("root", "nid"))
-    first = whole.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    label = whole.join(first, "root").select("key", "component_id")
+    linked = nodes.select("nid", "min_id").join(roots, F.col("nid") == F.col("node"))
+    linked = linked.join(linked.groupBy("root").agg(F.min("min_id").alias("first")), "root").select("nid", "first")
+    label = cut(nodes.select("nid", "key", "min_id").join(linked, "nid", "left").select("key", F.coalesce("first", "min_id").alias("component_id")))
     out = sk.select("id", "n", "key", "text_hash").join(label, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), "text_hash")
