@@ -15,7 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 PIECE_BYTES = 1 << 20
 _GOLD = 0x9E3779B97F4A7C15
@@ -23,9 +25,11 @@ _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a new temporary one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a new temporary one where that is unset, which only a local master can do with."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = "file://" + tempfile.mkdtemp(prefix="sensorloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -44,6 +48,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` and a struct of two longs without nulls that tells its rows apart and stays the same whenever they are read: where a row stands in its file. Rows that are not from files are written first."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        file, row = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    except AnalysisException:
+        own = f"_{uuid.uuid4().hex}"
+        docs = cut(docs.withColumn(own, F.monotonically_increasing_id()))
+        file, row = F.lit(0).cast("bigint"), F.col(own)
+    return docs, F.struct(file.alias("file"), row.alias("row"))
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Bound what goes to Python workers at once: texts may be long, so Spark's default of 10,000 rows a batch is too many. Smaller settings stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):

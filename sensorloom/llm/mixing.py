@@ -7,7 +7,7 @@ number of slots a source is less than one block from its share.
 
 Weights are exact fractions, as whole parts of their common denominator. When a source runs out, a new phase begins in the next slot with the
 weights of the others. Each slot depends on those before it, so one task places
-all blocks, one after the other, from the number of documents by source; documents are numbered within
+all blocks, one after the other, from the number of documents by source, of which there may be any number; documents are numbered within
 their source in hash buckets of bounded size, so a hot source is dealt out like others.
 """
 
@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 20_000
-MOST_SOURCES = 256
+from .common import cut, numbered
+
+BUCKET_ROWS = 5_000
 BATCH_BLOCKS = 50_000
 
 
@@ -103,19 +104,21 @@ def whole_parts(weights: Mapping[str, float]) -> dict[str, int]:
     return {s: int(w * whole) for s, w in exact.items()}
 
 
-def _schedule(counted: Mapping[str, int], parts: Mapping[str, int], block_docs: int):
-    """Batches of the slot and the first document's position of each block, worked out in a task as they are read."""
+def _schedule(weights: Mapping[str, float], exponent: float, block_docs: int):
+    """Batches of source and documents to the slot and the first document's position of each block, worked out in a task as they are read."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            pass
+        counted = {s: n for batch in batches for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
+        if not counted:
+            return
+        parts = whole_parts({s: weights.get(s, min(weights.values())) if weights else n**exponent for s, n in counted.items()})
         at, slot, turn = 0, 0, places({s: -(-n // block_docs) for s, n in counted.items()}, parts)
         while some := list(islice(turn, BATCH_BLOCKS)):
             rows = []
             for _, s, k in some:
                 rows.append((s, k, slot, at))
                 at, slot = at + min(block_docs, counted[s] - k * block_docs), slot + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["_s", "_block", "_slot", "_at"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["s", "block", "slot", "at"])
 
     return deal
 
@@ -124,37 +127,35 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str
     """``docs`` with the place of each document in the mix (``position``, from 0, without gaps) and its block's slot.
 
     weights: target weight of each source; without, a source of n documents weighs ``n ** exponent``.
-    Within a source documents follow a hash of their ids. No document is dropped or repeated: the
+    Within a source documents follow a hash of their ids and places in their files. No document is dropped or repeated: the
     targets hold as long as all sources last, then among those that are left.
 
-    Defined cases: a null source is a source of its own; a source without a given weight weighs as much as
-    the least of the given; null and repeated ids are placed like others (rows that agree in id
-    and hash follow each other in no fixed order); an empty table gives an empty result. Columns named like
-    the two new ones are replaced. More than ``MOST_SOURCES`` sources raise ``ValueError``.
+    Defined cases: a null source is a source of its own; a source without a given weight (or one of 0 or less) weighs as much as
+    the least of the given; null and repeated ids are spread and placed like others; an empty table gives an empty
+    result. Columns named like the two new ones are replaced; any other names are left alone.
     """
+    kept = [c for c in docs.columns if c not in (position, slot)]
+    rows, place = numbered(docs)
     named = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    spread = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("mix")), 33)
-    counted = {r["s"]: r["n"] for r in docs.groupBy(named.alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(counted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    # files written by Spark have a random name after their number
+    file = F.regexp_replace(F.col("_metadata.file_name"), "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "") if rows is docs else F.lit("")
+    spread = F.shiftrightunsigned(F.xxhash64(F.col(id_col), file, place["row"], F.lit("mix")), 33)
+    d = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), named.alias("s"), spread.alias("h"), place["row"].alias("row"))
+
+    counted = cut(d.groupBy("s").agg(F.count("*").alias("n")))
     given = {f"s{k}": w for k, w in (weights or {}).items() if w > 0}
-    wanted = {s: given.get(s, min(given.values())) if given else n**exponent for s, n in counted.items()}
-    parts = whole_parts(wanted) if wanted else {}
-    spark = docs.sparkSession
-    placed = spark.range(1, numPartitions=1).mapInArrow(_schedule(counted, parts, block_docs), "_s string, _block bigint, _slot bigint, _at bigint")
-
-    buckets = max(counted.values(), default=0) // BUCKET_ROWS + 1
-    d = docs.drop(position, slot).withColumn("_s", named).withColumn("_h", spread).withColumn("_bucket", F.shiftright(F.col("_h") * buckets, 31).cast("int"))
-    keys = docs.select(named.alias("_s"), F.shiftright(spread * buckets, 31).cast("int").alias("_bucket"))
-    sizes = keys.groupBy("_s", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_s", "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = counted.repartition(1).mapInArrow(_schedule(given, exponent, block_docs), "s string, block bigint, slot bigint, at bigint")
+
+    buckets = (counted.agg(F.max("n")).first()[0] or 0) // BUCKET_ROWS + 1
+    d = d.withColumn("bucket", F.shiftright(F.col("h") * buckets, 31).cast("int"))
+    sizes = d.groupBy("s", "bucket").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("s", "bucket", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     # the blocks of a bucket travel as one array, so documents are not shuffled again to meet them
     block = lambda rank: F.floor(rank / block_docs)
-    own = offsets.select("_s", "_bucket", "_before", F.explode(F.sequence(block(F.col("_before")), block(F.col("_before") + F.col("_n") - 1))).alias("_block"))
-    own = own.join(placed, ["_s", "_block"]).groupBy("_s", "_bucket").agg(F.min("_before").alias("_before"), F.sort_array(F.collect_list(F.struct("_block", "_slot", "_at"))).alias("_places"))
-    d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_bucket").orderBy("_h", id_col))).join(own, ["_s", "_bucket"])
-    rank = F.col("_before") + F.col("_rank") - 1
-    place = F.get("_places", (block(rank) - block(F.col("_before"))).cast("int"))
-    d = d.withColumn(slot, place["_slot"]).withColumn(position, place["_at"] + rank % block_docs)
-    return d.select(*[c for c in docs.columns if c not in (position, slot)], position, slot)
+    own = offsets.select("s", "bucket", "before", F.explode(F.sequence(block(F.col("before")), block(F.col("before") + F.col("n") - 1))).alias("block"))
+    own = own.join(placed, ["s", "block"]).groupBy("s", "bucket").agg(F.min("before").alias("before"), F.sort_array(F.collect_list(F.struct("block", "slot", "at"))).alias("places"))
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("s", "bucket").orderBy("h", "row"))).join(own, ["s", "bucket"])
+    rank = F.col("before") + F.col("rank") - 1
+    found = F.get("places", (block(rank) - block(F.col("before"))).cast("int"))
+    return d.select("doc.*", (found["at"] + rank % block_docs).alias(position), found["slot"].alias(slot))

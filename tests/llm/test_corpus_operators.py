@@ -156,6 +156,37 @@ def test_mix_keeps_weights_until_a_source_runs_out(spark):
     assert all(abs(sum(of[i] == "a" for i in range(n + 1)) - (n + 1) / 2) < 1 for n in range(last + 1))
 
 
+def test_mix_follows_given_weights_in_every_prefix(spark):
+    for sizes, weights in (({"a": 64, "b": 64}, {"a": 0.9, "b": 0.1}), ({"a": 5000, "b": 1200, "c": 900, "d": 30}, {"a": 2.718281828, "b": 1.0, "c": 0.7, "d": 0.0007})):
+        rows = [(len(s) + i, s) for s, n in sizes.items() for i in range(n)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), weights, block_docs=1).orderBy("slot").select("source").collect()
+        used, total = Counter(), sum(weights.values())
+        for n, (s,) in enumerate(got, 1):
+            used[s] += 1
+            assert all(abs(used[x] - n * w / total) < 1 for x, w in weights.items()), n
+            if used[s] == sizes[s]:
+                break
+        assert Counter(r.source for r in got) == Counter(sizes)
+
+
+def test_mix_of_many_sources_clashing_names_and_null_ids(spark):
+    rows = [(i, f"s{i % 400}", "mine") for i in range(1200)] + [(None, "hot", "mine")] * 900
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, h string").withColumns({c: F.lit("mine") for c in ("s", "row", "doc", "_h", "bucket", "rank", "places")})
+    for got in (mixing.mix(df.repartition(3)).toPandas(),):
+        assert sorted(got.position) == list(range(len(rows)))
+        assert (got[["h", "s", "row", "doc", "_h", "bucket", "rank", "places"]] == "mine").all().all()
+        assert Counter(got.source) == Counter(s for _, s, _ in rows)
+
+
+def test_mix_spreads_null_ids_over_buckets(spark, tmp_path):
+    df = spark.range(30_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("hot").alias("source"))
+    df.write.parquet(f"{tmp_path}/nulls")
+    got = mixing.mix(spark.read.parquet(f"{tmp_path}/nulls"))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 30_000 and got.select("position").distinct().count() == 30_000
+    assert mixing.mix(got.select("doc_id", "source")).select("position").distinct().count() == 30_000
+
+
 def test_mix_weights_are_not_rounded():
     n = {"hot": 1_000_000} | {f"s{i}": 105_263 for i in range(19)}
     for n, weights in ((n, {s: x**0.5 for s, x in n.items()}), ({"a": 160_000, "b": 1600}, {"a": 0.9999, "b": 0.0001})):
@@ -243,6 +274,20 @@ def test_archive_errors():
         list(archives.members(gzip.compress(good)[:-5]))
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, tmp_path):
+    import corpus_pipeline as P
+
+    same, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))
+    rows = [(4, same), (4, same), (None, near), (None, same), (None, "quite other words stand here alone"), (None, "quite other words stand here alone"), (6, None), (7, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("key", F.lit("k")).withColumn("doc", F.lit("d"))
+    df.repartition(3).write.parquet(f"{tmp_path}/rows")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/rows")):
+        out = P.drop_near_duplicates(spark, docs, "")
+        assert out.columns == df.columns
+        assert sorted(((r.doc_id, r.text, r.key, r.doc) for r in out.collect()), key=str) == sorted([(4, same, "k", "d"), (None, rows[4][1], "k", "d"), (6, None, "k", "d"), (7, "", "k", "d"), (None, None, "k", "d")], key=str)
+    assert P.identify_language(spark, df.withColumn("lang", F.lit(None).cast("string")), "").count() == 6
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
