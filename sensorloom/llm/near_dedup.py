@@ -128,15 +128,15 @@ def _sets(shingle_words: int):
 
 
 def _usual_tokens(share: int = 8, least: int = 16):
-    """Batches of ``c, d`` to ``c, token``: the tokens in an eighth or more of a batch's differences from one centre, of which it has 16 or more. Memory is that of a batch."""
+    """Batches of ``c, salt, d`` to ``c, token``: the tokens in an eighth or more of the differences of a batch's rows with one ``c`` and ``salt``, where these are 16 or more. Memory is that of a batch."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            centre, of = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-            around = np.bincount(of, minlength=len(centre))
-            d = batch.column(1)
-            size = np.diff(d.offsets.to_numpy())
-            of, token = np.repeat(of, size), d.flatten().to_numpy(zero_copy_only=False)
+            centre, salt = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            group = np.cumsum(np.concatenate([[False], (centre[1:] != centre[:-1]) | (salt[1:] != salt[:-1])])[: len(centre)])
+            around = np.bincount(group) if len(group) else np.zeros(0, np.int64)
+            d = batch.column(2)
+            of, token = np.repeat(group, np.diff(d.offsets.to_numpy())), d.flatten().to_numpy(zero_copy_only=False)
             large = around[of] >= least
             of, token = of[large], token[large]
             order = np.lexsort((token, of))
@@ -144,7 +144,7 @@ def _usual_tokens(share: int = 8, least: int = 16):
             first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (token[1:] != token[:-1])])) if len(of) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(of)))
             first = first[times * share >= around[of[first]]]
-            yield pa.RecordBatch.from_arrays([pa.array(centre[of[first]], pa.int64()), pa.array(token[first], pa.int64())], ["c", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(centre[np.searchsorted(group, of[first])], pa.int64()), pa.array(token[first], pa.int64())], ["c", "token"])
 
     return task
 
@@ -175,12 +175,14 @@ def _around_centres(checked: DataFrame, roots: DataFrame, threshold: int) -> Dat
     edge = F.when(F.col("partner") == 0, -base).when(F.col("partner") == 1, 0).when(F.col("partner") == 2, base).otherwise((5 * base / 2).cast("long"))
     member = checked.select("x", "c", kind.alias("class")).join(roots.select(F.col("node").alias("x"), "root"), "x", "left")
     member = cut(member.select("x", "c", "class", F.coalesce("root", "x").alias("root")))
+    # members of a large group lie in parts of some hundreds, in which frequent elements can be told
     by_root = member.groupBy("c", "root").agg(F.count("*").alias("n"), F.collect_set("class").alias("classes"))
-    open_ = by_root.groupBy("c").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main"), F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes")).where("roots > 1")
-    member = member.join(cut(open_), "c").select("x", "c", "root", "class", "classes", (F.col("root") != F.col("main")).alias("minor"))
-    differ = cut(checked.select("x", "c", "need", "nc", "d").join(member, ["x", "c"]))
+    open_ = by_root.groupBy("c").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main"), F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes"), F.sum("n").alias("around")).where("roots > 1")
+    member = member.join(cut(open_), "c").select("x", "c", "root", "class", "classes", (F.col("root") != F.col("main")).alias("minor"), F.pmod(F.xxhash64("x"), F.floor(F.col("around") / 256) + 1).alias("salt"))
+    differ = checked.select("x", "c", "need", "nc", "d").join(member, ["x", "c"])
+    differ = cut(differ.repartition("c", "salt").sortWithinPartitions("c", "salt"))
 
-    usual = differ.select("c", "d").mapInArrow(_usual_tokens(), "c bigint, token bigint").groupBy("c").agg(F.collect_set("token").alias("usual"))
+    usual = differ.select("c", "salt", "d").mapInArrow(_usual_tokens(), "c bigint, token bigint").groupBy("c").agg(F.collect_set("token").alias("usual"))
     last = F.coalesce("usual", F.array().cast("array<bigint>"))
     ordered = differ.join(cut(usual), "c", "left").withColumn("d", F.concat(F.array_except("d", last), F.array_intersect("d", last)))
     least = F.greatest(F.lit(1), F.ceil((need + edge + base) / whole))
@@ -232,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = stars.select(F.explode(F.array("x", "c")).alias("nid")).distinct().join(nodes.select("nid", "min_id", "text_hash"), "nid")
     text = src.join(wanted, F.col("id").eqNullSafe(F.col("min_id")) & (F.xxhash64("text") == F.col("text_hash")))
-    sets = text.select("nid", _sets(shingle_words)("text").alias("items")).groupBy("nid").agg(F.first("items").alias("items"))
+    sets = cut(text.select("nid", _sets(shingle_words)("text").alias("items")).groupBy("nid").agg(F.first("items").alias("items")))
 
     checked = cut(_compared(stars, sets, threshold))
     links = checked.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b"))
