@@ -5,7 +5,8 @@ by a keyed permutation of all values of the same format: an alternating Feistel
 network over two halves, whose moduli are the products of the alphabets
 of their places. So a card number becomes another card number with a right check
 digit, a date another date, and equal values become equal pseudonyms in every
-document, without any table of values and without a shuffle.
+document, without any table of values and without a shuffle. What is permuted is the
+value, not its spelling: a date, phone number, card or mail address has one pseudonym however it is written.
 """
 
 from __future__ import annotations
@@ -86,21 +87,39 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+#: The numbers that card schemes issue, by number of digits.
+_ISSUED = (
+    (r"4", (13, 16, 19)),
+    (r"5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720", (16,)),
+    (r"3[47]", (15,)),
+    (r"36|38|39|30[0-5]|3095", (14, 16, 19)),
+    (r"6011|64[4-9]|65", (16, 19)),
+    (r"352[89]|35[3-8]", (16, 19)),
+    (r"62", (16, 17, 18, 19)),
+    (r"5018|5020|5038|5893|6304|6759|676[1-3]", (13, 14, 15, 16, 17, 18, 19)),
+)
+_BY_LENGTH = {n: re.compile("|".join(p for p, sizes in _ISSUED if n in sizes)) for n in range(13, 20)}
+#: Country calling codes of one and two digits; all others have three.
+_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+
+
 def _card(key: bytes, text: str) -> str | None:
     d = _digits(text)
-    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
+    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or not _BY_LENGTH[len(d)].match(d):
         return None
-    own = permute_symbols(key, b"card", d[:-1], _ALPHABETS[:1])
-    return _refill(text, own + luhn_digit(own))
+    own = d[:-1]
+    while True:  # along the cycle, back to numbers that are issued
+        own = permute_symbols(key, b"card", own, _ALPHABETS[:1])
+        if _BY_LENGTH[len(d)].match(own):
+            return _refill(text, own + luhn_digit(own))
 
 
 def _phone(key: bytes, text: str) -> str | None:
     d = _digits(text)
     if not 9 <= len(d) <= 15:
         return None
-    code = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
-    n = len(code[1]) if code else 0
-    return _refill(text, d[:n] + permute_symbols(key, b"phone", d[n:], _ALPHABETS[:1]))
+    code = _CODES.match(d)[0] if text.startswith("+") else ""
+    return _refill(text, code + permute_symbols(key, b"phone" + code.encode(), d[len(code) :], _ALPHABETS[:1]))
 
 
 def _ssn(key: bytes, text: str) -> str | None:
@@ -145,11 +164,10 @@ def _date(key: bytes, text: str) -> str | None:
     number = day.toordinal() - _DAY0
     if not 0 <= number < _DAYS:
         return None
-    late = not year_first and sep != "." and day_first  # told from month-first dates by a day above 12
-    while True:
-        number = permute_below(key, b"date" + (b"l" if late else b""), number, _DAYS)
+    while True:  # a day above 12, which tells day-first dates from month-first ones, stays above 12
+        number = permute_below(key, b"date", number, _DAYS)
         new = dt.date.fromordinal(_DAY0 + number)
-        if not late or new.day > 12:
+        if (new.day > 12) == (day.day > 12):
             break
     parts = (new.year, new.month, new.day) if year_first else (new.day, new.month, new.year) if day_first else (new.month, new.day, new.year)
     return sep.join(str(p).zfill(len(x)) for p, x in zip(parts, text.split(sep), strict=True))
@@ -157,7 +175,8 @@ def _date(key: bytes, text: str) -> str | None:
 
 def _email(key: bytes, text: str) -> str:
     local, at, domain = text.rpartition("@")
-    return permute_symbols(key, b"email" + domain.lower().encode(), local, _ALPHABETS) + at + domain
+    new = permute_symbols(key, b"email" + domain.lower().encode(), local.lower(), _ALPHABETS)
+    return "".join(n.upper() if c.isupper() else n for c, n in zip(local, new, strict=True)) + at + domain
 
 
 def _secret(key: bytes, text: str) -> str:
@@ -175,22 +194,32 @@ KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
     ("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", _iban),
     ("secret", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", lambda key, text: "AKIA" + _secret(key, text[4:])),
     ("secret", r"(?<==)(?i:(?<=password=))[A-Za-z0-9]{8,128}", _secret),
-    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])", _hex),
+    ("labelled secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])", _hex),
     ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)", _ip),
     ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-])", _date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", _card),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)", _phone),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])|\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]\d{3,4}(?!\d)", _phone),
     ("phone", r"(?<![\w+])\+\d{9,15}(?!\d)", _phone),
+    ("phone", r"(?<![\w+])(?:\d{3}-\d{3}-\d{4}|\d{3} \d{3} \d{4}|\d{3}\.\d{3}\.\d{4})(?!\d)", _phone),
+    ("labelled phone", r"(?<![\w+])\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?!\d)", _phone),
 )
+#: What must stand before a value whose form alone says too little (a checksum is hexadecimal, a count has groups of digits).
+_LABELS = {
+    "labelled secret": re.compile(r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|auth\w*|bearer|credentials?|signature)\W{0,6}$"),
+    "labelled phone": re.compile(r"(?i)(?:tel(?:efono|efon|ephone|éfono|éphone)?|phone|mobile?|fax|call|ruf|handy)\W{0,4}$"),
+}
 _PATTERN = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p, _f) in enumerate(KINDS)))
-
-
 _PARTS = [re.compile(p) for _, p, _f in KINDS]
 _GROUPED = ("iban", "card")
 _CARD_SHAPED = re.compile(r"\d{4}([ -])(?:\d{4}\1\d{4}\1\d{1,4}|\d{6}\1\d{4,5})")
 
 
+def _allowed(i: int, text: str, at: int) -> bool:
+    label = _LABELS.get(KINDS[i][0])
+    return label is None or label.search(text, max(0, at - 40), at) is not None
+
+
 def _fit(key: bytes, i: int, text: str) -> tuple[str, str, int] | None:
     """Kind, replacement and length of the value that ``text``, a match of kind ``i``, is or starts with; of cards and IBANs, whose patterns go on over blanks, shorter ones end with a group."""
     kind, _, replace = KINDS[i]
@@ -199,7 +228,7 @@ def _fit(key: bytes, i: int, text: str) -> tuple[str, str, int] | None:
         if (new := replace(key, text[:end])) is not None:
             return kind, new, end
     for j in range(i + 1, len(KINDS)):  # another kind may still be in it
-        if _PARTS[j].fullmatch(text) and (new := KINDS[j][2](key, text)) is not None:
+        if KINDS[j][0] not in _LABELS and _PARTS[j].fullmatch(text) and (new := KINDS[j][2](key, text)) is not None:
             return KINDS[j][0], new, len(text)
     return None
 
@@ -220,7 +249,7 @@ def _later_card(key: bytes, i: int, text: str, m: re.Match, regular: bool) -> in
 
 def _phone_before(key: bytes, i: int, text: str, start: int, limit: int) -> tuple[str, str, int] | None:
     for j in range(i + 1, len(KINDS)):
-        if (own := _PARTS[j].match(text, start, limit)) and (new := KINDS[j][2](key, own[0])) is not None:
+        if (own := _PARTS[j].match(text, start, limit)) and _allowed(j, text, start) and (new := KINDS[j][2](key, own[0])) is not None:
             return KINDS[j][0], new, len(own[0])
     return None
 
@@ -236,8 +265,8 @@ def pseudonymise_text(key: bytes, text: str) -> tuple[str, list[dict]]:
     while m := _PATTERN.search(text, pos):
         i = int(m.lastgroup[1:])
         kind = KINDS[i][0]
-        if kind == "phone" and m.end() <= whole:
-            pos = m.end()
+        if "phone" in kind and m.end() <= whole or not _allowed(i, text, m.start()):
+            pos = m.end() if kind != "labelled phone" else m.start() + 1
             continue
         hit = _fit(key, i, m[0])
         if kind == "card":
@@ -255,7 +284,7 @@ def pseudonymise_text(key: bytes, text: str) -> tuple[str, list[dict]]:
             pos = m.start() + group.start() if group else m.end()
             continue
         kind, new, length = hit
-        found.append({"kind": kind, "first": m.start(), "last": m.start() + length})
+        found.append({"kind": kind.removeprefix("labelled "), "first": m.start(), "last": m.start() + length})
         out += [text[done : m.start()], new]
         done = pos = m.start() + length
     return "".join([*out, text[done:]]), found

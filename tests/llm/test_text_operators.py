@@ -225,12 +225,47 @@ def test_pseudonyms_of_values_beside_others():
     assert pii.pseudonymise_text(key, "PassWord=Hunter2hunter")[1] == [{"kind": "secret", "first": 9, "last": 22}]
 
 
+def test_pseudonyms_follow_values_not_spellings():
+    swap = lambda text: pii.pseudonymise_text(b"k", text)[0]
+    y, m, d = swap("1999-12-31").split("-")
+    assert swap("31/12/1999") == f"{d}/{m}/{y}" and swap("12/31/1999") == f"{m}/{d}/{y}" and swap("31.12.1999") == f"{d}.{m}.{y}"
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(swap("+17435553824")) == digits(swap("+1 743-555-3824")) == digits(swap("+1 (743) 555-3824"))
+    assert swap("John@x.org").lower() == swap("john@x.org") and swap("John@x.org")[0].isupper()
+    for clean in ("population 123 456 789 people", "ids 2020 1234 5678", "md5 9e107d9d372bb6826bd81d3542a419d6 ok", "order 7536784127813050", "build 000.123.456"):
+        assert swap(clean) == clean
+    for held in ("tel: 030 1234 5678", "key=9e107d9d372bb6826bd81d3542a419d6", "call 555-123-4567"):
+        assert swap(held) != held
+
+
+def test_pseudonyms_of_a_whole_table(spark):
+    from sensorloom.llm.queries import op8_pii_pseudonyms
+
+    plain = re.compile(r"[\w.+-]+@[\w.-]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<=oken = \")[0-9a-f]{40}|(?<!\d)4\d{15}(?!\d)|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])")
+    before = {r.doc_id: r.text for r in sf(spark).select("doc_id", "text").collect()}
+    after = {r.doc_id: r for r in op8_pii_pseudonyms(spark, "/root/testdata/sf0.001").collect()}
+    assert before.keys() == after.keys()
+    new: dict = {}
+    for i, text in before.items():
+        spans = [m.span() for m in plain.finditer(text or "")]
+        spans = [(a, b) for a, b in spans if not re.fullmatch(r"4\d{15}", text[a:b]) or pii.luhn_digit(text[a : b - 1]) == text[b - 1]]
+        if not re.search(r"\d", text or ""):
+            assert after[i].text == text and after[i].n_found == 0
+        for a, b in spans:
+            if len(after[i].text) == len(text):
+                assert after[i].text[a:b] != text[a:b] and new.setdefault(text[a:b], after[i].text[a:b]) == after[i].text[a:b]
+            assert text[a:b] not in after[i].text or "." in text[a:b]
+    assert len(set(new.values())) == len(new) >= 10
+
+
 def test_permutations_are_one_to_one():
     for n in (10, 97, 366):
         assert sorted(pii.permute_below(b"k", b"t", i, n) for i in range(n)) == list(range(n))
     assert len({pii.permute_symbols(b"k", b"t", f"{i:03d}", ("0123456789",)) for i in range(1000)}) == 1000
     cards = {pii._card(b"k", f"400000000000{i:03d}" + pii.luhn_digit(f"400000000000{i:03d}")) for i in range(500)}
     assert len(cards) == 500
+    days = {pii._date(b"k", f"2024-01-{d:02d}") for d in range(1, 32)}
+    assert len(days) == 31
 
 
 def test_tokens_round_trip(spark, docs, tmp_path):
