@@ -1,15 +1,16 @@
 """Legacy web archives: ARC files are parsed and converted to equivalent WARC files.
 
-An ARC file is a chain of records, each in a gzip member of its own: a header
-line, the declared number of bytes, a line feed. The first record (``filedesc://``)
-names the version; its second line tells the fields of the header lines:
+An ARC file is a chain of records: a header line, the declared number of bytes, a
+line feed. It is plain, or compressed as a whole or with a gzip member for each record. The
+first record (``filedesc://``) names the version, which tells the fields of the header lines:
 
 * version 1: ``URL IP-address Archive-date Content-type Archive-length``
 * version 2: ``URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length``
 
 The converter reads headers by the version's fields and bodies by the declared
 lengths, and writes WARC/1.1 records with synthesised identifiers (a name-based UUID of
-the file and the record's number in it), ISO timestamps, types and SHA-1 digests.
+the file and the record's number in it), ISO timestamps, types and SHA-1 digests:
+a body with an HTTP header is a response, any other a resource of the ARC's content type.
 The first record of equal payloads is a ``response``, the others are ``revisit``
 records that refer to it. Files are bounded in size and written straight from the tasks to a
 folder that all executors share, under a temporary name first, so that a task
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,11 +34,16 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, new_folder
 
-V1_FIELDS = ("url", "ip", "date", "type", "length")
-V2_FIELDS = ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "file", "length")
+# URLs and content types of old crawlers may hold blanks, so the date and the fields at the end tell where they stop
+_HEADERS = {
+    1: re.compile(rb"(?P<url>.+?) (?P<ip>\S+) (?P<date>\d{8,14}) (?P<type>.+) (?P<length>\d+)"),
+    2: re.compile(rb"(?P<url>.+?) (?P<ip>\S+) (?P<date>\d{8,14}) (?P<type>.+) (?P<status>\S+) (?P<checksum>\S+) (?P<location>\S+) (?P<offset>\S+) (?P<file>\S+) (?P<length>\d+)"),
+}
 _NAMES = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 FILE_BYTES = 16 << 20
-_ID_HEADER = b"X-Page-Id: "
+DATE = "20240101000000"
+_ID_HEADER = b"X-Sensorloom-Page-Id: "
+_OWN_ID = re.compile(rb"\r\nX-Sensorloom-Page-Id: (-?\d{1,19})\r\n")
 
 
 def digest(payload: bytes) -> str:
@@ -95,8 +102,8 @@ def arc_header(version: int, url: bytes, length: int, file: str, offset: int, ch
     return b" ".join([*head, b"%d" % length]) + b"\n"
 
 
-def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 1, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """ARC files of the pages as HTTP responses; ``file, records`` of each file written. The result must be consumed once."""
+def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 1, file_bytes: int = FILE_BYTES, date_col: str | None = None) -> DataFrame:
+    """ARC files of the pages as HTTP responses; ``file, records`` of each file written. The result must be consumed once. Pages without a date (``date_col``, a timestamp) are of ``DATE``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, records, done = _Files(folder, ".arc.gz", file_bytes), 0, []
@@ -108,14 +115,14 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
             records = 0
 
         for batch in batches:
-            for page, url, html in zip(*[batch.column(i) for i in range(3)], strict=True):
+            for page, url, html, date in zip(*[batch.column(i) for i in range(4)], strict=True):
                 if not files.parts:
                     text = b"%d 0 sensorloom\n%s\n" % (version, _NAMES[version])
                     files.add(gzip.compress(arc_header(version, b"filedesc://" + files.name.encode(), len(text), files.name, 0, "-", b"text/plain") + text + b"\n", 1, mtime=0))
                 number = page.as_py()
                 payload = (html.as_py() or "").encode()
                 body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (b"" if number is None else _ID_HEADER + b"%d\r\n" % number) + b"\r\n" + payload
-                head = arc_header(version, _field(url.as_py()), len(body), files.name, files.size, hashlib.md5(body).hexdigest() if version == 2 else "-")
+                head = arc_header(version, _field(url.as_py()), len(body), files.name, files.size, hashlib.md5(body).hexdigest() if version == 2 else "-", date=date.as_py().encode())
                 files.add(gzip.compress(head + body + b"\n", 1, mtime=0))
                 records += 1
                 if files.full():
@@ -123,7 +130,9 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.int64())], ["file", "records"])
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(task, "file string, records bigint")
+    date = F.date_format(date_col, "yyyyMMddHHmmss") if date_col else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(date, F.lit(DATE)).alias("date"))
+    return rows.mapInArrow(task, "file string, records bigint")
 
 
 def members(data: bytes) -> Iterator[bytes]:
@@ -143,20 +152,41 @@ def members(data: bytes) -> Iterator[bytes]:
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, bytes], bytes]]:
     """Header fields and body of each record after the version block. Raises ``ValueError`` for headers or lengths that don't fit."""
-    fields: tuple[str, ...] = V1_FIELDS
-    for number, record in enumerate(members(data)):
-        line, _, rest = record.partition(b"\n")
-        if number == 0 and line.startswith(b"filedesc://"):
-            fields = V2_FIELDS if rest.split(b" ", 1)[0] == b"2" else V1_FIELDS
-            continue
-        values = line.rstrip(b"\r").split(b" ")
-        if len(values) != len(fields):
-            raise ValueError(f"{len(values)} fields in an ARC header of {len(fields)}")
-        head = dict(zip(fields, values, strict=True))
-        length = int(head["length"])
-        if len(rest) < length:
+    more = members(data) if data[:2] == b"\x1f\x8b" else iter([data])
+    have, at, header, first = b"", 0, _HEADERS[1], True
+
+    def reach(end: int) -> bool:
+        nonlocal have, at
+        while len(have) - at < end:
+            piece = next(more, None)
+            if piece is None:
+                return False
+            have, at = have[at:] + piece, 0
+        return True
+
+    while True:
+        while reach(1) and have[at] in b"\r\n":
+            at += 1
+        if not reach(1):
+            return
+        while (end_of := have.find(b"\n", at)) < 0:
+            if not reach(len(have) - at + 1):
+                raise ValueError("an ARC header line is cut off")
+        line = have[at:end_of].rstrip(b"\r")
+        at = end_of + 1
+        version_block = first and line.startswith(b"filedesc://")
+        fields = (_HEADERS[1].fullmatch(line) or _HEADERS[2].fullmatch(line)) if version_block else header.fullmatch(line)
+        if fields is None:
+            raise ValueError(f"not an ARC header line: {line[:200]!r}")
+        length = int(fields["length"])
+        if not reach(length):
             raise ValueError("an ARC record is shorter than declared")
-        yield head, rest[:length]
+        body, at = have[at : at + length], at + length
+        if version_block:
+            header = _HEADERS[2 if body.startswith(b"2") else 1]
+        else:
+            yield fields.groupdict(), body
+        first = False
 
 
 def http_parts(body: bytes) -> tuple[bytes, bytes]:
@@ -169,25 +199,25 @@ def http_parts(body: bytes) -> tuple[bytes, bytes]:
 
 
 def _page_id(head: bytes) -> int | None:
-    at = head.find(_ID_HEADER)
-    return None if at < 0 else int(head[at + len(_ID_HEADER) :].split(b"\r\n", 1)[0])
+    own = _OWN_ID.search(head)
+    return int(own[1]) if own and -(1 << 63) <= int(own[1]) < 1 << 63 else None
 
 
-_RECORD = "file string, number bigint, page_id bigint, url string, date string, payload_bytes bigint, payload_digest string, body binary"
+_RECORD = "file string, number bigint, page_id bigint, url string, date string, payload_bytes bigint, payload_digest string, kind string, body binary"
 
 
 def read_arc(spark: SparkSession, folder: str, with_body: bool = True) -> DataFrame:
-    """One row for each record of the ARC files: file, number in it, id, URL, date, payload length and digest, and the HTTP message (deflated)."""
+    """One row for each record of the ARC files: file, number in it, id, URL, date, payload length and digest, content type of a body without an HTTP header, and the body (deflated). A file is read whole by one task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file", pa.string()), ("number", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("body", pa.binary())])
+        schema = pa.schema([("file", pa.string()), ("number", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("kind", pa.string()), ("body", pa.binary())])
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows, size, name = [], 0, path.as_py().rpartition("/")[2]
                 for number, (head, body) in enumerate(parse_arc(content.as_py())):
                     http, payload = http_parts(body)
                     packed = zlib.compress(body, 1) if with_body else None
-                    rows.append((name, number, _page_id(http), head["url"].decode("utf-8", "replace"), head["date"].decode(), len(payload), digest(payload), packed))
+                    rows.append((name, number, _page_id(http), head["url"].decode("utf-8", "replace"), head["date"].decode(), len(payload), digest(payload), None if http else head["type"].decode("utf-8", "replace"), packed))
                     size += len(packed or b"")
                     if size > FILE_BYTES // 4 or len(rows) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -195,7 +225,7 @@ def read_arc(spark: SparkSession, folder: str, with_body: bool = True) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc.gz").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{*.arc,*.arc.gz}").load(folder)
     return files.select("path", "content").mapInArrow(task, _RECORD)
 
 
@@ -209,8 +239,8 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(kind: str, rid: str, url: str, date: str, payload_digest: str, block: bytes, refers: str | None = None, refers_page: int | None = None, page_id: int | None = None, payload_bytes: int = 0) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {iso_date(date)}", f"WARC-Target-URI: {url}", "Content-Type: application/http; msgtype=response"]
+def warc_record(kind: str, rid: str, url: str, date: str, payload_digest: str, block: bytes, refers: str | None = None, refers_page: int | None = None, page_id: int | None = None, payload_bytes: int = 0, content: str = "application/http; msgtype=response") -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {iso_date(date)}", f"WARC-Target-URI: {url}", f"Content-Type: {content}"]
     head += [f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Payload-Length: {payload_bytes}"]
     head += [f"X-Page-Id: {page_id}"] if page_id is not None else []
     if kind == "revisit":
@@ -230,22 +260,25 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, min_bytes: i
     same = ["payload_digest", "payload_bytes"]
     keys = read_arc(spark, arc_folder, with_body=False).where(F.col("payload_bytes") >= min_bytes).select(*same, "page_id", "file", "number")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "number")
+    # written first, so that Spark can split the records of a very common payload where they meet it
     first = keys.groupBy(*same).agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select(*same, F.col("first.page_id").alias("to_page"), F.col("first.file").alias("to_file"), F.col("first.number").alias("to_number"))
-    revisit = cut(keys.join(first, same).where("file <> to_file or number <> to_number").select("file", "number", "to_page", "to_file", "to_number"))
-    rows = records.join(revisit, ["file", "number"], "left").select("file", "number", "page_id", "url", "date", "payload_bytes", "payload_digest", "body", "to_page", "to_file", "to_number")
+    revisit = cut(keys.join(cut(first), same).where("file <> to_file or number <> to_number").select("file", "number", "to_page", "to_file", "to_number"))
+    rows = records.join(revisit, ["file", "number"], "left").select("file", "number", "page_id", "url", "date", "payload_bytes", "payload_digest", "kind", "body", "to_page", "to_file", "to_number")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, count, done = _Files(warc_folder, ".warc.gz", file_bytes), 0, []
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
-                file, number, page, url, date, size, sha, packed, to_page, to_file, to_number = (x.as_py() for x in row)
+                file, number, page, url, date, size, sha, content, packed, to_page, to_file, to_number = (x.as_py() for x in row)
                 if not files.parts:
                     info = b"software: sensorloom\r\nformat: WARC File Format 1.1\r\n"
                     head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(files.name, -1)}\r\nWARC-Date: {iso_date('20240101')}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
                     files.add(gzip.compress(head.encode() + info + b"\r\n\r\n", 1, mtime=0))
                 body = zlib.decompress(packed)
                 rid = record_id(file, number)
-                if to_file is None:
+                if to_file is None and content is not None:
+                    record = warc_record("resource", rid, url, date, sha, body, page_id=page, payload_bytes=size, content=content)
+                elif to_file is None:
                     record = warc_record("response", rid, url, date, sha, body, page_id=page, payload_bytes=size)
                 else:
                     record = warc_record("revisit", rid, url, date, sha, http_parts(body)[0], record_id(to_file, to_number), to_page, page, size)
@@ -273,7 +306,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url, date`` of each response and revisit.
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url, date`` of each response, resource and revisit.
 
     Length and digest of a response are taken from the payload that was read and must be those
     declared; a revisit has those of its header.
@@ -287,8 +320,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 rows = []
                 for fields, block in parse_warc(content.as_py()):
                     kind, sha, size = fields["WARC-Type"], fields.get("WARC-Payload-Digest", "")[5:], int(fields.get("X-Payload-Length", 0))
-                    if kind == "response":
-                        payload = http_parts(block)[1]
+                    if kind in ("response", "resource"):
+                        payload = http_parts(block)[1] if kind == "response" else block
                         if (digest(payload), len(payload)) != (sha, size):
                             raise ValueError("a WARC payload differs from its digest")
                     elif kind != "revisit":
@@ -302,7 +335,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("content").mapInArrow(task, spec)
 
 
-def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, min_bytes: int = 0, version: int = 1, file_bytes: int = FILE_BYTES) -> DataFrame:
+def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, min_bytes: int = 0, version: int = 1, file_bytes: int = FILE_BYTES, date_col: str | None = None) -> DataFrame:
     """Pages to ARC files, these to WARC files, and what is read back from those: a row for each page.
 
     Defined cases: a null html is an empty payload; a null URL is written as ``-``; blanks in a URL
@@ -316,6 +349,6 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     for folder in (arc, warc):  # an empty table writes no file
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
-    cut(write_arc(pages, arc, id_col, url_col, html_col, version, file_bytes))
+    cut(write_arc(pages, arc, id_col, url_col, html_col, version, file_bytes, date_col))
     cut(convert(spark, arc, warc, min_bytes, file_bytes))
     return read_warc(spark, warc).withColumnRenamed("page_id", id_col)

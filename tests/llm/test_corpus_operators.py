@@ -261,6 +261,35 @@ def test_archives_round_trip(spark, version):
     assert archives.convert_pages(pages.limit(0)).count() == 0
 
 
+def test_legacy_archives_of_all_kinds(spark, tmp_path):
+    import gzip
+
+    http = b"HTTP/1.0 200 OK\r\nX-Page-Id: abc\r\n\r\nhello"
+    v1 = [(b"http://a.org/x y", b"19961104142103", b"text/html; charset=utf-8", http), (b"dns:a.org", b"199611041421", b"text/dns", b"a.org. 1.2.3.4\n"), (b"http://b.org", b"19970101000000", b"text/html", http)]
+    note = b"1 0 Crawler\nURL IP-address Archive-date Content-type Archive-length\n"
+    records = [b"filedesc://x.arc 0.0.0.0 19961104142103 text/plain %d\n" % len(note) + note + b"\n"] + [b"%b 1.2.3.4 %b %b %d\n" % (u, d, c, len(x)) + x + b"\n" for u, d, c, x in v1]
+    note2 = b"2 0 Crawler\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    two = b"filedesc://y.arc 0.0.0.0 19990101000000 text/plain 200 - - 0 y.arc %d\n" % len(note2) + note2 + b"\n" + b"http://c.org 1.2.3.4 19990101000000 text/html 200 abc - 99 y.arc %d\n" % len(http) + http + b"\n"
+    for files in ({"x.arc": b"".join(records)}, {"x.arc.gz": gzip.compress(b"".join(records))}, {"x.arc.gz": b"".join(map(gzip.compress, records)), "y.arc": two}):
+        folder = tmp_path / str(len(list(tmp_path.iterdir())))
+        folder.mkdir()
+        for name, data in files.items():
+            (folder / name).write_bytes(data)
+        archives.convert(spark, f"file://{folder}", f"file://{folder}/out").collect()
+        got = sorted(archives.read_warc(spark, f"file://{folder}/out").collect(), key=lambda r: r.date)
+        assert [r.date for r in got][:3] == ["1996-11-04T14:21:00Z", "1996-11-04T14:21:03Z", "1997-01-01T00:00:00Z"]
+        assert {(r.url, r.record_type) for r in got} == {("http://a.org/x y", "response"), ("dns:a.org", "resource"), ("http://b.org", "revisit")} | ({("http://c.org", "revisit")} if len(files) > 1 else set())
+        assert len({r.record_id for r in got}) == len(got)
+
+
+def test_archive_dates(spark):
+    import datetime as dt
+
+    pages = spark.createDataFrame([(1, "u", "x", dt.datetime(2001, 2, 3, 4, 5, 6)), (2, "u", "y", None)], "page_id bigint, url string, html string, seen timestamp")
+    got = {r.page_id: r.date for r in archives.convert_pages(pages, date_col="seen").collect()}
+    assert got == {1: "2001-02-03T04:05:06Z", 2: "2024-01-01T00:00:00Z"}
+
+
 def test_archive_errors():
     good = b"http://x 0.0.0.0 20240101000000 text/html 3\nabc\n"
     import gzip
