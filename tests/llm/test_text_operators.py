@@ -70,14 +70,18 @@ def brute_licence(text):
 
 def brute_templates(words, threshold=0.9):
     out = set()
+    both = {(w,) for w in words} | set(zip(words, words[1:], strict=False))
     for label, texts in licenses.TEMPLATES.items():
         for t in texts:
-            own = {w.decode() for w in licenses.words_of(t)}
+            own = {tuple(w.decode() for w in x) for x in licenses.tokens_of(t)}
+            if len(own & both) < threshold * len(own) - 1e-9:
+                continue
             n = len(licenses.words_of(t))
             width = next(b for b in licenses.BLOCK_WORDS if b >= 2 * n)
-            need = -(-int(round(threshold * len(own) * 1000)) // 1000)
             for b in range(0, max(len(words), 1), width // 2):
-                if len(own & set(words[b : b + width])) >= need:
+                part = words[b : b + width]
+                held = {(w,) for w in part} | set(zip(part, words[b + 1 : b + width + 1], strict=False))
+                if len(own & held) >= threshold * len(own) - 1e-9:
                     out.add(label)
     return out
 
@@ -95,6 +99,17 @@ def test_licences_against_brute_force(spark):
         assert 0 <= r.score <= 1
 
 
+def test_licences_precision(spark):
+    clean = ["4.0 cc: by then, he was licensed to drive under supervision", "the license was released under the bridge by mit", "general terms of the public work are licensed under a version of the year 3 gnu", "all rights of the public were reserved in part"]
+    df = spark.createDataFrame(list(enumerate(clean)), "doc_id bigint, text string")
+    assert all(r.labels == "" and r.score == 0 for r in licenses.scan_licenses(df).collect())
+    held = {r.doc_id: r for r in licenses.scan_licenses(sf(spark)).collect()}
+    texts = {r.doc_id: r.text or "" for r in sf(spark).collect()}
+    for i, r in held.items():
+        if not re.search("licen[cs]e|creative commons|rights reserved|CC BY", texts[i], re.I):
+            assert r.labels == ""
+
+
 def test_licences_edges(docs):
     got = licenses.scan_licenses(docs).collect()
     assert len(got) == len(ROWS) and all(r.labels == "" for r in got)
