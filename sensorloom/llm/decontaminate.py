@@ -9,18 +9,22 @@ a passage. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are low
 2. Randomised SVD of the TF-IDF matrix A of all passages, with the benchmark's parts as
    further rows: each task sums A'(A W) for a random W over its passages, Spark sums those,
    and the small factors give the right singular vectors and values.
-3. Cosine search: passages with a feature are projected and compared with every part;
-   pairs over ``min_cosine`` are candidates.
+3. Cosine search: passages with a feature are projected. An index from words to parts names
+   the parts that a passage may hold: to have ``paraphrase`` of a part's words, it must have one of its
+   rarest ``1 - paraphrase``. Those over ``min_cosine`` are candidates.
 4. Each candidate is checked on its words: longest common subsequence with the part, and
    whether the part's answer, its last words, stands in the passage. A pair counts if the subsequence
    has ``verbatim`` of the part's words, or ``paraphrase`` of them and the answer.
 
 Each pass over the documents is a narrow map. The benchmark is worked through in blocks of
-``block_parts`` parts, which bound what is sent to the tasks and what the driver factorises.
+``block_parts`` parts, with three passes over the documents each, and the latent space has ``rank``
+dimensions at most; these bound what is sent to the tasks and what the driver factorises. Words that
+no part has are no features: they can't help a passage over the check on common words.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,6 +49,7 @@ class Settings(NamedTuple):
     rare: float = 0.005
     rarest_of_part: int = 8
     item_weight: float = 100.0
+    rank: int = 256
     oversample: int = 24
     seed: int = 7
 
@@ -122,6 +127,35 @@ def lcs_length(masks: dict[int, int], width: int, tokens: list[int]) -> int:
     return width - v.bit_count()
 
 
+class Sparse(NamedTuple):
+    """Rows as entries ``index``, ``value`` from ``start`` on."""
+
+    start: np.ndarray
+    index: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+        return cls(np.cumsum([0, *(len(i) for i, _ in rows)]), np.concatenate([np.zeros(0, np.int64), *(i for i, _ in rows)]), np.concatenate([np.zeros(0), *(v for _, v in rows)]))
+
+    def dot(self, dense: np.ndarray, step: int = 256) -> np.ndarray:
+        """Rows times ``dense``, some rows at a time."""
+        n = len(self.start) - 1
+        out = np.zeros((n, dense.shape[1]), np.float32)
+        for i in range(0, n, step):
+            at = self.start[i : i + step + 1]
+            some = np.flatnonzero(np.diff(at))
+            if len(some):
+                out[i + some] = np.add.reduceat(dense[self.index[at[0] : at[-1]]] * self.value[at[0] : at[-1], None], at[some] - at[0], axis=0)
+        return out
+
+    def add_transposed(self, dense: np.ndarray, out: np.ndarray, weight: float) -> None:
+        """Adds ``weight`` times the transposed rows times ``dense``."""
+        for i, row in enumerate(dense):
+            at = slice(self.start[i], self.start[i + 1])
+            out[self.index[at]] += weight * self.value[at, None] * row
+
+
 class Part(NamedTuple):
     item_id: int
     words: list[int]
@@ -207,7 +241,28 @@ def singular_vectors(sketch: np.ndarray, omega: np.ndarray, rank: int) -> np.nda
     return q @ vectors[:, keep[values[keep] > 1e-9 * max(values.max(), 1e-30)]]
 
 
-def _search(hashes: np.ndarray, feature: np.ndarray, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, parts: list[Part], s: Settings):
+def rarest(words: list[int], frequency: np.ndarray, share: float) -> list[int]:
+    """The rarest words of a part, of which a passage must have one to have ``share`` of the part's words."""
+    count = Counter(words)
+    out, left = [], 0
+    for t in sorted(count, key=lambda t: (frequency[t], t)):
+        if left > len(words) * (1 - share):
+            break
+        out.append(t)
+        left += count[t]
+    return out
+
+
+def _pairs(passage: np.ndarray, feature: np.ndarray, index: Sparse, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passages and the parts that the index names for their features; each pair once."""
+    size = index.start[feature + 1] - index.start[feature]
+    of = np.repeat(passage, size)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(index.start[feature], size)
+    code = np.unique(of * parts + index.index[at])
+    return code // parts, code % parts
+
+
+def _search(hashes: np.ndarray, feature: np.ndarray, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, index: Sparse, parts: list[Part], s: Settings):
     masks = []
     for p in parts:
         m: dict[int, int] = {}
@@ -227,26 +282,26 @@ def _search(hashes: np.ndarray, feature: np.ndarray, idf: np.ndarray, basis: np.
                 w = _weights(passage, own, count, idf)
                 point = _by_passage(basis[own] * w[:, None], passage)
                 norm = np.maximum(np.linalg.norm(point, axis=1, keepdims=True), 1e-12)
-                for block in range(0, len(point), 4096):
-                    cosine = (point[block : block + 4096] / norm[block : block + 4096]) @ latent.T
-                    near, which = np.nonzero(cosine >= s.min_cosine)
-                    tokens_of: dict[int, list[int]] = {}
-                    for a, b, c in zip((near + block).tolist(), which.tolist(), cosine[near, which].tolist(), strict=True):
-                        row, number = int(names[a] >> 32), int(names[a] & 0xFFFFFFFF)
-                        lo = int(text.start[row]) + number * HALF
-                        if a not in tokens_of:
-                            tokens_of[a] = text.token[lo : min(lo + 2 * HALF, int(text.start[row] + text.n[row]))].tolist()
-                        tokens, part = tokens_of[a], parts[b]
-                        share = lcs_length(masks[b], len(part.words), tokens) / len(part.words)
-                        if share < s.paraphrase:
-                            continue
-                        tail = part.words[-s.answer_words :]
-                        answer = any(tokens[x : x + len(tail)] == tail for x, t in enumerate(tokens) if t == tail[0])
-                        if share >= s.verbatim or answer:
-                            found = {"item_id": part.item_id, "first_word": number * HALF, "cosine": c, "lcs_share": share, "answer": answer}
-                            old = best.get((row, part.item_id))
-                            if old is None or (share, answer, c) > (old["lcs_share"], old["answer"], old["cosine"]):
-                                best[row, part.item_id] = found
+                of, part_of = _pairs(passage, own, index, len(parts))
+                cosine = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", point[of[x : x + 4096]], latent[part_of[x : x + 4096]]) for x in range(0, len(of), 4096))]) / norm[of, 0]
+                near = cosine >= s.min_cosine
+                tokens_of: dict[int, list[int]] = {}
+                for a, b, c in zip(of[near].tolist(), part_of[near].tolist(), cosine[near].tolist(), strict=True):
+                    row, number = int(names[a] >> 32), int(names[a] & 0xFFFFFFFF)
+                    lo = int(text.start[row]) + number * HALF
+                    if a not in tokens_of:
+                        tokens_of = {a: text.token[lo : min(lo + 2 * HALF, int(text.start[row] + text.n[row]))].tolist()}
+                    tokens, part = tokens_of[a], parts[b]
+                    share = lcs_length(masks[b], len(part.words), tokens) / len(part.words)
+                    if share < s.paraphrase:
+                        continue
+                    tail = part.words[-s.answer_words :]
+                    answer = any(tokens[x : x + len(tail)] == tail for x, t in enumerate(tokens) if t == tail[0])
+                    if share >= s.verbatim or answer:
+                        found = {"item_id": part.item_id, "first_word": number * HALF, "cosine": c, "lcs_share": share, "answer": answer}
+                        old = best.get((row, part.item_id))
+                        if old is None or (share, answer, c) > (old["lcs_share"], old["answer"], old["cosine"]):
+                            best[row, part.item_id] = found
             rows: list[list[dict]] = [[] for _ in range(j - i)]
             for (row, _), found in sorted(best.items()):
                 rows[row].append(found)
@@ -273,22 +328,31 @@ def _index(docs: DataFrame, block: list[tuple[int, list[bytes]]], s: Settings):
     feature[sorted(chosen)] = np.arange(len(chosen))
     idf = np.log((1 + n) / (1 + frequency[sorted(chosen)])) + 1e-3
 
-    rank = len(parts) + s.oversample
+    rank = min(len(parts), s.rank) + s.oversample
     k = -(-rank // COLUMNS) * COLUMNS
-    omega = np.random.Generator(np.random.PCG64(s.seed)).standard_normal((len(chosen), k)).astype(np.float32)
-    own = [np.unique(feature[p.words][feature[p.words] >= 0], return_counts=True) for p in parts]
-    rows = np.zeros((len(parts), len(chosen)))
-    for i, (f, count) in enumerate(own):
-        rows[i, f] = (1 + np.log(count)) * idf[f]
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-    sketch = _range_sketch(texts, hashes, feature, idf, omega) + s.item_weight * (rows.T @ (rows @ omega))
-    basis = singular_vectors(sketch, omega.astype(np.float64), rank).astype(np.float32)
-    latent = rows.astype(np.float32) @ basis
+    omega = np.random.Generator(np.random.PCG64(s.seed)).standard_normal((len(chosen), k), np.float32)
+    own = []
+    for p in parts:
+        f, count = np.unique(feature[p.words][feature[p.words] >= 0], return_counts=True)
+        w = (1 + np.log(count)) * idf[f]
+        own.append((f, w / max(np.linalg.norm(w), 1e-12)))
+    rows = Sparse.of(own)
+    sketch = _range_sketch(texts, hashes, feature, idf, omega)
+    rows.add_transposed(rows.dot(omega), sketch, s.item_weight)
+    basis = singular_vectors(sketch, omega, rank).astype(np.float32)
+    del sketch, omega
+    latent = rows.dot(basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return _search(hashes, feature, idf, basis, latent, parts, s)
+    named: list[list[int]] = [[] for _ in chosen]
+    for i, p in enumerate(parts):
+        for t in rarest(p.words, frequency, s.paraphrase):
+            if feature[t] >= 0:
+                named[feature[t]].append(i)
+    index = Sparse.of([(np.array(x, np.int64), np.ones(len(x))) for x in named])
+    return _search(hashes, feature, idf, basis, latent, index, parts, s)
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, column: str = "_matches", settings: Settings = Settings(), block_parts: int = 256) -> DataFrame:
+def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, column: str = "_matches", settings: Settings = Settings(), block_parts: int = 2048) -> DataFrame:
     """``docs`` with a column of the benchmark items that each text holds: item, first word of the passage, cosine, share of the longest common subsequence, answer found.
 
     Defined cases: null and empty texts, and those without words, hold nothing; benchmark rows

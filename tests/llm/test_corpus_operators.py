@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -218,6 +219,60 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
             assert flat(dict((x.item_id, x.text) for x in items)[b])[:40] in flat(dict(enumerate(clean)).get(i, "") if i < len(clean) else ""), (i, b)
 
 
+def brute_contaminated(docs, items):
+    """Documents and items by the checks alone: every passage of 128 words against every part."""
+    words = lambda t: [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())]
+    parts = []
+    for item, t in items:
+        w = words(t)
+        size = -(-len(w) // max(1, -(-len(w) // 64)))
+        parts += [(item, w[i : i + size], Counter(w[i : i + size])) for i in range(0, len(w), max(size, 1))]
+    masks = []
+    for _, w, _ in parts:
+        m: dict = {}
+        for i, t in enumerate(w):
+            m[t] = m.get(t, 0) | 1 << i
+        masks.append(m)
+    out = set()
+    for doc, t in docs:
+        w = words(t)
+        for lo in range(0, max(len(w) - 64, 1), 64):
+            passage = w[lo : lo + 128]
+            have = Counter(passage)
+            for (item, p, count), m in zip(parts, masks, strict=True):
+                if 2 * (have & count).total() < len(p):  # no longer subsequence than common words
+                    continue
+                share = decontaminate.lcs_length(m, len(p), passage) / len(p)
+                answer = any(passage[i : i + len(p[-5:])] == p[-5:] for i in range(len(passage)))
+                if share >= 0.8 or share >= 0.5 and answer:
+                    out.add((doc, item))
+    return out
+
+
+def test_decontamination_query_against_brute_force(spark, tmp_path):
+    from sensorloom.llm.queries import op7_decontaminate
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    rows, items = [tuple(r) for r in docs.collect()], [tuple(r) for r in bench.select("item_id", "text").collect()]
+    rng = random.Random(11)
+    vocabulary = sorted({w for _, t in rows for w in (t or "").split()})
+    for n, (_, t) in enumerate(items):  # copies with replaced words, some with their answers
+        w = (t or "").split()
+        for share in (0.1, 0.3):
+            changed = [rng.choice(vocabulary) if rng.random() < share and i < len(w) - 5 else x for i, x in enumerate(w)]
+            host = (rows[n % 100][1] or "").split()
+            rows.append((50_000 + len(rows), " ".join(host[:70] + changed + host[70:200])))
+    rows.append((99_999, " ".join(["word"] * 30_000 + (items[0][1] or "").split())))
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in op7_decontaminate(spark, str(tmp_path)).collect()}
+    want = brute_contaminated(rows, items)
+    assert got <= want and len(got) >= 0.99 * len(want) and (99_999, items[0][0]) in got, (len(got), len(want), sorted(want - got)[:5])
+    few = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench, block_parts=50, settings=decontaminate.Settings(rank=16))
+    assert len({(r.doc_id, r.item_id) for r in few.collect()} & want) >= 0.9 * len(want)
+
+
 def test_decontamination_edges(spark):
     docs = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id bigint, text string")
     none = spark.createDataFrame([(None, "a b c"), (1, None), (2, "")], "item_id bigint, text string")
