@@ -61,7 +61,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
-    """Bound what goes to Python workers at once: texts may be long, so Spark's default of 10,000 rows a batch is too many. Smaller settings stay."""
+    """Bound what goes to Python workers at once: texts may be long, so Spark's default of 10,000 rows a batch is too many. Smaller settings stay. The session keeps the bounds, as plans are run later."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
         if not 0 < now <= most:

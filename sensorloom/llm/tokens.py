@@ -16,13 +16,14 @@ size of the files, never what is read back from them.
 Encoding goes by units. Blanks never join two tokens, so texts fall apart at blanks; and in
 a stretch of only ASCII without ``'`` and ``<`` and of Latin-1 letters, the
 tokenizer's own rules (lower case; runs of letters, single digits, runs of other characters) are
-plain byte classes. Each distinct unit of a batch is encoded once by the tokenizer's model, any other
-stretch by the whole tokenizer.
+plain byte classes. Each distinct unit of a batch (told by a 64-bit hash) is encoded once by the tokenizer's model, any other
+stretch by the whole tokenizer. A tokenizer with other rules than ``RULES`` encodes whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -39,9 +40,23 @@ from .common import LOWER, WordHasher, bound_batches, cut, new_folder, pieces, u
 MAGIC = b"SLTOK001"
 FOOTER = 8 + 8 + 1 + 32 + 8
 UNIT_LIMIT = 400_000
+SAMPLE_TEXT = 1 << 15
 _BLANK, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 
 
+#: Normalizer and pre-tokenizer of the files whose texts may be taken apart into units.
+RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 def _byte_letters() -> str:
     """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 for themselves, the others from code point 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -65,6 +80,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        self.by_units = (stated.get("normalizer"), stated.get("pre_tokenizer")) == RULES and not any(t.get("normalized") for t in stated.get("added_tokens", ()))
+        del stated
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.end_id = end_id
@@ -127,6 +146,11 @@ class Encoder:
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows, one after the other, with the end id after each row; and their number by row."""
         rows = len(off) - 1
+        if not self.by_units:
+            texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            end = [] if self.end_id is None else [self.end_id]
+            encoded = [[*x.ids, *end] for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.array([t for x in encoded for t in x], np.int32), np.array([len(x) for x in encoded], np.int64)
         low, start, end, row, plain = self.units(data, off)
         keys, at, inverse = np.unique(self.hasher(low, start, end), return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > UNIT_LIMIT:
@@ -191,10 +215,10 @@ def open_tokens(uri: str, dictionary: bytes) -> TokenFile:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str, sample_docs: int, dictionary_bytes: int) -> bytes:
-    """Dictionary of at most ``dictionary_bytes`` from whole texts of about ``sample_docs`` documents, chosen by a hash of their ids; empty if they are too few to train on."""
+    """Dictionary of at most ``dictionary_bytes`` from whole texts of up to ``SAMPLE_TEXT`` bytes of at most ``sample_docs`` documents, chosen by a hash of their ids; empty if they are too few to train on."""
     n = docs.count()
     share = 1_000_000 if n <= sample_docs else max(1, 1_000_000 * sample_docs // n)
-    texts = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share).select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).limit(2 * sample_docs)
+    texts = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share).select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.octet_length("_text") <= SAMPLE_TEXT).limit(sample_docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, end_id)
@@ -251,7 +275,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         for batch in batches:
             data, off = utf8(batch.column(1))
             own = batch.column(0).to_pylist()
-            for i, j in pieces(off, 4 << 20):
+            for i, j in pieces(off):
                 flat, counts = encoder(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 flat, at = flat.astype(kind), 0
                 for k, c in enumerate(counts.tolist()):
@@ -305,6 +329,7 @@ def _dictionary_of(spark: SparkSession, folder: str) -> bytes:
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int | None = 2, order_by: Sequence[Column] | None = None, folder: str | None = None, **options) -> DataFrame:
     """Write ``docs`` as token files and return, from the files, ``id_col, start, n_tokens, ids_crc32, file, place`` of each document.
 
+    Ids are whole numbers (other types that Spark can't cast to them stop the job).
     Defined cases: a null or empty text is the end id alone; null ids come first and stay null;
     rows that repeat an id are documents of their own, in the order of their texts' hashes;
     an empty table writes no document and gives an empty result. Other columns are not read.

@@ -283,6 +283,24 @@ def test_permutations_are_one_to_one():
     assert len(days) == 31
 
 
+def test_tokens_of_other_rules(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        stated = json.load(f)
+    stated["normalizer"] = None  # keeps case
+    (tmp_path / "other.json").write_text(json.dumps(stated), encoding="utf-8")
+    texts = ["Don't STOP", "a  b", "", "Éa 12"]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    for path in (tokenizer_path(), f"{tmp_path}/other.json"):
+        e = tokens.Encoder(path, 2)
+        ids, counts = e(data, off)
+        assert e.by_units == (path == tokenizer_path())
+        assert np.split(ids, np.cumsum(counts)[:-1])[3].tolist() == [*e.tokenizer.encode(texts[3], add_special_tokens=False).ids, 2]
+        assert ids.tolist() == [t for x in texts for t in [*e.tokenizer.encode(x, add_special_tokens=False).ids, 2]]
+
+
 def test_tokens_round_trip(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
