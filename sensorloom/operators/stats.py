@@ -90,10 +90,25 @@ def window_features(points: DataFrame, long: DataFrame, windows: Sequence[int],
 
 
 def window_sweep(flux: DataFrame, long: DataFrame, windows: Sequence[int], y: str = "flux", by: Sequence[str] = ("site",), series: Sequence[str] = ("variable",), ts: str = "datetime", stats: Sequence[str] = ("mean",), min_n: int = 5, p: bool = False) -> DataFrame:
-    """Correlation of y with trailing statistics of every variable over every window, by group: one grouping over points x windows."""
-    f = window_features(flux.select(ts, *by, y), long, windows, series, ts)
-    f = f.unpivot([y, *by, *series, "window"], list(stats), "stat", "feature")
-    out = f.groupBy(*by, *series, "window", "stat").agg(*corr_columns(y, "feature", min_n))
+    """Correlation of y with trailing statistics of every variable over every window, by group.
+
+    The features of a time are the same for all measurements at it, so these are summed up by time and group first (number, mean and
+    squares of y): the windows multiply times, however many measurements they have.
+    """
+    g, yc = list(by), F.col(y).cast("double")
+    centre = flux.groupBy(*g).agg(F.avg(yc).alias("_centre"))
+    at = flux.where(yc.isNotNull()).groupBy(ts, *g).agg(F.count("*").alias("_n"), F.avg(yc).alias("_m"), (F.var_pop(yc) * F.count("*")).alias("_v"))
+    at = (at.join(centre, g) if g else at.crossJoin(F.broadcast(centre))).withColumn("_m", F.col("_m") - F.col("_centre")).drop("_centre")
+    f = window_features(at, long, windows, series, ts)
+    f = f.unpivot(["_n", "_m", "_v", *g, *series, "window"], list(stats), "stat", "feature")
+    n, m, x = F.when(F.col("feature").isNotNull(), F.col("_n")), F.col("_m"), F.col("feature")
+    out = f.groupBy(*g, *series, "window", "stat").agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.sum(n * x).alias("_x"), F.sum(n * m).alias("_y"), F.sum(n * x * x).alias("_xx"), F.sum(n * x * m).alias("_xy"), F.sum(F.when(x.isNotNull(), F.col("_v")) + n * m * m).alias("_yy")
+    )
+    cov = lambda c, a, b: F.col(c) - F.col(a) * F.col(b) / F.col("n")
+    xx, yy = cov("_xx", "_x", "_x"), cov("_yy", "_y", "_y")
+    r = F.try_divide(cov("_xy", "_x", "_y"), F.sqrt(F.when((xx > 1e-12 * F.col("_xx")) & (yy > 1e-12 * F.col("_yy")), xx * yy)))
+    out = out.select(*g, *series, "window", "stat", F.when(F.col("n") >= min_n, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"), "n")
     return with_p(out) if p else out
 
 

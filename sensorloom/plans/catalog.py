@@ -216,10 +216,10 @@ def missing_frac(spark, d):
     return A.missing_frac(_doc_labels(spark, d), ["n_chars", "quality", "toxic"])
 
 
-@query("with " + FLUX + ", s as (select min(ts) as a, max(ts) as b from events where event_type = 'signup' and user_id % 3 = 0), r as (select flux.* from flux, s where ts between a and b) select 'reading' as variable, count(reading) as n, round(100.0 * count(reading) / count(*), 6) as pct from r union all select 'value', count(value), round(100.0 * count(value) / count(*), 6) from r")
+@query("with " + FLUX + ", s as (select min(ts) as a, max(ts) as b from events where event_type = 'signup' ), r as (select flux.* from flux, s where ts between a and b) select 'reading' as variable, count(reading) as n, round(100.0 * count(reading) / count(*), 6) as pct from r union all select 'value', count(value), round(100.0 * count(value) / count(*), 6) from r")
 def coverage_in_span(spark, d):
     f = flux(spark, d)
-    return A.coverage_in_span(f, "ts", ["reading", "value"], f.where("species = 'signup' and tree % 3 = 0"), "ts")
+    return A.coverage_in_span(f, "ts", ["reading", "value"], f.where("species = 'signup'"), "ts")
 
 
 @query("with m as (select o_orderpriority, month(o_orderdate)::int as month, avg(o_totalprice) as v from orders group by 1, 2) select o_orderpriority, first(month order by v desc, month) as peak_key, round(max(v), 6) as peak_value, first(month order by v, month) as low_key, round(min(v), 6) as low_value from m group by 1")
@@ -307,44 +307,44 @@ def median_band(spark, d):
     return A.median_band(table(spark, d, "orders").withColumn("month", F.month("o_orderdate")), ["o_orderpriority", "month"], "o_totalprice")
 
 
-_ROUNDS = "with d as (select distinct o_orderdate::date as day from orders where o_custkey % 97 = 3), g as (select day, case when date_diff('day', lag(day) over (order by day), day) > 7 then 1 else 0 end as f from d), r as (select day, (1 + sum(f) over (order by day))::bigint as round from g), o as (select *, o_orderdate::date as day from orders where o_custkey % 97 = 3) "
+_ROUNDS = "with d as (select distinct o_orderdate::date as day from orders), g as (select day, case when date_diff('day', lag(day) over (order by day), day) > 1 then 1 else 0 end as f from d), r as (select day, (1 + sum(f) over (order by day))::bigint as round from g), o as (select *, o_orderdate::date as day from orders) "
 
 
-def _some_orders(spark, d):
-    return table(spark, d, "orders").where("o_custkey % 97 = 3").withColumn("day", F.col("o_orderdate").cast("date"))
+def _order_days(spark, d):
+    return table(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
 
 
 @query(_ROUNDS + "select o.o_orderkey, o.day, r.round from o join r on o.day = r.day")
 def sampling_rounds(spark, d):
-    return W.sampling_rounds(_some_orders(spark, d), "day", 7).select("o_orderkey", "day", "round")
+    return W.sampling_rounds(_order_days(spark, d), "day", 1).select("o_orderkey", "day", "round")
 
 
 @query(_ROUNDS + "select r.round, o.o_orderstatus, (date '1970-01-01' + floor(avg(date_diff('day', date '1970-01-01', o.day)))::int)::date as mean_date, round(avg(o_totalprice), 6) as mean, round(stddev_samp(o_totalprice) / sqrt(count(*)), 6) as se, count(*) as n from o join r on o.day = r.day group by 1, 2")
 def round_means(spark, d):
-    return A.round_means(_some_orders(spark, d), "day", "o_totalprice", ["o_orderstatus"], 7)
+    return A.round_means(_order_days(spark, d), "day", "o_totalprice", ["o_orderstatus"], 1)
 
 
 # --- joins ----------------------------------------------------------------------------------
 
 
-@query("with " + FLUX + ", a as (select hour, avg(reading) as wet from flux where site = 'Wetland' group by 1), b as (select hour, avg(reading) as up from flux where site = 'Upland' and tree % 3 = 0 group by 1) select coalesce(a.hour, b.hour) as hour, round(wet, 6) as wet, round(up, 6) as up from a full join b on a.hour = b.hour")
+@query("with " + FLUX + ", a as (select hour, avg(reading) as wet from flux where site = 'Wetland' group by 1), b as (select hour, avg(reading) as up from flux where site = 'Upland' and species = 'error' group by 1) select coalesce(a.hour, b.hour) as hour, round(wet, 6) as wet, round(up, 6) as up from a full join b on a.hour = b.hour")
 def align_outer(spark, d):
     f = flux(spark, d)
     a = f.where("site = 'Wetland'").groupBy("hour").agg(F.avg("reading").alias("wet"))
-    b = f.where("site = 'Upland' and tree % 3 = 0").groupBy("hour").agg(F.avg("reading").alias("up"))
+    b = f.where("site = 'Upland' and species = 'error'").groupBy("hour").agg(F.avg("reading").alias("up"))
     return J.merge_outer(a, b, ["hour"])
 
 
-@query("with " + FLUX + ", s as (select hour, species, avg(reading) as v from flux where tree % 5 = 0 group by 1, 2), h as (select distinct hour from s) select h.hour as datetime, round(a.v, 6) as click, round(b.v, 6) as view from h left join s a on a.hour = h.hour and a.species = 'click' left join s b on b.hour = h.hour and b.species = 'view'")
+@query("with " + FLUX + ", s as (select hour, species, avg(reading) as v from flux group by 1, 2), h as (select distinct hour from s) select h.hour as datetime, round(a.v, 6) as click, round(b.v, 6) as view from h left join s a on a.hour = h.hour and a.species = 'click' left join s b on b.hour = h.hour and b.species = 'view'")
 def backbone_align(spark, d):
-    s = flux(spark, d).where("tree % 5 = 0").groupBy(F.col("hour").alias("datetime"), "species").agg(F.avg("reading").alias("v"))
+    s = flux(spark, d).groupBy(F.col("hour").alias("datetime"), "species").agg(F.avg("reading").alias("v"))
     one = lambda n: s.where(F.col("species") == n).select("datetime", F.col("v").alias(n))
     return J.align(J.backbone([s.where(F.col("species") == n) for n in SPECIES]), [one("click"), one("view")])
 
 
-@query("with " + FLUX + ", s as (select hour, species, avg(reading) as v from flux where tree % 5 = 0 group by 1, 2) select hour, " + ", ".join(f"round(max(case when species = '{s}' then v end), 6) as {s}" for s in SPECIES) + " from s group by hour")
+@query("with " + FLUX + ", s as (select hour, species, avg(reading) as v from flux group by 1, 2) select hour, " + ", ".join(f"round(max(case when species = '{s}' then v end), 6) as {s}" for s in SPECIES) + " from s group by hour")
 def merge_all(spark, d):
-    s = flux(spark, d).where("tree % 5 = 0").groupBy("hour", "species").agg(F.avg("reading").alias("v"))
+    s = flux(spark, d).groupBy("hour", "species").agg(F.avg("reading").alias("v"))
     return J.merge_all([s.where(F.col("species") == n).select("hour", F.col("v").alias(n)) for n in SPECIES], ["hour"])
 
 
@@ -361,10 +361,10 @@ def interval_assign(spark, d):
     return J.assign_intervals(flux(spark, d), _intervals(spark, d), ["tree"]).select("event_id", "iv", "tree")
 
 
-@query("with " + FLUX + ", iv as (select event_id as iv, ts::date as day, ts as start_ts, ts + interval 60 minute as end_ts from events where event_type = 'signup' and user_id % 10 = 0), a as (select iv.iv, f.ts, f.event_id, f.reading from flux f join iv on f.ts::date = iv.day and f.ts between iv.start_ts and iv.end_ts), x as (select iv, reading - lag(reading) over (partition by iv order by ts, event_id) as diff from a where reading is not null), c as (select iv, count(*) as n from a group by 1) select c.iv, c.n, round(case when count(diff) >= 2 then stddev_samp(diff) / sqrt(2) end, 6) as allan_sd_reading from c left join x on c.iv = x.iv group by 1, 2 having c.n >= 5")
+@query("with " + FLUX + ", iv as (select event_id as iv, ts::date as day, ts as start_ts, ts + interval 60 minute as end_ts from events where event_type = 'signup'), a as (select iv.iv, f.ts, f.event_id, f.reading from flux f join iv on f.ts::date = iv.day and f.ts between iv.start_ts and iv.end_ts), x as (select iv, reading - lag(reading) over (partition by iv order by ts, event_id) as diff from a where reading is not null), c as (select iv, count(*) as n from a group by 1) select c.iv, c.n, round(case when count(diff) >= 2 then stddev_samp(diff) / sqrt(2) end, 6) as allan_sd_reading from c left join x on c.iv = x.iv group by 1, 2 having c.n >= 5")
 def interval_allan(spark, d):
     f = flux(spark, d).withColumn("day", F.col("ts").cast("date"))
-    iv = f.where("species = 'signup' and tree % 10 = 0").select(F.col("event_id").alias("iv"), "day", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 60 minutes")).alias("end_ts"))
+    iv = f.where("species = 'signup'").select(F.col("event_id").alias("iv"), "day", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 60 minutes")).alias("end_ts"))
     return Q.allan_sd(J.assign_intervals(f, iv, ["day"]), ["iv"], ["ts", "event_id"], ["reading"], min_rows=5)
 
 
@@ -393,11 +393,11 @@ def anti_missing(spark, d):
     return J.not_in(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])
 
 
-@query("with a as (select user_id as k, min(event_type) as expected from events where event_id % 2 = 0 group by 1), b as (select user_id as k, max(event_type) as actual from events where event_id % 3 = 0 group by 1) select coalesce(a.k, b.k) as k, expected, actual, case when b.k is null then 'missing' when a.k is null then 'extra' when expected is not distinct from actual then 'match' else 'differs' end as status from a full join b on a.k = b.k")
+@query("with e as (select event_type, cast(user_id as varchar) || ' ' || strftime(ts, '%Y-%m-%d') as k from events), a as (select k, count(*) as expected from e where event_type = 'click' group by 1), b as (select k, count(*) as actual from e where event_type = 'view' group by 1) select coalesce(a.k, b.k) as k, expected, actual, case when b.k is null then 'missing' when a.k is null then 'extra' when expected is not distinct from actual then 'match' else 'differs' end as status from a full join b on a.k = b.k")
 def reconcile(spark, d):
-    e = table(spark, d, "events").withColumn("k", F.col("user_id"))
-    a = e.where("event_id % 2 = 0").groupBy("k").agg(F.min("event_type").alias("v"))
-    b = e.where("event_id % 3 = 0").groupBy("k").agg(F.max("event_type").alias("v"))
+    e = table(spark, d, "events").withColumn("k", F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
+    a = e.where("event_type = 'click'").groupBy("k").agg(F.count("*").alias("v"))
+    b = e.where("event_type = 'view'").groupBy("k").agg(F.count("*").alias("v"))
     return J.reconcile(a, b, "k", "v")
 
 
@@ -724,39 +724,55 @@ def grouping_sets_corr(spark, d):
     return K.corr_by_levels(o, "o_totalprice", "c_acctbal", [[], ["c_mktsegment"], ["o_orderpriority"], ["c_mktsegment", "o_orderpriority"]])
 
 
-WINDOWS = (3, 6, 12, 24, 72)
-_SWEEP = LONG + ", " + ", ".join(f"w{n} as (select variable, datetime, {n} as win, case when row_number() over (partition by variable order by datetime) >= {n} then avg(value) over (partition by variable order by datetime rows between {n - 1} preceding and current row) end as feature from long)" for n in WINDOWS) + ", wl as (" + " union all ".join(f"select * from w{n}" for n in WINDOWS) + '), sweep as (select site, variable, win as "window", count(*) filter (where flux is not null and feature is not null) as n, corr(flux, feature) as r0 from flux join wl on flux.hour = wl.datetime where feature is not null group by 1, 2, 3), sw as (select site, variable, "window", n, case when n >= 5 then r0 end as r from sweep)'
+WINDOWS = tuple(range(3, 337, 3))
+SOME_WINDOWS = (3, 6, 12, 24, 72)
+_MODES = LONG + """, modes as (select variable, 'raw' as mode, datetime, value from long union all
+ select variable, 'anomaly', datetime, value - (avg(value) over (partition by variable, dayofyear(datetime)) + avg(value) over (partition by variable, hour(datetime)) - avg(value) over (partition by variable)) from long)"""
+_ROLLED = "select variable, mode, datetime, {n} as win, case when row_number() over (partition by variable, mode order by datetime) >= {n} then avg(value) over (partition by variable, mode order by datetime rows between {m} preceding and current row) end as feature from modes"
+_SWEEP = (
+    _MODES
+    + ", wl as ("
+    + " union all ".join(_ROLLED.format(n=n, m=n - 1) for n in WINDOWS)
+    + '), sweep as (select site, variable, mode, win as "window", count(*) filter (where flux is not null and feature is not null) as n, corr(flux, feature) as r0 from flux join wl on flux.hour = wl.datetime where feature is not null group by 1, 2, 3, 4), sw as (select site, variable, mode, "window", n, case when n >= 5 then r0 end as r from sweep)'
+)
 
 
 def _sweep(spark, d, p: bool = False):
     f = flux(spark, d).select(F.col("hour").alias("datetime"), "site", "flux")
-    return K.window_sweep(f, driver_long(spark, d), WINDOWS, p=p).where("n > 0")
+    return K.window_sweep(f, K.both_modes(driver_long(spark, d)), WINDOWS, series=["variable", "mode"], p=p).where("n > 0")
 
 
-@query("with " + _SWEEP + ' select site, variable, "window"::int as "window", \'mean\' as stat, round(r, 6) as r, n from sw')
+@query("with " + _SWEEP + ' select site, variable, mode, "window"::int as "window", \'mean\' as stat, round(r, 6) as r, n from sw')
 def window_sweep(spark, d):
     return _sweep(spark, d)
 
 
-@query("with " + _SWEEP + ' select site, variable, "window"::int as "window", round(r, 6) as r, n from (select *, row_number() over (partition by site, variable order by abs(r) desc, "window") as k from sw where r is not null) where k = 1')
+_BEST = ', best as (select site, variable, mode, "window"::int as "window", r, n from (select *, row_number() over (partition by site, variable, mode order by round(abs(r), 9) desc, "window") as k from sw where r is not null) where k = 1)'
+
+
+def _best(spark, d, p: bool = False, alpha: float = 0.05):
+    return K.best_windows(_sweep(spark, d, p).withColumn("r", F.round("r", 9)), ["mode", "site"], p=p, alpha=alpha)
+
+
+@query("with " + _SWEEP + _BEST + ' select site, variable, mode, "window", round(r, 6) as r, n from best')
 def best_windows(spark, d):
-    return K.best_windows(_sweep(spark, d), ["site"], p=False).select("site", "variable", "window", "r", "n")
+    return _best(spark, d).select("site", "variable", "mode", "window", "r", "n")
 
 
 @query()
 def best_windows_adjusted(spark, d):
-    return K.best_windows(_sweep(spark, d, p=True), ["site"])
+    return _best(spark, d, p=True)
 
 
 @query()
 def significance_report(spark, d):
-    return K.significance_report(K.best_windows(_sweep(spark, d, p=True), ["site"], alpha=0.5), ["site"])
+    return K.significance_report(_best(spark, d, p=True, alpha=0.5), ["mode", "site"])
 
 
-@query("with p as (select event_type as k, event_id, (event_id * 37 % 1000 + 1) / 1000.0 as p from events where event_id % 20 = 0 union all select event_type, event_id, null from events where event_id % 20 = 1), m as (select *, row_number() over (partition by k order by p, event_id) as m, count(p) over (partition by k) as n from p where p is not null), q as (select k, event_id, p, least(1.0, min(p * n / m) over (partition by k order by m desc rows between unbounded preceding and current row)) as p_adj from m) select k, event_id, round(p, 6)::double as p, round(p_adj, 6)::double as p_adj from q union all select k, event_id, null, null from p where p is null")
+@query("with p as (select event_type as k, event_id, case when value <= 60 then (event_id * 37 % 1000 + 1) / 1000.0 end as p from events), m as (select *, row_number() over (partition by k order by p, event_id) as m, count(p) over (partition by k) as n from p where p is not null), q as (select k, event_id, p, least(1.0, min(p * n / m) over (partition by k order by m desc rows between unbounded preceding and current row)) as p_adj from m) select k, event_id, round(p, 6)::double as p, round(p_adj, 6)::double as p_adj from q union all select k, event_id, null, null from p where p is null")
 def bh_adjust(spark, d):
     e, i = table(spark, d, "events"), F.col("event_id")
-    rows = e.where("event_id % 20 in (0, 1)").select(F.col("event_type").alias("k"), "event_id", F.when(i % 20 == 0, (i * 37 % 1000 + 1) / 1000.0).alias("p"))
+    rows = e.select(F.col("event_type").alias("k"), "event_id", F.when(F.col("value") <= 60, (i * 37 % 1000 + 1) / 1000.0).alias("p"))
     return K.bh_adjust(rows, ["k"], "p", tie=["event_id"])
 
 
@@ -901,7 +917,7 @@ def slopes_by_level(spark, d):
 
 def _features(spark, d):
     f = flux(spark, d).select("event_id", F.col("hour").alias("datetime"), "flux")
-    return K.window_features(f, driver_long(spark, d), WINDOWS)
+    return K.window_features(f, driver_long(spark, d), SOME_WINDOWS)
 
 
 @query()
@@ -967,9 +983,9 @@ def model_scales(spark, d):
     return _frame(spark, d)[1]
 
 
-@query("with " + FLUX + ", s as (select tree, count(*) as n from flux where species = 'signup' group by 1), p as (select c_custkey as tree, case when c_custkey % 4 = 0 then null else c_acctbal end as depth from customer where c_custkey <= 100) select coalesce(s.tree, p.tree) as tree, coalesce(n, 0) as n, round(depth, 6) as depth, case when p.tree is null then 'no depth' when n is null then 'no reading' when depth is null then 'null depth' else 'ok' end as status from s full join p on s.tree = p.tree")
+@query("with " + FLUX + ", s as (select tree, count(*) as n from flux where species = 'signup' group by 1), p as (select c_custkey as tree, case when c_custkey % 4 = 0 then null else c_acctbal end as depth from customer) select coalesce(s.tree, p.tree) as tree, coalesce(n, 0) as n, round(depth, 6) as depth, case when p.tree is null then 'no depth' when n is null then 'no reading' when depth is null then 'null depth' else 'ok' end as status from s full join p on s.tree = p.tree")
 def depth_diagnostics(spark, d):
-    c = table(spark, d, "customer").where("c_custkey <= 100")
+    c = table(spark, d, "customer")
     depths = c.select(F.col("c_custkey").alias("tree"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("depth"))
     return N.depth_diagnostics(flux(spark, d).where("species = 'signup'"), depths, "tree", "depth")
 
