@@ -1025,3 +1025,6 @@ def gamma_glm(spark, d):
 @query()
 def repeatability(spark, d):
     return M.repeatability(flux(spark, d), "event_id", "tree", "reading", nboot=20, nperm=20)
+
+
+from . import more  # noqa: E402, F401  registers its queries
