@@ -179,9 +179,12 @@ def bin2d(df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range:
     return inside.groupBy(bin_(x, x_range, nx).alias("x_bin"), bin_(y, y_range, ny).alias("y_bin")).agg(F.count("*").alias("n"))
 
 
-def median_band(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    out = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.count(value).alias("n"))
-    return out.select(*by, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "n")
+def median_band(df: DataFrame, by: Sequence[str], value: str, noise: str | None = None) -> DataFrame:
+    """Median and quartiles by group; with a column of noise floors, also the envelope of plus and minus their median."""
+    floor = [] if noise is None else [F.percentile(noise, F.lit(0.5)).alias("_f")]
+    out = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.count(value).alias("n"), *floor)
+    envelope = [] if noise is None else [(-F.col("_f")).alias("noise_low"), F.col("_f").alias("noise_high")]
+    return out.select(*by, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "n", *envelope)
 
 
 def round_means(df: DataFrame, date: str, value: str, by: Sequence[str], gap_days: int = 7) -> DataFrame:

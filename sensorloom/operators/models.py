@@ -227,16 +227,43 @@ def icc(df: DataFrame, by: Sequence[str], entity: str, y: str) -> DataFrame:
     # the likelihood needs, for each size of entity: how many, sum of means and of squared means
     mean = F.col("_s") / F.col("_m")
     size = each.groupBy(*by, "_m").agg(F.count("*").alias("_k"), F.sum(mean).alias("_a"), F.sum(mean * mean).alias("_b"), F.sum(F.col("_q") - F.col("_s") * mean).alias("_w"))
-    theta = F.explode(F.array(*[F.lit(float(t)) for t in np.concatenate([[0.0], np.logspace(-4, 4, 321)])])).alias("_theta")
-    g = size.select(*by, "_m", "_k", "_a", "_b", "_w", theta)
-    m, k, t = F.col("_m"), F.col("_k"), F.col("_theta")
-    u = m / (1 + m * t)
-    s = g.groupBy(*by, "_theta").agg(F.sum(k * m).alias("_n"), F.sum(k).alias("_e"), F.sum("_w").alias("_ww"), F.sum(u * k).alias("_u"), F.sum(u * F.col("_a")).alias("_ua"), F.sum(u * F.col("_b")).alias("_ub"), F.sum(k * F.log1p(m * t)).alias("_ld"))
-    rss = F.col("_ww") + F.col("_ub") - F.col("_ua") * F.col("_ua") / F.col("_u")
-    s = s.withColumn("_s2", rss / (F.col("_n") - 1)).withColumn("_ll", -0.5 * ((F.col("_n") - 1) * F.log("_s2") + F.col("_ld") + F.log("_u")))
-    top = s.where("_s2 > 0").groupBy(*by).agg(F.max(F.struct("_ll", (-t).alias("_t"), "_s2", "_n", "_e")).alias("_best"))
-    t = -F.col("_best._t")
-    return top.select(*by, (t / (1 + t)).alias("icc"), (t * F.col("_best._s2")).alias("sigma2_u"), F.col("_best._s2").alias("sigma2_e"), F.col("_best._n").alias("n"), F.col("_best._e").alias("n_entities"))
+    kinds = dict(df.select(*by).dtypes)
+    names = [f"_by{i}" for i in range(len(by))]
+    size = size.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], "_m", "_k", "_a", "_b", "_w")
+    out = size.groupBy(*names).applyInPandas(_icc_of_sizes(names), ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, by, strict=True)), "icc double, sigma2_u double, sigma2_e double, n bigint, n_entities bigint"]))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], "icc", "sigma2_u", "sigma2_e", "n", "n_entities")
+
+
+def _icc_of_sizes(names: Sequence[str]):
+    """REML of one group from its sums by size of entity: a row for each distinct size, so the group is small however many entities it has."""
+
+    def fit(pdf):
+        import pandas as pd
+
+        m, k, a, b, w = (pdf[c].to_numpy(float) for c in ("_m", "_k", "_a", "_b", "_w"))
+        n, e, within = float((k * m).sum()), float(k.sum()), float(w.sum())
+
+        def profile(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            u = m / (1 + np.outer(theta, m))
+            sums = (u * k).sum(1)
+            s2 = (within + (u * b).sum(1) - (u * a).sum(1) ** 2 / sums) / max(n - 1, 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ll = -0.5 * ((n - 1) * np.log(s2) + (k * np.log1p(np.outer(theta, m))).sum(1) + np.log(sums))
+            return np.where(s2 > 0, ll, -np.inf), s2
+
+        grid = np.concatenate([[0.0], np.logspace(-6, 6, 121)])
+        for _ in range(12):
+            ll, _ = profile(grid)
+            best = int(np.argmax(ll))
+            grid = np.linspace(grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)], 21)
+        ll, s2 = profile(grid)
+        best = int(np.argmax(ll))
+        if not np.isfinite(ll[best]):
+            return pd.DataFrame(columns=[*names, "icc", "sigma2_u", "sigma2_e", "n", "n_entities"])
+        t, v = float(grid[best]), float(s2[best])
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in names), t / (1 + t), t * v, v, int(n), int(e)]], columns=[*names, "icc", "sigma2_u", "sigma2_e", "n", "n_entities"])
+
+    return fit
 
 
 def lrt_random(df: DataFrame, entity: str, y: str) -> dict[str, float]:
@@ -463,11 +490,9 @@ def prediction_grid(df: DataFrame, m: Model, d: Design, x: str, z: str, factor:
     x runs from its 5th to its 95th percentile among rows near the percentile (within ``near`` of
     the range's share), or over its whole range where there are too few. ``fit`` and ``se`` come from coefficients and covariances.
     """
-    spark = df.sparkSession
     numeric = [t for t in dict.fromkeys(p for term in m.term.values() for p in term.split(":")) if t not in d.levels and t not in ("(Intercept)", x, z)]
     q = df.agg(F.percentile(z, F.array(*[F.lit(float(p)) for p in probs])).alias("_z")).select(F.posexplode("_z").alias("_i", "_z"))
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
-    lo, hi = (F.greatest(prob - near, F.lit(0.0)), F.least(prob + near, F.lit(1.0)))
     bands = df.agg(F.percentile(z, F.array(*[F.lit(max(p - near, 0.0)) for p in probs])).alias("_l"), F.percentile(z, F.array(*[F.lit(min(p + near, 1.0)) for p in probs])).alias("_h"), F.min(x).alias("_x0"), F.max(x).alias("_x1"), *[F.avg(c).alias(c) for c in numeric])
     g = q.crossJoin(F.broadcast(bands)).withColumn("_lo", F.col("_l")[F.col("_i")]).withColumn("_hi", F.col("_h")[F.col("_i")])
     inside = df.select(F.col(x).alias("_vx"), F.col(z).alias("_vz")).join(F.broadcast(g.select("_i", "_lo", "_hi")), F.col("_vz").between(F.col("_lo"), F.col("_hi")))
@@ -477,7 +502,6 @@ def prediction_grid(df: DataFrame, m: Model, d: Design, x: str, z: str, factor:
     a, b = F.when(few, F.col("_x0")).otherwise(F.col("_s")[0]), F.when(few, F.col("_x1")).otherwise(F.col("_s")[1])
     g = g.withColumn("_a", a).withColumn("_b", b).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn(factor, F.explode(F.array(*[F.lit(v) for v in d.levels[factor]])))
     g = g.withColumn(x, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_k") / (steps - 1)).withColumn(z, F.col("_z")).withColumn("percentile", prob)
-    del spark, lo, hi
     columns = [d.columns[n] for n in m.names]
     fit, var = F.lit(0.0), F.lit(0.0)
     for i, c in enumerate(columns):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .joins import assign_with_fallback, join_nearest
 from .lookups import lookup
 from .numerics import Z90, Z95, Z99, t_quantile
+from .reshape import to_wide_multi
 from .windows import first_per
 
 LEVELS = {"90": Z90, "95": Z95, "99": Z99}
@@ -113,12 +114,11 @@ def mdf_flags(df: DataFrame, flux: str = "flux", names: Sequence[str] = FLAGS, c
 def mdf_report(df: DataFrame, flags: Sequence[str], by: str) -> DataFrame:
     """Evaluated, below and percentage, by group and overall (``group`` 'all'), for all thresholds in one pass."""
     long = df.select(F.coalesce(F.col(by).cast("string"), F.lit("none")).alias("group"), *[F.col(f).cast("int").alias(f) for f in flags]).unpivot(["group"], list(flags), "threshold", "below")
-    long.createOrReplaceTempView(name := "sensorloom_mdf_long")
-    out = df.sparkSession.sql(
-        f"select if(grouping(`group`) = 1, 'all', `group`) as `group`, threshold, count(below) as evaluated, coalesce(sum(below), 0) as below, try_divide(100.0D * sum(below), count(below)) as pct from {name} group by grouping sets ((threshold), (`group`, threshold))"
-    )
-    df.sparkSession.catalog.dropTempView(name)
-    return out
+    group, threshold = F.col("group"), F.col("threshold")
+    out = long.groupingSets([[threshold], [group, threshold]], group, threshold)
+    out = out.agg(F.grouping("group").alias("_g"), F.count("below").alias("evaluated"), F.coalesce(F.sum("below"), F.lit(0)).alias("_b"))
+    out = out.withColumn("group", F.when(F.col("_g") == 1, "all").otherwise(F.col("group")))
+    return out.select("group", "threshold", "evaluated", F.col("_b").alias("below"), F.try_divide(100.0 * F.col("_b"), F.col("evaluated")).alias("pct"))
 
 
 def passes(flag: str) -> Column:
@@ -168,6 +168,12 @@ def filter_sensitivity(df: DataFrame, registry: Mapping[str, Column], flux: str
     return out.select(*by, "filter", "n", "n_pass", "pct_pass", "n_neg", "pct_neg", "mean", "median").orderBy(*by, F.desc("n_pass"), "filter")
 
 
+def filter_sensitivity_wide(df: DataFrame, registry: Mapping[str, Column], by: str, groups: Sequence[str], flux: str = "flux") -> DataFrame:
+    """Rows kept, their percentage and mean of each filter, with columns for each group side by side."""
+    long = filter_sensitivity(df, registry, flux, [by])
+    return to_wide_multi(long, ["filter"], by, groups, {m: F.first(m) for m in ("n_pass", "pct_pass", "mean")})
+
+
 def treatment_effects(df: DataFrame, flags: Mapping[str, str], flux: str = "flux", by: Sequence[str] = ()) -> DataFrame:
     """Mean, median and sd of flux by threshold and treatment of values below it: removed, set to zero, kept. A value without a limit is kept."""
     names = list(flags)
@@ -207,6 +213,13 @@ def period_breakdown(df: DataFrame, period: Column, by: Sequence[str], flux: str
     return d.groupBy("period", *by).agg(F.count("*").alias("n"), F.avg(flux).alias("mean"), F.percentile(flux, F.lit(0.5)).alias("median"), F.count_if(F.col(flux) < 0).alias("n_neg"), F.count_if(F.col(flag)).alias("n_below"))
 
 
+def overlap_breakdown(df: DataFrame, period: Column, by: str, groups: int, flux: str = "flux", flag: str = "below_MDF") -> DataFrame:
+    """The breakdown of those periods in which all ``groups`` groups have rows."""
+    out = period_breakdown(df, period, [by], flux, flag)
+    whole = out.groupBy("period").agg(F.count("*").alias("_g")).where(F.col("_g") == groups).select("period")
+    return out.join(whole, "period", "left_semi")
+
+
 def qc_classify(df: DataFrame, flux: str, snr: str, r2: str, own_snr: str, min_snr: float, min_r2: float, min_own_snr: float) -> DataFrame:
     """Flags of both gases, their numbers, and a class of each: several flags, else the first in precedence.
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stars
 from .numerics import f_pvalue, t_pvalue
-from .windows import rank_avg, top1
+from .reshape import metrics_long
+from .windows import rank_avg, top1, topn
 
 
 def anomaly(long: DataFrame, ts: str = "datetime", series: Sequence[str] = ("variable",), value: str = "value") -> DataFrame:
@@ -143,6 +145,32 @@ def compare_raw_anomaly(best: DataFrame, by: Sequence[str], variable: str = "var
     return out.withColumn("delta_r", F.col("r_anomaly") - F.col("r_raw")).withColumn("same_sign", F.signum("r_raw") == F.signum("r_anomaly"))
 
 
+def largest_changes(compared: DataFrame, by: Sequence[str], k: int = 5, variable: str = "variable") -> DataFrame:
+    """The k variables of each group whose r changes most between the modes, ties by name."""
+    return topn(compared, by, [F.abs("delta_r").desc_nulls_last(), F.asc(variable)], k, ties=False)
+
+
+def shared_variables(best: DataFrame, by: Sequence[str], group: str, groups: int, variable: str = "variable") -> DataFrame:
+    """Variables that are significant in all ``groups`` groups, with their smallest |r|."""
+    out = best.where("significant").groupBy(*by, variable).agg(F.countDistinct(group).alias(f"{group}s"), F.min(F.abs("r")).alias("weakest"))
+    return out.where(F.col(f"{group}s") == groups)
+
+
+def metric_correlations(df: DataFrame, metrics: Sequence[str], y: str, levels: Sequence[Sequence[str]], min_n: int = 4) -> DataFrame:
+    """r, n, r2, p and stars of every metric with y, by several groupings in one pass; columns outside a grouping read 'all'."""
+    cols = list(dict.fromkeys(c for level in levels for c in level))
+    long = metrics_long(df, [*cols, y], metrics)
+    out = corr_by_levels(long, "value", y, [["metric", *level] for level in levels], min_n, p=True)
+    return out.select("metric", *cols, "r", "n", (F.col("r") * F.col("r")).alias("r2"), "p", stars("p").alias("stars"))
+
+
+def forced_features(points: DataFrame, long: DataFrame, windows: Mapping[str, int], key: str, ts: str = "datetime", variable: str = "variable") -> DataFrame:
+    """One given window for each variable, wide: ``<variable>_raw_<n>h``; a window of one hour is the value itself."""
+    some = long.where(F.col(variable).isin(list(windows)))
+    f = window_features(points.select(key, ts), some, sorted(set(windows.values())), [variable], ts)
+    return f.groupBy(key).agg(*[F.max(F.when((F.col(variable) == v) & (F.col("window") == n), F.col("mean"))).alias(f"{v}_raw_{n}h") for v, n in windows.items()])
+
+
 def significance_report(best: DataFrame, by: Sequence[str], variable: str = "variable", k: int = 5) -> DataFrame:
     """Significant variables of a group: number, signs, names, the strongest k, and the range of windows."""
     sig = best.where("significant").withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.abs("r").desc(), variable)))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import models as M
 from ..operators import quality as Q
 from ..operators import reshape as R
 from ..operators import sensors as N
 from ..operators import stats as K
 from ..operators import windows as W
-from .catalog import _BEST, _SWEEP, _best, query
+from .catalog import _BEST, _MDF, _PASS, _SWEEP, ORACLE_SQL, SOME_WINDOWS, WINDOWS, _best, _mdf, query
 from .views import FLUX, LONG, SPECIES, driver_long, flux, table
 
 
@@ -164,7 +165,7 @@ def ordered_rows(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey")
 
 
-@query("with " + FLUX + ", g as (select tree, count(*) as n, avg(value) as m from flux group by 1) select tree, n, round(m, 6) as mean from g")
+@query("with " + FLUX + ", g as (select tree, count(*) as n, avg(value) as m from flux group by 1) select tree, n, round(m, 4) as mean from g", 4)
 def apply_by(spark, d):
     return A.apply_by(flux(spark, d).select("tree", "value"), ["tree"], lambda p: pd.DataFrame({"tree": [p["tree"].iloc[0]], "n": [len(p)], "mean": [p["value"].mean()]}), "tree bigint, n bigint, mean double")
 
@@ -299,27 +300,117 @@ def anova_p(spark, d):
 _ADJUSTED = _BEST + ", pv as (select *, " + p_sql("r", "n") + " as p from best), rk as (select *, row_number() over (partition by mode, site order by p, variable) as m, count(*) over (partition by mode, site) as k from pv), adj as (select *, least(1.0, min(p * k / m) over (partition by mode, site order by m desc rows between unbounded preceding and current row)) as p_adj from rk)"
 
 
-@query("with " + _SWEEP + _ADJUSTED + ' select site, variable, mode, "window", round(r, 6) as r, n, round(p, 6) as p, round(p_adj, 6) as p_adj, p_adj < 0.05 as significant from adj')
-def best_windows_p(spark, d):
-    return _best(spark, d, p=True).select("site", "variable", "mode", "window", "r", "n", "p", "p_adj", "significant")
-
-
-@query(
+ORACLE_SQL["best_windows_adjusted"] = "with " + _SWEEP + _ADJUSTED + ' select site, variable, mode, "window", \'mean\' as stat, round(r, 6) as r, n, round(p, 6) as p, round(p_adj, 6) as p_adj, p_adj < 0.05 as significant from adj'
+ORACLE_SQL["significance_report"] = (
     "with " + _SWEEP + _ADJUSTED + """, sg as (select *, row_number() over (partition by mode, site order by abs(r) desc, variable) as k5 from adj where p_adj < 0.5)
 select mode, site, count(*) as n, count(*) filter (where r > 0) as n_pos, count(*) filter (where r < 0) as n_neg, string_agg(variable, ',' order by variable) as names, string_agg(variable, ',' order by variable) filter (where k5 <= 5) as top, min("window") as min_window, quantile_cont("window"::double, 0.5) as median_window, max("window") as max_window from sg group by 1, 2"""
 )
-def significance_table(spark, d):
-    return K.significance_report(_best(spark, d, p=True, alpha=0.5), ["mode", "site"])
 
 
-_HOURLY_STATS = ", ".join(
-    f"case when row_number() over w >= {n} then avg(value) over w{n} end as mean{n}, case when row_number() over w >= {n} then coalesce(sum(value) over w{n}, 0) end as sum{n}, case when row_number() over w >= {n} then stddev_samp(value) over w{n} end as sd{n}" for n in (6, 24, 72)
+@query("with " + _SWEEP + _ADJUSTED + ", v as (select mode, variable, count(*) as sites, min(abs(r)) as weakest from adj where p_adj < 0.5 group by 1, 2 having count(*) = 2) select mode, variable, sites, round(weakest, 6) as weakest from v")
+def shared_variables(spark, d):
+    return K.shared_variables(_best(spark, d, p=True, alpha=0.5), ["mode"], "site", 2)
+
+
+@query("with " + _SWEEP + _BEST + """, w as (select site, variable, max(r) filter (where mode = 'raw') as r_raw, max(r) filter (where mode = 'anomaly') as r_anomaly from best group by 1, 2), k as (select *, r_anomaly - r_raw as delta_r, sign(r_raw) = sign(r_anomaly) as same_sign, row_number() over (partition by site order by abs(r_anomaly - r_raw) desc, variable) as place from w)
+select site, variable, round(r_raw, 6) as r_raw, round(r_anomaly, 6) as r_anomaly, round(delta_r, 6) as delta_r, same_sign from k where place <= 3""")
+def largest_changes(spark, d):
+    return K.largest_changes(K.compare_raw_anomaly(_best(spark, d), ["site"]), ["site"], 3)
+
+
+_STAT = "select variable, datetime, {n} as win, avg(value) over w as mean, coalesce(sum(value) over w, 0) as sum, stddev_samp(value) over w as sd, row_number() over (partition by variable order by datetime) as k from long window w as (partition by variable order by datetime rows between {m} preceding and current row)"
+_STATS = LONG + ", f3 as (" + " union all ".join(_STAT.format(n=n, m=n - 1) for n in WINDOWS) + "), u as (unpivot (select * from f3 where k >= win) on mean, sum, sd into name stat value feature)"
+ORACLE_SQL["sweep_statistics"] = "with " + _STATS + ', c as (select site, variable, win as "window", stat, case when count(*) >= 5 then corr(flux, feature) end as r, count(*) as n from flux join u on flux.hour = u.datetime where feature is not null group by 1, 2, 3, 4), e as (select site, variable, win as "window", stat from (select distinct site from flux) cross join (select distinct variable, win, stat from u)) select e.site, e.variable, e."window"::int as "window", e.stat, round(r, 6) as r, coalesce(n, 0) as n, round(' + p_sql("r", "n") + ", 6) as p from e left join c on c.site = e.site and c.variable = e.variable and c.\"window\" = e.\"window\" and c.stat = e.stat"
+
+
+# --- models ---------------------------------------------------------------------------------
+
+_ROLL5 = LONG + ", rl as (" + " union all ".join(f"select variable, datetime, {n} as win, avg(value) over w as mean, row_number() over (partition by variable order by datetime) as k from long window w as (partition by variable order by datetime rows between {n - 1} preceding and current row)" for n in SOME_WINDOWS) + "), ft as (select event_id, flux.flux, variable, win, mean from flux join rl on flux.hour = rl.datetime where k >= win)"
+ORACLE_SQL["feature_matrix"] = "with " + _ROLL5 + " select event_id, " + ", ".join(f"round(max(mean) filter (where variable = '{v}' and win = {n}), 6) as {v}_raw_{n}h" for v in ("click", "view") for n in (6, 24)) + " from ft where variable in ('click', 'view') and win in (6, 24) group by 1"
+ORACLE_SQL["window_grid"] = (
+    "with " + _ROLL5 + """, j as (select a.win as w1, b.win as w2, a.mean as x1, b.mean as x2, a.flux as y from ft a join ft b on a.event_id = b.event_id where a.variable = 'click' and b.variable = 'view' and a.mean is not null and b.mean is not null),
+g as (select w1, w2, count(*) as n, var_pop(x1) as aa, var_pop(x2) as bb, covar_pop(x1, x2) as ab, covar_pop(x1, y) as ay, covar_pop(x2, y) as yb, var_pop(y) as yy from j group by 1, 2),
+e as (select *, (bb * ay * ay + aa * yb * yb - 2 * ab * ay * yb) / (aa * bb - ab * ab) as ex from g)
+select w1::int as w1, w2::int as w2, n, round(ex / yy, 6) as r2, round(n * (ln(2 * pi() * (yy - ex)) + 1) + 8, 6) as aic from e"""
 )
-_STATS = LONG + f", f3 as (select variable, datetime, {_HOURLY_STATS} from long window w as (partition by variable order by datetime), " + ", ".join(f"w{n} as (partition by variable order by datetime rows between {n - 1} preceding and current row)" for n in (6, 24, 72)) + "), u as (" + " union all ".join(f"select variable, datetime, {n} as win, '{s}' as stat, {s}{n} as feature from f3" for n in (6, 24, 72) for s in ("mean", "sum", "sd")) + ")"
+_ROWS = FLUX + ", mr as (select *, hour(ts)::double as x, tree / 10.0 as z from flux)"
+ORACLE_SQL["slopes_by_level"] = (
+    "with " + _ROWS + """, g as (select species, count(*) as n, regr_slope(value, x) as b, regr_sxx(value, x) as sxx, regr_syy(value, x) - regr_sxy(value, x) ** 2 / regr_sxx(value, x) as sse from mr group by 1), s as (select sum(sse) / (sum(n) - 2 * count(*)) as s2 from g)
+select 'hour_of_day' as variable, species as level, round(b, 6) as slope, round(sqrt(s2 / sxx), 6) as se from g cross join s"""
+)
+ORACLE_SQL["gvif"] = (
+    "with " + _ROWS + """, m as (select species, avg(x) as mx, avg(z) as mz from mr group by 1), t as (select var_pop(x) as xx, var_pop(z) as zz, covar_pop(x, z) as xz from mr), w as (select avg((x - mx) ** 2) as xx, avg((z - mz) ** 2) as zz, avg((x - mx) * (z - mz)) as xz from mr join m on mr.species = m.species),
+r as (select 'hour_of_day' as term, 1 as df, t.xx / (w.xx - w.xz ** 2 / w.zz) as g from t cross join w union all select 'lagged', 1, t.zz / (w.zz - w.xz ** 2 / w.xx) from t cross join w union all select 'species', 4, (t.xx * t.zz - t.xz ** 2) / (w.xx * w.zz - w.xz ** 2) from t cross join w)
+select term, df::int as df, round(g, 6) as gvif, round(power(g, 1.0 / (2 * df)), 6) as scaled, power(g, 1.0 / df) > 5 as high from r"""
+)
+
+
+@query("with " + FLUX + ", h as (select tree, site, avg(reading) filter (where day(ts) <= 15) as a, avg(reading) filter (where day(ts) > 15) as b from flux group by 1, 2), e as (select site, (a + b) / 2 as m, (a - b) ** 2 / 2 as w from h where a is not null and b is not null), s as (select site, count(*) as k, 2 * var_samp(m) as msb, avg(w) as msw from e group by 1) select site, round(greatest((msb - msw) / 2, 0) / (greatest((msb - msw) / 2, 0) + case when msb > msw then msw else (msb * (k - 1) + msw * k) / (2 * k - 1) end), 4) as icc, (2 * k)::bigint as n, k::bigint as n_entities from s", 4)
+def icc_balanced(spark, d):
+    """Two half-month means of each tree: with equal numbers REML has a closed form."""
+    f = flux(spark, d).withColumn("half", F.dayofmonth("ts") <= 15).groupBy("site", "tree", "half").agg(F.avg("reading").alias("v")).where("v is not null")
+    both = f.groupBy("site", "tree").count().where("count = 2").drop("count")
+    out = M.icc(f.join(both, ["site", "tree"]), ["site"], "tree", "v")
+    return out.select("site", "icc", F.col("n").cast("bigint").alias("n"), F.col("n_entities").cast("bigint").alias("n_entities"))
+
+
+_GAMMA = FLUX + ", gm as (select site, species, ln(avg(value)) as l from flux where value > 0 group by 1, 2), a as (select l as l0 from gm where site = 'Upland' and species = 'click'), s as (select l as ls from gm where site = 'Wetland' and species = 'click'), t as (select '(Intercept)' as term, l0 as e from a union all select 'siteWetland', ls - l0 from a, s union all select 'species' || species, l - l0 from gm, a where site = 'Upland' and species <> 'click' union all select 'siteWetland:species' || g.species, g.l - u.l - ls + l0 from gm g join gm u on g.species = u.species and u.site = 'Upland', a, s where g.site = 'Wetland' and g.species <> 'click')"
+
+
+@query("with " + _GAMMA + " select term, round(e, 4) as estimate, round(exp(e), 4) as fold from t", 4)
+def gamma_means(spark, d):
+    """Crossed factors leave a group for each mean, so the fit is the logarithms of group means."""
+    return M.gamma_glm(flux(spark, d), "value", ["site", "species"])
+
+
+@query("with " + FLUX + " select site, '(Intercept)' as term, round(regr_intercept(asinh(flux), hour(ts)), 6) as estimate, count(*) as n, round(regr_r2(asinh(flux), hour(ts)), 6) as r2 from flux group by 1 union all select site, 'hour_of_day', round(regr_slope(asinh(flux), hour(ts)), 6), count(*), round(regr_r2(asinh(flux), hour(ts)), 6) from flux group by 1")
+def asinh_refit(spark, d):
+    f = flux(spark, d).withColumn("hour_of_day", F.hour("ts").cast("double")).withColumn("response", F.asinh("flux"))
+    return M.ols_by(f, "response", M.design(f, ["hour_of_day"]), ["site"]).select("site", "term", "estimate", "n", "r2")
+
+
+@query("with " + LONG + ", rl as (select variable, datetime, value, avg(value) over (partition by variable order by datetime rows between 281 preceding and current row) as m, row_number() over (partition by variable order by datetime) as k from long) select event_id, round(max(rl.value) filter (where variable = 'click'), 6) as click_raw_1h, round(max(m) filter (where variable = 'view' and k >= 282), 6) as view_raw_282h from flux join rl on flux.hour = rl.datetime group by 1")
+def forced_windows(spark, d):
+    f = flux(spark, d).select("event_id", F.col("hour").alias("datetime"))
+    return K.forced_features(f, driver_long(spark, d), {"click": 1, "view": 282}, "event_id")
+
+
+_MET8 = "m as (select label, " + ", ".join(f"embedding[{i + 1}]::double as d{i}" for i in range(5)) + " from embeddings)"
+
+
+@query(
+    "with " + _MET8 + ", l as (" + " union all ".join(f"select 'd{i}' as metric, label, d{i} as v, d0 as y from m" for i in range(1, 5)) + "), c as (select metric, 'all' as label, case when count(*) >= 4 then corr(v, y) end as r, count(*) as n from l group by 1 union all select metric, label::varchar, case when count(*) >= 4 then corr(v, y) end, count(*) from l group by 1, 2), p as (select *, " + p_sql("r", "n") + " as p from c) select metric, label, round(r, 6) as r, n, round(r * r, 6) as r2, round(p, 6) as p, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' when p is not null then '' end as stars from p"
+)
+def metric_correlations(spark, d):
+    e = table(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(5)])
+    return K.metric_correlations(e, [f"d{i}" for i in range(1, 5)], "d0", [[], ["label"]])
+
+
+@query("with " + _MET8 + ", l as (" + " union all ".join(f"select 'd{i}' as metric, label, d{i} as v, d0 as y from m" for i in range(1, 5)) + ") select metric, " + ", ".join(f"round(corr(v, y) filter (where label = {k}), 6) as r_{k}, round(corr(v, y) filter (where label = {k}) ** 2, 6) as r2_{k}" for k in range(3)) + " from l group by 1")
+def metric_correlations_wide(spark, d):
+    return R.to_wide_multi(metric_correlations(spark, d).where("label in ('0', '1', '2')"), ["metric"], "label", ["0", "1", "2"], {"r": F.first("r"), "r2": F.first("r2")})
+
+
+# --- quality tables -------------------------------------------------------------------------
+
+
+@query("with " + _MDF + ", l as (" + " union all ".join(f"select instrument, '{k}' as filter, {v} as ok, flux as x from z" for k, v in _PASS.items()) + "), s as (select instrument, filter, count(*) filter (where ok) as n, 100.0 * count(*) filter (where ok) / count(*) as pct, avg(x) filter (where ok) as m from l group by 1, 2) select filter, " + ", ".join(f"max(n) filter (where instrument = '{i}') as \"n_pass_{i}\", round(max(pct) filter (where instrument = '{i}'), 6) as \"pct_pass_{i}\", round(max(m) filter (where instrument = '{i}'), 6) as \"mean_{i}\"" for i in ("LGR/UGGA", "LI-7810")) + " from s group by 1")
+def filter_sensitivity_wide(spark, d):
+    registry = {k: v for k, v in Q.filter_registry().items() if "Christiansen" not in k}
+    return Q.filter_sensitivity_wide(_mdf(spark, d), registry, "instrument", list(Q.PRECISION))
+
+
+@query("with " + _MDF + ", o as (select date_trunc('week', ts)::date as w from z group by 1 having count(distinct instrument) = 2) select date_trunc('week', ts)::date as period, instrument, count(*) as n, round(avg(flux), 6) as mean, round(quantile_cont(flux, 0.5), 6) as median, count(*) filter (where flux < 0) as n_neg, count(*) filter (where below_MDF) as n_below from z where date_trunc('week', ts)::date in (select w from o) group by 1, 2")
+def overlap_periods(spark, d):
+    return Q.overlap_breakdown(_mdf(spark, d), F.date_trunc("week", "ts").cast("date"), "instrument", 2)
+
 
+@query("with " + _MDF + " select case when month(ts) in (11, 12, 1, 2, 3, 4) then 'Dormant (Nov-Apr)' else 'Growing (May-Oct)' end as period, instrument, count(*) as n, round(avg(flux), 6) as mean, round(quantile_cont(flux, 0.5), 6) as median, count(*) filter (where flux < 0) as n_neg, count(*) filter (where below_MDF) as n_below from z group by 1, 2")
+def dormancy_breakdown(spark, d):
+    return Q.period_breakdown(_mdf(spark, d), Q.dormancy(F.month("ts")), ["instrument"])
 
-@query("with " + _STATS + ', c as (select site, variable, win as "window", stat, case when count(*) >= 5 then corr({y}, feature) end as r, count(*) as n from flux join u on flux.hour = u.datetime where feature is not null group by 1, 2, 3, 4) select site, variable, "window"::int as "window", stat, round(r, 6) as r, n, round('.format(y="flux") + p_sql("r", "n") + ", 6) as p from c")
-def sweep_stats_p(spark, d):
-    f = flux(spark, d).select(F.col("hour").alias("datetime"), "site", "flux")
-    return K.window_sweep(f, driver_long(spark, d), (6, 24, 72), stats=("mean", "sum", "sd"), p=True).where("n > 0")
 
+@query("with " + _MDF + " select instrument, date_trunc('week', ts)::date as week, round(quantile_cont(flux, 0.25), 6) as q25, round(quantile_cont(flux, 0.5), 6) as median, round(quantile_cont(flux, 0.75), 6) as q75, count(flux) as n, round(-quantile_cont(noise_floor, 0.5), 6) as noise_low, round(quantile_cont(noise_floor, 0.5), 6) as noise_high from z group by 1, 2")
+def noise_envelope(spark, d):
+    f = _mdf(spark, d).withColumn("week", F.date_trunc("week", "ts").cast("date"))
+    return A.median_band(f, ["instrument", "week"], "flux", noise="noise_floor")
