@@ -7,6 +7,7 @@ an Arrow batch. A single longer text is its own piece.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -48,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans whose results have been written: its cleaner waits until the driver collects garbage, and meanwhile a long job's dead files fill the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
     """``docs`` and a struct of two longs without nulls that tells its rows apart and stays the same whenever they are read: where a row stands in its file. Rows that are not from files are written first."""
     try:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_SEPARATED, LOWER, WordHasher, bound_batches, cut, distinct_by_row, list_array, mix, pieces, row_sums, shingles, utf8, word_spans
+from .common import BLANK_SEPARATED, LOWER, WordHasher, bound_batches, cut, distinct_by_row, list_array, mix, pieces, release, row_sums, shingles, utf8, word_spans
 from .graph import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -236,10 +236,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = src.join(wanted, F.col("id").eqNullSafe(F.col("min_id")) & (F.xxhash64("text") == F.col("text_hash")))
     sets = cut(text.select("nid", _sets(shingle_words)("text").alias("items")).groupBy("nid").agg(F.first("items").alias("items")))
 
+    release(src.sparkSession)
     checked = cut(_compared(stars, sets, threshold))
+    del text, sets
+    release(src.sparkSession)
     links = checked.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b"))
     roots = components(links, rounds=1)  # what it leaves apart is only compared in vain
-    roots = components(links.union(_around_centres(checked, roots, threshold)))
+    more = cut(_around_centres(checked, roots, threshold))
+    release(src.sparkSession)
+    roots = components(links.union(more))
+    release(src.sparkSession)
 
     linked = nodes.select("nid", "min_id").join(roots, F.col("nid") == F.col("node"))
     linked = linked.join(linked.groupBy("root").agg(F.min("min_id").alias("first")), "root").select("nid", "first")
