@@ -7,10 +7,14 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import join_groups, quantiles, with_quantiles
 from .reshape import metrics_long
 from .windows import sampling_rounds
 
 
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
 def hourly_mean(df: DataFrame, ts: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     hour = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("datetime")
     return df.groupBy(*by, hour).agg(*[F.avg(c).alias(c) for c in values])
@@ -30,12 +34,10 @@ def resample(df: DataFrame, ts: str, unit: str, value: str, by: Sequence[str] =
 
 def describe_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Number, mean, spread and exact quantiles. ``se`` divides by all rows, ``se_valid`` by those with a value."""
-    v, q = F.col(value), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("_q"))
-    for i, name in enumerate(("q25", "median", "q75")):
-        out = out.withColumn(name, F.col("_q")[i])
-    out = out.withColumn("iqr", F.col("q75") - F.col("q25")).withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("se_valid", F.col("sd") / F.sqrt(F.nullif("n_valid", F.lit(0))))
-    return out.drop("_q")
+    v = F.col(value)
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+    out = with_quantiles(out, df, by, value, QUARTILES)
+    return out.withColumn("iqr", F.col("q75") - F.col("q25")).withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("se_valid", F.col("sd") / F.sqrt(F.nullif("n_valid", F.lit(0))))
 
 
 def count_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -111,7 +113,7 @@ def channel_coverage(sources: Mapping[str, DataFrame], channels: Sequence[str])
 
 def range_by(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Smallest, median and largest value, and the range as text."""
-    out = df.groupBy(*by).agg(F.min(col).alias("lo"), F.percentile(col, F.lit(0.5)).alias("median"), F.max(col).alias("hi"))
+    out = with_quantiles(df.groupBy(*by).agg(F.min(col).alias("lo"), F.max(col).alias("hi")), df, by, col, {"median": 0.5}).select(*by, "lo", "median", "hi")
     return out.withColumn("range_text", F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string")))
 
 
@@ -160,10 +162,9 @@ def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int, by: Sequ
 
 def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 IQR, and outliers."""
-    q = df.groupBy(*by).agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*by, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"))
+    q = quantiles(df, by, col, QUARTILES)
     lo, hi = F.col("q25") - 1.5 * (F.col("q75") - F.col("q25")), F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))
-    joined = df.join(q, list(by))
+    joined = join_groups(df, q, by, "inner")
     inside = F.col(col).between(lo, hi)
     out = joined.groupBy(*by).agg(F.first("q25").alias("q25"), F.first("median").alias("median"), F.first("q75").alias("q75"), F.min(F.when(inside, F.col(col))).alias("whisker_low"), F.max(F.when(inside, F.col(col))).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))
     return out
@@ -181,10 +182,11 @@ def bin2d(df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range:
 
 def median_band(df: DataFrame, by: Sequence[str], value: str, noise: str | None = None) -> DataFrame:
     """Median and quartiles by group; with a column of noise floors, also the envelope of plus and minus their median."""
-    floor = [] if noise is None else [F.percentile(noise, F.lit(0.5)).alias("_f")]
-    out = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.count(value).alias("n"), *floor)
-    envelope = [] if noise is None else [(-F.col("_f")).alias("noise_low"), F.col("_f").alias("noise_high")]
-    return out.select(*by, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "n", *envelope)
+    out = with_quantiles(df.groupBy(*by).agg(F.count(value).alias("n")), df, by, value, QUARTILES)
+    if noise is None:
+        return out.select(*by, *QUARTILES, "n")
+    out = with_quantiles(out, df, by, noise, {"noise_high": 0.5})
+    return out.select(*by, *QUARTILES, "n", (-F.col("noise_high")).alias("noise_low"), "noise_high")
 
 
 def round_means(df: DataFrame, date: str, value: str, by: Sequence[str], gap_days: int = 7) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .lookups import lookup
 from .numerics import Z95, chi2_p, t_p
+from .quantiles import with_group
 
 # --- design ---------------------------------------------------------------------------------
 
@@ -521,8 +522,8 @@ def extremes(pred: DataFrame, by: Sequence[str], value: str = "fit") -> DataFram
 
 def pca_by_group_norm(df: DataFrame, key: str, by: Sequence[str], metrics: Sequence[str], anchor: str, k: int = 2) -> tuple[DataFrame, DataFrame]:
     """``(scores, loadings)`` of metrics standardised in groups (0 where they can't be), not centred again; signs make the anchor's loading positive."""
-    w = Window.partitionBy(*by)
-    z = df.select(key, *by, *[F.coalesce(F.try_divide(F.col(m) - F.avg(m).over(w), F.stddev_samp(m).over(w)), F.lit(0.0)).alias(m) for m in metrics])
+    d = with_group(df.select(key, *by, *metrics), by, **{f"_m_{m}": F.avg(m) for m in metrics}, **{f"_s_{m}": F.stddev_samp(m) for m in metrics})
+    z = d.select(key, *by, *[F.coalesce(F.try_divide(F.col(m) - F.col(f"_m_{m}"), F.col(f"_s_{m}")), F.lit(0.0)).alias(m) for m in metrics])
     row = z.agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(metrics) for b in metrics[i:]]).alias("xx")).first()
     values, vectors = np.linalg.eigh(_square(row["xx"], len(metrics)) / max(row["n"] - 1, 1))
     order = np.argsort(values)[::-1][:k]
@@ -535,9 +536,8 @@ def pca_by_group_norm(df: DataFrame, key: str, by: Sequence[str], metrics: Seque
 
 def decay_phase(df: DataFrame, by: Sequence[str], damage: str, cv: str, threshold: float = 1.0) -> DataFrame:
     """Four phases from a damage threshold and whether the variation is above its group's mean."""
-    w = Window.partitionBy(*by)
-    z = F.try_divide(F.col(cv) - F.avg(cv).over(w), F.stddev_samp(cv).over(w))
-    d = df.withColumn("cv_z", z)
+    z = F.try_divide(F.col(cv) - F.col("_m"), F.col("_s"))
+    d = with_group(df, by, _m=F.avg(cv), _s=F.stddev_samp(cv)).withColumn("cv_z", z).drop("_m", "_s")
     low, high = F.col(damage) <= threshold, F.col(damage) > threshold
     # Names of the phases.
     phase = F.when(low & (F.col("cv_z") <= 0), "I: Sound").when(low & (F.col("cv_z") > 0), "II: Incipient").when(high & (F.col("cv_z") > 0), "III: Active").when(high & (F.col("cv_z") <= 0), "IV: Cavity")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .joins import assign_with_fallback, join_nearest
 from .lookups import lookup
 from .numerics import Z90, Z95, Z99, t_quantile
+from .quantiles import quantiles, with_quantiles
 from .reshape import to_wide_multi
 from .windows import first_per
 
@@ -80,7 +81,7 @@ def precision_of(instrument: Column, gas: int = 0) -> Column:
 
 def mdf_wassmann(df: DataFrame, allan_all: DataFrame, instrument: str, allan: str = "allan_sd") -> DataFrame:
     """z x the instrument's median Allan deviation over all its rows / duration x term, at 90, 95 and 99 %."""
-    mid = allan_all.where(F.col(allan).isNotNull()).groupBy(instrument).agg(F.percentile(allan, F.lit(0.5)).alias("_mid"))
+    mid = quantiles(allan_all, [instrument], allan, {"_mid": 0.5})
     d = df.join(mid, instrument, "left")
     base = F.try_divide(F.col("_mid"), F.col("t_sec_est")) * F.col("flux_term")
     return d.withColumns({f"MDF_wass{k}": z * base for k, z in LEVELS.items()}).drop("_mid")
@@ -161,9 +162,9 @@ def filter_sensitivity(df: DataFrame, registry: Mapping[str, Column], flux: str
     long = marked.unpivot([*by, "_x"], [f"_{i}" for i in range(len(names))], "_f", "_ok")
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.substring("_f", 2, 9).cast("int") + 1)
     ok, x = F.col("_ok"), F.col("_x")
-    out = long.groupBy(*by, name.alias("filter")).agg(
-        F.count("*").alias("n"), F.count_if(ok).alias("n_pass"), F.count_if(ok & (x < 0)).alias("n_neg"), F.avg(F.when(ok, x)).alias("mean"), F.percentile(F.when(ok, x), F.lit(0.5)).alias("median")
-    )
+    long = long.select(*by, name.alias("filter"), "_x", "_ok")
+    out = long.groupBy(*by, "filter").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_pass"), F.count_if(ok & (x < 0)).alias("n_neg"), F.avg(F.when(ok, x)).alias("mean"))
+    out = with_quantiles(out, long.where("_ok"), [*by, "filter"], "_x", {"median": 0.5})
     out = out.withColumn("pct_pass", 100 * F.try_divide(F.col("n_pass").cast("double"), F.col("n"))).withColumn("pct_neg", 100 * F.try_divide(F.col("n_neg").cast("double"), F.col("n_pass")))
     return out.select(*by, "filter", "n", "n_pass", "pct_pass", "n_neg", "pct_neg", "mean", "median").orderBy(*by, F.desc("n_pass"), "filter")
 
@@ -182,7 +183,9 @@ def treatment_effects(df: DataFrame, flags: Mapping[str, str], flux: str = "flux
     each = long.withColumn("threshold", name).withColumn("treatment", F.explode(F.array(F.lit("remove"), F.lit("zero"), F.lit("keep"))))
     value = F.when(~F.col("_b") | (F.col("treatment") == "keep"), F.col("_x")).when(F.col("treatment") == "zero", F.when(F.col("_x").isNotNull(), 0.0))
     each = each.withColumn("_v", value)
-    return each.groupBy(*by, "threshold", "treatment").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.percentile("_v", F.lit(0.5)).alias("median"), F.stddev_samp("_v").alias("sd"))
+    keys = [*by, "threshold", "treatment"]
+    out = each.groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
+    return with_quantiles(out, each, keys, "_v", {"median": 0.5}).select(*keys, "n", "mean", "median", "sd")
 
 
 def pct_change_vs(df: DataFrame, keys: Sequence[str], name: str, baseline: str, values: Sequence[str]) -> DataFrame:
@@ -196,7 +199,8 @@ def noise_check(df: DataFrame, by: Sequence[str], flux: str = "flux", noise: str
     """Negative values, and how many lie within one, two and three noise floors."""
     neg = F.col(flux) < 0
     within = [F.count_if(neg & (F.abs(flux) < k * F.col(noise))).alias(f"n_within_{k}") for k in (1, 2, 3)]
-    return df.groupBy(*by).agg(F.count_if(neg).alias("n_neg"), *within, F.percentile(F.when(neg, F.abs(flux)), F.lit(0.5)).alias("median_abs_neg"), F.percentile(noise, F.lit(0.5)).alias("median_noise"))
+    out = with_quantiles(df.groupBy(*by).agg(F.count_if(neg).alias("n_neg"), *within), df.where(neg).withColumn("_abs", F.abs(flux)), by, "_abs", {"median_abs_neg": 0.5})
+    return with_quantiles(out, df, by, noise, {"median_noise": 0.5})
 
 
 # Names of seasons and of the two halves of the year.
@@ -209,8 +213,9 @@ def dormancy(month: Column) -> Column:
 
 
 def period_breakdown(df: DataFrame, period: Column, by: Sequence[str], flux: str = "flux", flag: str = "below_MDF") -> DataFrame:
-    d = df.withColumn("period", period)
-    return d.groupBy("period", *by).agg(F.count("*").alias("n"), F.avg(flux).alias("mean"), F.percentile(flux, F.lit(0.5)).alias("median"), F.count_if(F.col(flux) < 0).alias("n_neg"), F.count_if(F.col(flag)).alias("n_below"))
+    d, keys = df.withColumn("period", period), ["period", *by]
+    out = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(flux).alias("mean"), F.count_if(F.col(flux) < 0).alias("n_neg"), F.count_if(F.col(flag)).alias("n_below"))
+    return with_quantiles(out, d, keys, flux, {"median": 0.5}).select(*keys, "n", "mean", "median", "n_neg", "n_below")
 
 
 def overlap_breakdown(df: DataFrame, period: Column, by: str, groups: int, flux: str = "flux", flag: str = "below_MDF") -> DataFrame:
@@ -242,7 +247,8 @@ def sign_analysis(df: DataFrame, by: Sequence[str], flux: str = "flux", flag: st
 
 
 def qc_by_group(df: DataFrame, by: Sequence[str], flux: str = "flux", flag: str = "below_MDF") -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(flux).alias("mean"), F.percentile(flux, F.lit(0.5)).alias("median"), F.stddev_samp(flux).alias("sd"), (100 * F.avg((F.col(flux) < 0).cast("int"))).alias("pct_neg"), (100 * F.avg(F.coalesce(F.col(flag), F.lit(False)).cast("int"))).alias("pct_below"))
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(flux).alias("mean"), F.stddev_samp(flux).alias("sd"), (100 * F.avg((F.col(flux) < 0).cast("int"))).alias("pct_neg"), (100 * F.avg(F.coalesce(F.col(flag), F.lit(False)).cast("int"))).alias("pct_below"))
+    return with_quantiles(out, df, by, flux, {"median": 0.5}).select(*by, "n", "mean", "median", "sd", "pct_neg", "pct_below")
 
 
 def quality_flags(flux: DataFrame, volumes: DataFrame, by_file: DataFrame, by_interval: DataFrame, *, key: str = "UniqueID", instrument: str = "instrument", default_bar: float = 1013.25, default_airt: float = 15.0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import add_calendar, match_cols, null_sentinels, parse_ts12
 from .joins import union_all
+from .quantiles import quantiles, with_quantiles
 from .reshape import to_long
 
 
@@ -37,7 +38,7 @@ def baseline_adjusted_mean(long: DataFrame, start: str, end: str, agg: Callable[
     grand = base.groupBy(*by).agg(F.avg("_b").alias("_g"))
     joined = long.join(base, [*by, sensor])
     mean = joined.groupBy(*by, ts).agg(F.avg(F.col(value) - F.col("_b")).alias("_d"), F.countDistinct(sensor).alias("n_sensors")).where(F.col("n_sensors") >= min_sensors)
-    out = mean.join(F.broadcast(grand), list(by)) if by else mean.crossJoin(F.broadcast(grand))
+    out = mean.join(grand, list(by)) if by else mean.crossJoin(F.broadcast(grand))
     return out.select(*by, ts, (F.col("_d") + F.col("_g")).alias("adjusted"), "n_sensors")
 
 
@@ -53,9 +54,8 @@ def baseline_sensitivity(long: DataFrame, windows: Mapping[str, tuple[str, str]]
 
 def five_numbers(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Minimum, 5 %, median, 95 % and maximum by group."""
-    probs = (0.0, 0.05, 0.5, 0.95, 1.0)
-    q = df.groupBy(*by).agg(F.percentile(col, F.array(*[F.lit(p) for p in probs])).alias("_q"), F.count(col).alias("n"))
-    return q.select(*by, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(("min", "p05", "med", "p95", "max"))])
+    probs = {"min": 0.0, "p05": 0.05, "med": 0.5, "p95": 0.95, "max": 1.0}
+    return with_quantiles(df.groupBy(*by).agg(F.count(col).alias("n")), df, by, col, probs).select(*by, "n", *probs)
 
 
 def coverage_summary(df: DataFrame, by: Sequence[str] = (), n: str = "n_sensors") -> DataFrame:
@@ -67,12 +67,18 @@ def baseline_summary(base: DataFrame, by: Sequence[str] = (), value: str = "base
 
 
 def coverage_strata(df: DataFrame, probs: Sequence[float], n: str = "n_sensors", value: str = "adjusted") -> DataFrame:
-    """Box statistics by stratum of the number of sensors: bins between its distinct quantiles, right-closed, the lowest included. One constant number makes one stratum."""
-    breaks = df.agg(F.array_distinct(F.percentile(n, F.array(*[F.lit(float(p)) for p in probs]))).alias("_b"))
-    d = df.crossJoin(F.broadcast(breaks))
-    k = F.greatest(F.size(F.filter("_b", lambda b: b < F.col(n))), F.lit(1))
-    out = d.groupBy(k.alias("stratum")).agg(F.min(n).alias("n_lo"), F.max(n).alias("n_hi"), F.count("*").alias("rows"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    return out.select("stratum", "n_lo", "n_hi", "rows", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"))
+    """Box statistics by stratum of the number of sensors: bins between its distinct quantiles, right-closed, the lowest included.
+
+    Where fewer than two quantiles differ, bins of equal width between the ends; a constant number has no strata.
+    """
+    names = [f"q{i}" for i in range(len(probs))]
+    breaks = quantiles(df, [], n, dict(zip(names, probs, strict=True))).select(F.array_distinct(F.array(*names)).alias("_b"))
+    ends = df.agg(F.min(n).cast("double").alias("_lo"), F.max(n).cast("double").alias("_hi"))
+    even = F.array(*[F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (len(probs) - 1) for i in range(len(probs))])
+    breaks = breaks.crossJoin(F.broadcast(ends)).where("_lo < _hi").select(F.when(F.size("_b") > 2, F.col("_b")).otherwise(even).alias("_b"))
+    d = df.crossJoin(F.broadcast(breaks)).withColumn("stratum", F.greatest(F.size(F.filter("_b", lambda b: b < F.col(n))), F.lit(1)))
+    out = d.groupBy("stratum").agg(F.min(n).alias("n_lo"), F.max(n).alias("n_hi"), F.count("*").alias("rows"))
+    return with_quantiles(out, d, ["stratum"], value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
 
 
 def replicate_pairs(df: DataFrame, ts: str, a: str, b: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import join_groups, quantiles, value_ranks, with_group
+
 
 def _trail(series: Sequence[str], ts: str, n: int):
     return Window.partitionBy(*series).orderBy(ts).rowsBetween(-(n - 1), 0)
@@ -57,26 +59,20 @@ def clip_intervals(df: DataFrame, lo: Column, hi: Column, start: str = "start",
 
 def zscore(df: DataFrame, by: Sequence[str], col: str, out: str = "z", zero: bool = False) -> DataFrame:
     """(x - mean) / sd in groups, or in the whole table as one aggregate beside it. With ``zero``, what can't be divided is 0."""
-    if by:
-        w = Window.partitionBy(*by)
-        z = F.try_divide(F.col(col) - F.avg(col).over(w), F.stddev_samp(col).over(w))
-        return df.withColumn(out, F.coalesce(z, F.lit(0.0)) if zero else z)
-    one = df.agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s"))
     z = F.try_divide(F.col(col) - F.col("_m"), F.col("_s"))
-    return df.crossJoin(F.broadcast(one)).withColumn(out, F.coalesce(z, F.lit(0.0)) if zero else z).drop("_m", "_s")
+    return with_group(df, by, _m=F.avg(col), _s=F.stddev_samp(col)).withColumn(out, F.coalesce(z, F.lit(0.0)) if zero else z).drop("_m", "_s")
 
 
 def minmax(df: DataFrame, by: Sequence[str], col: str, out: str = "scaled") -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn(out, F.try_divide(F.col(col) - F.min(col).over(w), F.max(col).over(w) - F.min(col).over(w)))
+    return with_group(df, by, _a=F.min(col), _b=F.max(col)).withColumn(out, F.try_divide(F.col(col) - F.col("_a"), F.col("_b") - F.col("_a"))).drop("_a", "_b")
 
 
 def rank_avg(df: DataFrame, by: Sequence[str], col: str, out: str = "rank", descending: bool = True) -> DataFrame:
-    """Ranks with ties at their mean rank; NULL has none."""
-    order = F.col(col).desc_nulls_last() if descending else F.col(col).asc_nulls_last()
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(order))
-    ties = F.count("*").over(Window.partitionBy(*by, col))
-    return df.withColumn(out, F.when(F.col(col).isNotNull(), rank + (ties - 1) / 2))
+    """Ranks with ties at their mean rank; NULL has none. Distinct values are ranked over bins of a group's range, and joined back."""
+    r = value_ranks(df, by, col)
+    first = F.col("n") - F.col("before") - F.col("c") if descending else F.col("before")
+    r = r.select(*by, F.col("x").alias("_x"), (first + 1 + (F.col("c") - 1) / 2).alias(out))
+    return join_groups(df.withColumn("_x", F.col(col).cast("double")), r, [*by, "_x"]).drop("_x")
 
 
 def topn(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, ties: bool = True) -> DataFrame:
@@ -123,12 +119,13 @@ def rank_variables(df: DataFrame, group: str, variable: str, value: str) -> Data
 
 
 def pct_retained(df: DataFrame, by: Sequence[str], test: Column, out: str = "pct_retained") -> DataFrame:
-    return df.withColumn(out, 100 * F.avg(F.coalesce(test, F.lit(False)).cast("int")).over(Window.partitionBy(*by)))
+    return with_group(df, by, **{out: 100 * F.avg(F.coalesce(test, F.lit(False)).cast("int"))})
 
 
 def quantile_bands(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
     """A band around each quantile: midpoints to its neighbours, NULL for no end."""
-    q = df.agg(F.percentile(col, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")).select(F.posexplode("_q").alias("band", "centre"))
+    names = [f"q{i}" for i in range(len(probs))]
+    q = quantiles(df, [], col, dict(zip(names, probs, strict=True))).select(F.posexplode(F.array(*names)).alias("band", "centre"))
     w = Window.partitionBy(F.lit(0)).orderBy("band")
     return q.select("band", "centre", ((F.lag("centre").over(w) + F.col("centre")) / 2).alias("lower"), ((F.lead("centre").over(w) + F.col("centre")) / 2).alias("upper"))
 
