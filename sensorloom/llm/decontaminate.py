@@ -115,6 +115,15 @@ def _by_passage(values: np.ndarray, passage: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first, axis=0)
 
 
+def _some(passage: np.ndarray, most: int = 1 << 13) -> Iterator[slice]:
+    """Slices of about ``most`` entries that end with a passage, so that rows of dense vectors for them stay few; a passage has at most twice ``HALF`` entries."""
+    a = 0
+    while a < len(passage):
+        b = int(np.searchsorted(passage, passage[min(a + most, len(passage)) - 1], side="right"))
+        yield slice(a, b)
+        a = b
+
+
 def lcs_length(masks: dict[int, int], width: int, tokens: list[int]) -> int:
     """Longest common subsequence of ``tokens`` and a part of ``width`` words, whose places have a bit each in ``masks``; bit-parallel."""
     ones = (1 << width) - 1
@@ -214,10 +223,12 @@ def _range_sketch(docs: DataFrame, hashes: np.ndarray, feature: np.ndarray, idf:
                 _, passage, own, count = _passages(_read(data[off[i] : off[j]], off[i : j + 1] - off[i], hasher, words), feature)
                 if not len(own):
                     continue
-                w = _weights(passage, own, count, idf)
-                projected = _by_passage(omega[own] * w[:, None], passage)
-                order = np.argsort(own, kind="stable")
-                total[np.unique(own)] += _by_passage(projected[passage[order]] * w[order, None], own[order])
+                weight = _weights(passage, own, count, idf)
+                for part in _some(passage):
+                    f, w, of = own[part], weight[part], passage[part] - passage[part.start]
+                    projected = _by_passage(omega[f] * w[:, None], of)
+                    order = np.argsort(f, kind="stable")
+                    total[np.unique(f)] += _by_passage(projected[of[order]] * w[order, None], f[order])
         some = np.flatnonzero(total.any(axis=1))
         for group in range(k // COLUMNS):
             columns = [pa.array(total[some, group * COLUMNS + c].astype(np.float64)) for c in range(COLUMNS)]
@@ -278,15 +289,16 @@ def _search(hashes: np.ndarray, feature: np.ndarray, idf: np.ndarray, basis: np.
             text = _read(data[off[i] : off[j]], off[i : j + 1] - off[i], hasher, words)
             names, passage, own, count = _passages(text, feature)
             best: dict[tuple[int, int], dict] = {}
-            if len(own):
-                w = _weights(passage, own, count, idf)
-                point = _by_passage(basis[own] * w[:, None], passage)
+            weight = _weights(passage, own, count, idf) if len(own) else np.zeros(0, np.float32)
+            for some in _some(passage):
+                first, f, w = int(passage[some.start]), own[some], weight[some]
+                point = _by_passage(basis[f] * w[:, None], passage[some] - first)
                 norm = np.maximum(np.linalg.norm(point, axis=1, keepdims=True), 1e-12)
-                of, part_of = _pairs(passage, own, index, len(parts))
+                of, part_of = _pairs(passage[some] - first, f, index, len(parts))
                 cosine = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", point[of[x : x + 4096]], latent[part_of[x : x + 4096]]) for x in range(0, len(of), 4096))]) / norm[of, 0]
                 near = cosine >= s.min_cosine
                 tokens_of: dict[int, list[int]] = {}
-                for a, b, c in zip(of[near].tolist(), part_of[near].tolist(), cosine[near].tolist(), strict=True):
+                for a, b, c in zip((of[near] + first).tolist(), part_of[near].tolist(), cosine[near].tolist(), strict=True):
                     row, number = int(names[a] >> 32), int(names[a] & 0xFFFFFFFF)
                     lo = int(text.start[row]) + number * HALF
                     if a not in tokens_of:
