@@ -224,11 +224,21 @@ def lmm(df: DataFrame, y: str, d: Design, group: str, reml: bool = True, rounds:
 
 def icc(df: DataFrame, by: Sequence[str], entity: str, y: str) -> DataFrame:
     """Repeatability by group: variance of entities' intercepts / all variance, by REML on each entity's number, sum and squares."""
-    each = df.where(F.col(y).isNotNull()).groupBy(*by, entity).agg(F.count("*").alias("_m"), F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_q"))
+    return _icc_of_entities(_entities(df, by, entity, y), by)
+
+
+def _entities(df: DataFrame, by: Sequence[str], entity: str, y: str) -> DataFrame:
+    """Number, mean and squares within of each entity."""
+    each = df.where(F.col(y).isNotNull()).groupBy(*by, entity).agg(F.count("*").alias("_m"), F.avg(y).alias("_mean"), F.var_pop(y).alias("_v"))
+    return each.withColumn("_within", F.col("_v") * F.col("_m")).drop("_v")
+
+
+def _icc_of_entities(each: DataFrame, by: Sequence[str], weight: Column | None = None) -> DataFrame:
+    """``weight``: how often an entity counts."""
+    k, mean = F.lit(1) if weight is None else weight, F.col("_mean")
     # the likelihood needs, for each size of entity: how many, sum of means and of squared means
-    mean = F.col("_s") / F.col("_m")
-    size = each.groupBy(*by, "_m").agg(F.count("*").alias("_k"), F.sum(mean).alias("_a"), F.sum(mean * mean).alias("_b"), F.sum(F.col("_q") - F.col("_s") * mean).alias("_w"))
-    kinds = dict(df.select(*by).dtypes)
+    size = each.groupBy(*by, "_m").agg(F.sum(k).alias("_k"), F.sum(k * mean).alias("_a"), F.sum(k * mean * mean).alias("_b"), F.sum(k * F.col("_within")).alias("_w")).where("_k > 0")
+    kinds = dict(each.select(*by).dtypes)
     names = [f"_by{i}" for i in range(len(by))]
     size = size.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], "_m", "_k", "_a", "_b", "_w")
     out = size.groupBy(*names).applyInPandas(_icc_of_sizes(names), ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, by, strict=True)), "icc double, sigma2_u double, sigma2_e double, n bigint, n_entities bigint"]))
@@ -388,7 +398,7 @@ def forward_select(df: DataFrame, y: str, core: Sequence[str], candidates: Seque
     return lookup(spark, rows, "step int, variable string, r2 double, gain double")
 
 
-def selection_frequency(df: DataFrame, key: str, y: str, core: Sequence[str], candidates: Sequence[str], steps: int = 6, runs: int = 20, share: float = 0.8) -> DataFrame:
+def selection_frequency(df: DataFrame, key: str, y: str, core: Sequence[str], candidates: Sequence[str], steps: int = 6, runs: int = 100, share: float = 0.8) -> DataFrame:
     """How often each candidate is chosen over hash-weighted resamples: rows draw Poisson(1) weights from a hash of key and run, one grouped aggregate for all runs."""
     spark = df.sparkSession
     d = design(df, [*core, *candidates])
@@ -627,19 +637,19 @@ def poisson_weight(key: Column, run: Column) -> Column:
 def repeatability(df: DataFrame, key: str, entity: str, y: str, nboot: int = 1000, nperm: int = 1000, seed: int = 42) -> DataFrame:
     """ICC with a bootstrap interval over entities and a permutation p.
 
-    Boot runs give entities Poisson weights; permutation runs deal values to entities anew by a hash order. Runs are a column, so
-    each kind is one grouped fit.
+    Boot runs give entities Poisson weights, so they multiply entities' sums and not rows; permutation runs deal values to entities anew
+    within buckets of some ten thousand rows, drawn by a hash in each run. Runs are a column, so each kind is one grouped fit.
     """
     d = df.where(F.col(y).isNotNull()).select(F.col(key).alias("_k"), F.col(entity).cast("string").alias("_e"), F.col(y).cast("double").alias("_y"))
     own = icc(d.withColumn("run", F.lit(0)), ["run"], "_e", "_y").first()
-    drawn = d.withColumn("run", F.explode(F.sequence(F.lit(seed + 1), F.lit(seed + nboot)))).withColumn("_w", poisson_weight(F.col("_e"), F.col("run")))
-    boot = drawn.where("_w > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_w")))).withColumn("_e", F.concat_ws("#", "_e", "_c"))
-    ci = icc(boot, ["run"], "_e", "_y").agg(F.percentile("icc", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).first()["q"]
-    shuffled = d.withColumn("run", F.explode(F.sequence(F.lit(seed + 1), F.lit(seed + nperm))))
-    w = Window.partitionBy("run")
-    values = shuffled.select("run", "_y", F.row_number().over(w.orderBy(F.xxhash64("_k", "run"), "_k")).alias("_i"))
-    places = shuffled.select("run", "_e", F.row_number().over(w.orderBy("_k")).alias("_i"))
-    perm = icc(values.join(places, ["run", "_i"]), ["run"], "_e", "_y")
+    drawn = _entities(d, [], "_e", "_y").withColumn("run", F.explode(F.sequence(F.lit(seed + 1), F.lit(seed + nboot))))
+    ci = _icc_of_entities(drawn, ["run"], poisson_weight(F.col("_e"), F.col("run"))).agg(F.percentile("icc", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).first()["q"]
+    buckets = (own["n"] if own else 0) // 20_000 + 1
+    shuffled = d.withColumn("run", F.explode(F.sequence(F.lit(seed + 1), F.lit(seed + nperm)))).withColumn("_b", F.pmod(F.xxhash64("_k", "run", F.lit(1)), F.lit(buckets)))
+    w = Window.partitionBy("run", "_b")
+    # the i-th value by one hash goes to the i-th place by another
+    ordered = shuffled.select("run", "_b", "_e", "_y", F.row_number().over(w.orderBy(F.xxhash64("_k", "run"), "_k")).alias("_i"), F.row_number().over(w.orderBy(F.xxhash64("_k", "run", F.lit(2)), "_k")).alias("_j"))
+    perm = icc(ordered.select("run", "_b", "_i", "_y").join(ordered.select("run", "_b", F.col("_j").alias("_i"), "_e"), ["run", "_b", "_i"]), ["run"], "_e", "_y")
     above = perm.agg(F.count_if(F.col("icc") >= own["icc"]).alias("a"), F.count("*").alias("n")).first()
     rows = [(own["icc"], own["sigma2_u"], own["sigma2_e"], own["n"], own["n_entities"], ci[0] if ci else None, ci[1] if ci else None, (above["a"] + 1) / (above["n"] + 1))]
     return lookup(df.sparkSession, rows, "icc double, sigma2_u double, sigma2_e double, n bigint, n_entities bigint, lower double, upper double, p double")

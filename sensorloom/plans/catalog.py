@@ -893,7 +893,7 @@ def forward_select(spark, d):
 
 @query()
 def selection_frequency(spark, d):
-    return M.selection_frequency(_metrics(spark, d), "vec_id", "d0", [], [f"d{i}" for i in range(1, 8)], steps=3, runs=10)
+    return M.selection_frequency(_metrics(spark, d), "vec_id", "d0", [], [f"d{i}" for i in range(1, 8)])
 
 
 @query()
@@ -951,7 +951,7 @@ def sweep_statistics(spark, d):
 def prediction_grid(spark, d):
     li = table(spark, d, "lineitem")
     des = M.design(li, ["l_quantity*l_discount*l_returnflag"], ["l_returnflag"])
-    return M.prediction_grid(li, M.ols(li, "l_extendedprice", des), des, "l_quantity", "l_discount", "l_returnflag", steps=20)
+    return M.prediction_grid(li, M.ols(li, "l_extendedprice", des), des, "l_quantity", "l_discount", "l_returnflag")
 
 
 @query()
@@ -1007,14 +1007,14 @@ _FOREST = [f"d{i}" for i in range(1, 6)]
 
 @query()
 def forest_importance(spark, d):
-    m, _, rows = M.forest(_metrics(spark, d), "d0", _FOREST, trees=20, max_depth=5, key="vec_id")
+    m, _, rows = M.forest(_metrics(spark, d), "d0", _FOREST, key="vec_id")
     return M.permutation_importance(m, rows, _FOREST, "vec_id")
 
 
 @query()
 def shapley(spark, d):
-    m, _, rows = M.forest(_metrics(spark, d), "d0", _FOREST, trees=10, max_depth=4, key="vec_id")
-    return M.shapley(m, rows, _FOREST, "vec_id", nsim=5, max_obs=50)
+    m, _, rows = M.forest(_metrics(spark, d), "d0", _FOREST, key="vec_id")
+    return M.shapley(m, rows, _FOREST, "vec_id")
 
 
 @query()
@@ -1024,7 +1024,7 @@ def gamma_glm(spark, d):
 
 @query()
 def repeatability(spark, d):
-    return M.repeatability(flux(spark, d), "event_id", "tree", "reading", nboot=20, nperm=20)
+    return M.repeatability(flux(spark, d), "event_id", "tree", "reading")
 
 
 from . import more  # noqa: E402, F401  registers its queries
