@@ -1,6 +1,10 @@
 """Every registered query of the measurement operators against its SQL, at the smallest size."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -48,7 +52,12 @@ def test_query(spark, duck, name):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-5)) for x, y in zip(a, b, strict=True)), (a, b)
 
 
-def test_entry_imports_without_the_corpus_folders():
+def test_entry_imports_without_the_corpus_folders(tmp_path):
     import __spark_entry__ as e
 
     assert set(catalog.QUERIES) <= set(e.queries()) and set(catalog.ORACLE_SQL) <= set(e.oracle_sql())
+    root = Path(e.__file__).parent
+    shutil.copytree(root / "sensorloom", tmp_path / "sensorloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE_SQL))], said.stderr
