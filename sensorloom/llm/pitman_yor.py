@@ -300,8 +300,15 @@ def sample_tables(rng: np.random.Generator, c: np.ndarray, discount: float, stre
     seatings = log_stirling(discount, int(c[c <= TABLE_MOST].max(initial=1)))
     for n in np.unique(c[(c > 1) & (c <= TABLE_MOST)]).tolist():
         rows, stirling = np.flatnonzero(c == n), seatings[n]
-        for i in range(0, len(rows), max(1, (1 << 20) // n)):
-            own = rows[i : i + max(1, (1 << 20) // n)]
+        for i in range(0, len(rows), max(1, (1 << 18) // n)):
+            own = rows[i : i + max(1, (1 << 18) // n)]
+            if n <= 32:
+                # weights of 2, 3, ... tables over that of one
+                ratio = parent[own, None] * (strength + discount * (others[own, None] + np.arange(1, n))) * np.exp(np.diff(stirling))
+                weight = np.cumsum(np.cumprod(ratio, axis=1), axis=1)
+                drawn = rng.random(len(own)) * (1 + weight[:, -1]) - 1
+                t[own] = 1 + (drawn >= 0) + (weight[:, :-1] <= drawn[:, None]).sum(1)
+                continue
             weight = np.cumsum(np.log(parent[own, None] * (strength + discount * (others[own, None] + np.arange(n)))), axis=1) + stirling
             t[own] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
     rows = np.flatnonzero(c > TABLE_MOST)
@@ -328,42 +335,48 @@ def sample_tables(rng: np.random.Generator, c: np.ndarray, discount: float, stre
 
 # --- sweeps
 
-STATE = "part bigint, u binary, w binary, c binary, t binary, total binary"
-SAVED = "part bigint, asker bigint, u binary, saved_u binary, w binary, saved_w binary"
+#: A part's pairs (``asker`` -1) with their customers, tables, and tables added over samples; or what it asks of a part of words: the places of its contexts and words there, and in ``c`` and ``t`` how many tables less than customers its pairs have at each.
+STATE = "part bigint, asker bigint, u binary, w binary, c binary, t binary, total binary"
 ROOT = "part bigint, asker bigint, tables binary, customers binary, root_tables binary, n_customers bigint, n_tables bigint"
 
 
-def dealt_words(u: np.ndarray, w: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For contexts and for words: the distinct numbers by part and place, each pair's place among them, and their parts and places."""
-    out = []
-    for ids in (u, w):
+def dealt_words(ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each number's place among the distinct ones in the order of parts, and the distinct ones' parts and places in them."""
+    if (ids[1:] >= ids[:-1]).all():  # contexts come in order
+        new = np.concatenate([np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]])
+        distinct, place = ids[new], np.cumsum(new) - 1
+    else:
         distinct, place = np.unique(ids, return_inverse=True)
-        part, spot = word_parts(distinct, parts)
-        order = np.argsort(part, kind="stable")
-        where = np.empty(len(order), np.int64)
-        where[order] = np.arange(len(order))
-        out.append((distinct[order], where[place], part[order], spot[order]))
-    return out
+    part, spot = word_parts(distinct, parts)
+    order = np.argsort(part, kind="stable")
+    where = np.empty(len(order), np.int64)
+    where[order] = np.arange(len(order))
+    return where[place], part[order], spot[order]
 
 
-def request_root(parts: int):
-    """How many tables less than customers the pairs have, by context and by word."""
+def state_rows(part: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray, total: np.ndarray, sides: list[tuple], parts: int) -> list[tuple]:
+    """Rows of ``STATE`` of a part; ``sides``: ``dealt_words`` of its contexts and words."""
+    saved = [np.bincount(s[0], weights=c - t, minlength=len(s[1])).astype(np.int64) for s in sides]
+    edges = [np.searchsorted(s[1], np.arange(parts + 1)) for s in sides]
+    rows, none = [(part, -1, *map(pack, (u, w, c, t, total)))], pack(np.zeros(0, np.int64))
+    for p in range(parts):
+        (a, b), (x, y) = ((e[p], e[p + 1]) for e in edges)
+        if b > a or y > x:
+            rows.append((p, part, pack(sides[0][2][a:b]), pack(sides[1][2][x:y]), pack(saved[0][a:b]), pack(saved[1][x:y]), none))
+    return rows
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def first_seating(parts: int):
+    """One table a dish."""
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "u", "w", "c", "t")), strict=True):
-                u, w, c, t = map(unpack, blobs)
-                sides = dealt_words(u, w, parts)
-                saved = [np.bincount(s[1], weights=c - t, minlength=len(s[0])).astype(np.int64) for s in sides]
-                edges = [np.searchsorted(s[2], np.arange(parts + 1)) for s in sides]
-                rows = []
-                for p in range(parts):
-                    (a, b), (x, y) = ((e[p], e[p + 1]) for e in edges)
-                    if b > a or y > x:
-                        rows.append((p, name, pack(sides[0][3][a:b]), pack(saved[0][a:b]), pack(sides[1][3][x:y]), pack(saved[1][x:y])))
-                yield from table(SAVED, rows).to_batches()
+            for part, *blobs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                u, w, c = map(unpack, blobs)
+                one = np.ones(len(c), np.int64)
+                yield from table(STATE, state_rows(part, u, w, c, one, 0 * one, [dealt_words(x, parts) for x in (u, w)], parts)).to_batches()
 
-    return ask
+    return seat
 
 
 def seat_root(parts: int, sweep: int, seed: int, discount: float, strength: float, vocabulary: int, root_total: int):
@@ -372,7 +385,7 @@ def seat_root(parts: int, sweep: int, seed: int, discount: float, strength: floa
     def seat(counted: pa.Table, asked: pa.Table) -> pa.Table:
         part, counts = counted["part"][0].as_py(), unpack(counted["ids"][0].as_py())
         tables, customers = counts.copy(), counts.copy()
-        columns = [unpacked(asked[c]) for c in ("u", "saved_u", "w", "saved_w")]
+        columns = [unpacked(asked[c]) for c in ("u", "c", "w", "t")]
         for u, less_u, w, less_w in zip(*columns, strict=True):
             tables[u] -= less_u  # no number stands twice in one row
             customers[w] -= less_w
@@ -389,19 +402,19 @@ def seat_root(parts: int, sweep: int, seed: int, discount: float, strength: floa
 
 
 def seat_contexts(parts: int, sweep: int, seed: int, discount: float, strength: float, root: dict, keep: bool):
-    """The contexts' seating anew. Kept are the tables that the parent's customers are, so that each sample's probabilities add up to 1."""
+    """The contexts' seating anew. Added up are the tables that the parent's customers are, so that each sample's probabilities add up to 1."""
 
     def seat(state: pa.Table, answers: pa.Table) -> pa.Table:
         part = state["part"][0].as_py()
         u, w, c, t, total = (unpack(state[x][0].as_py()) for x in ("u", "w", "c", "t", "total"))
+        sides = [dealt_words(x, parts) for x in (u, w)]
         if len(u):
             answers = answers.sort_by("part")
-            own_u, own_w = (s[1] for s in dealt_words(u, w, parts))
             tables, customers, root_tables = (np.concatenate(unpacked(answers[x])) for x in ("tables", "customers", "root_tables"))
             rng = np.random.Generator(np.random.PCG64([seed, sweep, part, 2]))
             total = total + t if keep else total
-            t = sample_tables(rng, c, discount, strength, (tables[own_u] - t).astype(float), root_probability(customers, root_tables, root)[own_w])
-        return table(STATE, [(part, *map(pack, (u, w, c, t, total)))])
+            t = sample_tables(rng, c, discount, strength, (tables[sides[0][0]] - t).astype(float), root_probability(customers, root_tables, root)[sides[1][0]])
+        return table(STATE, state_rows(part, u, w, c, t, total, sides, parts))
 
     return seat
 
@@ -446,8 +459,8 @@ def answer_pairs(samples: int):
 
     def answer(asked: pa.Table, state: pa.Table) -> pa.Table:
         part = asked["part"][0].as_py()
-        c, t = (np.concatenate([[0, 1], unpack(state[x][0].as_py())]) for x in ("c", "total"))
-        t[1] = samples
+        c, t, total = (unpack(state[x][0].as_py()) for x in ("c", "t", "total"))
+        c, t = np.concatenate([[0, 1], c]), np.concatenate([[0, samples], total + t])
         return table(WORD_VALUES, [(chunk, part, 1, pack(c[x]), pack(t[x])) for chunk, x in zip(asked["chunk"].to_pylist(), unpacked(asked["places"]), strict=True)])
 
     return answer
@@ -513,37 +526,28 @@ def score_texts(docs: DataFrame, strength: float = STRENGTH, burn_in: int = BURN
     pairs = written(asked.groupBy("part").applyInArrow(count_pairs, PAIR_ANSWER), "pairs")
     once, twice = (x or 0 for x in pairs.agg(F.sum("once"), F.sum("twice")).first())
     discount = discount_of(once, twice)
-    state = pairs.where("chunk < 0").select("part", "u", "w", "c")
-    state = state.mapInArrow(first_seating, STATE)
+    state = written(pairs.where("chunk < 0").select("part", "u", "w", "c").mapInArrow(first_seating(parts), STATE), "state")
 
     root = {"strength": strength, "discount": discount, "vocabulary": vocabulary, "tables": vocabulary, "customers": 0}
     roots, kept = [], []
     for sweep in range(burn_in + samples):
-        requests = state.select("part", "u", "w", "c", "t").mapInArrow(request_root(parts), SAVED)
-        seated = written(together(counted, requests, "part", seat_root(parts, sweep, seed, discount, strength, vocabulary, root["tables"]), ROOT), "root")
+        seated = written(together(counted, state.where("asker >= 0"), "part", seat_root(parts, sweep, seed, discount, strength, vocabulary, root["tables"]), ROOT), "root")
         totals = seated.agg(F.sum("n_customers"), F.sum("n_tables")).first()
         root = root | {"customers": totals[0], "tables": totals[1]}
-        answers = seated.where("asker >= 0").select(F.col("asker").alias("to"), "part", "tables", "customers", "root_tables")
         keep = sweep >= burn_in
-        state = state.groupBy("part").cogroup(answers.groupBy("to")).applyInArrow(seat_contexts(parts, sweep, seed, discount, strength, root, keep), STATE)
-        state = written(state, "state")
         if keep:
             roots.append(root)
             kept.append(seated.where("asker < 0").select("part", F.lit(sweep).cast("bigint").alias("sample"), "tables", "customers", "root_tables"))
+        if sweep < burn_in + samples - 1:
+            answers = seated.where("asker >= 0").select(F.col("asker").alias("to"), "part", "tables", "customers", "root_tables")
+            seat = seat_contexts(parts, sweep, seed, discount, strength, root, keep)
+            state = written(state.where("asker < 0").groupBy("part").cogroup(answers.groupBy("to")).applyInArrow(seat, STATE), "state")
 
     found = kept[0]
     for more in kept[1:]:
         found = found.unionByName(more)
     found = found.join(counted.withColumnRenamed("ids", "counts"), "part")
     of_words = together(asked_words, found, "part", answer_words(samples, parts), WORD_VALUES)
-    of_pairs = together(pairs.where("chunk >= 0").select("part", "chunk", "places"), state.select("part", "c", "total"), "part", answer_pairs(samples), WORD_VALUES)
+    of_pairs = together(pairs.where("chunk >= 0").select("part", "chunk", "places"), state.where("asker < 0").select("part", "c", "t", "total"), "part", answer_pairs(samples), WORD_VALUES)
     ids = asked_words.select("chunk", "part", F.lit(2).cast("bigint").alias("kind"), F.col("ids").alias("a"), F.lit(b"").alias("b"))
     return together(texts, of_words.unionByName(of_pairs).unionByName(ids), "chunk", score_chunk(pair_parts, discount, strength, roots, train_tokens), SCORES)
-
-
-def first_seating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One table a dish."""
-    for batch in batches:
-        for part, u, w, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            n = len(unpack(c))
-            yield from table(STATE, [(part, u, w, c, pack(np.ones(n)), pack(np.zeros(n)))]).to_batches()
