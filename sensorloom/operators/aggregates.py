@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import join_groups, quantiles, with_quantiles
+from .quantiles import join_groups, quantiles, summarise, with_quantiles
 from .reshape import metrics_long
 from .windows import sampling_rounds
 
@@ -35,8 +35,7 @@ def resample(df: DataFrame, ts: str, unit: str, value: str, by: Sequence[str] =
 def describe_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Number, mean, spread and exact quantiles. ``se`` divides by all rows, ``se_valid`` by those with a value."""
     v = F.col(value)
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
-    out = with_quantiles(out, df, by, value, QUARTILES)
+    out = summarise(df, by, value, QUARTILES, {"n": F.count("*"), "n_valid": F.count(v), "mean": F.avg(v), "sd": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)})
     return out.withColumn("iqr", F.col("q75") - F.col("q25")).withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("se_valid", F.col("sd") / F.sqrt(F.nullif("n_valid", F.lit(0))))
 
 
@@ -113,7 +112,7 @@ def channel_coverage(sources: Mapping[str, DataFrame], channels: Sequence[str])
 
 def range_by(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Smallest, median and largest value, and the range as text."""
-    out = with_quantiles(df.groupBy(*by).agg(F.min(col).alias("lo"), F.max(col).alias("hi")), df, by, col, {"median": 0.5}).select(*by, "lo", "median", "hi")
+    out = summarise(df, by, col, {"median": 0.5}, {"lo": F.min(col), "hi": F.max(col)}).select(*by, "lo", "median", "hi")
     return out.withColumn("range_text", F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string")))
 
 
@@ -182,7 +181,7 @@ def bin2d(df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range:
 
 def median_band(df: DataFrame, by: Sequence[str], value: str, noise: str | None = None) -> DataFrame:
     """Median and quartiles by group; with a column of noise floors, also the envelope of plus and minus their median."""
-    out = with_quantiles(df.groupBy(*by).agg(F.count(value).alias("n")), df, by, value, QUARTILES)
+    out = summarise(df, by, value, QUARTILES, {"n": F.count(value)})
     if noise is None:
         return out.select(*by, *QUARTILES, "n")
     out = with_quantiles(out, df, by, noise, {"noise_high": 0.5})

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import chunks, last_before
+
 
 def backbone(sources: Sequence[DataFrame], ts: str = "datetime") -> DataFrame:
     """All distinct times of the sources."""
@@ -97,13 +99,15 @@ def join_nearest(left: DataFrame, right: DataFrame, key: str, by: Sequence[str],
 
 
 def join_asof(left: DataFrame, right: DataFrame, ts: str, by: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Each left row with the last right value at or before its time, by series: one union and one window, no pairs."""
+    """Each left row with the last right value at or before its time, by series: one union, no pairs; a long series is many tasks, with the last values carried between them.
+
+    Of several right rows at one time the largest values count (the first column decides, then the next).
+    """
     l = left.withColumn("_side", F.lit(1))  # noqa: E741
     r = right.select(*by, ts, *values).withColumn("_side", F.lit(0))
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.select(*[c for c in both.columns if c not in values], *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])
-    return filled.where("_side = 1").drop("_side")
+    both = chunks(l.unionByName(r, allowMissingColumns=True), by, [ts, "_side", *values])
+    filled = last_before(both, by, values, here=True)
+    return filled.select(*[c for c in filled.columns if c not in values and c not in [f"_last_{v}" for v in values]], *[F.col(f"_last_{v}").alias(v) for v in values]).where("_side = 1").drop("_side", "_chunk", "_pos", "_halo")
 
 
 def compare_modes(best: DataFrame, keys: Sequence[str], mode: str, modes: tuple[str, str], values: Sequence[str]) -> DataFrame:

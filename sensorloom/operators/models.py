@@ -8,46 +8,22 @@ variance ratios), never as the data.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from itertools import combinations
+from operator import add, and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .fits import CrossProducts, Design, Model, cross_products, design, entity_products, gram, lmm, ols, ols_by, ols_from_gram, products_of_sizes, r_squared, sized_products, solve, square, values  # noqa: F401
 from .lookups import lookup
 from .numerics import Z95, chi2_p, t_p
-from .quantiles import with_group
+from .quantiles import join_groups, summarise, summarise_where, with_group
 
-# --- design ---------------------------------------------------------------------------------
-
-
-@dataclass
-class Design:
-    """Named columns of a model matrix. ``term`` maps each to the term that it codes."""
-
-    columns: dict[str, Column]
-    term: dict[str, str]
-    levels: dict[str, list[str]] = field(default_factory=dict)
-
-
-def design(df: DataFrame, terms: Sequence[str], factors: Sequence[str] = ()) -> Design:
-    """Treatment-coded columns of terms such as ``x``, ``f``, ``x:f`` or ``x*z*f`` (all interactions up to three ways); a factor's first level by name is its reference."""
-    levels = {f: sorted(r[0] for r in df.select(F.col(f).cast("string")).where(F.col(f).isNotNull()).distinct().collect()) for f in factors}
-    flat: list[str] = []
-    for term in terms:
-        parts = [p.strip() for p in term.split("*")]
-        flat += [":".join(c) for k in range(1, len(parts) + 1) for c in combinations(parts, k)]
-    columns, owner = {"(Intercept)": F.lit(1.0)}, {"(Intercept)": "(Intercept)"}
-    for term in dict.fromkeys(flat):
-        made: list[tuple[str, Column]] = [("", F.lit(1.0))]
-        for p in term.split(":"):
-            own = [(f"{p}{lv}", (F.col(p).cast("string") == lv).cast("double")) for lv in levels[p][1:]] if p in levels else [(p, F.col(p).cast("double"))]
-            made = [(f"{a}:{b}" if a else b, x * y) for a, x in made for b, y in own]
-        columns |= dict(made)
-        owner |= {name: term for name, _ in made}
-    return Design(columns, owner, levels)
+#: Fixed value: half width of the limits of back-transformed predictions, in standard errors.
+LIMIT = 1.96
 
 
 def model_frame(measured: DataFrame, features: DataFrame, on: str, y: str, xs: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -59,67 +35,10 @@ def model_frame(measured: DataFrame, features: DataFrame, on: str, y: str, xs: S
     return frame, one.select(F.inline(cells))
 
 
-def gram(df: DataFrame, y: str, d: Design, by: Sequence[str] = ()) -> DataFrame:
-    """``n, yy, xy, xx`` (arrays; xx is the upper triangle by rows) by group, over complete rows."""
-    names = list(d.columns)
-    rows = df.select(*by, F.col(y).cast("double").alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(d.columns.values())]).dropna(subset=["_y", *[f"_x{i}" for i in range(len(names))]])
-    x = [F.col(f"_x{i}") for i in range(len(names))]
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), F.array(*[F.sum(a * F.col("_y")) for a in x]).alias("xy"), F.array(*[F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]).alias("xx")
-    )
-
-
-def _square(upper: Sequence[float], p: int) -> np.ndarray:
-    out = np.zeros((p, p))
-    out[np.triu_indices(p)] = upper
-    return out + np.triu(out, 1).T
-
-
-@dataclass
-class Model:
-    """A fitted model: coefficients, their covariance, variances and likelihood."""
-
-    names: list[str]
-    beta: np.ndarray
-    vcov: np.ndarray
-    n: int
-    sigma2: float
-    loglik: float
-    n_params: int
-    tss: float
-    group: str | None = None
-    sigma2_u: float = 0.0
-    n_groups: int = 0
-    term: dict[str, str] = field(default_factory=dict)
-
-    @property
-    def aic(self) -> float:
-        return 2 * self.n_params - 2 * self.loglik
-
-    @property
-    def bic(self) -> float:
-        return math.log(self.n) * self.n_params - 2 * self.loglik
-
-    def coefficients(self, spark: SparkSession) -> DataFrame:
-        """Estimate, standard error, t, 95 % interval, significance by |t| > 2 and the order of the effect."""
-        rows = []
-        for name, b, se in zip(self.names, self.beta, np.sqrt(np.maximum(np.diag(self.vcov), 0)), strict=True):
-            t = b / se if se > 0 else None
-            kind = "intercept" if name == "(Intercept)" else ("main", "two-way", "three-way")[min(name.count(":"), 2)]
-            rows.append((name, float(b), float(se), None if t is None else float(t), float(b - Z95 * se), float(b + Z95 * se), None if t is None else bool(abs(t) > 2), kind))
-        return lookup(spark, rows, "term string, estimate double, se double, t double, lower double, upper double, significant boolean, effect string")
-
-    def covariances(self, spark: SparkSession) -> DataFrame:
-        rows = [(a, b, float(self.vcov[i, j])) for i, a in enumerate(self.names) for j, b in enumerate(self.names)]
-        return lookup(spark, rows, "a string, b string, value double")
-
-    def summary(self, spark: SparkSession, name: str = "model") -> DataFrame:
-        rows = [(name, self.n, self.n_groups, self.sigma2, self.sigma2_u, self.loglik, self.aic, self.bic)]
-        return lookup(spark, rows, "model string, n bigint, n_groups bigint, sigma2 double, sigma2_u double, loglik double, aic double, bic double")
-
-
 def save_model(m: Model, spark: SparkSession, path: str) -> None:
-    for part, df in (("coefficients", m.coefficients(spark)), ("covariances", m.covariances(spark)), ("summary", m.summary(spark))):
+    place = lookup(spark, [(i, x, m.term.get(x, x)) for i, x in enumerate(m.names)], "place int, term string, codes string")
+    whole = m.summary(spark).withColumns({"n_params": F.lit(m.n_params), "tss": F.lit(m.tss), "entity": F.lit(m.group).cast("string")})
+    for part, df in (("coefficients", m.coefficients(spark).join(place, "term")), ("covariances", m.covariances(spark)), ("summary", whole)):
         df.write.mode("overwrite").parquet(f"{path}/{part}")
 
 
@@ -127,101 +46,19 @@ def load_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {p: spark.read.parquet(f"{path}/{p}") for p in ("coefficients", "covariances", "summary")}
 
 
-# --- least squares --------------------------------------------------------------------------
-
-
-def ols_from_gram(row, d: Design) -> Model:
-    p, n = len(d.columns), int(row["n"])
-    xx, xy = _square(row["xx"], p), np.array(row["xy"])
-    beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-    rss = max(float(row["yy"] - beta @ xy), 0.0)
-    sigma2 = rss / max(n - p, 1)
-    loglik = -n / 2 * (math.log(2 * math.pi * max(rss, 1e-300) / n) + 1)
-    return Model(list(d.columns), beta, sigma2 * np.linalg.pinv(xx), n, sigma2, loglik, p + 1, float(row["yy"] - row["sy"] ** 2 / n), term=d.term)
-
-
-def ols(df: DataFrame, y: str, d: Design) -> Model:
-    row = gram(df, y, d).first()
-    if not row["n"]:
-        raise ValueError("no complete row")
-    return ols_from_gram(row, d)
-
-
-def r_squared(m: Model) -> float:
-    return 1 - m.sigma2 * (m.n - len(m.names)) / m.tss if m.tss > 0 else math.nan
-
-
-def ols_by(df: DataFrame, y: str, d: Design, by: Sequence[str]) -> DataFrame:
-    """Coefficients by group: cross-products by group in one pass, solved in the tasks that hold them."""
-    p, names = len(d.columns), list(d.columns)
-    kinds = dict(df.select(*by).dtypes)
-
-    def fit(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                if r["n"] <= p:
-                    continue
-                m = ols_from_gram(r, d_names)
-                for name, b, v in zip(names, m.beta, np.diag(m.vcov), strict=True):
-                    rows.append([*(r[c] for c in by), name, float(b), float(math.sqrt(max(v, 0))), int(r["n"]), r_squared(m)])
-            yield pd.DataFrame(rows, columns=[*by, "term", "estimate", "se", "n", "r2"])
-
-    d_names = Design(dict.fromkeys(names), d.term)  # the columns themselves stay on the driver
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "term string, estimate double, se double, n bigint, r2 double"])
-    return gram(df, y, d, by).mapInPandas(fit, schema)
+def restore_model(spark: SparkSession, path: str) -> Model:
+    """A saved model that predicts (``predict_column`` with its design): terms, coefficients, covariance and variances."""
+    parts = load_model(spark, path)
+    found, one = parts["coefficients"].orderBy("place").collect(), parts["summary"].first()
+    names = [r["term"] for r in found]
+    cells = {(r["a"], r["b"]): r["value"] for r in parts["covariances"].collect()}
+    vcov = np.array([[cells[a, b] for b in names] for a in names])
+    return Model(names, np.array([r["estimate"] for r in found]), vcov, one["n"], one["sigma2"], one["loglik"], one["n_params"], one["tss"], one["entity"], one["sigma2_u"], one["n_groups"], {r["term"]: r["codes"] for r in found})
 
 
 # --- random intercepts ----------------------------------------------------------------------
 
 
-def lmm(df: DataFrame, y: str, d: Design, group: str, reml: bool = True, rounds: int = 8) -> Model:
-    """Random-intercept model by profile likelihood of theta = variance of the intercepts / residual variance.
-
-    An entity's share of the cross-products depends on theta only through its number of rows, so
-    one aggregation by entity and one by number of rows leave a row for each such number: the likelihood of any
-    theta is worked out from these, over a grid that each round narrows around its best.
-    """
-    names, p = list(d.columns), len(d.columns)
-    rows = df.select(group, F.col(y).cast("double").alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(d.columns.values())]).dropna()
-    x = [F.col(f"_x{i}") for i in range(p)]
-    sums = rows.groupBy(group).agg(F.count("*").alias("m"), F.sum("_y").alias("sy"), *[F.sum(a).alias(f"s{i}") for i, a in enumerate(x)])
-    sx = [F.col(f"s{i}") for i in range(p)]
-    # the entities' share of each cross-product depends on theta only through their size
-    sized = sums.groupBy("m").agg(F.count("*").alias("k"), F.sum(F.col("sy") * F.col("sy")).alias("yy"), F.array(*[F.sum(a * F.col("sy")) for a in sx]).alias("xy"), F.array(*[F.sum(a * b) for i, a in enumerate(sx) for b in sx[i:]]).alias("xx"))
-    whole = rows.agg(F.count("*").alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), F.array(*[F.sum(a * F.col("_y")) for a in x]).alias("xy"), F.array(*[F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]).alias("xx")).first()
-    n, xx0, xy0, yy0 = int(whole["n"]), _square(whole["xx"], p), np.array(whole["xy"]), float(whole["yy"])
-    sized = sized.collect()  # one row for each distinct number of rows of an entity
-
-    def profile(theta: float) -> tuple[float, np.ndarray, np.ndarray, float]:
-        xx, xy, yy, logdet = xx0.copy(), xy0.copy(), yy0, 0.0
-        for r in sized:
-            w = theta / (1 + r["m"] * theta)
-            xx -= w * _square(r["xx"], p)
-            xy -= w * np.array(r["xy"])
-            yy -= w * r["yy"]
-            logdet += r["k"] * math.log1p(r["m"] * theta)
-        beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-        rss = max(float(yy - beta @ xy), 1e-300)
-        free = n - p if reml else n
-        sigma2 = rss / free
-        ll = -0.5 * (free * (math.log(2 * math.pi * sigma2) + 1) + logdet)
-        if reml:
-            ll -= 0.5 * np.linalg.slogdet(xx)[1]
-        return ll, beta, xx, sigma2
-
-    grid = np.concatenate([[0.0], np.logspace(-6, 6, 61)])
-    for _ in range(rounds):
-        best = int(np.argmax([profile(t)[0] for t in grid]))
-        grid = np.linspace(grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)], 41)
-    theta = float(grid[int(np.argmax([profile(t)[0] for t in grid]))])
-    ll, beta, xx, sigma2 = profile(theta)
-    groups = sum(r["k"] for r in sized)
-    return Model(names, beta, sigma2 * np.linalg.pinv(xx), n, sigma2, ll, p + 2, yy0 - whole["sy"] ** 2 / n, group, theta * sigma2, groups, d.term)
-
-
 def icc(df: DataFrame, by: Sequence[str], entity: str, y: str) -> DataFrame:
     """Repeatability by group: variance of entities' intercepts / all variance, by REML on each entity's number, sum and squares."""
     return _icc_of_entities(_entities(df, by, entity, y), by)
@@ -349,121 +186,174 @@ def emmeans(spark: SparkSession, m: Model, d: Design, factor: str, within: str |
     return lookup(spark, means, "within string, level string, emmean double, se double"), lookup(spark, contrasts, "within string, a string, b string, estimate double, se double, p double, fold double")
 
 
-def gvif(spark: SparkSession, m: Model, limit: float = 5.0) -> DataFrame:
-    """Generalised variance inflation of each term, from determinants of the coefficients' correlations."""
+def gvif_of(m: Model) -> dict[str, tuple[int, float]]:
+    """Columns and generalised variance inflation of each term, from determinants of the coefficients' correlations."""
     keep = [i for i, x in enumerate(m.names) if x != "(Intercept)"]
     v = m.vcov[np.ix_(keep, keep)]
     s = np.sqrt(np.diag(v))
     r, names = v / np.outer(s, s), [m.names[i] for i in keep]
-    rows = []
+    out = {}
     for term in dict.fromkeys(m.term[x] for x in names):
         own = [i for i, x in enumerate(names) if m.term[x] == term]
         rest = [i for i in range(len(names)) if i not in own]
         det = lambda ix: np.linalg.det(r[np.ix_(ix, ix)]) if ix else 1.0
-        g = float(det(own) * det(rest) / np.linalg.det(r))
-        rows.append((term, len(own), g, g ** (1 / (2 * len(own))), bool(g ** (1 / len(own)) > limit)))
+        out[term] = (len(own), float(det(own) * det(rest) / np.linalg.det(r)))
+    return out
+
+
+def gvif(spark: SparkSession, m: Model, limit: float = 5.0) -> DataFrame:
+    rows = [(term, k, g, g ** (1 / (2 * k)), bool(g ** (1 / k) > limit)) for term, (k, g) in gvif_of(m).items()]
     return lookup(spark, rows, "term string, df int, gvif double, scaled double, high boolean")
 
 
 # --- selection ------------------------------------------------------------------------------
 
 
-def forward_select(df: DataFrame, y: str, core: Sequence[str], candidates: Sequence[str], steps: int = 6) -> DataFrame:
-    """Adds, step by step, the candidate of largest R2, while it grows; all fits are sub-matrices of one aggregate."""
-    spark, every = df.sparkSession, [*core, *candidates]
-    d = design(df, every)
-    row = gram(df, y, d).first()
-    p = len(d.columns)
-    xx, xy, yy = _square(row["xx"], p), np.array(row["xy"]), row["yy"]
-    at = {name: i for i, name in enumerate(d.columns)}
-    tss = yy - row["sy"] ** 2 / row["n"]
+def _shape(d: Design) -> Design:
+    """A design without its columns, which stay on the driver."""
+    return Design(dict.fromkeys(d.columns), d.term, d.levels)
+
 
-    def r2(terms: Sequence[str]) -> float:
-        ix = [0, *(at[t] for t in terms)]
-        beta = np.linalg.lstsq(xx[np.ix_(ix, ix)], xy[ix], rcond=None)[0]
-        return float(1 - (yy - beta @ xy[ix]) / tss)
+def _r2_of(sums: CrossProducts | tuple[np.ndarray, list[str]], d: Design, terms: Sequence[str]) -> float:
+    """Of some terms: the marginal R2 of the mixed model (ML), or R2 of least squares."""
+    if isinstance(sums, CrossProducts):
+        return sums.marginal_r2(sums.fit(d.names(terms)))
+    c, names = sums
+    at = [names.index(x) for x in d.names(terms) if x != "(Intercept)"]
+    explained = float(solve(c[np.ix_(at, at)], c[at, -1]) @ c[at, -1]) if at else 0.0
+    return float(explained / c[-1, -1]) if c[-1, -1] > 0 else 0.0
 
-    chosen, rows, now = list(core), [], r2(core)
+
+def _add_steps(sums, d: Design, core: Sequence[str], candidates: Sequence[str], steps: int) -> list[tuple[int, str, float, float]]:
+    """Step, variable, R2 and its gain: the candidate of largest R2 is added (ties by name) while R2 grows."""
+    chosen, rows, now = list(core), [], _r2_of(sums, d, core)
     for step in range(1, steps + 1):
-        left = [c for c in candidates if c not in chosen]
-        if not left:
-            break
-        best = max(left, key=lambda c: (r2([*chosen, c]), [-ord(x) for x in c]))
-        gain = r2([*chosen, best]) - now
-        if gain <= 1e-12:
+        left = {c: _r2_of(sums, d, [*chosen, c]) for c in candidates if c not in chosen}
+        best = min(left, key=lambda c: (-left[c], c), default=None)
+        if best is None or left[best] - now <= 1e-12:
             break
-        chosen.append(best)
-        now += gain
-        rows.append((step, best, now, gain))
-    return lookup(spark, rows, "step int, variable string, r2 double, gain double")
-
-
-def selection_frequency(df: DataFrame, key: str, y: str, core: Sequence[str], candidates: Sequence[str], steps: int = 6, runs: int = 100, share: float = 0.8) -> DataFrame:
-    """How often each candidate is chosen over hash-weighted resamples: rows draw Poisson(1) weights from a hash of key and run, one grouped aggregate for all runs."""
-    spark = df.sparkSession
-    d = design(df, [*core, *candidates])
-    x = list(d.columns.values())
-    drawn = df.select(F.col(key).alias("_k"), F.col(y).cast("double").alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(x)]).dropna().withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumn("_w", poisson_weight(F.col("_k"), F.col("run")))
-    c = [F.col(f"_x{i}") for i in range(len(x))]
-    w = F.col("_w")
-    grams = drawn.where("_w > 0").groupBy("run").agg(F.sum(w).alias("n"), F.sum(w * F.col("_y")).alias("sy"), F.sum(w * F.col("_y") * F.col("_y")).alias("yy"), F.array(*[F.sum(w * a * F.col("_y")) for a in c]).alias("xy"), F.array(*[F.sum(w * a * b) for i, a in enumerate(c) for b in c[i:]]).alias("xx")).collect()
-    at, p, picked = {name: i for i, name in enumerate(d.columns)}, len(x), []
-    for row in grams:
-        xx, xy = _square(row["xx"], p), np.array(row["xy"])
-        chosen, now = list(core), None
-        for step in range(1, steps + 1):
-            def rss(extra: str | None, chosen=chosen, xx=xx, xy=xy, row=row) -> float:
-                ix = [0, *(at[t] for t in ([*chosen, extra] if extra else chosen))]
-                return float(row["yy"] - np.linalg.lstsq(xx[np.ix_(ix, ix)], xy[ix], rcond=None)[0] @ xy[ix])
-
-            left = [v for v in candidates if v not in chosen]
-            if not left:
-                break
-            best = min(left, key=lambda v: (rss(v), v))
-            if (now if now is not None else rss(None)) - rss(best) <= 1e-9 * row["yy"]:
-                break
-            now = rss(best)
-            chosen.append(best)
-            picked.append((best, step))
-    rows = []
-    for v in candidates:
-        own = [s for name, s in picked if name == v]
-        rows.append((v, len(own), len(own) / runs, float(np.mean(own)) if own else None, min(own, default=None), max(own, default=None), len(own) / runs >= share))
-    return lookup(spark, rows, "variable string, n int, frequency double, mean_step double, min_step int, max_step int, consensus boolean")
+        rows.append((step, best, left[best], left[best] - now))
+        chosen, now = [*chosen, best], left[best]
+    return rows
 
 
-def addition_tests(df: DataFrame, y: str, base: Sequence[str], candidates: Sequence[str], group: str, factor: str, factors: Sequence[str] = ()) -> DataFrame:
-    """For each candidate, as main effect and by the factor: change of AIC, likelihood ratio and p against the base model (ML), best first."""
-    rows = []
-    small = lmm(df, y, design(df, base, factors), group, reml=False)
+def forward_select(df: DataFrame, y: str, core: Sequence[str], candidates: Sequence[str], steps: int = 6, group: str | None = None, factors: Sequence[str] = ()) -> DataFrame:
+    """Adds, step by step, the candidate of largest R2, while it grows: R2 of least squares or, with ``group``, the marginal R2 of the model with its random intercept. All fits come from one aggregate."""
+    d = design(df, [*core, *candidates], factors)
+    if group is None:
+        row = gram(df, y, d).first()
+        sums = (square(row["cov"], len(d.columns)), [x for x in d.columns if x != "(Intercept)"])
+    else:
+        sums = cross_products(df, y, d, group)
+    return lookup(df.sparkSession, _add_steps(sums, d, core, candidates, steps), "step int, variable string, r2 double, gain double")
+
+
+def selection_frequency(df: DataFrame, key: str, y: str, core: Sequence[str], candidates: Sequence[str], steps: int = 6, runs: int = 100, share: float = 0.8, group: str | None = None, factors: Sequence[str] = ()) -> DataFrame:
+    """How often each candidate is chosen over hash-weighted resamples: Poisson(1) weights from a hash and the run, one grouped aggregate for all runs, each run's steps in a task of its own.
+
+    Rows are drawn by ``key`` and fitted by least squares; with ``group`` entities are drawn, whose sums alone are multiplied, and the
+    steps go by the marginal R2 of the mixed model.
+    """
+    d = design(df, [*core, *candidates], factors)
+    shape, width, picked = _shape(d), len(d.columns), "run int, step int, variable string"
+    run = F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")
+    if group is None:
+        rows, made = values(df.withColumn("_k", F.col(key)), y, d, ["_k"])
+        # sums about the overall means, so that no digits go
+        means = rows.agg(*[F.avg(c).alias(f"_m{c}") for c in made])
+        rows = rows.crossJoin(F.broadcast(means)).select("_k", *[(F.col(c) - F.col(f"_m{c}")).alias(c) for c in made])
+        x, w = [F.col(c) for c in made], F.col("_w")
+        drawn = rows.select("*", run).withColumn("_w", poisson_weight(F.col("_k"), F.col("run"))).where("_w > 0")
+        sums = drawn.groupBy("run").agg(F.sum(w).alias("n"), F.array(*[F.sum(w * a) for a in x]).alias("first"), F.array(*[F.sum(w * a * b) for i, a in enumerate(x) for b in x[i:]]).alias("second"))
+    else:
+        entities, _ = entity_products(df, y, d, group)
+        drawn = entities.select("*", run)
+        sums = sized_products(drawn, width, ["run"], poisson_weight(F.col(group).cast("string"), F.col("run")))
+    names = [x for x in shape.columns if x != "(Intercept)"]
+
+    def steps_of(pdf):
+        import pandas as pd
+
+        own = pdf.to_dict("records")
+        if group is None:
+            first = np.array(own[0]["first"])
+            found = (square(own[0]["second"], width) - np.outer(first, first) / own[0]["n"], names)
+        else:
+            found = products_of_sizes(shape, group, own)
+        return pd.DataFrame([(own[0]["run"], step, v) for step, v, *_ in _add_steps(found, shape, core, candidates, steps)], columns=["run", "step", "variable"])
+
+    chosen = sums.groupBy("run").applyInPandas(steps_of, picked).groupBy("variable").agg(F.count("*").alias("n"), F.avg("step").alias("mean_step"), F.min("step").alias("min_step"), F.max("step").alias("max_step"))
+    every = lookup(df.sparkSession, [(c,) for c in candidates], "variable string").join(chosen, "variable", "left")
+    n = F.coalesce("n", F.lit(0)).cast("int")
+    return every.select("variable", n.alias("n"), (n / runs).alias("frequency"), "mean_step", "min_step", "max_step", (n / runs >= share).alias("consensus"))
+
+
+def _additions(sums: CrossProducts, d: Design, base: Sequence[str], candidates: Sequence[str], factor: str) -> list[tuple]:
+    small, rows = sums.fit(d.names(base)), []
     for c in candidates:
-        for kind, extra in (("main", [c]), ("by factor", [f"{c}*{factor}"])):
-            m = lmm(df, y, design(df, [*base, *extra], factors), group, reml=False)
+        for kind, term in (("main", c), ("by factor", f"{c}*{factor}")):
+            m = sums.fit(d.names([*base, term]))
             x, k, p = lrt_nested(small, m)
             rows.append((c, kind, m.aic - small.aic, m.bic - small.bic, x, k, p))
-    return lookup(df.sparkSession, sorted(rows, key=lambda r: (r[2], r[0])), "variable string, kind string, delta_aic double, delta_bic double, chi2 double, df int, p double")
+    return sorted(rows, key=lambda r: (r[2], r[0]))
+
+
+def addition_tests(df: DataFrame, y: str, base: Sequence[str], candidates: Sequence[str], group: str, factor: str, factors: Sequence[str] = ()) -> DataFrame:
+    """For each candidate, as main effect and by the factor: change of AIC, likelihood ratio and p against the base model (ML), best first. One scan for all; rows with a NULL in any candidate take no part."""
+    d = design(df, [*base, *(f"{c}*{factor}" for c in candidates)], factors)
+    rows = _additions(cross_products(df, y, d, group), d, base, candidates, factor)
+    return lookup(df.sparkSession, rows, "variable string, kind string, delta_aic double, delta_bic double, chi2 double, df int, p double")
 
 
-def extend_terms(base: Sequence[str], tests: DataFrame, factor: str, most: float = -2.0) -> list[str]:
-    """Base terms and each variable whose cheaper form lowers AIC by more than 2."""
+def extend_terms(base: Sequence[str], tests: Sequence[tuple], factor: str, most: float = -2.0, alpha: float = 0.05) -> list[str]:
+    """Base terms and each variable that lowers AIC by more than 2 with a significant likelihood ratio, in its better form."""
     best: dict[str, tuple[float, str]] = {}
-    for r in tests.collect():
-        if r["delta_aic"] < most and r["variable"] not in base:
-            own = (r["delta_aic"], r["variable"] if r["kind"] == "main" else f"{r['variable']}*{factor}")
-            best[r["variable"]] = min(own, best.get(r["variable"], own))
-    return [*base, *(term for _, term in sorted(best.values()))]
+    for variable, kind, delta_aic, _, _, _, p in tests:
+        if p < alpha and (variable not in base or kind != "main"):
+            own = (delta_aic, variable if kind == "main" else f"{variable}*{factor}")
+            best[variable] = min(own, best.get(variable, own))
+    return [*base, *(term for delta, term in sorted(best.values()) if delta < most)]
+
+
+def bic_step(df: DataFrame, y: str, base: Sequence[str], candidates: Sequence[str], group: str, factor: str, factors: Sequence[str] = ()) -> tuple[DataFrame, Model]:
+    """The core model beside that with all significant additions, which is accepted where it lowers BIC; and the model accepted. All fits come from one scan."""
+    d = design(df, [*base, *(f"{c}*{factor}" for c in candidates)], factors)
+    sums = cross_products(df, y, d, group)
+    terms = {"core": list(base), "extended": extend_terms(base, _additions(sums, d, base, candidates, factor), factor)}
+    fits = {k: sums.fit(d.names(v)) for k, v in terms.items()}
+    accepted = "extended" if fits["extended"].bic < fits["core"].bic else "core"
+    rows = [(k, " + ".join(terms[k]), m.n, m.n_params, sums.marginal_r2(m), m.aic, m.bic, *lrt_nested(fits["core"], m)[::2], k == accepted) for k, m in fits.items()]
+    return lookup(df.sparkSession, rows, "model string, terms string, n bigint, n_params int, r2 double, aic double, bic double, chi2 double, p double, accepted boolean"), fits[accepted]
 
 
 def interaction_screen(df: DataFrame, y: str, base: Sequence[str], pairs: Sequence[tuple[str, str]], group: str, factors: Sequence[str] = ()) -> DataFrame:
-    small = lmm(df, y, design(df, base, factors), group, reml=False)
-    rows = []
+    """Change of AIC and likelihood ratio of each pair's interaction on top of the base, by p; one scan for all pairs."""
+    d = design(df, [*base, *(f"{a}:{b}" for a, b in pairs)], factors)
+    sums = cross_products(df, y, d, group)
+    small, rows = sums.fit(d.names(base)), []
     for a, b in pairs:
-        m = lmm(df, y, design(df, [*base, f"{a}:{b}"], factors), group, reml=False)
+        m = sums.fit(d.names([*base, f"{a}:{b}"]))
         x, k, p = lrt_nested(small, m)
         rows.append((f"{a}:{b}", m.aic - small.aic, x, k, p))
     return lookup(df.sparkSession, sorted(rows, key=lambda r: (r[4], r[0])), "pair string, delta_aic double, chi2 double, df int, p double")
 
 
+def drop_collinear(df: DataFrame, y: str, terms: Sequence[str], group: str, factors: Sequence[str] = (), keep: Sequence[str] = (), limit: float = 10.0) -> tuple[DataFrame, Model]:
+    """Drops the term of largest GVIF over ``limit`` (none of ``keep``) and refits, until none is left: a row for each model's terms, and the last model. Refits are sub-matrices of one aggregate."""
+    d = design(df, terms, factors)
+    sums, left, rows = cross_products(df, y, d, group), list(terms), []
+    for step in range(len(terms)):
+        m = sums.fit(d.names(left))
+        inflated = gvif_of(m)
+        worst = max((t for t in left if t in inflated and t not in keep), key=lambda t: (inflated[t][1], t), default=None)
+        drop = worst if worst is not None and inflated[worst][1] > limit and len(left) > 1 else None
+        rows += [(step, t, df_, g, m.aic, t == drop) for t, (df_, g) in inflated.items()]
+        if drop is None:
+            break
+        left.remove(drop)
+    return lookup(df.sparkSession, rows, "step int, term string, df int, gvif double, aic double, dropped boolean"), m
+
+
 def window_grid(features: DataFrame, y: str, a: str, b: str, key: str) -> DataFrame:
     """AIC of y on two drivers for every pair of their windows. ``features``: key, variable, window, mean, y. One join of a's and b's windows by measurement, one grouping by pair."""
     one = features.where(F.col("variable") == a).select(key, y, F.col("window").alias("w1"), F.col("mean").alias("x1"))
@@ -523,6 +413,58 @@ def prediction_grid(df: DataFrame, m: Model, d: Design, x: str, z: str, factor:
     return g.select("percentile", factor, F.col("_k").alias("step"), x, z, fit.alias("fit"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("se"))
 
 
+def fit_by_group(df: DataFrame, by: Sequence[str], y: str, x: str, z: str, *, offset: float = 0.01, probs: Sequence[float] = tuple(k / 10 for k in range(1, 10)), steps: int = 100, near: int = 10, min_rows: int = 30) -> DataFrame:
+    """Fits ``log(y + offset) ~ x * z`` by group and predicts over x at quantiles of z, with 95 % limits, all put back by exp.
+
+    x runs between its 5th and 95th percentile among rows whose z lies between the midpoints to the neighbouring quantiles (open at the ends), both ends
+    included, or in the whole group where there are fewer than ``near``. Groups of fewer than ``min_rows`` complete rows are left out.
+
+    Coefficients and their covariance are columns of a group's row, solved from its cross-products in the task that holds them, and carried through the grid; quantiles are exact
+    and spread over tasks. NULL is a group like others.
+    """
+    keys = [f"_g{i}" for i in range(len(by))]
+    d = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.log(F.col(y).cast("double") + offset).alias("_y"), F.col(x).cast("double").alias("_px"), F.col(z).cast("double").alias("_pz"))
+    d = d.where(F.col("_y").isNotNull() & ~F.isnan("_y")).dropna(subset=["_px", "_pz"])
+    made = design(d, ["_px*_pz"])
+    shape, kinds = _shape(made), dict(d.dtypes)
+
+    def solved(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                m = ols_from_gram(r, shape)
+                rows.append([*(r[k] for k in keys), int(r["n"]), m.beta.tolist(), m.vcov.reshape(-1).tolist()])
+            yield pd.DataFrame(rows, columns=[*keys, "_n", "_beta", "_vcov"])
+
+    fits = gram(d, "_y", made, keys).where(F.col("n") >= min_rows).mapInPandas(solved, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_n bigint, _beta array<double>, _vcov array<double>"]))
+    at = {f"z{i}": p for i, p in enumerate(probs)}
+    cuts = summarise(d, keys, "_pz", at, {"_rows": F.count("*")})
+    q = [F.col(f"z{i}") for i in range(len(probs))]
+    middle = [None, *((a + b) / 2 for a, b in zip(q, q[1:], strict=False)), None]
+    ranged = join_groups(d, cuts, keys, "inner")
+    inside = [reduce(and_, [F.col("_pz") >= lo] * (lo is not None) + [F.col("_pz") <= hi] * (hi is not None), F.lit(True)) for lo, hi in zip(middle, middle[1:], strict=False)]
+    whole = summarise_where(ranged, keys, F.col("_px"), [F.lit(True), *inside], [0.05, 0.95], {**{f"_in{i}": F.count_if(F.col(f"_t{i + 1}")) for i in range(len(probs))}, **{f"_z{i}": F.first(c) for i, c in enumerate(q)}})
+    few = [F.col(f"_in{i}") < near for i in range(len(probs))]
+    bands = F.array(*[F.struct(F.lit(float(p)).alias("percentile"), F.col(f"_z{i}").alias("z"), F.when(few[i], F.col("q0_0")).otherwise(F.col(f"q{i + 1}_0")).alias("a"), F.when(few[i], F.col("q0_1")).otherwise(F.col(f"q{i + 1}_1")).alias("b")) for i, p in enumerate(probs)])
+    g = join_groups(fits, whole, keys, "inner").select(*keys, "_n", "_beta", "_vcov", F.explode(bands).alias("_b"))
+    g = g.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    g = g.withColumn("_px", F.col("_b.a") + (F.col("_b.b") - F.col("_b.a")) * F.col("step") / (steps - 1)).withColumn("_pz", F.col("_b.z"))
+    columns = [made.columns[c] for c in ["(Intercept)", *(c for c in made.columns if c != "(Intercept)")]]
+    fit = reduce(add, [F.col("_beta")[i] * c for i, c in enumerate(columns)])
+    var = reduce(add, [F.col("_vcov")[i * len(columns) + j] * a * b for i, a in enumerate(columns) for j, b in enumerate(columns)])
+    g = g.withColumn("log_fit", fit).withColumn("log_se", F.sqrt(F.greatest(var, F.lit(0.0))))
+    back = lambda c: F.exp(c) - offset
+    return g.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], F.col("_b.percentile").alias("percentile"), "step", F.col("_px").alias(x), F.col("_pz").alias(z), F.col("_n").alias("n"), "log_fit", "log_se", back(F.col("log_fit")).alias("fit"), back(F.col("log_fit") - LIMIT * F.col("log_se")).alias("lower"), back(F.col("log_fit") + LIMIT * F.col("log_se")).alias("upper"))
+
+
+def back_transform(pred: DataFrame, to: Callable[[Column], Column], fit: str = "fit", se: str = "se") -> DataFrame:
+    """Predictions and their 95 % limits (on the scale of the fit) in the response's own units, such as ``F.sinh``."""
+    limit = lambda k: to(F.col(fit) + k * LIMIT * F.col(se))
+    return pred.withColumn("response", limit(0)).withColumn("lower", limit(-1)).withColumn("upper", limit(1))
+
+
 def extremes(pred: DataFrame, by: Sequence[str], value: str = "fit") -> DataFrame:
     return pred.groupBy(*by).agg(F.min(value).alias("lowest"), F.max(value).alias("highest"), (F.max(value) - F.min(value)).alias("range"))
 
@@ -535,7 +477,7 @@ def pca_by_group_norm(df: DataFrame, key: str, by: Sequence[str], metrics: Seque
     d = with_group(df.select(key, *by, *metrics), by, **{f"_m_{m}": F.avg(m) for m in metrics}, **{f"_s_{m}": F.stddev_samp(m) for m in metrics})
     z = d.select(key, *by, *[F.coalesce(F.try_divide(F.col(m) - F.col(f"_m_{m}"), F.col(f"_s_{m}")), F.lit(0.0)).alias(m) for m in metrics])
     row = z.agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(metrics) for b in metrics[i:]]).alias("xx")).first()
-    values, vectors = np.linalg.eigh(_square(row["xx"], len(metrics)) / max(row["n"] - 1, 1))
+    values, vectors = np.linalg.eigh(square(row["xx"], len(metrics)) / max(row["n"] - 1, 1))
     order = np.argsort(values)[::-1][:k]
     vectors = vectors[:, order] * np.where(vectors[metrics.index(anchor), order] < 0, -1, 1)
     share = values[order] / values.sum()
@@ -566,16 +508,21 @@ def forest(df: DataFrame, y: str, xs: Sequence[str], trees: int = 500, seed: int
     return model, RegressionEvaluator(metricName="r2").evaluate(model.transform(d.where(h))), d
 
 
-def permutation_importance(model, df: DataFrame, xs: Sequence[str], key: str, top: int = 20) -> DataFrame:
-    """Growth of the squared error when one feature is exchanged between rows: all features in one pass over exploded copies.
+#: Rows of a bucket in which rows exchange values, on average.
+BUCKET_ROWS = 20_000
 
-    Each row takes the feature of the row that follows it in the order of a hash of the key, within hash buckets.
-    """
+
+def exchanged(df: DataFrame, xs: Sequence[str], key: str, n: int) -> DataFrame:
+    """``_o_<x>`` beside each feature: that of the row that follows in the order of a hash of the key, within hash buckets whose number follows the ``n`` rows."""
+    w = Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(n // BUCKET_ROWS + 1))).orderBy(F.xxhash64(key, F.lit(1)), key)
+    return df.select(key, "label", *xs, *[F.coalesce(F.lead(x).over(w), F.first(x).over(w)).alias(f"_o_{x}") for x in xs])
+
+
+def permutation_importance(model, df: DataFrame, xs: Sequence[str], key: str, top: int = 20) -> DataFrame:
+    """Growth of the squared error when one feature is exchanged between rows: all features in one pass over exploded copies."""
     from pyspark.ml.feature import VectorAssembler
 
-    w = Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(F.xxhash64(key, F.lit(1)), key)
-    other = {x: F.coalesce(F.lead(x).over(w), F.first(x).over(w)) for x in xs}
-    d = df.select(key, "label", *xs, *[c.alias(f"_o_{x}") for x, c in other.items()])
+    d = exchanged(df, xs, key, df.count())
     d = d.withColumn("feature", F.explode(F.array(F.lit(""), *[F.lit(x) for x in xs])))
     d = d.select(key, "label", "feature", *[F.when(F.col("feature") == x, F.col(f"_o_{x}")).otherwise(F.col(x)).alias(x) for x in xs])
     scored = model.transform(VectorAssembler(inputCols=list(xs), outputCol="features").transform(d))
@@ -623,6 +570,58 @@ def gamma_glm(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
     return lookup(df.sparkSession, [(n, c, math.exp(c)) for n, c in rows], "term string, estimate double, fold double")
 
 
+def gamma_mixed(df: DataFrame, y: str, factors: Sequence[str], date: str, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+    """``(coefficients, summary)`` of a Gamma model with log link on positive values, factors crossed, and a random intercept of each date.
+
+    Penalised quasi-likelihood: a linear mixed model of the working response, fitted again until coefficients settle. Rows of one date and factor
+    cell share their linear predictor, so their number, mean and variance are all that any round needs: one scan, and a row for each date and cell
+    (calendar days times cells) reaches the driver.
+    """
+    d = df.where(F.col(y) > 0).dropna(subset=[date, *factors])
+    made = design(d, ["*".join(factors)], factors)
+    names = list(made.columns)
+    yc = F.col(y).cast("double")
+    cells = d.groupBy(F.col(date).cast("string").alias("_d"), *factors).agg(F.count("*").alias("_n"), F.avg(yc).alias("_m"), F.var_pop(yc).alias("_v"))
+    got = cells.select("_d", "_n", "_m", "_v", *[c.alias(f"_x{i}") for i, c in enumerate(made.columns.values())]).orderBy("_d", *[f"_x{i}" for i in range(len(names))]).collect()
+    schema = "term string, estimate double, se double, fold double", "n bigint, n_dates bigint, dispersion double, sigma2_date double, rounds int"
+    if not got:
+        return lookup(df.sparkSession, [], schema[0]), lookup(df.sparkSession, [], schema[1])
+    n, mean, var = (np.array([r[c] for r in got], float) for c in ("_n", "_m", "_v"))
+    x = np.array([[r[f"_x{i}"] for i in range(len(names))] for r in got], float)
+    days, day = np.unique([r["_d"] for r in got], return_inverse=True)
+    size, p = np.bincount(day, weights=n), len(names)
+    sx = np.stack([np.bincount(day, weights=n * x[:, j]) for j in range(p)], axis=1)
+    xx0 = (x * n[:, None]).T @ x
+    eta, beta, done = np.log(mean), np.full(p, np.inf), 0
+    for done in range(1, rounds + 1):
+        mu = np.exp(eta)
+        z, inside = eta + (mean - mu) / mu, float(n @ (var / mu**2))
+        sz, xz0, zz0 = np.bincount(day, weights=n * z), x.T @ (n * z), float(n @ (z * z)) + inside
+
+        def profile(theta, sz=sz, xz0=xz0, zz0=zz0):
+            w = theta / (1 + theta * size)
+            xx, xz = xx0 - (sx * w[:, None]).T @ sx, xz0 - sx.T @ (w * sz)
+            b = solve(xx, xz)
+            s2 = max(zz0 - float(w @ (sz * sz)) - float(b @ xz), 1e-300) / n.sum()
+            return -0.5 * (n.sum() * math.log(s2) + np.log1p(theta * size).sum()), b, xx, s2
+
+        grid = np.concatenate([[0.0], np.logspace(-6, 4, 41)])
+        for _ in range(10):
+            best = int(np.argmax([profile(t)[0] for t in grid]))
+            grid = np.linspace(grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)], 11)
+        theta = float(grid[int(np.argmax([profile(t)[0] for t in grid]))])
+        _, new, xx, s2 = profile(theta)
+        u = theta / (1 + theta * size) * (sz - sx @ new)
+        eta = x @ new + u[day]
+        settled = np.abs(new - beta).max() < 1e-10
+        beta = new
+        if settled:
+            break
+    se = np.sqrt(np.maximum(np.diag(s2 * np.linalg.pinv(xx)), 0))
+    rows = [(a, float(b), float(e), math.exp(b)) for a, b, e in zip(names, beta, se, strict=True)]
+    return lookup(df.sparkSession, rows, schema[0]), lookup(df.sparkSession, [(int(n.sum()), len(days), float(s2), float(theta * s2), done)], schema[1])
+
+
 def poisson_weight(key: Column, run: Column) -> Column:
     """A Poisson(1) number from a hash of key and run: the same in every run and partitioning."""
     u = F.pmod(F.xxhash64(key, run), F.lit(1_000_003)) / 1_000_003.0
@@ -634,25 +633,95 @@ def poisson_weight(key: Column, run: Column) -> Column:
     return out
 
 
+def positions(d: DataFrame, key: str, n: int, bucket_rows: int = 1 << 20) -> DataFrame:
+    """A number from 0 to n - 1 for each row, in the order of a hash of its key: ranks within hash buckets, and the buckets' totals. Bounded buckets make it the one sort of a table of any size."""
+    buckets = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(n // bucket_rows + 1))
+    own = d.withColumn("_b", buckets).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(6)), key)) - 1)
+    sizes = d.groupBy(buckets.alias("_b")).agg(F.count("*").alias("_s"))
+    before = sizes.select("_b", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return own.join(before, "_b").withColumn("position", F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
+
+
+def affine(run: int, n: int) -> tuple[int, int]:
+    """Factor without a common divisor with n, and shift, of a run's permutation ``position -> (factor * position + shift) mod n``; products stay below 2**62."""
+    rng = np.random.Generator(np.random.PCG64(run))
+    factor = int(rng.integers(1, max(2, min(n, (1 << 62) // max(n, 1)))))
+    while math.gcd(factor, n) > 1:
+        factor += 1
+    return factor, int(rng.integers(0, n))
+
+
+def permuted_sums(placed: DataFrame, sizes: Sequence[tuple[int, int]], n: int, runs: Sequence[int], held: int = 1 << 22) -> DataFrame:
+    """``run, m, e, s``: sums of ``v`` of the ``e``-th entity of ``m`` rows, when each run deals the values at ``position`` anew.
+
+    Entities of one size are alike, so the places of size m's entities are one interval of positions, m for each: the table of
+    ``(m, how many)`` is all that tells a place's entity. Tasks add up by run and entity before anything is shuffled, holding ``held`` sums at once.
+    """
+    m = np.array([s for s, _ in sizes], np.int64)
+    k = np.array([c for _, c in sizes], np.int64)
+    first, offset, entities = np.cumsum(m * k) - m * k, np.cumsum(k) - k, int(k.sum())
+    permutations = {run: affine(run, n) for run in runs}
+
+    def add(batches):
+        import pyarrow as pa
+
+        def rows(run, at, sums):
+            size = np.searchsorted(offset, at, side="right") - 1
+            return pa.record_batch([pa.array(np.full(len(at), run)), pa.array(m[size]), pa.array(at - offset[size]), pa.array(sums)], ["run", "m", "e", "s"])
+
+        dense = {run: np.zeros(entities) for run in permutations} if len(permutations) * entities <= held else None
+        for batch in batches:
+            position, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for run, (factor, shift) in permutations.items():
+                place = (factor * position + shift) % n
+                size = np.searchsorted(first, place, side="right") - 1
+                entity = offset[size] + (place - first[size]) // m[size]
+                if dense is not None:
+                    dense[run] += np.bincount(entity, weights=v, minlength=entities)
+                elif len(entity):
+                    at, spot = np.unique(entity, return_inverse=True)
+                    yield rows(run, at, np.bincount(spot, weights=v))
+        for run, sums in (dense or {}).items():
+            at = np.flatnonzero(sums)
+            if len(at):
+                yield rows(run, at, sums[at])
+
+    sums = placed.select("position", "v").mapInArrow(add, "run bigint, m bigint, e bigint, s double")
+    return sums.groupBy("run", "m", "e").agg(F.sum("s").alias("s"))
+
+
 def repeatability(df: DataFrame, key: str, entity: str, y: str, nboot: int = 1000, nperm: int = 1000, seed: int = 42) -> DataFrame:
     """ICC with a bootstrap interval over entities and a permutation p.
 
-    Boot runs give entities Poisson weights, so they multiply entities' sums and not rows; permutation runs deal values to entities anew
-    within buckets of some ten thousand rows, drawn by a hash in each run. Runs are a column, so each kind is one grouped fit.
+    Boot runs give entities Poisson weights, so they multiply entities' sums and not rows. Permutation runs are affine permutations of row
+    positions, which one sort gives; each task adds up what its rows give the runs' entities, so rows are neither multiplied nor
+    shuffled by run. Keys should be distinct: rows of equal keys have one order, but not a stated one.
     """
     d = df.where(F.col(y).isNotNull()).select(F.col(key).alias("_k"), F.col(entity).cast("string").alias("_e"), F.col(y).cast("double").alias("_y"))
     own = icc(d.withColumn("run", F.lit(0)), ["run"], "_e", "_y").first()
-    drawn = _entities(d, [], "_e", "_y").withColumn("run", F.explode(F.sequence(F.lit(seed + 1), F.lit(seed + nboot))))
+    schema = "icc double, sigma2_u double, sigma2_e double, n bigint, n_entities bigint, lower double, upper double, p double"
+    if own is None:
+        return lookup(df.sparkSession, [], schema)
+    entities = _entities(d, [], "_e", "_y")
+    drawn = entities.withColumn("run", F.explode(F.sequence(F.lit(seed + 1), F.lit(seed + nboot))))
     ci = _icc_of_entities(drawn, ["run"], poisson_weight(F.col("_e"), F.col("run"))).agg(F.percentile("icc", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).first()["q"]
-    buckets = (own["n"] if own else 0) // 20_000 + 1
-    shuffled = d.withColumn("run", F.explode(F.sequence(F.lit(seed + 1), F.lit(seed + nperm)))).withColumn("_b", F.pmod(F.xxhash64("_k", "run", F.lit(1)), F.lit(buckets)))
-    w = Window.partitionBy("run", "_b")
-    # the i-th value by one hash goes to the i-th place by another
-    ordered = shuffled.select("run", "_b", "_e", "_y", F.row_number().over(w.orderBy(F.xxhash64("_k", "run"), "_k")).alias("_i"), F.row_number().over(w.orderBy(F.xxhash64("_k", "run", F.lit(2)), "_k")).alias("_j"))
-    perm = icc(ordered.select("run", "_b", "_i", "_y").join(ordered.select("run", "_b", F.col("_j").alias("_i"), "_e"), ["run", "_b", "_i"]), ["run"], "_e", "_y")
+    sizes = [(r["_m"], r["k"]) for r in entities.groupBy("_m").agg(F.count("*").alias("k")).orderBy("_m").collect()]  # a row for each distinct number of rows
+    n = sum(m * k for m, k in sizes)
+    whole = d.agg(F.avg("_y").alias("mean"), F.var_pop("_y").alias("v")).first()
+    placed = positions(d, "_k", n).withColumn("v", F.col("_y") - F.lit(whole["mean"]))
+    sums = permuted_sums(placed, sizes, n, range(seed + 1, seed + nperm + 1))
+    mean = F.col("s") / F.col("m")
+    # entities whose sum is 0 in a run have no row there: how many there are is known
+    by_size = sums.groupBy("run", F.col("m").alias("_m")).agg(F.sum(mean).alias("_a"), F.sum(mean * mean).alias("_b"))
+    count = lookup(df.sparkSession, sizes, "_m bigint, _k bigint")
+    runs = df.sparkSession.range(seed + 1, seed + nperm + 1).withColumnRenamed("id", "run").crossJoin(F.broadcast(count)).join(by_size, ["run", "_m"], "left").na.fill(0.0, ["_a", "_b"])
+    within = F.lit(n * whole["v"]) - F.sum(F.col("_m") * F.col("_b")).over(Window.partitionBy("run"))
+    one = F.row_number().over(Window.partitionBy("run").orderBy("_m")) == 1
+    runs = runs.withColumn("_w", F.when(one, F.greatest(within, F.lit(0.0))).otherwise(0.0))
+    perm = runs.groupBy("run").applyInPandas(_icc_of_sizes(["run"]), "run bigint, icc double, sigma2_u double, sigma2_e double, n bigint, n_entities bigint")
     above = perm.agg(F.count_if(F.col("icc") >= own["icc"]).alias("a"), F.count("*").alias("n")).first()
     rows = [(own["icc"], own["sigma2_u"], own["sigma2_e"], own["n"], own["n_entities"], ci[0] if ci else None, ci[1] if ci else None, (above["a"] + 1) / (above["n"] + 1))]
-    return lookup(df.sparkSession, rows, "icc double, sigma2_u double, sigma2_e double, n bigint, n_entities bigint, lower double, upper double, p double")
+    return lookup(df.sparkSession, rows, schema)
 
 
 def p_of_t(t: float, df: float) -> float | None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from .joins import assign_with_fallback, join_nearest
 from .lookups import lookup
 from .numerics import Z90, Z95, Z99, t_quantile
-from .quantiles import quantiles, with_quantiles
+from .quantiles import quantiles, summarise, summarise_where, with_quantiles
 from .reshape import to_wide_multi
+from .series import chunks, last_before
 from .windows import first_per
 
 LEVELS = {"90": Z90, "95": Z95, "99": Z99}
@@ -25,9 +28,8 @@ def allan_sd(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Seque
 
     ``n`` counts all rows; series of fewer than ``min_rows`` rows go.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    d = df.withColumns({f"_d_{c}": F.when(F.col(c).isNotNull(), F.col(c) - F.last(c, ignorenulls=True).over(before)) for c in cols})
+    c = last_before(chunks(df, by, order), by, cols, here=False)
+    d = c.withColumns({f"_d_{x}": F.when(F.col(x).isNotNull(), F.col(x) - F.col(f"_last_{x}")) for x in cols})
     sd = lambda c: F.when(F.count(f"_d_{c}") >= 2, F.stddev_samp(f"_d_{c}") / F.sqrt(F.lit(2.0)))
     out = d.groupBy(*by).agg(F.count("*").alias("n"), *[sd(c).alias(f"allan_sd_{c}") for c in cols])
     return out.where(F.col("n") >= min_rows)
@@ -156,15 +158,15 @@ def filter_registry(flux: str = "co2_flux", co2_r2: str = "co2_r2", co2_snr: str
 
 
 def filter_sensitivity(df: DataFrame, registry: Mapping[str, Column], flux: str = "flux", by: Sequence[str] = ()) -> DataFrame:
-    """What each filter keeps, from one scan: rows, percentage, negatives, mean and median, the most lenient first."""
-    names = list(registry)
-    marked = df.select(*by, F.col(flux).alias("_x"), *[registry[n].alias(f"_{i}") for i, n in enumerate(names)])
-    long = marked.unpivot([*by, "_x"], [f"_{i}" for i in range(len(names))], "_f", "_ok")
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.substring("_f", 2, 9).cast("int") + 1)
-    ok, x = F.col("_ok"), F.col("_x")
-    long = long.select(*by, name.alias("filter"), "_x", "_ok")
-    out = long.groupBy(*by, "filter").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_pass"), F.count_if(ok & (x < 0)).alias("n_neg"), F.avg(F.when(ok, x)).alias("mean"))
-    out = with_quantiles(out, long.where("_ok"), [*by, "filter"], "_x", {"median": 0.5})
+    """What each filter keeps: rows, percentage, negatives, mean and median, the most lenient first. Filters are aggregates side by side, so rows are not multiplied."""
+    names, x = list(registry), F.col("_x")
+    aggs = {"n": F.count("*")}
+    for i in range(len(names)):
+        kept = F.col(f"_t{i}") | (x.isNull() & F.coalesce(registry[names[i]], F.lit(False)))
+        aggs |= {f"pass{i}": F.count_if(kept), f"neg{i}": F.count_if(F.col(f"_t{i}") & (x < 0)), f"mean{i}": F.avg(F.when(F.col(f"_t{i}"), x))}
+    wide = summarise_where(df, by, F.col(flux), list(registry.values()), [0.5], aggs)
+    each = F.array(*[F.struct(F.lit(n).alias("filter"), F.col("n"), F.col(f"pass{i}").alias("n_pass"), F.col(f"neg{i}").alias("n_neg"), F.col(f"mean{i}").alias("mean"), F.col(f"q{i}_0").alias("median")) for i, n in enumerate(names)])
+    out = wide.select(*by, F.inline(each))
     out = out.withColumn("pct_pass", 100 * F.try_divide(F.col("n_pass").cast("double"), F.col("n"))).withColumn("pct_neg", 100 * F.try_divide(F.col("n_neg").cast("double"), F.col("n_pass")))
     return out.select(*by, "filter", "n", "n_pass", "pct_pass", "n_neg", "pct_neg", "mean", "median").orderBy(*by, F.desc("n_pass"), "filter")
 
@@ -177,15 +179,22 @@ def filter_sensitivity_wide(df: DataFrame, registry: Mapping[str, Column], by: s
 
 def treatment_effects(df: DataFrame, flags: Mapping[str, str], flux: str = "flux", by: Sequence[str] = ()) -> DataFrame:
     """Mean, median and sd of flux by threshold and treatment of values below it: removed, set to zero, kept. A value without a limit is kept."""
-    names = list(flags)
-    long = df.select(*by, F.col(flux).alias("_x"), *[F.coalesce(F.col(flags[n]), F.lit(False)).alias(f"_{i}") for i, n in enumerate(names)]).unpivot([*by, "_x"], [f"_{i}" for i in range(len(names))], "_f", "_b")
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.substring("_f", 2, 9).cast("int") + 1)
-    each = long.withColumn("threshold", name).withColumn("treatment", F.explode(F.array(F.lit("remove"), F.lit("zero"), F.lit("keep"))))
-    value = F.when(~F.col("_b") | (F.col("treatment") == "keep"), F.col("_x")).when(F.col("treatment") == "zero", F.when(F.col("_x").isNotNull(), 0.0))
-    each = each.withColumn("_v", value)
-    keys = [*by, "threshold", "treatment"]
-    out = each.groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
-    return with_quantiles(out, each, keys, "_v", {"median": 0.5}).select(*keys, "n", "mean", "median", "sd")
+    names, x = list(flags), F.col("_v.x")
+    low = [F.coalesce(F.col(f), F.lit(False)) for f in flags.values()]
+    # a value below some limit stands a second time, as the zero that it may be set to
+    value = F.struct(F.col(flux).cast("double").alias("x"), F.lit(False).alias("zeroed"))
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(True).alias("zeroed"))
+    set_ = reduce(or_, low, F.lit(False)) & F.col(flux).isNotNull()
+    d = df.select(*by, *[c.alias(f"_b{i}") for i, c in enumerate(low)], F.explode(F.when(set_, F.array(value, zero)).otherwise(F.array(value))).alias("_v"))
+    own = ~F.col("_v.zeroed")
+    tests = [own]
+    for i in range(len(names)):
+        tests += [own & ~F.col(f"_b{i}"), own != F.col(f"_b{i}")]
+    aggs = {f"{m}{i}": f(F.when(F.col(f"_t{i}"), F.col("_x"))) for i in range(len(tests)) for m, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp))}
+    wide = summarise_where(d, by, x, tests, [0.5], aggs)
+    row = lambda name, treatment, i: F.struct(F.lit(name).alias("threshold"), F.lit(treatment).alias("treatment"), *[F.col(f"{m}{i}").alias(m) for m in ("n", "mean")], F.col(f"q{i}_0").alias("median"), F.col(f"sd{i}").alias("sd"))
+    each = F.array(*[row(n, how, i) for k, n in enumerate(names) for how, i in (("remove", 2 * k + 1), ("zero", 2 * k + 2), ("keep", 0))])
+    return wide.select(*by, F.inline(each)).select(*by, "threshold", "treatment", "n", "mean", "median", "sd")
 
 
 def pct_change_vs(df: DataFrame, keys: Sequence[str], name: str, baseline: str, values: Sequence[str]) -> DataFrame:
@@ -198,8 +207,8 @@ def pct_change_vs(df: DataFrame, keys: Sequence[str], name: str, baseline: str,
 def noise_check(df: DataFrame, by: Sequence[str], flux: str = "flux", noise: str = "noise_floor") -> DataFrame:
     """Negative values, and how many lie within one, two and three noise floors."""
     neg = F.col(flux) < 0
-    within = [F.count_if(neg & (F.abs(flux) < k * F.col(noise))).alias(f"n_within_{k}") for k in (1, 2, 3)]
-    out = with_quantiles(df.groupBy(*by).agg(F.count_if(neg).alias("n_neg"), *within), df.where(neg).withColumn("_abs", F.abs(flux)), by, "_abs", {"median_abs_neg": 0.5})
+    within = {f"n_within_{k}": F.count_if(neg & (F.abs(flux) < k * F.col(noise))) for k in (1, 2, 3)}
+    out = summarise_where(df, by, F.abs(flux), [neg], [0.5], {"n_neg": F.count_if(neg), **within}).withColumnRenamed("q0_0", "median_abs_neg")
     return with_quantiles(out, df, by, noise, {"median_noise": 0.5})
 
 
@@ -214,8 +223,8 @@ def dormancy(month: Column) -> Column:
 
 def period_breakdown(df: DataFrame, period: Column, by: Sequence[str], flux: str = "flux", flag: str = "below_MDF") -> DataFrame:
     d, keys = df.withColumn("period", period), ["period", *by]
-    out = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(flux).alias("mean"), F.count_if(F.col(flux) < 0).alias("n_neg"), F.count_if(F.col(flag)).alias("n_below"))
-    return with_quantiles(out, d, keys, flux, {"median": 0.5}).select(*keys, "n", "mean", "median", "n_neg", "n_below")
+    out = summarise(d, keys, flux, {"median": 0.5}, {"n": F.count("*"), "mean": F.avg(flux), "n_neg": F.count_if(F.col(flux) < 0), "n_below": F.count_if(F.col(flag))})
+    return out.select(*keys, "n", "mean", "median", "n_neg", "n_below")
 
 
 def overlap_breakdown(df: DataFrame, period: Column, by: str, groups: int, flux: str = "flux", flag: str = "below_MDF") -> DataFrame:
@@ -247,8 +256,9 @@ def sign_analysis(df: DataFrame, by: Sequence[str], flux: str = "flux", flag: st
 
 
 def qc_by_group(df: DataFrame, by: Sequence[str], flux: str = "flux", flag: str = "below_MDF") -> DataFrame:
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(flux).alias("mean"), F.stddev_samp(flux).alias("sd"), (100 * F.avg((F.col(flux) < 0).cast("int"))).alias("pct_neg"), (100 * F.avg(F.coalesce(F.col(flag), F.lit(False)).cast("int"))).alias("pct_below"))
-    return with_quantiles(out, df, by, flux, {"median": 0.5}).select(*by, "n", "mean", "median", "sd", "pct_neg", "pct_below")
+    share = lambda test: 100 * F.avg(test.cast("int"))
+    out = summarise(df, by, flux, {"median": 0.5}, {"n": F.count("*"), "mean": F.avg(flux), "sd": F.stddev_samp(flux), "pct_neg": share(F.col(flux) < 0), "pct_below": share(F.coalesce(F.col(flag), F.lit(False)))})
+    return out.select(*by, "n", "mean", "median", "sd", "pct_neg", "pct_below")
 
 
 def quality_flags(flux: DataFrame, volumes: DataFrame, by_file: DataFrame, by_interval: DataFrame, *, key: str = "UniqueID", instrument: str = "instrument", default_bar: float = 1013.25, default_airt: float = 15.0) -> DataFrame:

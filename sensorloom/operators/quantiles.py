@@ -1,21 +1,29 @@
 """Exact ranks and quantiles of groups of any size.
 
-``percentile`` and a window over a group both gather a whole group in one task. Here rows
-become distinct values with their counts (summed before the shuffle), a group's range is
-cut into bins, counts run inside bins and are carried over by the bins' totals: a group is
-spread over as many tasks as it has bins, and only bins' totals meet.
+``percentile`` and a window over a group both gather a whole group in one task.
+
+Quantiles: one aggregation sketches each group (mergeable, so it combines before the shuffle) and
+gives a bracket of values around each quantile, with room for the sketch's error. A second one counts the values between the
+brackets as one each, and keeps apart only the distinct values inside: some thousandths of a group. Running counts over these give the exact
+order statistics; a bracket that missed its rank would be an error, never a wrong number.
+
+Ranks: rows become distinct values with their counts. A large group's values are cut into ``BINS`` of about
+equal number at splitters from a sample of its distinct values by hash, which is the same whenever it is drawn. Counts run inside bins and are carried over by the bins' totals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+#: Of the sketch: a rank's relative error is at most 1 / ACCURACY; brackets reach three times as far.
+ACCURACY = 10_000
+#: Bins of a large group, sampled values for each splitter, distinct values from which a group is large.
+BINS, PER_BIN, LARGE = 256, 16, 65_536
 
 
 def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
@@ -32,35 +40,83 @@ def with_group(df: DataFrame, by: Sequence[str], **columns: Column) -> DataFrame
     return join_groups(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in columns.items()]), by)
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """``by, x, c, before, n``: each distinct value with its count, the number of smaller ones and of all in its group; NULL is left out."""
+def splitters(d: DataFrame, by: Sequence[str], large: int = LARGE) -> DataFrame:
+    """``by, splitters``: ascending values that cut the distinct values of groups with more than ``large`` into ``BINS``. ``d``: ``by, x, distinct``."""
+    share = F.lit(float(BINS * PER_BIN)) / F.col("distinct")
+    drawn = d.where((F.col("distinct") > large) & (F.pmod(F.xxhash64("x", F.lit(17)), F.lit(1 << 30)) < share * (1 << 30)))
+    values = drawn.groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("v"))
+    return values.select(*by, F.filter("v", lambda x, i: i % PER_BIN == PER_BIN - 1).alias("splitters"))
+
+
+def binned_values(df: DataFrame, by: Sequence[str], col: str, large: int = LARGE) -> DataFrame:
+    """``by, x, c, n, bin``: each distinct value with its count, its group's, and its bin; smaller values are in smaller bins."""
+    v = df.select(*by, F.col(col).cast("double").alias("x")).where("x is not null")
+    d = v.groupBy(*by, "x").agg(F.count("*").alias("c"))
+    d = join_groups(d, d.groupBy(*by).agg(F.sum("c").alias("n"), F.count("*").alias("distinct")), by)
+    cuts = splitters(d, by, large)
+    d = join_groups(d, cuts, by) if by else d.join(F.broadcast(cuts), F.lit(True), "left")
+    return d.select(*by, "x", "c", "n", F.coalesce(F.size(F.filter("splitters", lambda s: s < F.col("x"))), F.lit(0)).alias("bin"))
+
+
+def value_ranks(df: DataFrame, by: Sequence[str], col: str, large: int = LARGE) -> DataFrame:
+    """``by, x, c, before, n, bin``: each distinct value with its count, the number of smaller ones and of all in its group, and its bin; NULL is left out."""
     names = [f"g{i}" for i in range(len(by))]
-    v = df.select(*[F.col(b).alias(g) for b, g in zip(by, names, strict=True)], F.col(col).cast("double").alias("x")).where("x is not null")
-    d = v.groupBy(*names, "x").agg(F.count("*").alias("c"))
-    d = join_groups(d, d.groupBy(*names).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n")), names)
-    share = F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo"))
-    d = d.withColumn("bin", F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0)))
+    d = binned_values(df.select(*[F.col(b).alias(g) for b, g in zip(by, names, strict=True)], F.col(col).alias("_v")), names, "_v", large)
     inside = Window.partitionBy(*names, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy(*(names or [F.lit(0)])).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     total = d.groupBy(*names, "bin").agg(F.sum("c").alias("t"))
     total = total.select(*names, "bin", F.coalesce(F.sum("t").over(over), F.lit(0)).alias("carried"))
     d = join_groups(d.withColumn("own", F.coalesce(F.sum("c").over(inside), F.lit(0))), total, [*names, "bin"])
-    return d.select(*[F.col(g).alias(b) for b, g in zip(by, names, strict=True)], "x", "c", (F.col("own") + F.col("carried")).alias("before"), "n")
+    return d.select(*[F.col(g).alias(b) for b, g in zip(by, names, strict=True)], "x", "c", (F.col("own") + F.col("carried")).alias("before"), "n", "bin")
+
+
+def summarise_where(df: DataFrame, by: Sequence[str], value: Column, tests: Sequence[Column], probs: Sequence[float], aggs: Mapping[str, Column]) -> DataFrame:
+    """``by``, the aggregates, and for test i and probability j a column ``q{i}_{j}``: the exact quantile, interpolated between neighbours, of the values whose row passes the test. NULL without such a value.
+
+    Aggregates may use ``_x`` (the value) and ``_t{i}`` (the tests, false for NULL values).
+    """
+    span = 3 / ACCURACY
+    edges = F.array(*[F.lit(min(1.0, max(0.0, p + s))) for p in probs for s in (-span, span)])
+    x, k = F.col("_x"), range(len(tests))
+    d = df.withColumn("_x", value.cast("double")).withColumns({f"_t{i}": F.coalesce(t, F.lit(False)) & x.isNotNull() for i, t in enumerate(tests)})
+    first = d.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()], *[F.percentile_approx(F.when(F.col(f"_t{i}"), x), edges, ACCURACY).alias(f"_e{i}") for i in k])
+    some = d.select(*by, "_x", *[f"_t{i}" for i in k]).where(reduce(or_, [F.col(f"_t{i}") for i in k]))
+    near = join_groups(some, first.select(*by, *[f"_e{i}" for i in k]), by, "inner")
+    ends = [(F.col(f"_e{i}")[2 * j], F.col(f"_e{i}")[2 * j + 1]) for i in k for j in range(len(probs))]
+    inside = reduce(or_, [F.coalesce((x >= a) & (x <= b), F.lit(False)) for a, b in ends])
+    gap = reduce(add, [F.coalesce((x > b).cast("int"), F.lit(0)) for _, b in ends])
+    # a row for each value inside a bracket and for all values between two neighbouring ones
+    own = [F.when(F.col(f"_t{i}"), x) for i in k]
+    rows = near.groupBy(*by, F.when(inside, x).alias("_value"), F.when(~inside, gap).alias("_gap")).agg(F.min(x).alias("_at"), *[a.alias(f"_{n}{i}") for i in k for n, a in (("c", F.count(own[i])), ("a", F.min(own[i])), ("b", F.max(own[i])))])
+    group = by or [F.lit(0)]
+    order, whole = Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group)
+    rows = rows.select(*by, *[c for i in k for c in (f"_c{i}", f"_a{i}", f"_b{i}")], *[F.coalesce(F.sum(f"_c{i}").over(order), F.lit(0)).alias(f"_before{i}") for i in k], *[F.sum(f"_c{i}").over(whole).alias(f"_n{i}") for i in k])
+    picks, made = [], []
+    for i in k:
+        a, b, c, before = (F.col(f"_{n}{i}") for n in ("a", "b", "c", "before"))
+        for j, p in enumerate(probs):
+            at = F.lit(float(p)) * (F.col(f"_n{i}") - 1)
+            for name, rank in (("l", F.floor(at)), ("h", F.ceil(at))):
+                missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+                found = F.when((a == b) | (rank == before), a).when(rank == before + c - 1, b).otherwise(missed)
+                picks.append(F.max(F.when((before <= rank) & (rank < before + c), found)).alias(f"_{name}{i}_{j}"))
+            picks.append(F.max(at - F.floor(at)).alias(f"_f{i}_{j}"))
+            made.append((F.col(f"_l{i}_{j}") + F.col(f"_f{i}_{j}") * (F.col(f"_h{i}_{j}") - F.col(f"_l{i}_{j}"))).alias(f"q{i}_{j}"))
+    exact = rows.groupBy(*by).agg(*picks).select(*by, *made)
+    plain = first.select(*by, *aggs)
+    return join_groups(plain, exact, by) if by else plain.join(F.broadcast(exact), F.lit(True), "left")
+
+
+def summarise(df: DataFrame, by: Sequence[str], col: str | Column, probs: Mapping[str, float], aggs: Mapping[str, Column]) -> DataFrame:
+    """A grouped table: the aggregates, and a column for each named exact quantile of ``col``, NULL for groups without a value. Two scans."""
+    out = summarise_where(df, by, F.col(col) if isinstance(col, str) else col, [F.lit(True)], list(probs.values()), aggs)
+    return out.select(*by, *aggs, *[F.col(f"q0_{j}").alias(n) for j, n in enumerate(probs)])
 
 
 def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float]) -> DataFrame:
     """A column for each named quantile, interpolated between neighbours; groups without a value have no row."""
-    r = value_ranks(df, by, col)
-    held, made = [], []
-    for i, (name, p) in enumerate(probs.items()):
-        at = F.lit(float(p)) * (F.col("n") - 1)
-        lo, hi = (f(at) for f in (F.floor, F.ceil))
-        has = [(F.col("before") <= k) & (k < F.col("before") + F.col("c")) for k in (lo, hi)]
-        held += [F.max(F.when(h, F.col("x"))).alias(f"_{k}{i}") for h, k in zip(has, "lh", strict=True)] + [F.max(at - lo).alias(f"_f{i}")]
-        made.append((F.col(f"_l{i}") + F.col(f"_f{i}") * (F.col(f"_h{i}") - F.col(f"_l{i}"))).alias(name))
-        r = r.withColumn(f"_in{i}", has[0] | has[1])
-    some = r.where(reduce(or_, [F.col(f"_in{i}") for i in range(len(probs))]))
-    return some.groupBy(*by).agg(*held).select(*by, *made)
+    out = summarise(df.where(F.col(col).isNotNull()), by, col, probs, {"_rows": F.count("*")})
+    return out.where("_rows > 0").drop("_rows")
 
 
 def with_quantiles(out: DataFrame, df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import add_calendar, match_cols, null_sentinels, parse_ts12
 from .joins import union_all
-from .quantiles import quantiles, with_quantiles
+from .quantiles import quantiles, summarise
 from .reshape import to_long
 
 
@@ -55,7 +55,7 @@ def baseline_sensitivity(long: DataFrame, windows: Mapping[str, tuple[str, str]]
 def five_numbers(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Minimum, 5 %, median, 95 % and maximum by group."""
     probs = {"min": 0.0, "p05": 0.05, "med": 0.5, "p95": 0.95, "max": 1.0}
-    return with_quantiles(df.groupBy(*by).agg(F.count(col).alias("n")), df, by, col, probs).select(*by, "n", *probs)
+    return summarise(df, by, col, probs, {"n": F.count(col)}).select(*by, "n", *probs)
 
 
 def coverage_summary(df: DataFrame, by: Sequence[str] = (), n: str = "n_sensors") -> DataFrame:
@@ -77,8 +77,7 @@ def coverage_strata(df: DataFrame, probs: Sequence[float], n: str = "n_sensors",
     even = F.array(*[F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (len(probs) - 1) for i in range(len(probs))])
     breaks = breaks.crossJoin(F.broadcast(ends)).where("_lo < _hi").select(F.when(F.size("_b") > 2, F.col("_b")).otherwise(even).alias("_b"))
     d = df.crossJoin(F.broadcast(breaks)).withColumn("stratum", F.greatest(F.size(F.filter("_b", lambda b: b < F.col(n))), F.lit(1)))
-    out = d.groupBy("stratum").agg(F.min(n).alias("n_lo"), F.max(n).alias("n_hi"), F.count("*").alias("rows"))
-    return with_quantiles(out, d, ["stratum"], value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return summarise(d, ["stratum"], value, {"q25": 0.25, "median": 0.5, "q75": 0.75}, {"n_lo": F.min(n), "n_hi": F.max(n), "rows": F.count("*")})
 
 
 def replicate_pairs(df: DataFrame, ts: str, a: str, b: str) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stars
 from .numerics import f_pvalue, t_pvalue
+from .quantiles import LARGE, join_groups, value_ranks
 from .reshape import metrics_long
+from .shared import use_checkpoints
 from .windows import rank_avg, top1, topn
 
 
@@ -120,14 +122,21 @@ def both_modes(long: DataFrame, ts: str = "datetime", series: str = "variable",
     return a.select(series, ts, F.explode(F.array(F.struct(F.lit("raw").alias("mode"), F.col(value).alias("value")), F.struct(F.lit("anomaly").alias("mode"), F.col("anomaly").alias("value")))).alias("_m")).select(series, ts, "_m.mode", "_m.value")
 
 
-def bh_adjust(df: DataFrame, by: Sequence[str], p: str, out: str = "p_adj", tie: Sequence[str] = ()) -> DataFrame:
-    """Benjamini-Hochberg: p n / rank, made monotone from the largest p; NULL keeps NULL and does not count."""
-    some = df.where(F.col(p).isNotNull())
-    w = Window.partitionBy(*by)
-    d = some.withColumn("_m", F.row_number().over(w.orderBy(F.asc(p), *tie))).withColumn("_q", F.col(p) * F.count("*").over(w) / F.col("_m"))
-    back = w.orderBy(F.desc("_m")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn(out, F.least(F.lit(1.0), F.min("_q").over(back))).drop("_m", "_q")
-    return d.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+def bh_adjust(df: DataFrame, by: Sequence[str], p: str, out: str = "p_adj", large: int = LARGE) -> DataFrame:
+    """Benjamini-Hochberg: p n / rank, made monotone from the largest p; NULL keeps NULL and does not count.
+
+    Works on distinct p, as equal ones share the adjusted value. A large group is cut into bins of p: the smallest value from a
+    p upwards is that in its bin or that of all later bins, so no window is over a whole large group.
+    """
+    names = [f"_k{i}" for i in range(len(by))]
+    r = value_ranks(df.select(*[F.col(b).alias(k) for b, k in zip(by, names, strict=True)], F.col(p).alias("_p")), names, "_p", large)
+    r = r.withColumn("_q", F.col("x") * F.col("n") / (F.col("before") + F.col("c")))
+    here = Window.partitionBy(*names, "bin").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*(names or [F.lit(0)])).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    least = r.groupBy(*names, "bin").agg(F.min("_q").alias("_m")).withColumn("_later", F.min("_m").over(later)).drop("_m")
+    r = join_groups(r.withColumn("_here", F.min("_q").over(here)), least, [*names, "bin"])
+    r = r.select(*[F.col(k).alias(b) for b, k in zip(by, names, strict=True)], F.col("x").alias("_x"), F.least(F.lit(1.0), F.col("_here"), F.col("_later")).alias(out))
+    return join_groups(df.withColumn("_x", F.col(p).cast("double")), r, [*by, "_x"]).drop("_x")
 
 
 def best_windows(sweep: DataFrame, by: Sequence[str], variable: str = "variable", alpha: float = 0.05, p: bool = True) -> DataFrame:
@@ -135,7 +144,7 @@ def best_windows(sweep: DataFrame, by: Sequence[str], variable: str = "variable"
     best = top1(sweep.where(F.col("r").isNotNull()), [*by, variable], [F.abs("r").desc(), F.asc("window")])
     if not p:
         return best
-    return bh_adjust(best, by, "p", tie=[variable]).withColumn("significant", F.col("p_adj") < alpha)
+    return bh_adjust(best, by, "p").withColumn("significant", F.col("p_adj") < alpha)
 
 
 def compare_raw_anomaly(best: DataFrame, by: Sequence[str], variable: str = "variable") -> DataFrame:
@@ -199,10 +208,7 @@ def corr_clusters(cm: DataFrame, threshold: float = 0.7) -> DataFrame:
     The table has a row for each variable, so its few rounds are cheap; labels are cut off from their lineage in each.
     """
     spark = cm.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sensorloom-"))
+    use_checkpoints(spark)
     edges = cm.where((F.col("a") != F.col("b")) & (F.abs("r") >= threshold)).select("a", "b").distinct().checkpoint()
     labels = cm.select(F.col("a").alias("variable")).distinct().withColumn("cluster", F.col("variable")).checkpoint()
     while True:

@@ -8,30 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import join_groups, quantiles, value_ranks, with_group
-
-
-def _trail(series: Sequence[str], ts: str, n: int):
-    return Window.partitionBy(*series).orderBy(ts).rowsBetween(-(n - 1), 0)
-
-
-def _full(series: Sequence[str], ts: str, n: int) -> Column:
-    return F.row_number().over(Window.partitionBy(*series).orderBy(ts)) >= n
+from .series import chunks, in_chunk, own_rows, rolled, running_sum
 
 
 def roll_mean(df: DataFrame, series: Sequence[str], ts: str, col: str, n: int, strict: bool = False, out: str = "roll") -> DataFrame:
-    """Mean of the last n rows without NULLs; NULL before there are n rows or, with ``strict``, if one of them is NULL."""
-    w = _trail(series, ts, n)
-    ok = F.count(col).over(w) == n if strict else _full(series, ts, n)
-    return df.withColumn(out, F.when(ok, F.avg(col).over(w)))
+    """Mean of the last n rows without NULLs; NULL before there are n rows or, with ``strict``, if one of them is NULL. As all rolling functions, over chunks where a series is long."""
+    return rolled(df, series, ts, n, **{out: lambda w, full: F.when(F.count(col).over(w) == n if strict else full, F.avg(col).over(w))})
 
 
 def roll_sum(df: DataFrame, series: Sequence[str], ts: str, col: str, n: int, out: str = "roll") -> DataFrame:
     """Sum of the last n rows; without any value it is 0."""
-    return df.withColumn(out, F.when(_full(series, ts, n), F.coalesce(F.sum(col).over(_trail(series, ts, n)), F.lit(0.0))))
+    return rolled(df, series, ts, n, **{out: lambda w, full: F.when(full, F.coalesce(F.sum(col).over(w), F.lit(0.0)))})
 
 
 def roll_sd(df: DataFrame, series: Sequence[str], ts: str, col: str, n: int, out: str = "roll") -> DataFrame:
-    return df.withColumn(out, F.when(_full(series, ts, n), F.stddev_samp(col).over(_trail(series, ts, n))))
+    return rolled(df, series, ts, n, **{out: lambda w, full: F.when(full, F.stddev_samp(col).over(w))})
 
 
 def sampling_rounds(df: DataFrame, date: str, gap_days: int = 7, by: Sequence[str] = ()) -> DataFrame:
@@ -44,10 +35,10 @@ def sampling_rounds(df: DataFrame, date: str, gap_days: int = 7, by: Sequence[st
 
 
 def episodes(df: DataFrame, series: Sequence[str], ts: str, state: str, keep: Sequence[str] | None = None) -> DataFrame:
-    """First and last time of each run of one state, by series."""
-    w = Window.partitionBy(*series).orderBy(ts)
-    change = (~F.col(state).eqNullSafe(F.lag(state).over(w))).cast("int")
-    runs = df.withColumn("_change", change).withColumn("_run", F.sum("_change").over(w))
+    """First and last time of each run of one state, by series. In long series a run's number is counted up in chunks and carried, so a run may span any number of them."""
+    c = chunks(df, series, [ts], 1)
+    changes = c.rows.withColumn("_change", (~F.col(state).eqNullSafe(F.lag(state).over(in_chunk(series)))).cast("int")).where(~F.col("_halo"))
+    runs = running_sum(c._replace(rows=changes), series, F.col("_change"), "_run")
     out = runs.groupBy(*series, "_run", state).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
     return (out if keep is None else out.where(F.col(state).isin(list(keep)))).drop("_run")
 
@@ -139,7 +130,8 @@ def thin_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int
 
 def first_difference(df: DataFrame, by: Sequence[str], order: Sequence[str], col: str, out: str = "diff") -> DataFrame:
     """x - previous x; rows without a value are left out first."""
-    return df.where(F.col(col).isNotNull()).withColumn(out, F.col(col) - F.lag(col).over(Window.partitionBy(*by).orderBy(*order)))
+    c = chunks(df.where(F.col(col).isNotNull()), by, order, 1).rows
+    return own_rows(c.withColumn(out, F.col(col) - F.lag(col).over(in_chunk(by))))
 
 
 def top_abs(df: DataFrame, col: str, k: int, then: Sequence[Column] = ()) -> DataFrame:

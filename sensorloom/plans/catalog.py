@@ -773,7 +773,7 @@ def significance_report(spark, d):
 def bh_adjust(spark, d):
     e, i = table(spark, d, "events"), F.col("event_id")
     rows = e.select(F.col("event_type").alias("k"), "event_id", F.when(F.col("value") <= 60, (i * 37 % 1000 + 1) / 1000.0).alias("p"))
-    return K.bh_adjust(rows, ["k"], "p", tie=["event_id"])
+    return K.bh_adjust(rows, ["k"], "p")
 
 
 _MET = "m as (select vec_id, label, " + ", ".join(f"embedding[{i + 1}]::double as d{i}" for i in range(8)) + " from embeddings)"
@@ -1028,3 +1028,4 @@ def repeatability(spark, d):
 
 
 from . import more  # noqa: E402, F401  registers its queries
+from . import modelling  # noqa: E402, F401  registers its queries
