@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import add, and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,34 +75,32 @@ def summarise_where(df: DataFrame, by: Sequence[str], value: Column, tests: Sequ
 
     Aggregates may use ``_x`` (the value) and ``_t{i}`` (the tests, false for NULL values).
     """
-    span = 3 / ACCURACY
-    edges = F.array(*[F.lit(min(1.0, max(0.0, p + s))) for p in probs for s in (-span, span)])
-    x, k = F.col("_x"), range(len(tests))
-    d = df.withColumn("_x", value.cast("double")).withColumns({f"_t{i}": F.coalesce(t, F.lit(False)) & x.isNotNull() for i, t in enumerate(tests)})
-    first = d.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()], *[F.percentile_approx(F.when(F.col(f"_t{i}"), x), edges, ACCURACY).alias(f"_e{i}") for i in k])
-    some = d.select(*by, "_x", *[f"_t{i}" for i in k]).where(reduce(or_, [F.col(f"_t{i}") for i in k]))
+    span, k, ps = 3 / ACCURACY, range(len(tests)), range(len(probs))
+    edges = ", ".join(f"{min(1.0, max(0.0, p + s))!r}D" for p in probs for s in (-span, span))
+    d = df.withColumn("_x", value.cast("double")).withColumns({f"_t{i}": F.coalesce(t, F.lit(False)) & F.col("_x").isNotNull() for i, t in enumerate(tests)})
+    first = d.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()], *[F.expr(f"percentile_approx(if(_t{i}, _x, null), array({edges}), {ACCURACY}) as _e{i}") for i in k])
+    some = d.select(*by, "_x", *[f"_t{i}" for i in k]).where(" or ".join(f"_t{i}" for i in k))
     near = join_groups(some, first.select(*by, *[f"_e{i}" for i in k]), by, "inner")
-    ends = [(F.col(f"_e{i}")[2 * j], F.col(f"_e{i}")[2 * j + 1]) for i in k for j in range(len(probs))]
-    inside = reduce(or_, [F.coalesce((x >= a) & (x <= b), F.lit(False)) for a, b in ends])
-    gap = reduce(add, [F.coalesce((x > b).cast("int"), F.lit(0)) for _, b in ends])
+    inside = " or ".join(f"coalesce(_x >= _e{i}[{2 * j}] and _x <= _e{i}[{2 * j + 1}], false)" for i in k for j in ps)
+    gap = " + ".join(f"coalesce(cast(_x > _e{i}[{2 * j + 1}] as int), 0)" for i in k for j in ps)
     # a row for each value inside a bracket and for all values between two neighbouring ones
-    own = [F.when(F.col(f"_t{i}"), x) for i in k]
-    rows = near.groupBy(*by, F.when(inside, x).alias("_value"), F.when(~inside, gap).alias("_gap")).agg(F.min(x).alias("_at"), *[a.alias(f"_{n}{i}") for i in k for n, a in (("c", F.count(own[i])), ("a", F.min(own[i])), ("b", F.max(own[i])))])
-    group = by or [F.lit(0)]
-    order, whole = Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group)
-    rows = rows.select(*by, *[c for i in k for c in (f"_c{i}", f"_a{i}", f"_b{i}")], *[F.coalesce(F.sum(f"_c{i}").over(order), F.lit(0)).alias(f"_before{i}") for i in k], *[F.sum(f"_c{i}").over(whole).alias(f"_n{i}") for i in k])
+    near = near.withColumn("_inside", F.expr(inside))
+    rows = near.groupBy(*by, F.expr("if(_inside, _x, null) as _value"), F.expr(f"if(_inside, null, {gap}) as _gap"))
+    rows = rows.agg(F.expr("min(_x) as _at"), *[F.expr(f"{f}(if(_t{i}, _x, null)) as _{n}{i}") for i in k for n, f in (("c", "count"), ("a", "min"), ("b", "max"))])
+    group = ", ".join(f"`{b}`" for b in by) or "0"
+    over = f"over (partition by {group} order by _at rows between unbounded preceding and 1 preceding)"
+    rows = rows.selectExpr(*[f"`{b}`" for b in by], *[c for i in k for c in (f"_c{i}", f"_a{i}", f"_b{i}", f"coalesce(sum(_c{i}) {over}, 0) as _before{i}", f"sum(_c{i}) over (partition by {group}) as _n{i}")])
     picks, made = [], []
+    missed = "cast(raise_error('a quantile lies outside its bracket') as double)"
     for i in k:
-        a, b, c, before = (F.col(f"_{n}{i}") for n in ("a", "b", "c", "before"))
         for j, p in enumerate(probs):
-            at = F.lit(float(p)) * (F.col(f"_n{i}") - 1)
-            for name, rank in (("l", F.floor(at)), ("h", F.ceil(at))):
-                missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-                found = F.when((a == b) | (rank == before), a).when(rank == before + c - 1, b).otherwise(missed)
-                picks.append(F.max(F.when((before <= rank) & (rank < before + c), found)).alias(f"_{name}{i}_{j}"))
-            picks.append(F.max(at - F.floor(at)).alias(f"_f{i}_{j}"))
-            made.append((F.col(f"_l{i}_{j}") + F.col(f"_f{i}_{j}") * (F.col(f"_h{i}_{j}") - F.col(f"_l{i}_{j}"))).alias(f"q{i}_{j}"))
-    exact = rows.groupBy(*by).agg(*picks).select(*by, *made)
+            at = f"({float(p)!r}D * (_n{i} - 1))"
+            for name, rank in (("l", f"floor({at})"), ("h", f"ceil({at})")):
+                found = f"case when _a{i} = _b{i} or {rank} = _before{i} then _a{i} when {rank} = _before{i} + _c{i} - 1 then _b{i} else {missed} end"
+                picks.append(f"max(case when _before{i} <= {rank} and {rank} < _before{i} + _c{i} then {found} end) as _{name}{i}_{j}")
+            picks.append(f"max({at} - floor({at})) as _f{i}_{j}")
+            made.append(f"_l{i}_{j} + _f{i}_{j} * (_h{i}_{j} - _l{i}_{j}) as q{i}_{j}")
+    exact = rows.groupBy(*by).agg(*map(F.expr, picks)).selectExpr(*[f"`{b}`" for b in by], *made)
     plain = first.select(*by, *aggs)
     return join_groups(plain, exact, by) if by else plain.join(F.broadcast(exact), F.lit(True), "left")
 
