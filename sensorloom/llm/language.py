@@ -8,13 +8,14 @@ escapes with d / (n + d)), without the bytes that the longer context has
 seen. As the statistics don't change, all of this is worked out once into
 a table (context, byte, language) -> bits, and scoring a text is looking up each of
 its bytes: the code length of the whole text under every language at once.
+
+Any number of languages is learned: they are taken in blocks with a table each, and
+the trees of a block are cut back until all tables together keep within ``TABLE_BYTES``.
 """
 
 from __future__ import annotations
 
 import zlib
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,14 @@ from pyspark.sql import functions as F
 from .common import bound_batches, pieces, utf8
 
 
+#: Languages of a table; bytes of all tables together; bytes of all samples together; of the one text of a language that has no shorter one.
+BLOCK_LANGS, TABLE_BYTES, SAMPLE_BYTES, ONE_TEXT_BYTES = 32, 256 << 20, 64 << 20, 16 << 20
+
+
+class NoLabelledText(ValueError):
+    """There is nothing to learn from."""
+
+
 class PpmModel:
     """Frozen code lengths. ``symbol``: byte to symbol, 0 is the start of a text; ``state``: last three symbols to a context; ``bits``: (context * symbols + symbol, language)."""
 
@@ -60,8 +69,25 @@ def _counts(texts: list[bytes], symbol: np.ndarray, a: int) -> dict[int, tuple[n
     return {o: np.unique(sum(line[3 - k : len(line) - k] * a**k for k in range(o + 1))[own], return_counts=True) for o in range(4)}
 
 
-def fit_ppm(samples: dict[str, list[bytes]], min_context: int = 8) -> PpmModel:
-    """The frozen model of labelled samples; contexts of fewer than ``min_context`` bytes over all languages are cut off the trees."""
+class PpmModels:
+    """Models of blocks of languages, in the order of their names."""
+
+    def __init__(self, blocks: list[PpmModel]):
+        self.blocks, self.langs = blocks, [x for b in blocks for x in b.langs]
+
+    def lengths(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return np.concatenate([b.lengths(data, off) for b in self.blocks], axis=1)
+
+
+def fit_blocks(samples: dict[str, list[bytes]], block_langs: int = BLOCK_LANGS, table_bytes: int = TABLE_BYTES) -> PpmModels:
+    """A model of any number of languages, in tables of ``table_bytes`` together."""
+    langs = sorted(samples)
+    parts = [langs[i : i + block_langs] for i in range(0, len(langs), block_langs)]
+    return PpmModels([fit_ppm({x: samples[x] for x in part}, most_bytes=table_bytes // len(parts)) for part in parts])
+
+
+def fit_ppm(samples: dict[str, list[bytes]], min_context: int = 8, most_bytes: int = TABLE_BYTES) -> PpmModel:
+    """The frozen model of labelled samples; contexts of fewer than ``min_context`` bytes over all languages are cut off the trees, and more where the table would have over ``most_bytes``."""
     langs = sorted(samples)
     seen = np.zeros(256, bool)
     for texts in samples.values():
@@ -73,12 +99,17 @@ def fit_ppm(samples: dict[str, list[bytes]], min_context: int = 8) -> PpmModel:
     symbol[seen] = np.arange(1, k + 1)
     grams = {x: _counts(samples[x], symbol, a) for x in langs}
 
-    contexts: list[np.ndarray] = [np.zeros(1, np.int64)]
+    found = [(np.zeros(1, np.int64), np.full(1, np.inf))]
     for o in range(1, 4):
         keys = np.concatenate([grams[x][o][0] // a for x in langs])
         weight = np.concatenate([grams[x][o][1] for x in langs])
         c, inverse = np.unique(keys, return_inverse=True)
-        contexts.append(c[np.bincount(inverse, weight) >= min_context] if len(c) else c)
+        found.append((c, np.bincount(inverse, weight)) if len(c) else (c, c))
+    while True:  # a context occurs at least as often as each longer one: shorter ones stay as long as any that needs them
+        contexts = [c[n >= min_context] for c, n in found]
+        if len(contexts[1]) == 0 or sum(map(len, contexts)) * a * len(langs) * 4 <= most_bytes:
+            break
+        min_context *= 2
     first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
     bits = np.zeros((first[-1], a, len(langs)), np.float32)
     for column, lang in enumerate(langs):
@@ -116,45 +147,46 @@ def fit_ppm(samples: dict[str, list[bytes]], min_context: int = 8) -> PpmModel:
     return PpmModel(langs, symbol, state, bits.reshape(-1, len(langs)))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_docs: int = 400, sample_bytes: int = 1_500_000, held_out_of: int = 5, most_langs: int = 256) -> PpmModel:
-    """Fit on whole texts of at most ``sample_docs`` documents and ``sample_bytes`` bytes of each language.
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_docs: int = 400, sample_bytes: int = 1_500_000, held_out_of: int = 5) -> PpmModels:
+    """Fit on whole texts of at most ``sample_docs`` documents and ``sample_bytes`` bytes of each language, less where all languages' samples would have over ``SAMPLE_BYTES``.
 
     Only rows count whose text and language are known and whose ``crc32(id) mod
     held_out_of`` is not 0. They are chosen by a hash of id and text, so the choice does not
     depend on the order of rows or on partitions: a count by language gives the share of
     hashes to read, sizes of those in the order of hashes give where the bound is reached, and only
-    texts before that place come to the driver. Raises ``ValueError`` if there is no such row, or
-    for more than ``most_langs`` languages, as the model has a column for each.
+    texts before that place come to the driver. A language all of whose texts are longer than the bound is learned
+    from its shortest one. Raises ``NoLabelledText`` if there is no such row, and ``ValueError`` where a language has no text of up to ``ONE_TEXT_BYTES``.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("id").cast("string")) % held_out_of != 0))
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("id", "text"), 1))
-    counted = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
-    if not counted:
-        raise ValueError("no labelled text to learn from")
-    if len(counted) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-
-    def below(limits: dict[str, int]) -> Column:
-        return reduce(or_, [(F.col("lang") == x) & (F.col("h") <= h) for x, h in limits.items()], F.lit(False))
-
-    top = (1 << 63) - 1
-    sized = rows.where(below({x: top if n <= 2 * sample_docs else top // n * 2 * sample_docs for x, n in counted.items()}))
-    sized = sized.select("lang", "h", F.octet_length("text").cast("long").alias("size"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("id", "text"), 1)).withColumn("size", F.octet_length("text").cast("long"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct("size", "h")).alias("least"))
+    langs = {r["lang"]: (r["n"], r["least"]) for r in counted.collect()}  # a row for each language
+    if not langs:
+        raise NoLabelledText("no labelled text to learn from")
+    bound = min(sample_bytes, SAMPLE_BYTES // len(langs))
+    if too := sorted(x for x, (_, least) in langs.items() if least["size"] > max(bound, ONE_TEXT_BYTES)):
+        raise ValueError(f"no text of up to {ONE_TEXT_BYTES} bytes in: {', '.join(too)}")
+    top, spark = (1 << 63) - 1, docs.sparkSession
+    share = spark.createDataFrame([(x, top if n <= 2 * sample_docs else top // n * 2 * sample_docs) for x, (n, _) in langs.items()], "lang string, most bigint")
+    sized = rows.join(share, "lang").where((F.col("h") <= F.col("most")) & (F.col("size") <= bound)).select("lang", "h", "size").distinct()
     running = Window.partitionBy("lang").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    sized = sized.where(F.col("size") <= sample_bytes).select("lang", "h", F.count("*").over(running).alias("docs"), F.sum("size").over(running).alias("bytes"))
-    last = sized.where((F.col("docs") <= sample_docs) & (F.col("bytes") <= sample_bytes)).groupBy("lang").agg(F.max("h").alias("h"))
-    chosen = rows.where(below({r["lang"]: r["h"] for r in last.collect()}) & (F.octet_length("text") <= sample_bytes))
+    sized = sized.select("lang", "h", F.count("*").over(running).alias("docs"), F.sum("size").over(running).alias("bytes"))
+    last = sized.where((F.col("docs") <= sample_docs) & (F.col("bytes") <= bound)).groupBy("lang").agg(F.max("h").alias("last"))
+    limits = {r["lang"]: (r["last"], bound) for r in last.collect()}
+    # where no short text is among the hashes read: the first of the shortest
+    wanted = [(x, 0, *limits[x]) if x in limits else (x, least["h"], least["h"], least["size"]) for x, (_, least) in langs.items()]
+    wanted = spark.createDataFrame(wanted, "lang string, first bigint, last bigint, longest bigint")
+    chosen = rows.join(wanted, "lang").where(F.col("h").between(F.col("first"), F.col("last")) & (F.col("size") <= F.col("longest")))
+    chosen = chosen.select("lang", "h", "text").dropDuplicates(["lang", "h"])  # repeated rows count once
     samples: dict[str, list[bytes]] = {}
-    for r in sorted(chosen.select("lang", "h", "text").limit(len(counted) * sample_docs).collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"])):
         samples.setdefault(r["lang"], []).append(r["text"].encode())
-    if not samples:
-        raise ValueError("no labelled text short enough to learn from")
-    return fit_ppm(samples)
+    return fit_blocks(samples)
 
 
-def predict(model: PpmModel):
+def predict(model: PpmModel | PpmModels):
     """Column function: text to ``struct<lang_pred, score, bits_per_byte>``."""
 
     @F.arrow_udf("struct<lang_pred:string,score:double,bits_per_byte:double>")
@@ -183,7 +215,7 @@ def rejected(found: Column, most_bits: float = 8.0) -> Column:
     return (found["lang_pred"] == "und") | (found["bits_per_byte"] > most_bits)
 
 
-def identify(docs: DataFrame, model: PpmModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, model: PpmModel | PpmModels | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``id_col, held_out, lang_pred, score, bits_per_byte`` of each row; learns from ``docs`` itself unless given a model.
 
     ``score`` is the posterior probability of the language under equal priors.
@@ -197,7 +229,7 @@ def identify(docs: DataFrame, model: PpmModel | None = None, id_col: str = "doc_
     if model is None:
         try:
             model = learn(docs, id_col, text_col, lang_col)
-        except ValueError:
+        except NoLabelledText:
             return src.select(F.col("_id").alias(id_col), held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     return src.select("_id", predict(model)("_text").alias("_p")).select(F.col("_id").alias(id_col), held_out.alias("held_out"), "_p.lang_pred", "_p.score", "_p.bits_per_byte")
 

@@ -61,6 +61,105 @@ def test_language_edges(spark, docs):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def brute_ppm(samples, min_context):
+    """Bits of a text under each language by walking its context trees byte by byte."""
+    seen = sorted({b for texts in samples.values() for t in texts for b in t})
+    counts = {x: {} for x in samples}
+    for x, texts in samples.items():
+        for t in texts:
+            line = [None, None, None, *t]
+            for i in range(3, len(line)):
+                for o in range(4):
+                    own = counts[x].setdefault(tuple(line[i - o : i]), {})
+                    own[line[i]] = own.get(line[i], 0) + 1
+    kept = {()}
+    for c in {c for x in counts for c in counts[x]}:
+        if sum(sum(counts[x].get(c, {}).values()) for x in counts) >= min_context:
+            kept.add(c)
+
+    def own(x, context):
+        while context not in kept or context not in counts[x]:
+            context = context[1:]
+        return context
+
+    def below(x, context, s):
+        """Probability of a byte unseen in a context, given the escape."""
+        if not context:
+            return 1 / max(1, 256 - len(counts[x][()]))
+        up = own(x, context[1:])
+        rest = {k: n for k, n in counts[x][up].items() if k not in counts[x][context]}
+        whole = sum(rest.values()) + len(rest)
+        if rest.get(s):
+            return rest[s] / max(whole, 1)
+        return below(x, up, s) * (len(rest) / max(whole, 1) if rest else 1)
+
+    def bits(text):
+        out = []
+        for x in sorted(samples):
+            line, total = [None, None, None, *text], 0.0
+            for i in range(3, len(line)):
+                s, c = line[i] if line[i] in seen else "other", own(x, tuple(line[i - 3 : i]))
+                n = counts[x][c]
+                whole = sum(n.values()) + len(n)
+                p = n[s] / whole if s in n else below(x, c, s) * len(n) / whole
+                total -= np.log2(max(p, 2.0**-40))
+            out.append(total)
+        return out
+
+    return bits
+
+
+def test_language_code_lengths_are_a_tree_walks():
+    rng = random.Random(3)
+    samples = {x: ["".join(rng.choice(words) + " " for _ in range(60)).encode() for _ in range(3)] for x, words in (("a", ["the", "then", "hat"]), ("b", ["der", "den", "hut", "tag"]), ("c", ["zz", "azb"]))}
+    texts = [b"the hat", b"der tag und", b"", b"zzz then", "näher".encode(), b"azb azb"]
+    off = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    for least in (2, 30):
+        walk, m = brute_ppm(samples, least), language.fit_ppm(samples, min_context=least)
+        assert np.allclose(m.lengths(data, off), [walk(t) for t in texts], rtol=1e-5, atol=1e-4)
+    blocks = language.fit_blocks(samples, block_langs=2)
+    each = [language.fit_ppm({x: samples[x] for x in part}).lengths(data, off) for part in (("a", "b"), ("c",))]
+    assert blocks.langs == ["a", "b", "c"] and np.array_equal(blocks.lengths(data, off), np.concatenate(each, axis=1))
+
+
+def test_tables_of_contexts_keep_within_their_bytes():
+    rng = random.Random(4)
+    samples = {x: [bytes(rng.choice(b"abcdefghij ") for _ in range(5000))] for x in "pqr"}
+    small = language.fit_ppm(samples, most_bytes=20_000)
+    assert small.bits.nbytes <= 20_000 < language.fit_ppm(samples).bits.nbytes
+    assert language.fit_ppm(samples, most_bytes=1).bits.nbytes == 3 * 4 * small.size  # the root alone
+
+
+def test_three_hundred_languages(spark):
+    """Every text gets one of the languages learned, nearly always its own."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7))) for _ in range(6)]
+        rows += [(10 * k + i, " ".join(rng.choice(words) for _ in range(25)), f"l{k:03}") for i in range(8)]
+    rows.append((9_999, "12 34", "l000"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language.identify(df).join(df.select("doc_id", "lang"), "doc_id").toPandas()
+    words = found[found.doc_id != 9_999]
+    assert (words.lang_pred != "und").all() and set(words.lang_pred) <= set(words.lang) and (found[found.doc_id == 9_999].lang_pred == "und").all()
+    assert (words[words.held_out].lang_pred == words[words.held_out].lang).mean() > 0.95
+
+
+def test_languages_without_short_texts(spark, monkeypatch):
+    rows = [(i, "hello world " * 20, "en") for i in range(1, 6)] + [(i, "guten tag " * 900, "de") for i in range(6, 9)] + [(9, "guten tag " * 800, "de"), (10, "guten tag", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    m = language.learn(df, sample_bytes=2000)
+    assert m.langs == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, m).collect()}
+    assert got[10] == "de" and got[1] == "en"
+    monkeypatch.setattr(language, "ONE_TEXT_BYTES", 5000)
+    with pytest.raises(ValueError, match="de"):
+        language.learn(df, sample_bytes=2000)
+    with pytest.raises(language.NoLabelledText):
+        language.learn(df.withColumn("lang", F.lit(None).cast("string")))
+
+
 def brute_licence(text):
     words = [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())]
     at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
