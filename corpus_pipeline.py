@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that have a language: those without a letter (null and empty texts too), or that no language's model codes in fewer bits than their bytes have, go. Without a labelled text to learn from, only the first rule judges."""
     try:
         model = language.learn(docs)
-    except ValueError:
+    except language.NoLabelledText:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     return docs.where(~language.rejected(language.predict(model)(F.col("text"))))
 
