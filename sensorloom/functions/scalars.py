@@ -153,6 +153,12 @@ def parse_feature_name(col: Column | str) -> Column:
     return F.struct(part(1).alias("base"), part(2).alias("mode"), F.nullif(part(3), F.lit("")).cast("int").alias("hours"))
 
 
+def feature_attributes(col: Column | str) -> Column:
+    """``depth, site, hours`` of a name such as ``vwc_15cm_a`` or ``wtd_b_24h``: the depth in centimetres (``15 cm``), the site by the last letter, before the window if there is one (``Site A``), and the window's hours. NULL for what a name does not have."""
+    part = lambda pattern: F.nullif(F.regexp_extract(_c(col), pattern, 1), F.lit(""))
+    return F.struct(F.concat(part(r"(\d+)cm"), F.lit(" cm")).alias("depth"), F.concat(F.lit("Site "), F.upper(part(r"_([ab])(?:_\d+h)?$"))).alias("site"), part(r"(\d+)h$").cast("int").alias("hours"))
+
+
 def recode(col: Column | str, mapping: Mapping[str, str], default: Column | str | None = None) -> Column:
     """Value by map; others the default, or themselves without one."""
     pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,20 +134,42 @@ def average_predictions(df: DataFrame, by: Sequence[str], value: str, attributes
     return df.groupBy(*by).agg(F.avg(value).alias(value), *[F.min(a).alias(a) for a in attributes])
 
 
+class Parsed(NamedTuple):
+    """Rows, and what failed with its error. Both are read from ``both``, which may be written once where either is costly."""
+
+    rows: DataFrame
+    failures: DataFrame
+    both: DataFrame
+
+
+def split_failures(both: DataFrame, names: Sequence[str], keys: Mapping[str, str]) -> Parsed:
+    """``both``: columns of rows, then those of failures, of which ``failed_error`` is NULL in rows. ``keys``: failure columns and their names."""
+    failed = F.col("failed_error").isNotNull()
+    return Parsed(both.where(~failed).select(*[f"`{n}`" for n in names]), both.where(failed).select(*[F.col(c).alias(n) for c, n in keys.items()], F.col("failed_error").alias("error")), both)
+
+
 def apply_by(df: DataFrame, by: Sequence[str], fn: Callable, schema: str, safe: bool = False) -> DataFrame:
-    """A pandas function by group; with ``safe``, a group whose function fails has no rows. For groups of bounded size, as of one entity or model."""
+    """A pandas function by group; a failure ends the job, with ``safe`` its group has no rows: ``apply_by_checked`` tells which. For groups of bounded size, as of one entity or model."""
+    return apply_by_checked(df, by, fn, schema, safe).rows
+
+
+def apply_by_checked(df: DataFrame, by: Sequence[str], fn: Callable, schema: str, safe: bool = True) -> Parsed:
+    """The function's rows, and key and error of each group on which it failed."""
+    names, kinds = [f.split()[0] for f in schema.split(",")], dict(df.select(*by).dtypes)
+    keys = {f"failed_{i}": b for i, b in enumerate(by)}
+
+    def run(key, pdf):
+        import pandas as pd
 
-    def run(pdf):
         try:
-            return fn(pdf)
-        except Exception:
+            return fn(pdf)[names].assign(**dict.fromkeys(keys), failed_error=None)
+        except Exception as e:
             if not safe:
                 raise
-            import pandas as pd
-
-            return pd.DataFrame(columns=[f.split()[0] for f in schema.split(",")])
+            return pd.DataFrame([[None] * len(names) + [*key, f"{type(e).__name__}: {e}"]], columns=[*names, *keys, "failed_error"])
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    both = df.groupBy(*by).applyInPandas(run, ", ".join([schema, *(f"{k} {kinds[b]}" for k, b in keys.items()), "failed_error string"]))
+    return split_failures(both, names, keys)
 
 
 # --- tables behind figures ------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import add_calendar, match_cols, null_sentinels, parse_ts12
 from .joins import union_all
 from .quantiles import quantiles, summarise
-from .reshape import to_long
+from .reshape import replicate_mean, to_long
 
 
 def median(col: str) -> Column:
@@ -92,16 +92,25 @@ def monthly_channels(df: DataFrame, ts: str, channels: Sequence[str], name: str)
     return long.groupBy("channel", F.date_trunc("month", ts).cast("timestamp_ntz").alias("month")).agg(F.avg("value").alias("mean"), F.count("value").alias("n")).withColumn("tower", F.lit(name))
 
 
-def build_aligned(sources: Sequence[DataFrame | None], years: tuple[int, int] | None = None, ts: str = "datetime") -> DataFrame:
+def build_aligned(sources: Sequence[DataFrame | None], years: tuple[int, int] | None = None, ts: str = "datetime", *, replicates: Mapping[str, str] | None = None, daily: Sequence[DataFrame | None] = (), date: str = "date") -> DataFrame:
     """One row an hour with the hourly mean of every column of all sources that are there, and calendar columns.
 
     Sources go to long form and meet in one grouping by hour, so any number of them costs
-    one shuffle, and the hours are the union of all their hours.
+    one shuffle, and the hours are the union of all their hours. ``replicates`` (name: pattern of whole column names) are means of an hour's
+    replicate columns. ``daily`` sources have a date: their values stand at every hour of the backbone on that day and add no hours, as one join for all of them.
     """
     there = [s for s in sources if s is not None]
     names = [c for s in there for c in s.columns if c != ts]
     every = union_all([s.select(F.date_trunc("hour", ts).cast("timestamp_ntz").alias(ts), *[F.col(c).cast("double").alias(c) for c in s.columns if c != ts]) for s in there])
     wide = every.where(F.col(ts).isNotNull()).groupBy(ts).agg(*[F.avg(c).alias(c) for c in dict.fromkeys(names)])
+    for out, pattern in (replicates or {}).items():
+        wide = replicate_mean(wide, out, pattern)
+    days = [s for s in daily if s is not None]
+    if days:
+        values = list(dict.fromkeys(c for s in days for c in s.columns if c != date))
+        per_day = union_all([s.select(F.col(date).cast("date").alias("_day"), *[F.col(c).cast("double").alias(c) for c in s.columns if c != date]) for s in days])
+        per_day = per_day.where(F.col("_day").isNotNull()).groupBy("_day").agg(*[F.avg(c).alias(c) for c in values])
+        wide = wide.withColumn("_day", F.to_date(ts)).join(per_day, "_day", "left").drop("_day")
     out = add_calendar(wide, ts)
     return out if years is None else out.where(F.col("year").between(*years))
 

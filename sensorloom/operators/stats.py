@@ -116,6 +116,19 @@ def window_sweep(flux: DataFrame, long: DataFrame, windows: Sequence[int], y: st
     return with_p(out) if p else out
 
 
+def flag_significant(sweep: DataFrame, alpha: float = 0.05, p: str = "p") -> DataFrame:
+    """``significant``: p below alpha; NULL without p."""
+    return sweep.withColumn("significant", F.col(p) < alpha)
+
+
+def category_summary(flagged: DataFrame, category: Column, by: Sequence[str] = ("site",), variable: str = "variable") -> DataFrame:
+    """Variables, mean and largest |r|, and percentage significant by category and group, the strongest first. Rows without r count for no mean."""
+    out = flagged.withColumn("category", category).groupBy("category", *by).agg(
+        F.countDistinct(variable).alias("n_variables"), F.avg(F.abs("r")).alias("mean_abs_r"), F.max(F.abs("r")).alias("max_abs_r"), (100 * F.avg(F.col("significant").cast("int"))).alias("pct_significant")
+    )
+    return out.orderBy(F.desc("max_abs_r"), "category", *by)
+
+
 def both_modes(long: DataFrame, ts: str = "datetime", series: str = "variable", value: str = "value") -> DataFrame:
     """The readings as ``raw`` and as ``anomaly``, in a column ``mode``."""
     a = anomaly(long, ts, [series], value)

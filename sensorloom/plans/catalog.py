@@ -1028,4 +1028,4 @@ def repeatability(spark, d):
 
 
 from . import more  # noqa: E402, F401  registers its queries
-from . import modelling  # noqa: E402, F401  registers its queries
+from . import modelling, sweeps  # noqa: E402, F401  they register their queries

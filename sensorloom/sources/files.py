@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -13,8 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import null_sentinels
+from ..operators.aggregates import Parsed, split_failures
 from ..operators.joins import union_all
 
+#: Bytes that a task reads of small files, and what opening one costs, in bytes.
+PACK_BYTES, OPEN_BYTES = 128 << 20, 64 << 10
+
+
+def packed(df: DataFrame, spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """A scan of many small files in as many tasks as their bytes need, opening included: Spark's own splits take a file for 4 MB at least. A listing gives number and bytes; no shuffle."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    n, size = files.agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil((size + n * OPEN_BYTES) / PACK_BYTES)))
+
 
 def read_commented_csv(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
     reader = spark.read.option("comment", "#").option("header", True)
@@ -43,7 +55,7 @@ def read_table(spark: SparkSession, path: str | list[str], schema: str | None =
 def read_traces(spark: SparkSession, root: str, must_contain: str = "/tables/", pattern: str = "*.csv", schema: str = "REMARK string, DATE string, ts timestamp_ntz, CO2 double, CH4 double") -> DataFrame:
     """All trace files under ``root`` whose path holds a text, with their path and the row's place in them."""
     df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root)
-    df = df.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    df = packed(df.select("*", F.col("_metadata.file_path").alias("file")), spark, root, pattern).withColumn("line", F.monotonically_increasing_id())
     return df.where(F.col("file").contains(must_contain))
 
 
@@ -54,20 +66,21 @@ def trace_catalog(df: DataFrame, file: str = "file") -> DataFrame:
     return found.where(F.col("machine") != "").select(file, "machine", F.col("day").cast("date").alias("date"))
 
 
-def map_files(files: DataFrame, fn: Callable[[str, bytes], pd.DataFrame], schema: str, safe: bool = True) -> DataFrame:
-    """A function of path and content for each file; with ``safe``, a file on which it fails has no rows."""
+def map_files(files: DataFrame, fn: Callable[[str, bytes], pd.DataFrame], schema: str, safe: bool = True) -> Parsed:
+    """A function of path and content for each file: its rows, and path and error of each file on which it failed. Without ``safe`` a failure ends the job. Spark's listing leaves out files without a byte."""
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    yield fn(path, content)[names]
-                except Exception:
+                    yield fn(path, content)[names].assign(failed_path=None, failed_error=None)
+                except Exception as e:
                     if not safe:
                         raise
+                    yield pd.DataFrame({**dict.fromkeys(names, [None]), "failed_path": [path], "failed_error": [f"{type(e).__name__}: {e}"]})
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return split_failures(files.select("path", "content").mapInPandas(run, f"{schema}, failed_path string, failed_error string"), names, {"failed_path": "path"})
 
 
 def parse_lgr(path: str, content: bytes) -> pd.DataFrame:
@@ -83,9 +96,10 @@ def parse_lgr(path: str, content: bytes) -> pd.DataFrame:
     return out[out["ts"].notna()]
 
 
-def read_lgr_traces(spark: SparkSession, root: str, pattern: str = "*.{txt,zip}") -> DataFrame:
+def read_lgr_traces(spark: SparkSession, root: str, pattern: str = "*.{txt,zip}") -> Parsed:
+    """Traces of all files, and the files that could not be parsed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return map_files(files, parse_lgr, "file string, line bigint, ts timestamp_ntz, CH4 double, CO2 double")
+    return map_files(packed(files, spark, root, pattern), parse_lgr, "file string, line bigint, ts timestamp_ntz, CH4 double, CO2 double")
 
 
 def latest_version(paths: DataFrame, site: str, path: str = "path") -> DataFrame:

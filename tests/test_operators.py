@@ -274,7 +274,8 @@ def test_sources(spark, tmp_path):
     with zipfile.ZipFile(folder / "b.zip", "w") as z:
         z.writestr("b.txt", body)
     (folder / "c.txt").write_text("nothing to read")
-    lgr = files.read_lgr_traces(spark, str(tmp_path / "raw"))
+    lgr, failures, _ = files.read_lgr_traces(spark, str(tmp_path / "raw"))
+    assert [(r["path"].rsplit("/", 1)[1], r["error"][:13]) for r in failures.collect()] == [("c.txt", "EmptyDataErro")]
     assert lgr.count() == 4 and {r.machine for r in files.trace_catalog(lgr).collect()} == {"LGR1"}
     assert files.read_optional(spark, str(tmp_path / "none.csv")) is None
     d = spark.createDataFrame([(1, 0, None), (2, 1, None), (3, None, 0)], "k int, q1 int, q2 int")
