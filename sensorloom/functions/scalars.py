@@ -174,7 +174,7 @@ def merge_codes(df: DataFrame, col: str, codes: Mapping[str, str], drop: Sequenc
 def override(df: DataFrame, key: str, col: str, values: Mapping) -> DataFrame:
     """Given keys take the given value of ``col``."""
     dim = lookup(df.sparkSession, list(values.items()), [key, "_new"])
-    return df.join(F.broadcast(dim), key, "left").withColumn(col, F.coalesce("_new", col)).drop("_new")
+    return df.join(dim, key, "left").withColumn(col, F.coalesce("_new", col)).drop("_new")
 
 
 def stars(p: Column | str) -> Column:

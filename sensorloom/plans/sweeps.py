@@ -8,7 +8,8 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import sensors as N
 from ..operators import stats as K
-from .catalog import _BEST, _SWEEP, ORACLE_SQL, _sweep, query
+from ..operators.numerics import t_pvalue
+from .catalog import _SWEEP, ORACLE_SQL, WINDOWS, _mdf, _sweep, query
 from .more import p_sql
 from .views import FLUX, LONG, SPECIES, driver_long, flux, table
 
@@ -87,3 +88,22 @@ def failed_groups(spark, d):
         return pdf[["tree"]].head(1).assign(slope=float(pdf["value"].mean()))
 
     return A.apply_by_checked(f, ["tree"], fit, "tree bigint, slope double").failures
+
+
+ORACLE_SQL["residual_screen"] = (
+    "with " + LONG + ", m as (select regr_slope(flux, hour(ts)) as b, regr_intercept(flux, hour(ts)) as a from flux), res as (select site, hour, flux - a - b * hour(ts) as y from flux, m), wl as ("
+    + " union all ".join(f"select variable, datetime, {n} as win, case when row_number() over (partition by variable order by datetime) >= {n} then avg(value) over (partition by variable order by datetime rows between {n - 1} preceding and current row) end as feature from long" for n in WINDOWS)
+    + '), c as (select site, variable, win, count(y) as n, corr(y, feature) as r0 from res join wl on res.hour = wl.datetime where feature is not null group by 1, 2, 3), r as (select site, variable, win as "window", n, r0 as r from c where n >= 5 and r0 is not null), best as (select * from r qualify row_number() over (partition by site, variable order by round(abs(r), 9) desc, "window") = 1), p as (select *, ' + p_sql("r", "n")
+    + ' as p from best), k as (select *, row_number() over (partition by site order by p, variable) as k, count(*) over (partition by site) as t from p), q as (select *, least(1.0, min(p * t / k) over (partition by site order by k desc rows between unbounded preceding and current row)) as p_adj from k)'
+    + " select site, variable, \"window\"::int as \"window\", 'mean' as stat, round(r, 6) as r, n, round(p, 6) as p, round(p_adj, 6) as p_adj, p_adj < 0.05 as significant from q"
+)
+
+
+@query("with t as (select distinct greatest(60 + event_id % 240 - 2, 1)::int as df from events where event_id % 5 <> 0 union select 298) select df, level, p from t, (values ('90', 0.1::double), ('95', 0.05::double), ('99', 0.01::double)) as v(level, p)")
+def christiansen_quantiles(spark, d):
+    """Each limit over three noise floors is the t quantile of its duration: its two-sided p must be the level's."""
+    z = _mdf(spark, d, chr_=True).where("noise_floor > 0")
+    df = F.greatest(F.floor("t_sec_est") - 2, F.lit(1)).cast("int")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), (F.col(f"MDF_chr{k}") / (3 * F.col("noise_floor"))).alias("t")) for k in ("90", "95", "99")]))
+    own = z.select(df.alias("df"), each.alias("v")).groupBy("df", "v.level").agg(F.avg("v.t").alias("t"))
+    return own.select("df", "level", t_pvalue(F.col("t"), F.col("df")).alias("p"))
