@@ -169,8 +169,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if too := sorted(x for x, (_, least) in langs.items() if least["size"] > max(bound, ONE_TEXT_BYTES)):
         raise ValueError(f"no text of up to {ONE_TEXT_BYTES} bytes in: {', '.join(too)}")
     top, spark = (1 << 63) - 1, docs.sparkSession
+    # both tables of limits have a row for each language, which the driver holds anyway: broadcast, so that no text is shuffled
     share = spark.createDataFrame([(x, top if n <= 2 * sample_docs else top // n * 2 * sample_docs) for x, (n, _) in langs.items()], "lang string, most bigint")
-    sized = rows.join(share, "lang").where((F.col("h") <= F.col("most")) & (F.col("size") <= bound)).select("lang", "h", "size").distinct()
+    sized = rows.join(F.broadcast(share), "lang").where((F.col("h") <= F.col("most")) & (F.col("size") <= bound)).select("lang", "h", "size").distinct()
     running = Window.partitionBy("lang").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
     sized = sized.select("lang", "h", F.count("*").over(running).alias("docs"), F.sum("size").over(running).alias("bytes"))
     last = sized.where((F.col("docs") <= sample_docs) & (F.col("bytes") <= bound)).groupBy("lang").agg(F.max("h").alias("last"))
@@ -178,7 +179,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # where no short text is among the hashes read: the first of the shortest
     wanted = [(x, 0, *limits[x]) if x in limits else (x, least["h"], least["h"], least["size"]) for x, (_, least) in langs.items()]
     wanted = spark.createDataFrame(wanted, "lang string, first bigint, last bigint, longest bigint")
-    chosen = rows.join(wanted, "lang").where(F.col("h").between(F.col("first"), F.col("last")) & (F.col("size") <= F.col("longest")))
+    chosen = rows.join(F.broadcast(wanted), "lang").where(F.col("h").between(F.col("first"), F.col("last")) & (F.col("size") <= F.col("longest")))
     chosen = chosen.select("lang", "h", "text").dropDuplicates(["lang", "h"])  # repeated rows count once
     samples: dict[str, list[bytes]] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"])):
