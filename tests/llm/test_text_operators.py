@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -253,18 +254,35 @@ def test_line_dedup_removes_shifted_passage(spark, docs):
 
 
 def brute_lines(rows, min_words=5):
-    """Texts without the lines of pairs that stand at an earlier place."""
-    seen, out = {}, {}
+    """Texts without the lines of pairs that stand at an earlier place, but for the lines of first places; and all pairs that repeat."""
+    places, out = {}, {}
     for i, t in sorted(rows):
-        lines, gone = t.split("\n"), set()
+        lines = t.split("\n")
         for k in range(len(lines) - 1):
             pair = "\n".join(lines[k : k + 2])
             if len(re.findall(r"[^ \t\n\x0b\f\r]+", pair)) >= min_words:
-                if pair in seen:
-                    gone |= {k, k + 1}
-                seen.setdefault(pair, (i, k))
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return out
+                places.setdefault(pair, []).append((i, k))
+    repeated = {pair: at for pair, at in places.items() if len(at) > 1}
+    first = {(i, k + x) for at in repeated.values() for i, k in at[:1] for x in (0, 1)}
+    gone = {(i, k + x) for at in repeated.values() for i, k in at[1:] for x in (0, 1)} - first
+    for i, t in rows:
+        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
+    return out, repeated
+
+
+def test_line_dedup_keeps_every_chunk_somewhere(spark):
+    p, q, r = (f"the line called {x} of some words" for x in "pqr")
+    rows = [(1, f"{p}\n{q}"), (2, f"{p}\n{q}\n{r}"), (3, f"{q}\n{r}"), (4, f"{p}\n{q}\n{r}")]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: f"{p}\n{q}", 2: f"{q}\n{r}", 3: "", 4: ""}
+    rng = random.Random(9)
+    lines = [f"one of the lines, number {i} of few" for i in range(12)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 7)))) for i in range(150)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    want, repeated = brute_lines(rows)
+    assert got == want and sum(got[i] != t for i, t in rows) > 50
+    for pair, at in repeated.items():
+        assert f"\n{pair}\n" in f"\n{got[at[0][0]]}\n"
 
 
 def test_line_dedup_finds_short_passages_and_equal_lines(spark):
@@ -281,7 +299,7 @@ def test_line_dedup_finds_short_passages_and_equal_lines(spark):
         rows += [(len(rows) + i, "\n".join([f"line number {n} again and again"] * 60)) for i in range(2)]
     rows += [(len(rows), "x"), (len(rows) + 1, "\n\n\n"), (len(rows) + 2, "\n\n\n"), (len(rows) + 3, "a b c\nd e"), (len(rows) + 4, "a b c\nd e\nz")]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
-    assert {i: r.text for i, r in got.items()} == brute_lines(rows)
+    assert {i: r.text for i, r in got.items()} == brute_lines(rows)[0]
     for i, passage in inside.items():
         assert (passage[0] in got[i].text) == (i % 2 == 0)  # the second of two
     assert all(got[i].text == "" for i in range(201, 280, 2))
@@ -339,6 +357,27 @@ def test_pseudonyms_of_values_beside_others():
     assert pii.pseudonymise_text(key, "PassWord=Hunter2hunter")[1] == [{"kind": "secret", "first": 9, "last": 22}]
 
 
+def test_long_secrets_leave_nothing_in_clear():
+    rng, key = random.Random(3), b"k"
+    for alphabet, form in (("0123456789abcdef", "token {}"), (string.ascii_letters + string.digits, "password={}")):
+        for n in (127, 128, 129, 300, 5000):
+            secret = "".join(rng.choice(alphabet) for _ in range(n))
+            text = f"it says {form.format(secret)}, and more"
+            new, found = pii.pseudonymise_text(key, text)
+            assert len(new) == len(text) and len(found) == 1 and text[found[0]["first"] : found[0]["last"]] == secret
+            held = new[found[0]["first"] : found[0]["last"]]
+            assert set(held) <= set(alphabet) and not any(secret[i : i + 12] in held for i in range(0, n - 12, 12))
+            assert pii.pseudonymise_text(key, f"a {form.format(secret)}")[0].endswith(held)
+    # one to one where pieces are cut: texts that share all but one symbol stay different
+    values = ["0" * 130 + f"{i:03d}" for i in range(500)] + [f"{i:03d}" + "0" * 130 for i in range(1, 500)]
+    assert len({pii.permute_long(key, b"t", v, ("0123456789",)) for v in values}) == len(values)
+
+
+def test_pseudonyms_of_an_empty_table(spark):
+    got = pii.pseudonymise(spark.createDataFrame([], "doc_id bigint, text string, found string"), b"k")
+    assert got.count() == 0 and got.columns == ["doc_id", "text", "n_found", "kinds", "found"]
+
+
 def test_pseudonyms_follow_values_not_spellings():
     swap = lambda text: pii.pseudonymise_text(b"k", text)[0]
     y, m, d = swap("1999-12-31").split("-")
