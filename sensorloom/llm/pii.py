@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, utf8
 
 ROUNDS = 10
+#: Symbols of a long secret that are permuted at a time.
+PIECE = 128
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), 73_049  # 1900 to 2099
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -179,13 +181,25 @@ def _email(key: bytes, text: str) -> str:
     return "".join(n.upper() if c.isupper() else n for c, n in zip(local, new, strict=True)) + at + domain
 
 
+def permute_long(key: bytes, tweak: bytes, text: str, alphabets: Sequence[str]) -> str:
+    """``permute_symbols`` for texts of any length in linear time: by pieces of ``PIECE``, each under a hash of the whole pieces before it and of the length."""
+    if len(text) <= PIECE:
+        return permute_symbols(key, tweak, text, alphabets)
+    before, out = hashlib.blake2b(b"%d" % len(text), key=key), []
+    for at in range(0, len(text), PIECE):
+        piece = text[at : at + PIECE]
+        out.append(permute_symbols(key, tweak + before.digest(), piece, alphabets))
+        before.update(piece.encode())
+    return "".join(out)
+
+
 def _secret(key: bytes, text: str) -> str:
     alphabet = ("0123456789abcdef",) if re.fullmatch("[0-9a-f]+", text) else _ALPHABETS
-    return permute_symbols(key, b"secret", text, alphabet)
+    return permute_long(key, b"secret", text, alphabet)
 
 
 def _hex(key: bytes, text: str) -> str:
-    return permute_symbols(key, b"secret", text, ("0123456789ABCDEF" if re.search("[A-F]", text) else "0123456789abcdef",))
+    return permute_long(key, b"secret", text, ("0123456789ABCDEF" if re.search("[A-F]", text) else "0123456789abcdef",))
 
 
 #: Kind, pattern and the replacement of a match (None: not valid, stays).
@@ -193,8 +207,8 @@ KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}", _email),
     ("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", _iban),
     ("secret", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", lambda key, text: "AKIA" + _secret(key, text[4:])),
-    ("secret", r"(?<==)(?i:(?<=password=))[A-Za-z0-9]{8,128}", _secret),
-    ("labelled secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])", _hex),
+    ("secret", r"(?<==)(?i:(?<=password=))[A-Za-z0-9]{8,}", _secret),
+    ("labelled secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])", _hex),
     ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)", _ip),
     ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-])", _date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
