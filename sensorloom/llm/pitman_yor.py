@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_SEPARATED, LOWER, PIECE_BYTES, WordHasher, bound_batches, mix, new_folder, release, utf8, word_spans
+from .common import BLANK_SEPARATED, LOWER, PIECE_BYTES, WordHasher, bound_batches, mix, utf8, word_spans, written
 
 CHUNK_BYTES = 8 << 20
 HELD_OUT_OF, HELD_OUT_REST = 7, 2
@@ -72,15 +72,6 @@ def table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array(c, {"bigint": pa.int64(), "binary": pa.binary()}[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` through the shared folder; shuffle files of what led to it go."""
-    spark = df.sparkSession
-    folder = new_folder(spark, name)
-    df.write.parquet(folder)
-    release(spark)
-    return spark.read.parquet(folder)
-
-
 def power_of_two(n: float) -> int:
     return 1 << max(LEAST_PARTS - 1, int(n)).bit_length()
 
