@@ -11,7 +11,7 @@ from ..operators import stats as K
 from ..operators.numerics import t_pvalue
 from .catalog import _SWEEP, ORACLE_SQL, WINDOWS, _mdf, _sweep, query
 from .more import p_sql
-from .views import FLUX, LONG, SPECIES, driver_long, flux, table
+from .views import FLUX, LONG, SPECIES, driver_long, flux, rounded_scaled, table
 
 _STAT_WINDOWS = (3, 24, 72, 168)
 _STATS = {"mean": "avg(value) over w", "sum": "coalesce(sum(value) over w, 0)", "sd": "stddev_samp(value) over w"}
@@ -69,10 +69,11 @@ def aligned_replicates(spark, d):
     """Replicate means over two level channels, and two daily sources spread over the hours of their days."""
     f = flux(spark, d).groupBy(F.col("hour").alias("datetime")).agg(*[F.avg(F.when(F.col("species") == s, F.col("reading"))).alias(s) for s in SPECIES])
     li = table(spark, d, "lineitem")
-    level = li.select(F.col("l_shipdate").alias("datetime"), F.col("l_quantity").alias("level_1"), (F.col("l_extendedprice") / 1000).alias("level_2"))
+    # means are scaled, not readings: at a tie of the last digit the other order of the two rounds elsewhere
+    level = li.groupBy(F.date_trunc("hour", "l_shipdate").cast("timestamp_ntz").alias("datetime")).agg(F.avg("l_quantity").alias("level_1"), (F.avg("l_extendedprice") / 1000).alias("level_2"))
     price = table(spark, d, "orders").select(F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("price"))
     discount = li.select(F.col("l_shipdate").alias("date"), F.col("l_discount").alias("discount"))
-    return N.build_aligned([f, None, level], (1995, 2024), replicates={"level": r"level_\d"}, daily=[price, None, discount])
+    return rounded_scaled(N.build_aligned([f, None, level], (1995, 2024), replicates={"level": r"level_\d"}, daily=[price, None, discount]), 5)
 
 
 @query("select tree, 'ValueError: too few rows' as error from (select user_id as tree, count(*) as n from events group by 1) where n <= (select avg(n) from (select count(*) as n from events group by user_id))")

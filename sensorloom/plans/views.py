@@ -60,3 +60,9 @@ CHANNELS = "channels as (select l_shipdate as ts, l_quantity as quantity, l_exte
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All doubles rounded, without -0."""
     return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def rounded_scaled(df: DataFrame, digits: int) -> DataFrame:
+    """All doubles rounded as the SQL does it: scaled, to the nearest whole number, and back. ``F.round`` takes the shortest decimal of a double instead, and goes the other way at some ties."""
+    scaled = lambda c: F.round(F.col(c) * 10.0**digits) / 10.0**digits + 0.0
+    return df.select(*[scaled(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -52,6 +52,20 @@ def test_query(spark, duck, name):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-5)) for x, y in zip(a, b, strict=True)), (a, b)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_aligned_replicates_equals_its_sql_to_the_last_digit(spark, size):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    for p in Path(f"{DATA}/{size}").glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    res = con.execute(catalog.ORACLE_SQL["aligned_replicates"])
+    columns = [x[0] for x in res.description]
+    got = catalog.QUERIES["aligned_replicates"](spark, f"{DATA}/{size}").select(*columns).collect()
+    assert sorted(tuple(r) for r in got) == sorted(res.fetchall())
+
+
 def test_entry_imports_without_the_corpus_folders(tmp_path):
     import __spark_entry__ as e
 
