@@ -160,24 +160,36 @@ def _compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.select("x", "c", need.alias("need"), "nc", (need <= 0).alias("linked"), F.concat(F.array_sort("plus"), F.array_sort("minus")).alias("d"))
 
 
+def _with_partner(token: DataFrame, key: list[str], threshold: int) -> DataFrame:
+    """The rows of ``token`` that may have a partner: under their key there is a node of the other class, two roots, and room for all that the row and the least need of that class need."""
+    whole, base = 100 + threshold, (100 - threshold) * F.col("nc")
+    of = lambda f, value, side: f(F.when(F.col("class") == F.col(side), F.col(value))).alias(f"{value}_{side}")
+    sides = [of(f, value, side) for f, value in ((F.min, "need"), (F.max, "left")) for side in ("low", "high")]
+    shared = token.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *sides).where("lo <> hi and need_low is not null and need_high is not null")
+    its = lambda value: F.when(F.col("class") == F.col("low"), F.col(f"{value}_high")).otherwise(F.col(f"{value}_low"))
+    room = F.least("left", its("left")) * whole >= F.col("need") + its("need") + base
+    return token.join(shared, key).where(room).select(*token.columns)
+
+
 def _around_centres(checked: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     """Links ``a, b`` of nodes around one centre that are in different components (step 3).
 
-    Nodes are in classes by their need, so that a prefix is as short as the least need of the
-    partner's class allows: a node has a prefix for each class around its centre, and two nodes
-    meet under the pair of their classes. Around a centre with many nodes, elements in
+    Nodes are in classes by their need, so that a prefix is as short as the least need that a
+    member of the partner's class has allows: a node has a prefix for each class around its centre, and two nodes
+    meet under the pair of their classes. Nodes that are linked with the centre are in one component and
+    not compared with each other. Around a centre with many nodes, elements in
     which an eighth of them or more differ from it come last in every prefix. The members of the
     largest component around a centre are compared with those of others only.
     """
     whole = 100 + threshold
     need, base = F.col("need"), (100 - threshold) * F.col("nc")
     kind = F.when(need <= 0, 0).when(need <= base, 1).when(2 * need <= 5 * base, 2).otherwise(3)
-    edge = F.when(F.col("partner") == 0, -base).when(F.col("partner") == 1, 0).when(F.col("partner") == 2, base).otherwise((5 * base / 2).cast("long"))
-    member = checked.select("x", "c", kind.alias("class")).join(roots.select(F.col("node").alias("x"), "root"), "x", "left")
-    member = cut(member.select("x", "c", "class", F.coalesce("root", "x").alias("root")))
+    member = checked.select("x", "c", "need", kind.alias("class")).join(roots.select(F.col("node").alias("x"), "root"), "x", "left")
+    member = cut(member.select("x", "c", "need", "class", F.coalesce("root", "x").alias("root")))
     # members of a large group lie in parts of some hundreds, in which frequent elements can be told
-    by_root = member.groupBy("c", "root").agg(F.count("*").alias("n"), F.collect_set("class").alias("classes"))
-    open_ = by_root.groupBy("c").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main"), F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes"), F.sum("n").alias("around")).where("roots > 1")
+    by_root = member.groupBy("c", "root").agg(F.count("*").alias("n"), *[F.min(F.when(F.col("class") == k, need)).alias(f"least_{k}") for k in range(4)])
+    classes = F.array(*[F.struct(F.lit(k).alias("partner"), F.min(f"least_{k}").alias("its_least")) for k in range(4)])
+    open_ = by_root.groupBy("c").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main"), classes.alias("classes"), F.sum("n").alias("around")).where("roots > 1")
     member = member.join(cut(open_), "c").select("x", "c", "root", "class", "classes", (F.col("root") != F.col("main")).alias("minor"), F.pmod(F.xxhash64("x"), F.floor(F.col("around") / 256) + 1).alias("salt"))
     differ = checked.select("x", "c", "need", "nc", "d").join(member, ["x", "c"])
     differ = cut(differ.repartition("c", "salt").sortWithinPartitions("c", "salt"))
@@ -185,14 +197,13 @@ def _around_centres(checked: DataFrame, roots: DataFrame, threshold: int) -> Dat
     usual = differ.select("c", "salt", "d").mapInArrow(_usual_tokens(), "c bigint, token bigint").groupBy("c").agg(F.collect_set("token").alias("usual"))
     last = F.coalesce("usual", F.array().cast("array<bigint>"))
     ordered = differ.join(cut(usual), "c", "left").withColumn("d", F.concat(F.array_except("d", last), F.array_intersect("d", last)))
-    least = F.greatest(F.lit(1), F.ceil((need + edge + base) / whole))
-    each = ordered.withColumn("partner", F.explode("classes")).withColumn("prefix", (F.size("d") - least + 1).cast("int")).where("prefix > 0")
+    least = F.greatest(F.lit(1), F.ceil((need + F.col("its_least") + base) / whole))
+    each = ordered.select("*", F.inline("classes")).where("its_least is not null and class + partner > 0").withColumn("prefix", (F.size("d") - least + 1).cast("int")).where("prefix > 0")
     own = ["x", "c", "root", "minor", "class", "need", "nc"]
     token = each.select(*own, F.size("d").alias("size"), F.least("class", "partner").alias("low"), F.greatest("class", "partner").alias("high"), F.posexplode(F.slice("d", F.lit(1), F.col("prefix"))).alias("at", "token"))
     token = cut(token.select(*own, "low", "high", "token", (F.col("size") - F.col("at")).alias("left")))
     key = ["c", "token", "low", "high"]
-    shared = token.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*key)
-    token = token.join(shared, key, "left_semi")
+    token = cut(_with_partner(token, key, threshold))
     other = token.select(*key, *[F.col(x).alias(f"its_{x}") for x in ("x", "root", "minor", "class", "need", "left")])
     # the first common element of a link leaves room for all that it needs
     wanted = need + F.col("its_need") + base

@@ -62,6 +62,33 @@ def test_near_duplicates_against_brute_force(spark, k):
     assert got == sorted(brute_components(rows, k))
 
 
+def test_only_elements_that_can_make_a_pair_meet(spark):
+    """Every row of a pair stays; rows whose class has no other side under their key, or no room for what the two need, go before anything is joined in pairs."""
+    rng, rows = random.Random(3), []
+    for c in range(60):
+        for token in range(4):
+            for low, high in ((0, 1), (1, 2), (2, 2)):
+                for x in range(rng.randrange(6)):
+                    kind = rng.choice([low, high])
+                    need = {0: -rng.randrange(400), 1: 1 + rng.randrange(400), 2: 401 + rng.randrange(400)}[kind]
+                    rows.append((x, c, rng.randrange(3), kind, need, 20, low, high, token, rng.randrange(1, 14)))
+    columns = ["x", "c", "root", "class", "need", "nc", "low", "high", "token", "left"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in columns))
+    kept = Counter(tuple(r) for r in near_dedup._with_partner(df, ["c", "token", "low", "high"], 80).collect())
+
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault((r[1], r[8], r[6], r[7]), []).append(r)
+    wanted, one_sided = Counter(), 0
+    for (_, _, low, high), g in groups.items():
+        one_sided += len(g) if {r[3] for r in g} != {low, high} else 0
+        wanted.update(a for a in g if any(a[2] != b[2] and a[3] + b[3] == low + high and min(a[9], b[9]) * 180 >= a[4] + b[4] + 20 * 20 for b in g))
+    assert wanted and not wanted - kept and not kept - Counter(rows)
+    assert one_sided > 100 and kept.total() < 1.5 * wanted.total() < len(rows) - one_sided
+    for (_, _, low, high), g in groups.items():
+        assert {r[3] for r in g} == {low, high} or not any(r in kept for r in g)
+
+
 def test_near_duplicates_edges(spark):
     long = " ".join(str(i) for i in range(50_000))
     rows = [(5, "same text here now"), (5, "same text here now"), (None, "same text here now"), (None, "alone and without an id"), (3, None), (9, long), (8, long + " end")]
