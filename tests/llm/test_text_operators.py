@@ -305,6 +305,24 @@ def test_line_dedup_finds_short_passages_and_equal_lines(spark):
     assert all(got[i].text == "" for i in range(201, 280, 2))
 
 
+def test_line_dedup_shuffles_each_text_once(spark, monkeypatch):
+    """Over all plans that it runs, one exchange carries texts or parts of them."""
+    plans = []
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: plans.append(df) or written(df, name))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [(i, f"head {i} of it\nthe same line in all of them\nand one more of these lines\ntail {i}") for i in range(20)]
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        explain = lambda df: spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        dealt = [c for df in [*plans, got] for c in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", explain(df))]
+        assert len(dealt) >= 4 and sum(bool(re.search(r"\b(_text|_l|body)#", c)) for c in dealt) == 1
+        assert sorted(r.n_removed for r in got.collect()) == [0] + [2] * 19
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_line_dedup_of_repeated_and_null_ids(spark):
     two = "a line of some words\nand one more line"
     rows = [(1, "own\n" + two), (1, "own\n" + two), (None, two), (None, two), (2, "front\n" + two + "\nend")]
