@@ -25,6 +25,17 @@ def roll_sd(df: DataFrame, series: Sequence[str], ts: str, col: str, n: int, out
     return rolled(df, series, ts, n, **{out: lambda w, full: F.when(full, F.stddev_samp(col).over(w))})
 
 
+def means_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], **columns: Column) -> DataFrame:
+    """Means by group whose values are added one after the other in the order given: equal groups have equal means to the last digit however rows are dealt, which ranks of means need. A long group is many chunks, whose sums are added in their order."""
+    c = chunks(df, by, order).rows.withColumns({f"_v_{n}": v.cast("double") for n, v in columns.items()})
+    w = in_chunk(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = c.withColumns({f"_s_{n}": F.sum(f"_v_{n}").over(w) for n in columns})
+    each = sums.groupBy(*by, "_chunk").agg(*[a for n in columns for a in (F.max_by(f"_s_{n}", "_pos").alias(f"_s_{n}"), F.count(f"_v_{n}").alias(f"_n_{n}"))])
+    parts = lambda n: F.array_sort(F.collect_list(F.when(F.col(f"_n_{n}") > 0, F.struct("_chunk", F.col(f"_s_{n}").alias("s")))))
+    total = lambda n: F.aggregate(parts(n), F.lit(0.0), lambda a, x: a + x["s"])
+    return each.groupBy(*by).agg(*[F.try_divide(total(n), F.sum(f"_n_{n}")).alias(n) for n in columns])
+
+
 def sampling_rounds(df: DataFrame, date: str, gap_days: int = 7, by: Sequence[str] = ()) -> DataFrame:
     """``round`` from 1: a new one begins after more than ``gap_days`` days without a row. Worked out on distinct dates and joined back."""
     days = df.select(*by, date).where(F.col(date).isNotNull()).distinct()

@@ -801,6 +801,12 @@ def corr_clusters(spark, d):
     return K.corr_clusters(K.corr_matrix(_metrics(spark, d), [f"d{i}" for i in range(8)]), 0.05)
 
 
+def _halves(spark, d):
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    e = W.means_in_order(flux(spark, d), ["tree"], ["event_id"], a=F.when(early, F.col("value")), b=F.when(~early, F.col("value")))
+    return e.withColumn("g", F.col("tree") % 2)
+
+
 @query("with e as (select user_id, avg(value) filter (where ts < timestamp '2024-01-16') as a, avg(value) filter (where ts >= timestamp '2024-01-16') as b, user_id % 2 as g from events group by user_id), r as (select g, rank() over (partition by g order by a desc) + (count(*) over (partition by g, a) - 1) / 2.0 as ra, rank() over (partition by g order by b desc) + (count(*) over (partition by g, b) - 1) / 2.0 as rb from e where a is not null and b is not null) select g, round(corr(ra, rb), 6) as r, count(*) as n from r group by g")
 def spearman_rho(spark, d):
     f = flux(spark, d)

@@ -14,7 +14,7 @@ from ..operators import reshape as R
 from ..operators import sensors as N
 from ..operators import stats as K
 from ..operators import windows as W
-from .catalog import _BEST, _MDF, _PASS, _SWEEP, ORACLE_SQL, SOME_WINDOWS, WINDOWS, _best, _mdf, query
+from .catalog import _BEST, _MDF, _PASS, _SWEEP, ORACLE_SQL, SOME_WINDOWS, WINDOWS, _best, _halves, _mdf, query
 from .views import FLUX, LONG, SPECIES, driver_long, flux, table
 
 
@@ -286,9 +286,7 @@ def pearson_p(spark, d):
 
 @query("with e as (select user_id, avg(value) filter (where ts < timestamp '2024-01-16') as a, avg(value) filter (where ts >= timestamp '2024-01-16') as b, user_id % 2 as g from events group by user_id), r as (select g, rank() over (partition by g order by a desc) + (count(*) over (partition by g, a) - 1) / 2.0 as ra, rank() over (partition by g order by b desc) + (count(*) over (partition by g, b) - 1) / 2.0 as rb from e where a is not null and b is not null), c as (select g, corr(ra, rb) as r, count(*) as n from r group by g) select g, round(r, 6) as r, n, round(" + p_sql("r", "n") + ", 6) as p from c")
 def spearman_p(spark, d):
-    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    e = flux(spark, d).groupBy("tree").agg(F.avg(F.when(early, F.col("value"))).alias("a"), F.avg(F.when(~early, F.col("value"))).alias("b")).withColumn("g", F.col("tree") % 2)
-    return K.spearman(e, ["g"], "a", "b")
+    return K.spearman(_halves(spark, d), ["g"], "a", "b")
 
 
 @query("with " + FLUX + ", g as (select species, count(reading) as n, avg(reading) as m, coalesce(var_samp(reading) * (count(reading) - 1), 0) as w from flux where reading is not null group by 1), o as (select count(*) as k, sum(n) as n, sum(w) as w, sum(n * m * m) - sum(n * m) ** 2 / sum(n) as b from g), s as (select k - 1 as d1, (n - k)::double as d2, (b / (k - 1)) / (w / (n - k)) as f from o) select round(f, 6) as f, round(power(d2 / (d2 + d1 * f), d2 / 2) * (1 + d2 / 2 * d1 * f / (d2 + d1 * f)), 6) as p from s")

@@ -66,6 +66,25 @@ def test_aligned_replicates_equals_its_sql_to_the_last_digit(spark, size):
     assert sorted(tuple(r) for r in got) == sorted(res.fetchall())
 
 
+@pytest.mark.parametrize("name", ["spearman_p"])
+def test_ranks_of_means_do_not_hang_on_where_rows_stand(spark, tmp_path, name):
+    """Twenty copies of every user, whose means must tie, with rows dealt by two hashes, against the SQL over rows in order."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    e = spark.read.parquet(f"{SF}/events.parquet").crossJoin(spark.range(20).withColumnRenamed("id", "k"))
+    e = e.withColumn("user_id", F.col("user_id") + F.col("k") * 1000).withColumn("event_id", F.col("event_id") + F.col("k") * 100_000).drop("k")
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    for seed in (1, 2):
+        e.repartition(7, F.xxhash64("event_id", F.lit(seed))).write.parquet(str(tmp_path / f"{seed}" / "events.parquet"))
+        got = catalog.QUERIES[name](spark, str(tmp_path / f"{seed}")).collect()
+        con.execute(f"create or replace table events as select * from '{tmp_path}/{seed}/events.parquet/*.parquet' order by event_id")
+        res = con.execute(catalog.ORACLE_SQL[name])
+        columns = [x[0] for x in res.description]
+        assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(res.fetchall())
+
+
 def test_entry_imports_without_the_corpus_folders(tmp_path):
     import __spark_entry__ as e
 

@@ -76,6 +76,14 @@ def test_runs_differences_and_last_values_over_chunks(spark, long_series, short_
         assert v == (max(before)[1] if before else None)
 
 
+def test_means_in_order_over_chunks(spark, long_series, short_chunks, monkeypatch):
+    got = W.means_in_order(long_series, ["s"], ["t"], m=F.col("x"), few=F.when(F.col("t") < 30, F.col("x")), none=F.lit(None).cast("double"))
+    found = rows(got, "s", "m", "few", "none")
+    assert found == rows(long_series.groupBy("s").agg(F.avg("x").alias("m"), F.avg(F.when(F.col("t") < 30, F.col("x"))).alias("few"), F.lit(None).alias("none")), "s", "m", "few", "none")
+    monkeypatch.setattr(Z, "PLAIN_ROWS", 10**9)
+    assert found == rows(W.means_in_order(long_series, ["s"], ["t"], m=F.col("x"), few=F.when(F.col("t") < 30, F.col("x")), none=F.lit(None).cast("double")), "s", "m", "few", "none")
+
+
 def test_ties_of_right_rows_are_settled(spark):
     left = spark.createDataFrame([(1,)], "t int")
     right = spark.createDataFrame([(1, 5.0), (1, 7.0), (1, 6.0), (0, 9.0)], "t int, v double").repartition(4)
