@@ -809,10 +809,7 @@ def _halves(spark, d):
 
 @query("with e as (select user_id, avg(value) filter (where ts < timestamp '2024-01-16') as a, avg(value) filter (where ts >= timestamp '2024-01-16') as b, user_id % 2 as g from events group by user_id), r as (select g, rank() over (partition by g order by a desc) + (count(*) over (partition by g, a) - 1) / 2.0 as ra, rank() over (partition by g order by b desc) + (count(*) over (partition by g, b) - 1) / 2.0 as rb from e where a is not null and b is not null) select g, round(corr(ra, rb), 6) as r, count(*) as n from r group by g")
 def spearman_rho(spark, d):
-    f = flux(spark, d)
-    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    e = f.groupBy("tree").agg(F.avg(F.when(early, F.col("value"))).alias("a"), F.avg(F.when(~early, F.col("value"))).alias("b")).withColumn("g", F.col("tree") % 2)
-    return K.spearman(e, ["g"], "a", "b", p=False)
+    return K.spearman(_halves(spark, d), ["g"], "a", "b", p=False)
 
 
 @query("with " + LONG + ", a as (select variable, datetime, value, value - (avg(value) over (partition by variable, dayofyear(datetime)) + avg(value) over (partition by variable, hour(datetime)) - avg(value) over (partition by variable)) as anomaly from long), j as (select site, variable, flux, a.value, anomaly from flux join a on flux.hour = a.datetime) select site, variable, round(corr(flux, value), 6) as r_raw, round(corr(flux, anomaly), 6) as r_anomaly, round(corr(flux, anomaly) - corr(flux, value), 6) as delta_r, sign(corr(flux, value)) = sign(corr(flux, anomaly)) as same_sign from j group by 1, 2")

@@ -66,7 +66,7 @@ def test_aligned_replicates_equals_its_sql_to_the_last_digit(spark, size):
     assert sorted(tuple(r) for r in got) == sorted(res.fetchall())
 
 
-@pytest.mark.parametrize("name", ["spearman_p"])
+@pytest.mark.parametrize("name", ["spearman_rho", "spearman_p"])
 def test_ranks_of_means_do_not_hang_on_where_rows_stand(spark, tmp_path, name):
     """Twenty copies of every user, whose means must tie, with rows dealt by two hashes, against the SQL over rows in order."""
     import duckdb
