@@ -9,7 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import assign_with_fallback, join_nearest
+from .intervals import allan_of_intervals, once_and_again
+from .joins import assign_intervals, assign_with_fallback, join_nearest
 from .lookups import lookup
 from .numerics import Z90, Z95, Z99, t_quantile
 from .quantiles import quantiles, summarise, summarise_where, with_quantiles
@@ -42,6 +43,15 @@ def allan_by_file(traces: DataFrame, cols: Sequence[str] = ("CO2", "CH4"), file:
     return out.withColumn("key", F.concat_ws("_", "remark", "date"))
 
 
+def interval_allan(samples: DataFrame, intervals: DataFrame, by: Sequence[str], key: str, order: Sequence[str], cols: Sequence[str], min_rows: int = 0) -> DataFrame:
+    """Allan table of intervals by their key, over the samples inside (both ends included). Only keys that several intervals share are worked out from pairs of sample and interval."""
+    once, again = once_and_again(intervals, key)
+    out = allan_of_intervals(samples, once, by, key, order, cols)
+    if again is not None:
+        out = out.unionByName(allan_sd(assign_intervals(samples, again, by, order[0]), [key], order, cols))
+    return out.where(F.col("n") >= min_rows)
+
+
 def allan_by_interval(traces: DataFrame, logs: DataFrame, machine: str = "machine", date: str = "date", ts: str = "ts", key: str = "UniqueID", cols: Sequence[str] = ("CO2", "CH4"), ppb: Sequence[str] = ("CH4",)) -> DataFrame:
     """Allan table of logged intervals; days of fewer than 10 rows and intervals of fewer than 5 go; ppm to ppb."""
     days = traces.groupBy(machine, date).agg(F.count("*").alias("_n")).where("_n >= 10").drop("_n")

@@ -22,12 +22,26 @@ PLAIN_ROWS, CHUNK_ROWS = 5_000_000, 1_000_000
 _OWN = ("_chunk", "_pos", "_halo")
 
 
-def with_bins(df: DataFrame, series: Sequence[str], ts: str, large: int) -> DataFrame:
-    """``_bin``: of time, ascending, in series of more than ``large`` rows; 0 in others. Rows of one time are in one bin."""
-    sizes = df.groupBy(*series).agg(F.count("*").alias("_rows")).where(F.col("_rows") > large)
+def _cuts(df: DataFrame, series: Sequence[str], ts: str, sizes: DataFrame) -> DataFrame:
+    """``_cuts``: ascending times that cut the series of ``sizes`` (``_rows``) into bins with about equal numbers of rows."""
     at = join_groups(df.select(*series, F.col(ts).alias("_at")), sizes, series, "inner")
     drawn = at.where(F.pmod(F.xxhash64("_at", F.lit(17)), F.lit(1 << 30)) < F.lit(float(BINS * PER_BIN)) / F.col("_rows") * (1 << 30))
-    cuts = drawn.groupBy(*series).agg(F.sort_array(F.collect_set("_at")).alias("_v")).select(*series, F.filter("_v", lambda x, i: i % PER_BIN == PER_BIN - 1).alias("_cuts"))
+    return drawn.groupBy(*series).agg(F.sort_array(F.collect_set("_at")).alias("_v")).select(*series, F.filter("_v", lambda x, i: i % PER_BIN == PER_BIN - 1).alias("_cuts"))
+
+
+def _long(df: DataFrame, series: Sequence[str], large: int) -> DataFrame:
+    return df.groupBy(*series).agg(F.count("*").alias("_rows")).where(F.col("_rows") > large)
+
+
+def time_bins(df: DataFrame, series: Sequence[str], ts: str, large: int) -> DataFrame | None:
+    """``_cuts`` by series of more than ``large`` rows, if there are any; a time's bin is the number of smaller cuts."""
+    sizes = _long(df, series, large)
+    return None if sizes.isEmpty() else _cuts(df, series, ts, sizes)
+
+
+def with_bins(df: DataFrame, series: Sequence[str], ts: str, large: int) -> DataFrame:
+    """``_bin``: of time, ascending, in series of more than ``large`` rows; 0 in others. Rows of one time are in one bin."""
+    cuts = _cuts(df, series, ts, _long(df, series, large))
     return join_groups(df, cuts, series).withColumn("_bin", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(ts))), F.lit(0))).drop("_cuts")
 
 
@@ -53,7 +67,7 @@ def chunks(df: DataFrame, series: Sequence[str], order: Sequence[str], halo: int
     Whether a series is too long for one task is checked by a count.
     """
     plain, chunk = plain or PLAIN_ROWS, max(chunk or CHUNK_ROWS, halo)
-    if df.groupBy(*series).agg(F.count("*").alias("_rows")).where(F.col("_rows") > plain).isEmpty():
+    if _long(df, series, plain).isEmpty():
         pos = F.row_number().over(Window.partitionBy(*(series or [F.lit(0)])).orderBy(*order))
         return Chunks(df.withColumns({"_chunk": F.lit(0).cast("bigint"), "_pos": pos, "_halo": F.lit(False)}), True)
     d, at = with_positions(df, series, order, plain), F.col("_pos") - 1

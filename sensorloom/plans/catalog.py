@@ -365,7 +365,7 @@ def interval_assign(spark, d):
 def interval_allan(spark, d):
     f = flux(spark, d).withColumn("day", F.col("ts").cast("date"))
     iv = f.where("species = 'signup'").select(F.col("event_id").alias("iv"), "day", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 60 minutes")).alias("end_ts"))
-    return Q.allan_sd(J.assign_intervals(f, iv, ["day"]), ["iv"], ["ts", "event_id"], ["reading"], min_rows=5)
+    return Q.interval_allan(f, iv, ["day"], "iv", ["ts", "event_id"], ["reading"], min_rows=5)
 
 
 @query("with " + FLUX + ", l as (select event_id, ts, ts::date as day from flux where species = 'purchase'), r as (select event_id as log, ts as log_ts, ts::date as day from flux where species = 'signup'), p as (select l.event_id, r.log, abs(date_diff('microsecond', l.ts, r.log_ts)) as g, row_number() over (partition by l.event_id order by abs(date_diff('microsecond', l.ts, r.log_ts)), r.log) as k from l join r on l.day = r.day and abs(date_diff('microsecond', l.ts, r.log_ts)) <= 120000000) select l.event_id, p.log, round(p.g / 1000000.0, 6) as gap_s from l left join p on l.event_id = p.event_id and p.k = 1")

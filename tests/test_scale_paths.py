@@ -84,6 +84,45 @@ def test_means_in_order_over_chunks(spark, long_series, short_chunks, monkeypatc
     assert found == rows(W.means_in_order(long_series, ["s"], ["t"], m=F.col("x"), few=F.when(F.col("t") < 30, F.col("x")), none=F.lit(None).cast("double")), "s", "m", "few", "none")
 
 
+@pytest.mark.parametrize("held", [10, 10**9])
+def test_allan_of_intervals_equals_that_of_pairs(spark, monkeypatch, held):
+    """Overlapping intervals, empty ones, such without a key's group, a key that stands twice, NULLs, NaN, a spike and a far constant; whole series and bins of them."""
+    from sensorloom.operators import intervals as I
+
+    monkeypatch.setattr(I, "HELD_ROWS", held)
+    monkeypatch.setattr(Z, "BINS", 8)
+    monkeypatch.setattr(Z, "PER_BIN", 2)
+    rng = random.Random(4)
+    at = lambda s: f"2024-01-01 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    x = lambda i: 1e12 if i == 100 else math.nan if i == 300 else rng.choice([None, rng.gauss(0, 1), rng.gauss(0, 1)])
+    data = [(rng.choice(["m", "n", None]), at(rng.randrange(9000)), i, x(i), None if i < 390 else 1e8 + i) for i in range(400)]
+    samples = spark.createDataFrame(data, "g string, ts string, line int, x double, y double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(3)
+    spans = [(k if k < 190 else 7, rng.choice(["m", "n", "o", None]), a := rng.randrange(9000), a + rng.choice([0, 9, 700, 3000, 9000, -5])) for k in range(200)]
+    iv = spark.createDataFrame([(k, g, at(a), at(b)) for k, g, a, b in spans], "k int, g string, start_ts string, end_ts string").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
+    got = {r["k"]: r for r in Q.interval_allan(samples, iv, ["g"], "k", ["ts", "line"], ["x", "y"]).collect()}
+    pairs = iv.alias("i").join(samples.alias("s"), F.expr("i.g = s.g and s.ts between i.start_ts and i.end_ts")).select("k", "ts", "line", "x", "y")
+    found = {}
+    for r in sorted(pairs.collect(), key=lambda r: (r["ts"], r["line"])):
+        found.setdefault(r["k"], []).append(r)
+    assert got.keys() == found.keys() and len(got) > 40
+    for k, rs in found.items():
+        assert got[k]["n"] == len(rs)
+        for c in "xy":
+            d = np.diff([r[c] for r in rs if r[c] is not None])
+            if len(d) < 2:
+                assert got[k][f"allan_sd_{c}"] is None
+            else:
+                assert got[k][f"allan_sd_{c}"] == pytest.approx(d.std(ddof=1) / math.sqrt(2), rel=1e-9, nan_ok=True)
+
+
+def test_allan_of_intervals_makes_no_pairs(spark):
+    from conftest import DATA
+    from sensorloom.plans import catalog
+
+    plan = catalog.QUERIES["interval_allan"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
 def test_ties_of_right_rows_are_settled(spark):
     left = spark.createDataFrame([(1,)], "t int")
     right = spark.createDataFrame([(1, 5.0), (1, 7.0), (1, 6.0), (0, 9.0)], "t int, v double").repartition(4)
