@@ -71,11 +71,15 @@ def assign_intervals(samples: DataFrame, intervals: DataFrame, by: Sequence[str]
     return keyed.join(spread, [*by, "_b"]).where(F.col(ts).between(F.col(start), F.col(end))).drop("_b")
 
 
+def known_and_alone(samples: DataFrame, intervals: DataFrame, machine: str, date: str) -> tuple[DataFrame, DataFrame]:
+    """Intervals of machines with and without samples on their date."""
+    seen = samples.select(machine, date).distinct()
+    return intervals.join(seen, [machine, date], "left_semi"), intervals.join(seen, [machine, date], "left_anti")
+
+
 def assign_with_fallback(samples: DataFrame, intervals: DataFrame, machine: str, date: str, **names) -> DataFrame:
     """As above by machine and date; intervals of a machine without samples on its date take those of all machines."""
-    seen = samples.select(machine, date).distinct()
-    known = intervals.join(seen, [machine, date], "left_semi")
-    alone = intervals.join(seen, [machine, date], "left_anti")
+    known, alone = known_and_alone(samples, intervals, machine, date)
     own = assign_intervals(samples, known, [machine, date], **names)
     other = assign_intervals(samples.drop(machine), alone, [date], **names)
     return own.unionByName(other)

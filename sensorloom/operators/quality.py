@@ -52,12 +52,20 @@ def interval_allan(samples: DataFrame, intervals: DataFrame, by: Sequence[str],
     return out.where(F.col("n") >= min_rows)
 
 
-def allan_by_interval(traces: DataFrame, logs: DataFrame, machine: str = "machine", date: str = "date", ts: str = "ts", key: str = "UniqueID", cols: Sequence[str] = ("CO2", "CH4"), ppb: Sequence[str] = ("CH4",)) -> DataFrame:
-    """Allan table of logged intervals; days of fewer than 10 rows and intervals of fewer than 5 go; ppm to ppb."""
-    days = traces.groupBy(machine, date).agg(F.count("*").alias("_n")).where("_n >= 10").drop("_n")
-    rows = traces.join(days, [machine, date], "left_semi").withColumns({c: F.col(c) * 1000 for c in ppb})
-    assigned = assign_with_fallback(rows, logs, machine, date, ts=ts)
-    return allan_sd(assigned, [key], [ts], cols, min_rows=5)
+def allan_by_interval(traces: DataFrame, logs: DataFrame, machine: str = "machine", date: str = "date", ts: str = "ts", key: str = "UniqueID", cols: Sequence[str] = ("CO2", "CH4"), ppb: Sequence[str] = ("CH4",), order: Sequence[str] = ()) -> DataFrame:
+    """Allan table of logged intervals; days of fewer than 10 rows and intervals of fewer than 5 go; ppm to ppb. ``order``: of rows with one time."""
+    days, rows = traces.groupBy(machine, date).agg(F.count("*").alias("_n")), traces.dropna(subset=[machine, date])
+    few = days.where("_n < 10").drop("_n")
+    if not few.isEmpty():
+        rows = rows.join(few, [machine, date], "left_anti")
+    rows = rows.withColumns({c: F.col(c) * 1000 for c in ppb})
+    once, again = once_and_again(logs, key)
+    # intervals of a machine without samples on its date take those of all machines
+    once = once.join(days.where("_n >= 10"), [machine, date], "left").withColumn("_machine", F.when(F.col("_n").isNotNull(), F.col(machine)))
+    out = allan_of_intervals(rows, once, [date], key, [ts, *order], cols, part=(machine, "_machine"))
+    if again is not None:
+        out = out.unionByName(allan_sd(assign_with_fallback(rows, again, machine, date, ts=ts), [key], [ts, *order], cols))
+    return out.where("n >= 5")
 
 
 def attach_allan(flux: DataFrame, by_file: DataFrame, by_interval: DataFrame, cols: Sequence[str], key: str, file_key: str, ts: str, interval_ts: str, date: str, tolerance_s: int = 120) -> DataFrame:

@@ -258,7 +258,7 @@ _BY_INTERVAL = _ASSIGNED.replace("from tr join", "from trs tr join").replace(",
 
 @query("with " + _BY_INTERVAL + f", n as (select UniqueID, count(*) as n from asg group by 1 having count(*) >= 5), a as ({_allan_sql('asg', 'UniqueID', 'CO2')}), b as ({_allan_sql('asg', 'UniqueID', 'CH4')}) select n.UniqueID, n.n, round(a.s, 6) as allan_sd_CO2, round(b.s, 6) as allan_sd_CH4 from n left join a on n.UniqueID = a.UniqueID left join b on n.UniqueID = b.UniqueID")
 def allan_by_interval(spark, d):
-    return Q.allan_by_interval(_traces(spark, d), _logs(spark, d), date="day")
+    return Q.allan_by_interval(_traces(spark, d), _logs(spark, d), date="day", order=["line"])
 
 
 _ATTACH = """fx as (select event_id, 'k' || user_id as file_key, ts::date as day, ts from events where event_type = 'purchase'),

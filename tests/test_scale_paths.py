@@ -121,6 +121,8 @@ def test_allan_of_intervals_makes_no_pairs(spark):
 
     plan = catalog.QUERIES["interval_allan"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+    plan = catalog.QUERIES["allan_by_interval"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "Window" not in plan and plan.count("FlatMapCoGroups") == 1
 
 
 def test_ties_of_right_rows_are_settled(spark):
