@@ -21,6 +21,7 @@ from .fits import CrossProducts, Design, Model, cross_products, design, entity_p
 from .lookups import lookup
 from .numerics import Z95, chi2_p, t_p
 from .quantiles import join_groups, summarise, summarise_where, with_group
+from .shared import stored
 
 #: Fixed value: half width of the limits of back-transformed predictions, in standard errors.
 LIMIT = 1.96
@@ -651,50 +652,84 @@ def affine(run: int, n: int) -> tuple[int, int]:
     return factor, int(rng.integers(0, n))
 
 
-def permuted_sums(placed: DataFrame, sizes: Sequence[tuple[int, int]], n: int, runs: Sequence[int], held: int = 1 << 22) -> DataFrame:
+def _blocks(placed: DataFrame, rows: int = 1 << 13) -> DataFrame:
+    """``p, v``: positions and values of up to ``rows`` rows as bytes, through the checkpoint folder."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, len(batch), rows):
+                part = batch.slice(i, rows)
+                yield pa.record_batch([pa.array([part.column(c).to_numpy().astype(t).tobytes()], pa.binary()) for c, t in ((0, np.uint64), (1, np.float64))], ["p", "v"])
+
+    return stored(placed.select("position", "v").mapInArrow(pack, "p binary, v binary"))
+
+
+def permuted_sums(placed: DataFrame, sizes: Sequence[tuple[int, int]], n: int, runs: Sequence[int], held: int = 1 << 22, together: int = 1 << 18) -> DataFrame:
     """``run, m, e, s``: sums of ``v`` of the ``e``-th entity of ``m`` rows, when each run deals the values at ``position`` anew.
 
     Entities of one size are alike, so the places of size m's entities are one interval of positions, m for each: the table of
-    ``(m, how many)`` is all that tells a place's entity. Tasks add up by run and entity before anything is shuffled, holding ``held`` sums at once.
+    ``(m, how many)`` is all that tells a place's entity. A task has some runs, or a range of one run's entities, of ``held`` sums at most, and reads
+    all values in blocks, ``together`` rows at once: every sum is one task's own, so neither rows nor parts of sums are shuffled.
     """
     m = np.array([s for s, _ in sizes], np.int64)
     k = np.array([c for _, c in sizes], np.int64)
     first, offset, entities = np.cumsum(m * k) - m * k, np.cumsum(k) - k, int(k.sum())
     permutations = {run: affine(run, n) for run in runs}
+    spark = placed.sparkSession
+    span, even = max(1, min(held, entities)), -(-len(permutations) // (4 * spark.sparkContext.defaultParallelism))
+    each = max(1, min(held // max(entities, 1), even))
+    works = [(list(runs)[i : i + each], low) for i in range(0, len(runs), each) for low in range(0, entities, span)]
 
     def add(batches):
         import pyarrow as pa
 
-        def rows(run, at, sums):
-            size = np.searchsorted(offset, at, side="right") - 1
-            return pa.record_batch([pa.array(np.full(len(at), run)), pa.array(m[size]), pa.array(at - offset[size]), pa.array(sums)], ["run", "m", "e", "s"])
+        work, sums, kept, waiting = None, None, [], 0
 
-        dense = {run: np.zeros(entities) for run in permutations} if len(permutations) * entities <= held else None
-        for batch in batches:
-            position, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for run, (factor, shift) in permutations.items():
-                place = (factor * position + shift) % n
+        def settle():
+            position, v = (np.concatenate([np.frombuffer(x, t) for x in column]) for column, t in zip(zip(*kept, strict=True), (np.uint64, np.float64), strict=True))
+            for i, run in enumerate(work[0]):
+                factor, shift = (np.uint64(x) for x in permutations[run])
+                place = factor * position + shift
+                place -= place // np.uint64(n) * np.uint64(n)
+                place = place.view(np.int64)
                 size = np.searchsorted(first, place, side="right") - 1
-                entity = offset[size] + (place - first[size]) // m[size]
-                if dense is not None:
-                    dense[run] += np.bincount(entity, weights=v, minlength=entities)
-                elif len(entity):
-                    at, spot = np.unique(entity, return_inverse=True)
-                    yield rows(run, at, np.bincount(spot, weights=v))
-        for run, sums in (dense or {}).items():
-            at = np.flatnonzero(sums)
+                entity = offset[size] + (place - first[size]) // m[size] - work[1]
+                if span < entities:
+                    inside = (entity >= 0) & (entity < sums.shape[1])
+                    sums[i] += np.bincount(entity[inside], weights=v[inside], minlength=sums.shape[1])
+                else:
+                    sums[i] += np.bincount(entity, weights=v, minlength=entities)
+
+        for batch in batches:
+            for w, p, v in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if work is None:
+                    work = works[w]
+                    sums = np.zeros((len(work[0]), min(span, entities - work[1])))
+                kept.append((p, v))
+                waiting += len(p) // 8
+                if waiting >= together:
+                    settle()
+                    kept, waiting = [], 0
+        if kept:
+            settle()
+        for i, run in enumerate(work[0] if work else []):
+            at = np.flatnonzero(sums[i])
             if len(at):
-                yield rows(run, at, sums[at])
+                e = at + work[1]
+                size = np.searchsorted(offset, e, side="right") - 1
+                yield pa.record_batch([pa.array(np.full(len(at), run)), pa.array(m[size]), pa.array(e - offset[size]), pa.array(sums[i][at])], ["run", "m", "e", "s"])
 
-    sums = placed.select("position", "v").mapInArrow(add, "run bigint, m bigint, e bigint, s double")
-    return sums.groupBy("run", "m", "e").agg(F.sum("s").alias("s"))
+    tasks = spark.range(0, len(works), 1, len(works)).withColumnRenamed("id", "w").hint("shuffle_replicate_nl")
+    return tasks.crossJoin(_blocks(placed).coalesce(1)).mapInArrow(add, "run bigint, m bigint, e bigint, s double")
 
 
 def repeatability(df: DataFrame, key: str, entity: str, y: str, nboot: int = 1000, nperm: int = 1000, seed: int = 42) -> DataFrame:
     """ICC with a bootstrap interval over entities and a permutation p.
 
     Boot runs give entities Poisson weights, so they multiply entities' sums and not rows. Permutation runs are affine permutations of row
-    positions, which one sort gives; each task adds up what its rows give the runs' entities, so rows are neither multiplied nor
+    positions, which one sort gives; each task adds up some runs over blocks of all values, so rows are neither multiplied nor
     shuffled by run. Keys should be distinct: rows of equal keys have one order, but not a stated one.
     """
     d = df.where(F.col(y).isNotNull()).select(F.col(key).alias("_k"), F.col(entity).cast("string").alias("_e"), F.col(y).cast("double").alias("_y"))
@@ -708,7 +743,7 @@ def repeatability(df: DataFrame, key: str, entity: str, y: str, nboot: int = 100
     sizes = [(r["_m"], r["k"]) for r in entities.groupBy("_m").agg(F.count("*").alias("k")).orderBy("_m").collect()]  # a row for each distinct number of rows
     n = sum(m * k for m, k in sizes)
     whole = d.agg(F.avg("_y").alias("mean"), F.var_pop("_y").alias("v")).first()
-    placed = positions(d, "_k", n).withColumn("v", F.col("_y") - F.lit(whole["mean"]))
+    placed = positions(d.select("_k", "_y"), "_k", n).withColumn("v", F.col("_y") - F.lit(whole["mean"]))
     sums = permuted_sums(placed, sizes, n, range(seed + 1, seed + nperm + 1))
     mean = F.col("s") / F.col("m")
     # entities whose sum is 0 in a run have no row there: how many there are is known

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -17,3 +18,11 @@ def use_checkpoints(spark: SparkSession) -> None:
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = tempfile.mkdtemp(prefix="sensorloom-")
     spark.sparkContext.setCheckpointDir(base)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as files of the checkpoint folder, which can be read many times."""
+    use_checkpoints(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)

@@ -173,6 +173,22 @@ def test_permuted_sums_by_brute_force(spark, held):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
+def test_permuted_sums_are_not_shuffled(spark):
+    """A sum is one task's own, whether tasks have some runs or ranges of a run's entities; values come in several blocks."""
+    rng = np.random.default_rng(5)
+    sizes = [(1, 30), (3, 40), (7, 10)]
+    placed = spark.createDataFrame([(i, float(x)) for i, x in enumerate(rng.normal(0, 1, 220))], "position bigint, v double").repartition(6)
+    found = []
+    for held in (1 << 22, 80, 33):
+        sums = M.permuted_sums(placed, sizes, 220, range(3, 9), held, together=50)
+        assert "Exchange" not in sums._jdf.queryExecution().executedPlan().toString()
+        rows = sums.collect()
+        assert len(rows) == len({(r["run"], r["m"], r["e"]) for r in rows}) == 6 * 80
+        found.append({(r["run"], r["m"], r["e"]): r["s"] for r in rows})
+    for other in found[1:]:
+        assert other.keys() == found[0].keys() and all(other[k] == pytest.approx(x, abs=1e-12) for k, x in found[0].items())
+
+
 def test_repeatability_tells_groups_from_noise(spark):
     rng = np.random.default_rng(9)
     rows = [(i, i % 12, float(3 * rng.normal() if i < 12 else 0)) for i in range(120)]
