@@ -88,18 +88,27 @@ def assign_with_fallback(samples: DataFrame, intervals: DataFrame, machine: str,
 def join_nearest(left: DataFrame, right: DataFrame, key: str, by: Sequence[str], left_ts: str, right_ts: str, tolerance_s: int, tie: str) -> DataFrame:
     """Each left row with the right row nearest in time within the tolerance (included), ties to the smallest ``tie``.
 
-    Right rows go to their own and both neighbouring buckets of the tolerance's width,
-    so rows meet by equality. ``key`` identifies left rows.
+    Right rows go to their own and both neighbouring buckets of the tolerance's width. In a bucket's order of time the nearest row is the last one
+    before a left row or the first one after it, so there is no row for each pair. ``key`` names left rows; each counts by itself.
     """
     width = max(tolerance_s, 1)
     sec = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    bucket = lambda c: F.floor(sec(c) / (width * 1_000_000))
-    r = right.withColumn("_b", F.explode(F.array(bucket(right_ts) - 1, bucket(right_ts), bucket(right_ts) + 1)))
-    pairs = left.select(key, *by, left_ts).withColumn("_b", bucket(left_ts)).join(r, [*by, "_b"])
-    gap = F.abs(sec(left_ts) - sec(right_ts))
     values = [c for c in right.columns if c not in by]
-    near = pairs.where(gap <= tolerance_s * 1_000_000).groupBy(key).agg(F.min(F.struct(gap.alias("_gap"), F.col(tie).alias("_tie"), F.struct(*values).alias("_row"))).alias("_m"))
-    return left.join(near, key, "left").select(*left.columns, *[F.col(f"_m._row.{c}").alias(c if c not in left.columns else f"{c}_near") for c in values], (F.col("_m._gap") / 1_000_000).alias("gap_s"))
+    names = [f"_by{i}" for i in range(len(by))]
+    keys = [F.col(b).alias(n) for b, n in zip(by, names, strict=True)]
+    bucket = F.floor(F.col("_at") / (width * 1_000_000))
+    r = right.select(*keys, sec(right_ts).alias("_at"), F.struct(F.col(tie).alias("_tie"), F.struct(*values).alias("_row")).alias("_r")).dropna(subset=[*names, "_at"])
+    r = r.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    both = left.select(*keys, sec(left_ts).alias("_at"), F.struct(*left.columns).alias("_left")).withColumn("_b", bucket).unionByName(r, allowMissingColumns=True)
+    found = []
+    for side, order in (("_before", F.col("_at").asc()), ("_after", F.col("_at").desc())):
+        # of right rows at one time the smallest comes last, and left rows after them
+        w = Window.partitionBy(*names, "_b").orderBy(order, F.col("_left").isNotNull(), F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn(side, F.last(F.when(F.col("_left").isNull(), F.struct("_at", "_r")), ignorenulls=True).over(w))
+        gap = F.abs(F.col("_at") - F.col(f"{side}._at"))
+        found.append(F.when(gap <= tolerance_s * 1_000_000, F.struct(gap.alias("_gap"), F.col(f"{side}._r._tie").alias("_tie"), F.col(f"{side}._r._row").alias("_row"))))
+    near = both.where(F.col("_left").isNotNull()).select("_left", F.least(*found).alias("_m"))
+    return near.select(*[F.col(f"_left.{c}").alias(c) for c in left.columns], *[F.col(f"_m._row.{c}").alias(c if c not in left.columns else f"{c}_near") for c in values], (F.col("_m._gap") / 1_000_000).alias("gap_s"))
 
 
 def join_asof(left: DataFrame, right: DataFrame, ts: str, by: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -125,6 +125,25 @@ def test_allan_of_intervals_makes_no_pairs(spark):
     assert "Join Inner" not in plan and "Window" not in plan and plan.count("FlatMapCoGroups") == 1
 
 
+def test_nearest_rows_by_brute_force_without_pairs(spark):
+    """Equal gaps before and after, several rows at one time, NULL groups and times, gaps of just the tolerance."""
+    rng = random.Random(6)
+    group, when = lambda: rng.choice(["a", "b", None]), lambda: rng.choice([None, *range(0, 2000, 10)])
+    ls, rs = [(k, group(), when(), f"x{k}") for k in range(300)], [(rng.randrange(50), group(), when(), float(i)) for i in range(200)]
+    at = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
+    left = spark.createDataFrame(ls, "k int, g string, t int, x string").withColumn("ts", at("t")).repartition(3)
+    right = spark.createDataFrame(rs, "tie int, g string, t int, v double").withColumn("rts", at("t")).drop("t").repartition(3)
+    out = J.join_nearest(left, right, "k", ["g"], "ts", "rts", 60, "tie")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["k"]: r for r in out.collect()}
+    assert len(got) == len(ls) and out.columns == ["k", "g", "t", "x", "ts", "tie", "v", "rts", "gap_s"]
+    for k, g, t, x in ls:
+        near = [(abs(t - u), tie, v) for tie, h, u, v in rs if g is not None and g == h and t is not None and u is not None and abs(t - u) <= 60]
+        assert (got[k]["g"], got[k]["t"], got[k]["x"]) == (g, t, x)
+        assert (got[k]["gap_s"], got[k]["tie"], got[k]["v"]) == (min(near) if near else (None, None, None))
+    assert sum(r["tie"] is not None for r in got.values()) > 100
+
+
 def test_ties_of_right_rows_are_settled(spark):
     left = spark.createDataFrame([(1,)], "t int")
     right = spark.createDataFrame([(1, 5.0), (1, 7.0), (1, 6.0), (0, 9.0)], "t int, v double").repartition(4)
