@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -144,6 +145,32 @@ def test_nearest_rows_by_brute_force_without_pairs(spark):
     assert sum(r["tie"] is not None for r in got.values()) > 100
 
 
+def test_intervals_with_fallback_shuffle_samples_once(spark):
+    rng = random.Random(8)
+    at = lambda s: f"2024-01-{1 + s // 86400:02d} {s // 3600 % 24:02d}:{s // 60 % 60:02d}:00"
+    some = lambda: rng.choice(["m", "n", None])
+    ss, spans = [(i, some(), at(rng.randrange(172_800))) for i in range(300)], [(k, rng.choice(["m", "n", "o", None]), a := rng.randrange(86_400 * 3), a + rng.choice([0, 600, 9000])) for k in range(60)]
+    cast = lambda df, *cs: df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cs})
+    samples = cast(spark.createDataFrame(ss, "i int, g string, ts string"), "ts").withColumn("day", F.to_date("ts"))
+    samples = samples.where("g is null or g <> 'n' or day = '2024-01-01'").cache()
+    iv = cast(spark.createDataFrame([(k, g, at(a), at(b)) for k, g, a, b in spans], "k int, g string, start_ts string, end_ts string"), "start_ts", "end_ts").withColumn("day", F.to_date("start_ts"))
+    out = J.assign_with_fallback(samples, iv, "g", "day")
+    assert out.columns == ["g", "day", "i", "ts", "k", "start_ts", "end_ts"]
+    rows, logs = samples.collect(), iv.collect()
+    seen = {(r["g"], r["day"]) for r in rows if r["g"] is not None}
+    want = sorted((r["i"], v["k"], str(v["g"])) for v in logs for r in rows if r["day"] == v["day"] and v["start_ts"] <= r["ts"] <= v["end_ts"] and (r["g"] == v["g"] or (v["g"], v["day"]) not in seen))
+    assert sorted((r["i"], r["k"], str(r["g"])) for r in out.collect()) == want and len(want) > 100 and {g for *_, g in want} == {"m", "n", "o", "None"}
+    # of the exchanges' inputs, those with the samples' own column
+    said = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = said(J.assign_with_fallback(samples, iv, "g", "day")._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum("i#" in c for c in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)) == 1
+
+
 def test_ties_of_right_rows_are_settled(spark):
     left = spark.createDataFrame([(1,)], "t int")
     right = spark.createDataFrame([(1, 5.0), (1, 7.0), (1, 6.0), (0, 9.0)], "t int, v double").repartition(4)
