@@ -331,6 +331,19 @@ def test_line_dedup_of_repeated_and_null_ids(spark):
     assert got == sorted([(1, "own\n" + two, 0), (1, "own\n" + two, 0), (None, "", 2), (None, "", 2), (2, "front\nend", 2)], key=str)
 
 
+def test_line_dedup_of_equal_texts_without_ids(spark, tmp_path):
+    """Only one of equal texts without an id stays, from files and from memory."""
+    two = "a passage of some words\nand one more such line"
+    rows = [(None, two), (None, two), (None, two), (None, f"front\n{two}\nend"), (1, "own\ntext of it"), (None, None), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    df.write.parquet(str(tmp_path / "d"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "d"))):
+        got = line_dedup.dedup_lines(docs).collect()
+        texts = [r.text for r in got]
+        assert len(got) == len(rows) and texts.count(None) == 2 and sum(two in t for t in texts if t is not None) == 1
+        assert sum(r.n_removed for r in got) == 6 and "own\ntext of it" in texts
+
+
 def test_pseudonyms(spark, docs):
     key = b"k"
     card, text = "4111 1111 1111 1111", "Card 4111 1111 1111 1111, mail a.b7@x.org, ip 10.0.0.255, on 2024-02-29 or 31/12/1999, call +1 (743) 555-3824, not 4111 1111 1111 1112"
